@@ -8,6 +8,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from kinweave import vocab
 from kinweave.functions.rules import first_contained, first_matching
@@ -27,7 +28,7 @@ CLASS_SUFFIX = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda value: unicodedata.normalize("NFKC", value), na_action="ignore")
 

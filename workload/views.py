@@ -36,7 +36,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                     WHEN o_orderstatus = 'F' THEN 'approved' WHEN o_orderstatus = 'O' THEN 'pending'
                     ELSE 'rejected' END AS status,
                CASE l_linestatus WHEN 'F' THEN 'manual' ELSE 'llm' END AS origin,
-               concat('order ', l_orderkey) AS evidence
+               concat('order ', l_orderkey) AS evidence, l_orderkey + pos AS turn
         FROM fx_items JOIN orders ON l_orderkey = o_orderkey
         WHERE nxt IS NOT NULL"""),
     "fx_aliases": (("part",), """
@@ -79,6 +79,92 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         UNION SELECT target_id, source_id FROM sq_edges"""),
     "sq_degree": (("sq_neighbors",), """
         SELECT src AS id, count(DISTINCT dst) AS degree FROM sq_neighbors GROUP BY src"""),
+    # Raw records: entities, what enrichment knows, and relations by name.
+    "fx_raw_entities": (("part",), """
+        SELECT concat('No.', p_partkey) AS id,
+               concat(CASE WHEN p_size = 11 THEN '阿周那 ' ELSE ' ' END, p_name, ' ', p_partkey,
+                      CASE WHEN p_size > 40 THEN concat('（', p_brand, '）') ELSE '' END) AS name,
+               p_brand AS class, p_name AS prototype, '' AS detail_url,
+               CASE p_size % 7 WHEN 0 THEN '希腊' WHEN 1 THEN '-' WHEN 2 THEN '古代日本' WHEN 3 THEN '别处' ELSE '' END AS region,
+               CASE WHEN p_size > 10 THEN concat(' about ', p_name) ELSE '' END AS description, '' AS image_url
+        FROM part"""),
+    "fx_enriched": (("part",), """
+        SELECT concat('No.', p_partkey) AS id, CASE p_size % 4 WHEN 0 THEN '北欧' WHEN 1 THEN '?' ELSE '' END AS region,
+               CASE WHEN p_size < 30 THEN concat('told of ', p_name) ELSE '' END AS description,
+               CASE WHEN p_size < 20 THEN 'F' ELSE '' END AS gender, concat('alias ', p_partkey) AS extra_alias
+        FROM part WHERE p_type <> 'STANDARD'"""),
+    "fx_raw_edges": (("fx_relationships", "fx_entities"), """
+        SELECT r.id AS seq, concat(s.name, CASE WHEN turn % 19 = 0 THEN '?' ELSE '' END) AS source_name,
+               CASE WHEN turn % 13 = 0 THEN t.prototype ELSE t.name END AS target_name,
+               CASE WHEN turn % 17 = 0 THEN 'UNKNOWN_OF'
+                    WHEN turn % 10 = 0 THEN CASE r.type WHEN 'PARENT_OF' THEN 'CHILD_OF' WHEN 'MENTOR_OF' THEN ' STUDENT_OF'
+                                                        ELSE 'SERVANT_OF ' END
+                    ELSE r.type END AS relationship,
+               CASE WHEN turn % 3 = 0 THEN NULL ELSE r.confidence END AS confidence,
+               CASE WHEN turn % 5 = 0 THEN r.status END AS status,
+               CASE WHEN turn % 7 = 0 THEN 'wiki' WHEN turn % 7 = 1 THEN 'nonsense' END AS origin, r.evidence
+        FROM fx_relationships r JOIN fx_entities s ON s.id = r.source_id JOIN fx_entities t ON t.id = r.target_id"""),
+    "fx_decisions": (("fx_relationships",), """
+        SELECT id, turn AS seq, CASE WHEN turn % 3 = 0 THEN 'approve' ELSE 'reject' END AS action,
+               concat('note ', turn) AS note FROM fx_relationships WHERE confidence <> 'low'
+        UNION ALL SELECT id, turn + 1, 'reject', '' FROM fx_relationships WHERE confidence = 'high'
+        UNION ALL SELECT id, turn + 2, 'approve', 'late' FROM fx_relationships WHERE confidence = 'medium'
+        UNION ALL SELECT -id, turn, 'approve', '' FROM fx_relationships WHERE confidence = 'verified'"""),
+    "fx_submissions": (("fx_relationships", "orders"), """
+        SELECT source_id, target_id, CASE WHEN turn % 11 = 0 THEN 'STUDENT_OF' WHEN turn % 13 = 0 THEN 'UNKNOWN_OF'
+                                          ELSE type END AS type,
+               CASE WHEN turn % 2 = 0 THEN evidence ELSE '' END AS evidence,
+               concat('user ', o_custkey) AS contributor, o_orderdate AS submitted_at
+        FROM fx_relationships JOIN orders ON evidence = concat('order ', o_orderkey)"""),
+    # Harvested records about the parts: claims, class labels, descriptions, search hits.
+    "fx_claims": (("part",), """
+        SELECT concat('Q', p_partkey) AS qid, concat('K', p_size % 12) AS class_1, concat('K', p_size % 7) AS class_2,
+               concat('Q', p_partkey + 1) AS based_on, concat('Q', p_partkey + 2) AS present_in,
+               CASE WHEN p_size % 5 = 0 THEN NULL ELSE 1800 + p_size * 4 END AS birth_year FROM part"""),
+    "fx_labels": (("part",), """
+        SELECT DISTINCT concat('K', p_size % 12) AS qid,
+               CASE p_size % 12 WHEN 0 THEN 'deity' WHEN 1 THEN 'human' WHEN 2 THEN 'fictional character'
+                                WHEN 3 THEN 'video game' WHEN 4 THEN 'Greek mythology' WHEN 5 THEN 'legendary being'
+                                WHEN 6 THEN 'film' WHEN 7 THEN 'saint' WHEN 8 THEN 'given name' WHEN 9 THEN 'opera'
+                                ELSE 'thing' END AS label,
+               '' AS description FROM part"""),
+    "fx_meta": (("part",), """
+        SELECT concat('Q', p_partkey) AS qid, concat(p_name, ' ', p_partkey) AS label,
+               CASE p_size % 6 WHEN 0 THEN 'legendary king of parts' WHEN 1 THEN 'singer of songs' WHEN 2 THEN 'a novel'
+                               ELSE 'plain thing' END AS description FROM part"""),
+    "fx_hits": (("part", "fx_items", "fx_meta"), """
+        SELECT p_partkey AS char_id, 0 AS position, qid, label, description
+        FROM part JOIN fx_meta ON qid = concat('Q', p_partkey) WHERE p_size > 15
+        UNION ALL SELECT DISTINCT l_partkey, 1 + l_suppkey, qid, label, description
+        FROM fx_items JOIN fx_meta ON qid = concat('Q', nxt) WHERE nxt <> l_partkey"""),
+    "fx_qid_entities": (("part",), """
+        SELECT CASE WHEN p_size = 21 THEN concat('wd:Q', p_partkey) ELSE concat('c', p_partkey) END AS id,
+               CAST(p_partkey AS INT) AS wiki_id, concat(p_name, ' ', p_partkey) AS name, p_brand AS class_name,
+               p_type AS mythology, CASE WHEN p_size <= 20 THEN 'primary' ELSE 'outside' END AS source,
+               CASE WHEN p_size <= 21 THEN concat('Q', p_partkey) END AS wikidata_qid FROM part"""),
+    "fx_family_props": (("fx_items",), """
+        SELECT l_orderkey * 1000000 + pos AS seq, concat('Q', l_partkey) AS anchor_qid,
+               CASE l_linenumber % 5 WHEN 0 THEN 'P22' WHEN 1 THEN 'P25' WHEN 2 THEN 'P26' WHEN 3 THEN 'P3373'
+                                     ELSE 'P40' END AS rel,
+               concat('Q', nxt) AS member_qid FROM fx_items WHERE nxt IS NOT NULL"""),
+    "fx_work_relations": (("fx_items",), """
+        SELECT l_orderkey * 1000000 + pos AS seq, concat('alw:', l_suppkey) AS work_id,
+               CASE l_linenumber % 8 WHEN 0 THEN 'SEQUEL' WHEN 1 THEN 'PREQUEL' WHEN 2 THEN 'SPIN_OFF' WHEN 3 THEN 'ALTERNATIVE'
+                                     WHEN 4 THEN 'SIDE_STORY' WHEN 5 THEN 'PARENT' WHEN 6 THEN 'CHARACTER' ELSE 'OTHER' END
+                 AS relation_type,
+               nxt_supp AS media_id, concat('title ', nxt_supp) AS title,
+               CASE nxt_supp % 4 WHEN 0 THEN 'TV' WHEN 1 THEN 'NOVEL' WHEN 2 THEN 'ONE_SHOT' ELSE 'UNHEARD' END AS format
+        FROM fx_items WHERE nxt IS NOT NULL AND nxt_supp <> l_suppkey"""),
+    "fx_candidates": (("part",), """
+        SELECT p_partkey AS cand_id,
+               CASE WHEN p_size < 10 THEN p_name ELSE concat(upper(p_name), ' ', p_brand) END AS name FROM part"""),
+    "fx_proto_aliases": (("part",), """
+        SELECT DISTINCT p_name AS qid, concat(p_name, '-', p_brand) AS alias FROM part"""),
+    "fx_subjects": (("lineitem", "supplier"), """
+        SELECT DISTINCT l_partkey AS cand_id, l_linenumber AS position, l_suppkey AS subject_id,
+               CASE WHEN s_nationkey % 5 = 0 THEN ' ' ELSE s_name END AS subject_name, s_nationkey % 7 AS subject_type
+        FROM lineitem JOIN supplier ON s_suppkey = l_suppkey"""),
+
     # One start or pair for each prototype name.
     "fx_centers": (("part",), """
         SELECT concat('c', min(p_partkey)) AS id FROM part GROUP BY p_name"""),
