@@ -21,6 +21,8 @@ SPELLING_VARIANTS: dict[str, str] = {
     "ō": "o", "ū": "u", "ā": "a", "ē": "e", "ī": "i",
     "ö": "o", "ü": "u", "é": "e", "á": "a",
 }
+# Characters that their compatibility form leaves as they are, alone and next to each other.
+STABLE = r"\x00-\x7F·À-ı一-鿿ぁ-ゖァ-ヺ、。〔〕「」"
 BRACKETED = r"[（(][^）)]*[）)]"
 CLASS_SUFFIX = (
     r"(?i)\s*·\s*(Saber|Archer|Lancer|Rider|Caster|Assassin|Berserker|Ruler|Avenger|"
@@ -34,8 +36,8 @@ def _nfkc(text: pd.Series) -> pd.Series:
 
 
 def compatibility_form(text: Column) -> Column:
-    """NFKC form. Spark has no such function; ASCII text is not handed to Python."""
-    foreign = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    """NFKC form. Spark has no such function; text that it cannot change is not handed to Python."""
+    foreign = F.when(text.rlike(f"[^{STABLE}]"), text)
     return F.coalesce(_nfkc(foreign), text)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave import vocab
@@ -117,14 +117,19 @@ def prototype_match(chars: DataFrame, hits: DataFrame, claims: DataFrame, meta:
 
 def match_report(matches: DataFrame, hits: DataFrame) -> DataFrame:
     """Characters per method with their share in percent, and those with any candidate: method, n, pct."""
-    total = matches.agg(F.nullif(F.count(F.lit(1)), F.lit(0))).scalar()
-    counts = matches.groupBy("method").agg(F.count(F.lit(1)).alias("n"))
-    summed = matches.agg(F.count_if(F.col("method") != "unmatched").alias("n")).select(
-        F.lit("matched_total").alias("method"), "n")
-    any_hit = matches.join(hits, "char_id", "left_semi").agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("any_candidate").alias("method"), "n")
-    rows = counts.unionByName(summed).unionByName(any_hit)
-    return rows.withColumn("pct", F.round(F.col("n") / total * 100, 1))
+    reached = hits.select("char_id").distinct().withColumn("_hit", F.lit(True))
+    counted = F.array_compact(F.array(
+        F.lit("_total"), F.col("method"),
+        F.when(F.col("method") != "unmatched", F.lit("matched_total")),
+        F.when(F.col("_hit"), F.lit("any_candidate")),
+    ))
+    counts = (
+        matches.select("char_id", "method").join(reached, "char_id", "left")
+        .select(F.explode(counted).alias("method")).groupBy("method").agg(F.count(F.lit(1)).alias("n"))
+    )
+    # One row per method is left, so this window is a handful of rows.
+    total = F.max(F.when(F.col("method") == "_total", F.col("n"))).over(Window.partitionBy(F.lit(0)))
+    return counts.withColumn("pct", F.round(F.col("n") / total * 100, 1)).filter(F.col("method") != "_total")
 
 
 def match_samples(matches: DataFrame, n: int = 15) -> DataFrame:
@@ -234,7 +239,8 @@ def link_by_exact_name(prototypes: DataFrame, aliases: DataFrame, candidates: Da
     seq = F.struct("prototype_id", "term_no", "cand_id")
     named_new = picked.select("prototype_id", "cand_id", "label", seq.alias("seq"),
                               F.concat(F.lit("bg:"), "cand_id").alias("qid"))
-    matched = match_entities(named_new, vertices, vertex_aliases, prefix="")
+    by_name_only = vertices.select("id", "wiki_id", "name", F.lit(None).cast("string").alias("wikidata_qid"))
+    matched = match_entities(named_new, by_name_only, vertex_aliases, prefix="")
     return matched.select("prototype_id", "cand_id", "label", "entity_id", "matched_by")
 
 

@@ -12,9 +12,9 @@ EDGE = ("source_id string, target_id string, type string, directed boolean, conf
         "origin string, status string, submitted_at timestamp, batch long")
 
 
-def read_submissions(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Submission files as they arrive."""
-    return spark.readStream.schema(SUBMISSION).format(fmt).load(path)
+def read_submissions(spark: SparkSession, path: str, fmt: str = "json", max_files: int = 1000) -> DataFrame:
+    """Submission files as they arrive, at most ``max_files`` per micro-batch."""
+    return spark.readStream.schema(SUBMISSION).option("maxFilesPerTrigger", max_files).format(fmt).load(path)
 
 
 def start_intake(submissions: DataFrame, existing: DataFrame, out: str, checkpoint: str,

@@ -242,11 +242,12 @@ def _mentions(spark, sf):
   lo AS (SELECT lower(name) AS k, first(id ORDER BY wiki_id, id) AS id FROM fx_entities GROUP BY 1)
   SELECT mention_id, text, coalesce(CASE WHEN regexp_matches(trim(text), '^[cC][0-9]+$') THEN trim(text) END, nm.id, al.id, lo.id) AS entity_id,
          CASE WHEN regexp_matches(trim(text), '^[cC][0-9]+$') THEN 0 WHEN nm.id IS NOT NULL THEN 1 WHEN al.id IS NOT NULL THEN 2
-              WHEN lo.id IS NOT NULL THEN 3 END AS stage
+              WHEN lo.id IS NOT NULL THEN 3 ELSE -1 END AS stage
   FROM mentions LEFT JOIN nm ON nm.k = trim(text) LEFT JOIN al ON al.k = trim(text) LEFT JOIN lo ON lo.k = lower(trim(text))""",
        ("fx_items", "fx_entities", "fx_aliases"))
 def resolve_mentions(spark, sf):
-    return entities.resolve_mentions(_mentions(spark, sf), view(spark, sf, "fx_entities"), view(spark, sf, "fx_aliases"))
+    found = entities.resolve_mentions(_mentions(spark, sf), view(spark, sf, "fx_entities"), view(spark, sf, "fx_aliases"))
+    return found.withColumn("stage", F.coalesce("stage", F.lit(-1)))
 
 
 @query(f"""WITH cand AS (SELECT p_partkey AS seq, concat('Q', p_partkey) AS qid,
