@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinweave import vocab
 from kinweave.functions.names import character_or_work, medium_of, name_variants, normalize_name, work_kind
 from kinweave.functions.rules import look_up
+from kinweave.lineage import cut
 from kinweave.operators.edges import HIGH, LOW, exclude_existing, is_directed, with_pair_key
 from kinweave.operators.entities import match_entities
 from kinweave.operators.ranking import cap_per_group, first_per_key, top_n
@@ -88,8 +89,8 @@ def prototype_match(chars: DataFrame, hits: DataFrame, claims: DataFrame, meta:
     variants = chars.select("char_id", F.explode(name_variants(
         F.col("char_native"), F.col("char_name"), F.col("char_alt"))).alias("v"))
     keys = variants.select("char_id", normalize_name(F.col("v.name")).alias("key"))
-    rated = _exact_hits(hits, keys)
-    targets = _targets(rated.filter("exact").select("char_id", "position", "qid"), claims, meta, labels)
+    rated = cut(_exact_hits(hits, keys))
+    targets = cut(_targets(rated.filter("exact").select("char_id", "position", "qid"), claims, meta, labels))
     chosen = first_per_key(targets.select("char_id", "position", "qid"), ["char_id"], ["position", "qid"])
     listed = targets.join(chosen, ["char_id", "position", "qid"], "left_semi").groupBy("char_id", "qid").agg(
         F.array_sort(F.collect_list(F.struct(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinweave import vocab
 from kinweave.functions import text as text_functions
 from kinweave.functions.names import SEPARATORS, SPELLING_VARIANTS, compatibility_form, normalize_name
+from kinweave.lineage import cut
 from kinweave.operators.edges import HIGH, LOW, exclude_existing, is_directed, with_pair_key
 from kinweave.operators.ranking import first_per_key
 
@@ -42,11 +43,11 @@ def page_sections(pages: DataFrame) -> DataFrame:
     marked = F.regexp_replace("text", text_functions.SECTION_HEAD, "\u0001$2\u0002")
     parts = pages.select("page_id", "title", F.posexplode(F.split(marked, "\u0001")).alias("section_no", "part"))
     headed = F.contains("part", F.lit("\u0002"))
-    cut = parts.select(
+    split = parts.select(
         "page_id", "title", "section_no",
         F.when(headed, F.substring_index("part", "\u0002", 1)).otherwise("").alias("heading"),
         F.when(headed, F.substring_index("part", "\u0002", -1)).otherwise(F.col("part")).alias("body"))
-    kept = cut.filter((text_functions.strip(F.col("body")) != "") & ~F.col("heading").rlike(vocab.SKIPPED_SECTIONS))
+    kept = split.filter((text_functions.strip(F.col("body")) != "") & ~F.col("heading").rlike(vocab.SKIPPED_SECTIONS))
     return kept.select("page_id", "title", "section_no", "heading",
                        text_functions.strip_wiki_markup(F.col("body")).alias("text"))
 
@@ -79,8 +80,10 @@ def tag_entities(sentences: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Dictionary names in sentences (sentence_id, text): sentence_id, pos, entity_id, match.
 
     Of each run of name characters the longest beginning that is a key counts; each entity counts
-    once per sentence, at its first run. ``pos`` numbers the runs.
+    once per sentence, at its first run. ``pos`` numbers the runs. The dictionary is written first:
+    then Spark knows its size, and sends it to all tasks if it is small, instead of shuffling the text.
     """
+    dictionary = cut(dictionary.select("key", F.col("id").alias("entity_id")))
     runs = sentences.select("sentence_id", F.posexplode(
         F.regexp_extract_all("text", F.lit(NAME_RUN))).alias("pos", "run")).filter(F.length("run") >= 2)
     folds = SPELLING_VARIANTS
@@ -89,7 +92,7 @@ def tag_entities(sentences: DataFrame, dictionary: DataFrame) -> DataFrame:
         "sentence_id", "pos", "run", "form", F.explode(F.sequence(F.lit(2), F.length("form"))).alias("size")
     ).withColumn("key", F.translate(F.lower(F.translate(F.substring("form", F.lit(1), F.col("size")), SEPARATORS, "")),
                                     "".join(folds), "".join(folds.values())))
-    hits = beginnings.join(dictionary.withColumnRenamed("id", "entity_id"), "key")
+    hits = beginnings.join(dictionary, "key")
     # Where the compatibility form has another length, the whole run stands for the match.
     match = F.when(F.length("form") == F.length("run"), F.substring("run", F.lit(1), F.col("size"))).otherwise(F.col("run"))
     longest = first_per_key(
@@ -126,16 +129,13 @@ def mention_pairs(comentions: DataFrame) -> DataFrame:
 
 
 def _words_between(text: str, left: str, right: str) -> Column:
-    """Words in the gap from each occurrence of one name to the next one of the other."""
-    sentence, x, y = F.col(text), F.col(f"{left}.match"), F.col(f"{right}.match")
-    places = F.filter(F.sequence(F.lit(1), F.length(sentence)),
-                      lambda at: F.substring(sentence, at, F.length(x)) == x)
-    ends = F.transform(places, lambda at: at + F.length(x))
-    gaps = F.transform(ends, lambda end: F.struct(
-        end.alias("end"), F.call_function("locate", y, sentence, end).alias("next")))
-    near = F.filter(gaps, lambda g: (g["next"] > 0) & (g["next"] - g["end"] <= WIDEST_GAP))
-    found = F.transform(near, lambda g: F.regexp_extract_all(
-        F.substring(sentence, g["end"], g["next"] - g["end"]), F.lit(CONNECTOR)))
+    """Words in the gap from each occurrence of one name to the next one of the other, if it is near.
+
+    The look-ahead matches without taking text up, so occurrences that overlap are found as well.
+    """
+    x, y = (F.concat(F.lit("\\Q"), F.col(f"{side}.match"), F.lit("\\E")) for side in (left, right))
+    gaps = F.regexp_extract_all(text, F.concat(F.lit("(?s)(?="), x, F.lit(f"(.{{0,{WIDEST_GAP}}}?)"), y, F.lit(")")), F.lit(1))
+    found = F.transform(gaps, lambda gap: F.regexp_extract_all(gap, F.lit(CONNECTOR)))
     return F.transform(F.flatten(found), lambda word: F.lower(word))
 
 

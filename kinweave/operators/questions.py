@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinweave import vocab
 from kinweave.functions.rules import all_contained, look_up
 from kinweave.functions.text import reply_body
+from kinweave.lineage import cut
 from kinweave.operators.edges import (
     HIGH,
     LOW,
@@ -137,15 +138,16 @@ def link_entities(questions: DataFrame, vertices: DataFrame, postings: DataFrame
     names = vertices.select(F.col("name").alias("needle"), F.lit(0).alias("o"), "wiki_id", "id").union(
         vertices.select("prototype", F.lit(1), "wiki_id", "id")).filter(F.length("needle") >= 2)
     index = first_per_key(names, ["needle"], ["o", "wiki_id", "id"]).select("needle", "id")
-    named = contained_needles(questions.select(F.col("question_id").alias("text_id"), "text"), index).join(
+    index = cut(index)
+    named = cut(contained_needles(questions.select(F.col("question_id").alias("text_id"), "text"), index).join(
         index, "needle").groupBy(F.col("text_id").alias("question_id"), "id").agg(
-        F.max(F.length("needle") * 10).alias("points"))
+        F.max(F.length("needle") * 10).alias("points")))
     # Without other parts, only questions that name no one are searched.
     parts = question_parts(questions)
     searched = parts.filter(F.col("pieces") > 1).unionByName(
         parts.filter(F.col("pieces") <= 1).join(named.select("question_id"), "question_id", "left_anti"))
     asked = searched.select(F.col("part").alias("query_id"), F.col("part").alias("text")).distinct()
-    lexical = bm25_search(asked, postings, limit=6)
+    lexical = cut(bm25_search(asked, postings, limit=6))
     nothing = lexical.select("query_id", F.col("doc_id").alias("id"), "score").filter(F.lit(False))
     found = hybrid_search(lexical, nothing, 3).select(F.col("query_id").alias("part"), F.col("doc_id").alias("id"), "score")
     recalled = searched.join(found, "part").groupBy("question_id", "id").agg(

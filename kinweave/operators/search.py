@@ -6,11 +6,12 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.rules import look_up
 from kinweave.functions.text import index_tokens, query_tokens
+from kinweave.lineage import cut
 from kinweave.operators.ranking import cap_per_group, with_position
 
 # --- fixed values: field weights and BM25 constants ----------------------------------------------
@@ -23,6 +24,8 @@ LEXICAL_SHARE, SEMANTIC_SHARE = 0.6, 0.4
 FALLBACK_SCORE = 10.0
 
 QUERY_BLOCK = 1024
+# Scores are rounded so that the order in which parts are summed up never settles a tie.
+DIGITS = 9
 
 
 def transliterate(texts: DataFrame, mapping: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -81,16 +84,17 @@ def bm25_search(queries: DataFrame, postings: DataFrame, limit: int = 20,
 
     Query tokens are prefixes, joined by OR. Prefixes meet terms through the prefixes of the distinct
     terms, an equi-join; a token that many queries share is scored once. The score is BM25 over the
-    weighted sum of the fields.
+    weighted sum of the fields. The matching terms are written first, so that Spark knows their size
+    and, where they are few, reads the postings without shuffling them.
     """
     asked = queries.select("query_id", F.explode(query_tokens(F.col("text"))).alias("token"))
     asked = asked.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
     tokens = asked.select("token").distinct()
     terms = postings.select("term").distinct()
     starts = terms.select("term", F.explode(F.sequence(F.lit(1), F.length("term"))).alias("n"))
-    matches = starts.select("term", F.substring("term", F.lit(1), F.col("n")).alias("token")).join(tokens, "token")
+    matches = cut(starts.select("term", F.substring("term", F.lit(1), F.col("n")).alias("token")).join(tokens, "token"))
     weight = F.coalesce(look_up(dict(weights or FIELD_WEIGHTS), F.col("field")), F.lit(1.0))
-    hits = postings.join(matches, "term").groupBy("token", "doc_id").agg(F.sum(weight * F.col("tf")).alias("f"))
+    hits = cut(postings.join(matches, "term").groupBy("token", "doc_id").agg(F.sum(weight * F.col("tf")).alias("f")))
     found = hits.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     lengths = document_lengths(postings)
     corpus = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean")).select(
@@ -101,7 +105,7 @@ def bm25_search(queries: DataFrame, postings: DataFrame, limit: int = 20,
     scored = hits.join(found, "token").join(lengths, "doc_id").select(
         "token", "doc_id", (idf * F.col("f") * (K1 + 1) / damp).alias("part"))
     ranked = asked.join(scored, "token").groupBy("query_id", "doc_id").agg(
-        F.sum(F.col("part") * F.col("times")).alias("score"))
+        F.round(F.sum(F.col("part") * F.col("times")), DIGITS).alias("score"))
     return cap_per_group(ranked, ["query_id"], [F.desc("score"), "doc_id"], limit)
 
 
@@ -149,7 +153,8 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFram
         result = near if result is None else result.unionByName(near)
     if result is None:
         return queries.sparkSession.createDataFrame([], schema)
-    return cap_per_group(result, ["query_id"], [F.desc("score"), "id"], k)
+    rounded = result.withColumn("score", F.round("score", DIGITS))
+    return cap_per_group(rounded, ["query_id"], [F.desc("score"), "id"], k)
 
 
 def _nearest_in_batches(queries: list, k: int):
@@ -164,7 +169,7 @@ def _nearest_in_batches(queries: list, k: int):
             scores = matrix @ _unit_rows(np.array(batch["vector"].tolist(), dtype=np.float64)).T
             for name, row in zip(names, scores):
                 # Everything as good as the k-th stays, so ties are settled by id over all batches.
-                least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                least = np.partition(row, -k)[-k] - 10.0**-DIGITS if len(row) > k else -np.inf
                 chosen = np.flatnonzero(row >= least)
                 yield pd.DataFrame({"query_id": name, "id": ids[chosen], "score": row[chosen]})
 
@@ -178,15 +183,18 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 
 def hybrid_search(lexical: DataFrame, semantic: DataFrame, n: int = 10) -> DataFrame:
-    """Merge both result lists per query: 0.6 of the share of the best lexical score, 0.4 of the cosine."""
-    best = lexical.groupBy("query_id").agg(F.max("score").alias("best"))
-    share = F.when(F.col("best") > 0, F.col("score") / F.col("best")).otherwise(F.lit(0.0))
-    left = lexical.join(best, "query_id").select("query_id", "doc_id", share.alias("lex"))
+    """Merge both result lists per query: 0.6 of the share of the best lexical score, 0.4 of the cosine.
+
+    The lists are search results, so a query has a bounded number of rows.
+    """
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    share = F.when(best > 0, F.col("score") / best).otherwise(F.lit(0.0))
+    left = lexical.select("query_id", "doc_id", share.alias("lex"))
     right = semantic.select("query_id", F.col("id").alias("doc_id"), F.greatest("score", F.lit(0.0)).alias("sem"))
     zero = F.lit(0.0)
     merged = left.join(right, ["query_id", "doc_id"], "full").select(
         "query_id", "doc_id",
-        (LEXICAL_SHARE * F.coalesce("lex", zero) + SEMANTIC_SHARE * F.coalesce("sem", zero)).alias("score"))
+        F.round(LEXICAL_SHARE * F.coalesce("lex", zero) + SEMANTIC_SHARE * F.coalesce("sem", zero), DIGITS).alias("score"))
     return cap_per_group(merged, ["query_id"], [F.desc("score"), "doc_id"], n)
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from kinweave.functions import text as text_functions
-from kinweave.lineage import shared_folder
+from kinweave.lineage import shared_folder, spread
 from kinweave.plans.build import build_all
 from kinweave.sources import readers, sinks
 from kinweave.streaming.intake import read_submissions, start_intake
@@ -84,12 +84,12 @@ def page_text_sql() -> str:
 
 @query(f"SELECT page_id, {page_text_sql()} AS text FROM pages")
 def page_text(spark, sf):
-    return readers.page_text(view(spark, sf, "pages"))
+    return readers.page_text(spread(view(spark, sf, "pages").select("page_id", "html"), "page_id"))
 
 
 @query()
 def extract_detail_facts(spark, sf):
-    return readers.extract_detail_facts(view(spark, sf, "pages"))
+    return readers.extract_detail_facts(spread(view(spark, sf, "pages").select("page_id", "html"), "page_id"))
 
 
 @query("""SELECT CAST(id AS VARCHAR) AS id, name, class, region, detail_url, image_url FROM (

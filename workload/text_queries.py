@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinweave import vocab
 from kinweave.functions import text as text_functions
+from kinweave.lineage import cut, spread
 from kinweave.operators import mining, questions, search
 from kinweave.plans.mining import mined_pairs
 from workload.entity_queries import NAME_INDEX, name_key
@@ -26,11 +27,13 @@ QUERY_TOKENS = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9]+'), lambda t
 
 
 def _documents(spark, sf):
-    return view(spark, sf, "documents").select("doc_id", F.lit("description").alias("field"), "text")
+    documents = spread(view(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return documents.select("doc_id", F.lit("description").alias("field"), "text")
 
 
 def _postings(spark, sf):
-    return search.build_postings(_documents(spark, sf))
+    """The index as a written table, as searches find it."""
+    return cut(search.build_postings(_documents(spark, sf)))
 
 
 def _searches(spark, sf):
@@ -59,7 +62,7 @@ def entity_postings(spark, sf):
 @query(f"""WITH w AS (SELECT doc_id, unnest({INDEX_TOKENS.format('text')}) AS term FROM documents)
   SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM w GROUP BY term""")
 def term_statistics(spark, sf):
-    return search.term_statistics(_postings(spark, sf))
+    return search.term_statistics(search.build_postings(_documents(spark, sf)))
 
 
 BM25 = f"""w AS (SELECT doc_id, unnest({INDEX_TOKENS.format('text')}) AS term FROM documents),
@@ -76,7 +79,7 @@ BM25 = f"""w AS (SELECT doc_id, unnest({INDEX_TOKENS.format('text')}) AS term FR
       CASE WHEN ln((docs - n + 0.5) / (n + 0.5)) > 0 THEN ln((docs - n + 0.5) / (n + 0.5)) ELSE 1e-6 END
       * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / mean)) AS part
     FROM hits h JOIN found USING (token) JOIN len USING (doc_id) CROSS JOIN corpus),
-  scored AS (SELECT query_id, doc_id, sum(part * times) AS score FROM asked JOIN parts USING (token) GROUP BY ALL),
+  scored AS (SELECT query_id, doc_id, round(sum(part * times), 9) AS score FROM asked JOIN parts USING (token) GROUP BY ALL),
   lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS nth FROM scored) x
           WHERE nth <= 20)"""
 
@@ -115,7 +118,7 @@ def transliterate(spark, sf):
 CENTROIDS = """dims AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings),
   cen AS (SELECT label AS query_id, list(m ORDER BY pos) AS vector FROM (
     SELECT label, pos, avg(v) AS m FROM dims GROUP BY ALL) a GROUP BY label),
-  cosines AS (SELECT query_id, vec_id AS id, list_cosine_similarity(vector, embedding::DOUBLE[]) AS score FROM cen CROSS JOIN embeddings),
+  cosines AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(vector, embedding::DOUBLE[]), 9) AS score FROM cen CROSS JOIN embeddings),
   sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM cosines) x WHERE nth <= 20)"""
 
 
@@ -135,7 +138,7 @@ def cosine_topk(spark, sf):
 
 @query(f"""WITH {BM25}, {CENTROIDS},
   l AS (SELECT query_id, doc_id, score / max(score) OVER (PARTITION BY query_id) AS lex FROM lex),
-  fused AS (SELECT query_id, doc_id, 0.6 * coalesce(lex, 0) + 0.4 * coalesce(greatest(score, 0), 0) AS score
+  fused AS (SELECT query_id, doc_id, round(0.6 * coalesce(lex, 0) + 0.4 * coalesce(greatest(score, 0), 0), 9) AS score
             FROM l FULL JOIN (SELECT query_id, id AS doc_id, score FROM sem) s USING (query_id, doc_id))
   SELECT query_id, doc_id, round(score, 6) AS score FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS nth FROM fused) x WHERE nth <= 10""")
@@ -175,6 +178,7 @@ SENTENCES = rf"""plain AS (SELECT doc_id, {wiki_sql('text')} AS text FROM docume
 
 def _sentences(spark, sf):
     pages = view(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("title"), "text")
+    pages = spread(pages, "page_id")
     found = mining.page_sentences(mining.page_sections(pages))
     return found.withColumn("sentence_id", F.col("page_id") * 1_000_000 + F.col("section_no") * 100_000 + F.col("sentence_no"))
 
@@ -436,6 +440,7 @@ def candidates_to_edges(spark, sf):
 def _questions(spark, sf):
     talk = view(spark, sf, "conversations").filter(F.col("role") == "user").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "text")
+    talk = spread(talk, "question_id")
     return talk.unionByName(view(spark, sf, "benchmark").select((-1 - F.col("item_id")).alias("question_id"), "text"))
 
 
@@ -450,8 +455,8 @@ def contained_names(spark, sf):
 @query()
 def link_entities(spark, sf):
     named = _named(spark, sf)
-    return questions.link_entities(_questions(spark, sf), named, search.build_postings(
-        search.field_texts(named, _no_aliases(spark, sf))))
+    postings = cut(search.build_postings(search.field_texts(named, _no_aliases(spark, sf))))
+    return questions.link_entities(_questions(spark, sf), named, postings)
 
 
 def _linked(spark, sf):
