@@ -227,11 +227,13 @@ def link_by_exact_name(prototypes: DataFrame, aliases: DataFrame, candidates: Da
     """Outside characters that carry a name of a prototype: prototype_id, cand_id, entity_id, matched_by.
 
     ``candidates`` is (cand_id, name). An equi-join on the normalised name; per prototype the first
-    ones by name, then id.
+    ones by name, then id. So of the candidates of one name, no prototype takes more than the first
+    ``per_prototype``, and the others stay out of the join.
     """
     terms = search_names(prototypes, aliases).withColumn("key", normalize_name(F.col("name")))
     terms = terms.groupBy("id", "key").agg(F.min("term_no").alias("term_no"))
     named = candidates.select("cand_id", F.col("name").alias("label"), normalize_name(F.col("name")).alias("key"))
+    named = cap_per_group(named, ["key"], ["cand_id"], per_prototype)
     hits = terms.withColumnRenamed("id", "prototype_id").join(named, "key")
     picked = cap_per_group(hits, ["prototype_id"], ["term_no", "cand_id"], per_prototype)
     if limit is not None:

@@ -79,21 +79,37 @@ def term_statistics(postings: DataFrame) -> DataFrame:
 
 
 def bm25_search(queries: DataFrame, postings: DataFrame, limit: int = 20,
-                weights: Mapping[str, float] | None = None) -> DataFrame:
+                weights: Mapping[str, float] | None = None, common_from: int = 100_000) -> DataFrame:
     """Best documents per query: query_id, doc_id, score; higher is better.
 
-    Query tokens are prefixes, joined by OR. Prefixes meet terms through the prefixes of the distinct
-    terms, an equi-join; a token that many queries share is scored once. The score is BM25 over the
-    weighted sum of the fields. The matching terms are written first, so that Spark knows their size
-    and, where they are few, reads the postings without shuffling them.
+    Query tokens are prefixes, joined by OR; the score is BM25 over the weighted sum of the fields.
+    Prefixes meet terms through the prefixes of the distinct terms, an equi-join, and equal texts are
+    searched once. Tokens found in ``common_from`` documents or more are not paired with all of those
+    for each query; see ``_rank_with_common``. The result does not depend on ``common_from``.
+    """
+    texts = queries.select("text").distinct()
+    asked = texts.select("text", F.explode(query_tokens(F.col("text"))).alias("token"))
+    asked = cut(asked.groupBy("text", "token").agg(F.count(F.lit(1)).alias("times")))
+    parts = cut(_token_parts(asked.select("token").distinct(), postings, dict(weights or FIELD_WEIGHTS)))
+    spread_of = cut(parts.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("most")))
+    common = spread_of.filter(F.col("n") >= common_from).select("token", "most")
+    if common.isEmpty():
+        ranked = _best_documents(_scores(asked, parts), limit)
+    else:
+        ranked = _rank_with_common(asked, parts, common, limit)
+    return queries.select("query_id", "text").join(ranked, "text").select("query_id", "doc_id", "score")
+
+
+def _token_parts(tokens: DataFrame, postings: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """What each token adds to the score of each document it is found in: token, doc_id, part.
+
+    The matching terms are written first, so that Spark knows their size and, where they are few,
+    reads the postings without shuffling them.
     """
-    asked = queries.select("query_id", F.explode(query_tokens(F.col("text"))).alias("token"))
-    asked = asked.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
-    tokens = asked.select("token").distinct()
     terms = postings.select("term").distinct()
     starts = terms.select("term", F.explode(F.sequence(F.lit(1), F.length("term"))).alias("n"))
     matches = cut(starts.select("term", F.substring("term", F.lit(1), F.col("n")).alias("token")).join(tokens, "token"))
-    weight = F.coalesce(look_up(dict(weights or FIELD_WEIGHTS), F.col("field")), F.lit(1.0))
+    weight = F.coalesce(look_up(weights, F.col("field")), F.lit(1.0))
     hits = cut(postings.join(matches, "term").groupBy("token", "doc_id").agg(F.sum(weight * F.col("tf")).alias("f")))
     found = hits.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     lengths = document_lengths(postings)
@@ -102,11 +118,44 @@ def bm25_search(queries: DataFrame, postings: DataFrame, limit: int = 20,
     odds = F.log((corpus["docs"] - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(odds > 0, odds).otherwise(LEAST_IDF)
     damp = F.col("f") + K1 * (1 - B + B * F.col("length") / corpus["mean"])
-    scored = hits.join(found, "token").join(lengths, "doc_id").select(
+    return hits.join(found, "token").join(lengths, "doc_id").select(
         "token", "doc_id", (idf * F.col("f") * (K1 + 1) / damp).alias("part"))
-    ranked = asked.join(scored, "token").groupBy("query_id", "doc_id").agg(
-        F.round(F.sum(F.col("part") * F.col("times")), DIGITS).alias("score"))
-    return cap_per_group(ranked, ["query_id"], [F.desc("score"), "doc_id"], limit)
+
+
+def _scores(asked: DataFrame, parts: DataFrame) -> DataFrame:
+    return asked.join(parts, "token").groupBy("text", "doc_id").agg(
+        F.sum(F.col("part") * F.col("times")).alias("score"))
+
+
+def _best_documents(scores: DataFrame, limit: int) -> DataFrame:
+    rounded = scores.withColumn("score", F.round("score", DIGITS))
+    return cap_per_group(rounded, ["text"], [F.desc("score"), "doc_id"], limit)
+
+
+def _rank_with_common(asked: DataFrame, parts: DataFrame, common: DataFrame, limit: int) -> DataFrame:
+    """Best documents where some tokens are found almost everywhere.
+
+    The other tokens choose candidates, and common tokens only add to those. What a document without
+    any rarer token could reach is known: the sum of the most each common token gives. Where the last
+    of a text's best candidates lies above that, the list is final. The remaining texts, such as those
+    of common tokens only, are scored over all their documents.
+    """
+    rare = asked.join(common, "token", "left_anti")
+    usual = cut(asked.join(common, "token"))
+    base = cut(_scores(rare, parts))
+    added = (
+        base.select("text", "doc_id").join(usual.select("text", "token", "times"), "text")
+        .join(parts, ["token", "doc_id"])
+        .select("text", "doc_id", (F.col("part") * F.col("times")).alias("score"))
+    )
+    total = base.unionByName(added).groupBy("text", "doc_id").agg(F.sum("score").alias("score"))
+    best = cut(_best_documents(total, limit))
+    reach = usual.groupBy("text").agg(F.sum(F.col("most") * F.col("times")).alias("reach"))
+    last = best.groupBy("text").agg(F.min("score").alias("last"), F.count(F.lit(1)).alias("n"))
+    safe = (F.col("n") >= limit) & (F.col("last") > F.col("reach") + 10.0**-DIGITS)
+    open_texts = cut(reach.join(last, "text", "left").filter(~F.coalesce(safe, F.lit(False))).select("text"))
+    whole = _best_documents(_scores(asked.join(open_texts, "text", "left_semi"), parts), limit)
+    return best.join(open_texts, "text", "left_anti").unionByName(whole)
 
 
 def contained_needles(texts: DataFrame, needles: DataFrame) -> DataFrame:
@@ -130,6 +179,8 @@ def fallback_search(queries: DataFrame, found: DataFrame, texts: DataFrame, limi
     named = texts.filter(F.col("field").isin("name", "aliases", "name_py")).select(
         F.struct("doc_id", "text").alias("text_id"), F.lower("text").alias("text"))
     pairs = contained_needles(named, missed).select("text_id.doc_id", "needle").distinct()
+    # Every query of one text takes the same first documents.
+    pairs = cap_per_group(pairs, ["needle"], ["doc_id"], limit)
     hits = missed.join(pairs, "needle").select("query_id", "doc_id", F.lit(FALLBACK_SCORE).alias("score"))
     return cap_per_group(hits, ["query_id"], ["doc_id"], limit)
 

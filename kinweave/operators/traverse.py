@@ -119,12 +119,14 @@ def path_steps(edges: DataFrame, paths: DataFrame) -> DataFrame:
     ).select("source", "target", "step", "from_id", "to_id", "type", type_label(F.col("type")).alias("label"))
 
 
-def validate_chains(chains: DataFrame, edges: DataFrame) -> DataFrame:
-    """Check chains of ids: chain, links, broken (links that are no edge), valid."""
+def validate_chains(steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """Check chains given as steps (chain, pos, id): chain, links, broken (links that are no edge), valid.
+
+    ``pos`` counts up by one. A step meets its successor by an equi-join, so a chain may be any length.
+    """
     walked = neighbors(edges.filter(F.col("type") != "BELONGS_TO"))
-    links = chains.select("chain", F.posexplode("ids").alias("pos", "src"), "ids").select(
-        "chain", "src", F.get("ids", F.col("pos") + 1).alias("dst")
-    )
+    following = steps.select("chain", (F.col("pos") - 1).alias("pos"), F.col("id").alias("dst"))
+    links = steps.select("chain", "pos", F.col("id").alias("src")).join(following, ["chain", "pos"], "left")
     checked = links.join(walked.withColumn("known", F.lit(True)), ["src", "dst"], "left")
     real = F.col("dst").isNotNull()
     return checked.groupBy("chain").agg(

@@ -114,8 +114,9 @@ def test_distances_obey_the_triangle_rule(spark, small):
 
 def test_chains_and_hints(spark, small):
     _, e = small
-    chains = spark.createDataFrame([(1, list("abc")), (2, list("abd")), (3, ["a"])], "chain int, ids array<string>")
-    checked = {r["chain"]: (r["links"], r["broken"], r["valid"]) for r in traverse.validate_chains(chains, e).collect()}
+    steps = [(n, pos, i) for n, chain in ((1, "abc"), (2, "abd"), (3, "a")) for pos, i in enumerate(chain)]
+    steps = spark.createDataFrame(steps, "chain int, pos int, id string")
+    checked = {r["chain"]: (r["links"], r["broken"], r["valid"]) for r in traverse.validate_chains(steps, e).collect()}
     assert checked == {1: (2, 0, True), 2: (2, 1, False), 3: (0, 0, True)}
     hint = traverse.next_hop(e, spark.createDataFrame([("a", "e"), ("a", "x")], "current string, target string")).collect()
     assert [(h["next_id"], h["distance"]) for h in hint] == [("b", 4)]

@@ -30,7 +30,7 @@ def test_sections_and_sentences(spark):
     pages = spark.createDataFrame([(1, "T", page)], "page_id int, title string, text string")
     rows = mining.page_sentences(mining.page_sections(pages)).orderBy("section_no", "sentence_no").collect()
     assert [(r["heading"], r["text"]) for r in rows] == [
-        ("", "This is the lead sentence"), ("", "Another sentence of the lead"), ("Life", "She lived a long life here")]
+        ("", "This is the lead sentence"), ("", "Another sentence of the lead!"), ("Life", "She lived a long life here")]
 
 
 def test_visible_text(spark):
@@ -124,6 +124,19 @@ def test_search_finds_prefixes_and_falls_back(spark):
     assert {(r["query_id"], r["doc_id"]) for r in more} == {("f", "c3")}
 
 
+@pytest.mark.parametrize("common_from", [1, 5, 60, 150])
+def test_common_tokens_do_not_change_the_ranking(spark, common_from):
+    rng = np.random.default_rng(4)
+    rows = [(d, "description", " ".join(["the"] * int(rng.integers(1, 4)) + [f"w{w}" for w in rng.integers(0, 12, 3)]
+                                        + (["of"] if d % 2 else []))) for d in range(200)]
+    postings = search.build_postings(spark.createDataFrame(rows, "doc_id int, field string, text string"))
+    asked = ["the", "the w1", "of the the w11 w2", "of", "w3 w4", "w1", "nothing"]
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(asked + asked[:2])], "query_id int, text string")
+    plain = search.bm25_search(asked, postings, 7, common_from=10**9).collect()
+    assert len(plain) == 8 * 7
+    assert sorted(plain) == sorted(search.bm25_search(asked, postings, 7, common_from=common_from).collect())
+
+
 def test_better_lexical_hits_rank_higher(spark):
     lexical = spark.createDataFrame([("q", "best", 8.0), ("q", "fair", 2.0)], "query_id string, doc_id string, score double")
     semantic = spark.createDataFrame([("q", "fair", -0.5), ("q", "other", 0.5)], "query_id string, id string, score double")

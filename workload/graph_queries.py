@@ -200,11 +200,9 @@ def bfs_distances(spark, sf):
          count(*) FILTER (WHERE dst IS NOT NULL AND known = 0) = 0 AS valid FROM checked GROUP BY chain""",
        ("fx_items", "sq_neighbors"))
 def validate_chains(spark, sf):
-    items = view(spark, sf, "fx_items")
-    chains = items.groupBy(F.col("l_orderkey").alias("chain")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("c"), "l_partkey").alias("id")))).alias("m")
-    ).select("chain", F.col("m.id").alias("ids"))
-    return traverse.validate_chains(chains, snapshot(spark, sf))
+    steps = view(spark, sf, "fx_items").select(
+        F.col("l_orderkey").alias("chain"), "pos", F.concat(F.lit("c"), "l_partkey").alias("id"))
+    return traverse.validate_chains(steps, snapshot(spark, sf))
 
 
 @query("""WITH walk AS (SELECT DISTINCT target, target AS id, 0 AS distance FROM fx_pairs
