@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave import vocab
@@ -56,10 +56,12 @@ def _local_moves(nodes: DataFrame, links: DataFrame, total: float, rounds: int,
     size = nodes.count()
     for turn in range(rounds):
         weights = state.groupBy("comm").agg(F.sum("k").alias("weight"))
-        lively = F.pmod(F.xxhash64("node", F.lit(level * rounds + turn)), F.lit(2)) == 0
-        movers = state.filter(lively)
+        def lively(node: str, turn: int = turn) -> Column:
+            return F.pmod(F.xxhash64(node, F.lit(level * rounds + turn)), F.lit(2)) == 0
+
+        movers = state.filter(lively("node"))
         toward = (
-            links.join(movers.select(F.col("node").alias("src")), "src", "left_semi")
+            links.filter(lively("src"))
             .join(state.select(F.col("node").alias("dst"), "comm"), "dst")
             .select("src", "comm", "w")
             .unionByName(movers.select(F.col("node").alias("src"), "comm", F.lit(0.0).alias("w")))

@@ -42,7 +42,7 @@ def flatten_claims(spark, sf):
                                                   F.coalesce("birth_year", F.lit(-1)).alias("birth_year"))
 
 
-@query("""SELECT p_partkey AS char_id, p_size AS media_id, p_type AS media_title, p_name AS char_name, p_brand AS alternative FROM part""")
+@query("""SELECT p_partkey AS char_id, CAST(p_size AS BIGINT) AS media_id, p_type AS media_title, p_name AS char_name, p_brand AS alternative FROM part""")
 def flatten_media_characters(spark, sf):
     body = F.format_string(
         '{"data":{"Page":{"media":[{"id":%d,"title":{"romaji":"%s"},"genres":[],"characters":{"nodes":[{"id":%d,'

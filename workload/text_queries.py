@@ -244,7 +244,7 @@ def build_dictionary(spark, sf):
     return mining.build_dictionary(_named(spark, sf), _no_aliases(spark, sf))
 
 
-@query(f"WITH {SENTENCES}, {WORDS}, {TAGS} SELECT sentence_id, entity_id, pos, match FROM tags")
+@query(f"WITH {SENTENCES}, {WORDS}, {TAGS} SELECT sentence_id, entity_id, CAST(pos AS INT) AS pos, match FROM tags")
 def tag_entities(spark, sf):
     return _tags(spark, sf)
 
