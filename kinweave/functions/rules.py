@@ -28,19 +28,25 @@ def look_up(values: Mapping, key: Column) -> Column:
     return F.try_element_at(literal_map(values), key)
 
 
-def _rule_array(rules: Iterable[tuple[str, str]]) -> Column:
-    return F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(v).alias("value")) for k, v in rules])
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def rule_array(rules: Iterable[tuple[str, str]]) -> Column:
+    """The rules as an array literal, handed over as one SQL text rather than value by value."""
+    structs = ", ".join(f"named_struct('keyword', {_quoted(k)}, 'value', {_quoted(v)})" for k, v in rules)
+    return F.expr(f"array({structs})")
 
 
 def first_contained(text: Column, rules: Mapping[str, str]) -> Column:
     """Value of the first keyword, in rule order, that ``text`` contains; else NULL."""
-    hits = F.filter(_rule_array(rules.items()), lambda rule: F.contains(text, rule["keyword"]))
+    hits = F.filter(rule_array(rules.items()), lambda rule: F.contains(text, rule["keyword"]))
     return F.get(hits, F.lit(0))["value"]
 
 
 def all_contained(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """Distinct values of all contained keywords, in rule order."""
-    hits = F.filter(_rule_array(rules), lambda rule: F.contains(text, rule["keyword"]))
+    hits = F.filter(rule_array(rules), lambda rule: F.contains(text, rule["keyword"]))
     return F.array_distinct(F.transform(hits, lambda rule: rule["value"]))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave import vocab
-from kinweave.functions.rules import all_contained, look_up
+from kinweave.functions.rules import all_contained, look_up, rule_array
 from kinweave.functions.text import reply_body
 from kinweave.lineage import cut
 from kinweave.operators.edges import (
@@ -30,8 +30,8 @@ PART_BREAK = "[，。？！,.\\s、]+|(?:和|与|跟|对|对阵|VS|vs)"
 
 def _contained(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     """Values of all contained keywords in order, repeats kept."""
-    rules = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in pairs])
-    return F.transform(F.filter(rules, lambda r: F.contains(text, r["k"])), lambda r: r["v"])
+    hits = F.filter(rule_array(pairs), lambda rule: F.contains(text, rule["keyword"]))
+    return F.transform(hits, lambda rule: rule["value"])
 
 
 def tag_queries(texts: DataFrame) -> DataFrame:

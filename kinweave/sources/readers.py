@@ -216,6 +216,13 @@ def extract_detail_facts(pages: DataFrame) -> DataFrame:
     return described.join(facts, "page_id", "left").select("page_id", "region", "attribute", "description")
 
 
+def _csv_fields(line: str) -> Column:
+    """Fields of a CSV line; quoted ones lose their quotes."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    return F.transform(raw, lambda f: F.when(
+        F.startswith(f, F.lit('"')), F.replace(F.regexp_replace(f, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(f))
+
+
 def embedded_csv(pages: DataFrame, base_url: str = "") -> DataFrame:
     """Entities of a CSV text that a page script assigns to raw_str, with overrides of override_data."""
     def js_string(key: str) -> Column:
@@ -228,9 +235,8 @@ def embedded_csv(pages: DataFrame, base_url: str = "") -> DataFrame:
     texts = texts.filter(F.col("csv") != "")
     lines = texts.select("page_id", F.posexplode(F.split("csv", "\n")).alias("line_no", "line"),
                          F.substring_index("csv", "\n", 1).alias("head")).filter((F.col("line_no") > 0) & (F.col("line") != ""))
-    columns = F.split("head", ",")
-    values = F.from_csv("line", ", ".join(f"_{i} string" for i in range(32)))
-    fields = F.map_from_arrays(columns, F.slice(F.array(*[values[f"_{i}"] for i in range(32)]), F.lit(1), F.size(columns)))
+    fields = F.map_from_arrays(_csv_fields("head"), F.transform(
+        _csv_fields("head"), lambda _, i: F.get(_csv_fields("line"), i)))
     rows = lines.select("page_id", "line_no", fields.alias("f")).withColumn("id", F.trim(F.col("f")["id"])).filter(
         F.coalesce("id", F.lit("")) != "")
     # Overrides come as blocks of key=value lines, each opened by its id.

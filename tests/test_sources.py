@@ -71,3 +71,13 @@ def test_stream_equals_batch_and_survives_a_repeat(spark, tmp_path):
     taken = spark.read.parquet(out)
     assert keys(taken) == keys(batch) == [("a", "b", "ALLY_OF"), ("a", "b", "PARENT_OF"), ("b", "a", "PARENT_OF"), ("m", "k", "MENTOR_OF")]
     assert taken.filter("status <> 'pending' OR origin <> 'user' OR confidence <> 'medium'").count() == 0
+
+
+def test_embedded_csv_with_quotes_and_many_columns(spark):
+    extra = ",".join(f"x{i}" for i in range(60))
+    lines = [f"id,class_link,{extra},avatar", f'7,"Saber, of ""red""",{extra},//img/7.png', f",none,{extra},", f"8,,{extra},http://y/8"]
+    text = "\\n".join(lines).replace('"', '\\"')
+    html = f'<script>raw_str = "{text}"; override_data = "id=8\\nname_en = Eight\\nname_cn=\\nid=7\\nname_link=Seven\\n";</script>'
+    rows = readers.embedded_csv(spark.createDataFrame([(1, html)], "page_id int, html string"), "http://w").collect()
+    found = {r["id"]: (r["name"], r["class"], r["detail_url"], r["image_url"]) for r in rows}
+    assert found == {"7": ("Seven", 'Saber, of "red"', "http://w/w/Seven", "https://img/7.png"), "8": ("Eight", "", "", "http://y/8")}
