@@ -67,11 +67,19 @@ def graph_snapshot(vertices: DataFrame, relationships: DataFrame) -> DataFrame:
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    """Each edge seen from either end: src, dst and the other columns."""
+    """Each edge seen from either end: src, dst and the other columns.
+
+    A generator rather than a union, which would compute the edges twice.
+    """
     rest = [c for c in edges.columns if c not in ("source_id", "target_id")]
-    forward = edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), *rest)
-    backward = edges.select(F.col("target_id").alias("src"), F.col("source_id").alias("dst"), *rest)
-    return forward.unionByName(backward)
+    forward = F.struct(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+    backward = F.struct(F.col("target_id").alias("src"), F.col("source_id").alias("dst"))
+    return edges.select(F.explode(F.array(forward, backward)).alias("_way"), *rest).select("_way.*", *rest)
+
+
+def end_ids(edges: DataFrame) -> DataFrame:
+    """The ids at the ends of edges, one row per end."""
+    return edges.select(F.explode(F.array("source_id", "target_id")).alias("id"))
 
 
 def neighbors(edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave import vocab
-from kinweave.operators.edges import degree, neighbors
+from kinweave.operators.edges import degree, end_ids, neighbors
 from kinweave.operators.ranking import cap_per_group
 from kinweave.operators.traverse import within_hops
 
@@ -81,8 +81,7 @@ def subgraph(
     links = edges if types is None else edges.filter(F.col("type").isin(*types))
     links = induced_edges(links, allowed).select("source_id", "target_id", "type", "confidence")
     if only_related:
-        ends = links.select(F.col("source_id").alias("id")).union(links.select("target_id"))
-        allowed = allowed.join(ends, "id", "left_semi")
+        allowed = allowed.join(end_ids(links), "id", "left_semi")
     nodes = (
         allowed.join(degree(edges), "id", "left")
         .select("id", "name", F.lit("character").alias("kind"), "mythology", "class_name",

@@ -94,13 +94,12 @@ def with_names(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 def incident_edges(edges: DataFrame, vertices: DataFrame, ids: DataFrame, include_pending: bool = False) -> DataFrame:
     """Edges that touch one of ``ids``, with names: entity_id and the edge.
 
-    Two equi-joins instead of one join with OR. A self-loop is listed once.
+    Each edge is laid out by its ends and joined on equality. A self-loop is listed once.
     """
     kept = edges if include_pending else edges.filter(F.col("status") == "approved")
     wanted = ids.select(F.col("id").alias("entity_id")).distinct()
-    out = kept.join(wanted, F.col("source_id") == F.col("entity_id"))
-    back = kept.filter(F.col("source_id") != F.col("target_id")).join(wanted, F.col("target_id") == F.col("entity_id"))
-    return with_names(out.unionByName(back), vertices)
+    ends = F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("entity_id")
+    return with_names(kept.select(ends, *kept.columns).join(wanted, "entity_id"), vertices)
 
 
 def filter_edges(edges: DataFrame, *, status: str | None = None, origin: str | None = None, type: str | None = None,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave import vocab
+from kinweave.operators.edges import end_ids
 from kinweave.operators.ranking import cap_per_group
 
 
@@ -26,8 +27,7 @@ def quality_stats(vertices: DataFrame, relationships: DataFrame, snapshot: DataF
         F.count_if(F.col("status") == "approved").alias("approved"),
         F.count_if(F.col("status") == "pending").alias("pending"),
     )
-    ends = snapshot.select(F.col("source_id").alias("id")).union(snapshot.select("target_id"))
-    orphans = vertices.select("id").join(ends, "id", "left_anti").agg(F.count(F.lit(1)).alias("orphan_nodes"))
+    orphans = vertices.select("id").join(end_ids(snapshot), "id", "left_anti").agg(F.count(F.lit(1)).alias("orphan_nodes"))
     result = None
     for figures in (of_vertices, of_edges, orphans):
         rows = figures.unpivot([], figures.columns, "metric", "value")

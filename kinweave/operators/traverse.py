@@ -160,10 +160,10 @@ def generation_level(edges: DataFrame, roots: DataFrame, generations: int = 3) -
     A vertex takes the level at which it is first reached, the smallest one on ties.
     """
     shift = F.when(F.col("type") == "PARENT_OF", 1).otherwise(0)
-    kin = edges.filter(F.col("type").isin(*vocab.FAMILY_TYPES)).select("source_id", "target_id", shift.alias("shift"))
-    steps = kin.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "shift").union(
-        kin.select("target_id", "source_id", -F.col("shift"))
-    ).groupBy("src", "dst").agg(F.min("shift").alias("shift"))
+    kin = both_ways(edges.filter(F.col("type").isin(*vocab.FAMILY_TYPES)).select(
+        "source_id", "target_id", shift.alias("shift"), F.col("source_id").alias("upper")))
+    signed = F.when(F.col("src") == F.col("upper"), F.col("shift")).otherwise(-F.col("shift"))
+    steps = kin.groupBy("src", "dst").agg(F.min(signed).alias("shift"))
     reached = cut(roots.select(F.col("id").alias("root"), "id").distinct()
                   .withColumns({"hops": F.lit(0), "level": F.lit(0)}))
     frontier = reached
