@@ -50,9 +50,6 @@ def work_kinds(spark, sf):
         "label", "kind", "record_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-VARIANT_KEYS = "lower(p_name), lower(concat(p_name, ' ', p_brand))"
-
-
 @query("""SELECT p_partkey, concat(p_name, '/ja|', p_name, ' ', p_brand, '/en|', p_type, '/en') AS variants FROM part""")
 def name_variants(spark, sf):
     part = view(spark, sf, "part")
@@ -511,6 +508,11 @@ LINKED = f"""WITH t AS (SELECT * FROM (SELECT id, name, row_number() OVER (PARTI
 LINK_VIEWS = ("fx_all_entities", "fx_proto_aliases", "fx_candidates", "fx_entities", "fx_aliases")
 
 
+@query(LINKED + " SELECT id, CAST(term_no AS INT) AS term_no, name FROM t", LINK_VIEWS)
+def search_names(spark, sf):
+    return harvest.search_names(_prototypes(spark, sf), view(spark, sf, "fx_proto_aliases"))
+
+
 @query(LINKED + " SELECT * FROM linked", LINK_VIEWS)
 def link_by_exact_name(spark, sf):
     return _linked(spark, sf)

@@ -463,6 +463,13 @@ def selection_profile(spark, sf):
     return profile.withColumn("top_classes", F.array_join("top_classes", "|"))
 
 
+@query(PROFILE + " SELECT user_id, target_id AS prototype_id, members FROM pro",
+       ("fx_selections", "fx_all_entities", "fx_derived"))
+def selection_prototypes(spark, sf):
+    return stats.selection_prototypes(view(spark, sf, "fx_selections"), view(spark, sf, "fx_all_entities"),
+                                      view(spark, sf, "fx_derived"))
+
+
 @query(PROFILE + " SELECT user_id, mythology, count(*) AS n FROM sel GROUP BY user_id, mythology",
        ("fx_selections", "fx_all_entities", "fx_derived"))
 def selection_distribution(spark, sf):

@@ -8,6 +8,7 @@ from kinweave import vocab
 from kinweave.functions import text as text_functions
 from kinweave.lineage import cut, spread
 from kinweave.operators import mining, questions, search
+from kinweave.plans.mining import mine_relations as mine_all
 from kinweave.plans.mining import mined_pairs
 from workload.entity_queries import NAME_INDEX, name_key
 from workload.entity_queries import _index as name_index
@@ -332,6 +333,12 @@ def relation_candidates(spark, sf):
     return found.withColumn("triggers", F.array_join("triggers", "|"))
 
 
+@query()
+def mine_relations(spark, sf):
+    found = mine_all(_pairs(spark, sf), _named(spark, sf), _no_aliases(spark, sf), _known(spark, sf))
+    return mining.pending_edges(found)
+
+
 # The texts hold no kinship words, so sentences are made of part names.
 KIN = """kin AS (SELECT l_orderkey * 1000000 + pos AS sentence_id, concat('c', l_partkey) AS a_id, concat('c', nxt) AS b_id,
     concat('part', l_partkey) AS a_match, concat('part', nxt) AS b_match, concat('order ', l_orderkey) AS title, l_linenumber AS line
