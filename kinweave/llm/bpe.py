@@ -29,7 +29,7 @@ from kinweave.llm.common import batch, id_and_text, slices, small_batches, sprea
 SHORT = 256
 NEVER = 1 << 60
 #: White space as Unicode defines it, not as Python does (which adds U+001C to U+001F).
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+SPACE = r"\t-\r \x85\xa0  -     　"
 #: A word with the one blank before it, and what is left of the white space.
 PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 

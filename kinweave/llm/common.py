@@ -57,12 +57,11 @@ def spread_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),
+         "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
+
+
 def batch(schema: str, **columns) -> pa.RecordBatch:
-    """A record batch of the given columns, typed by a Spark DDL string."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    fields = to_arrow_schema(StructType.fromDDL(schema))
-    return pa.RecordBatch.from_arrays(
-        [columns[f.name] if isinstance(columns[f.name], pa.Array) and columns[f.name].type == f.type
-         else pa.array(columns[f.name], f.type) for f in fields], schema=fields)
+    """A record batch of the given columns, typed like the Spark schema ``name type, ...``."""
+    fields = [pa.field(*(n, TYPES[t])) for n, t in (f.split(" ") for f in schema.split(", "))]
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in fields], schema=pa.schema(fields))
