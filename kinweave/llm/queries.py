@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.lineage import shared_folder
-from kinweave.llm import bpe, near_dup, token_store
+from kinweave.llm import bpe, decontaminate, near_dup, token_store
 from kinweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,3 +41,34 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=3, similarity=0.85)
+
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(rf"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), item AS (
+  SELECT item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), part AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS size, list_slice(words, s, s + least(len(words), 10) - 1) AS gram
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS s FROM item WHERE len(words) > 0)
+), gram AS (
+  SELECT doc_id, s, size, list_slice(words, s, s + size - 1) AS gram
+  FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS s
+        FROM doc, (SELECT DISTINCT size FROM part) WHERE len(words) >= size)
+), hit AS (
+  SELECT doc_id, item_id, s, gram.size FROM gram JOIN part USING (gram)
+), cover AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM hit) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items,
+         string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN cover USING (doc_id) LEFT JOIN found USING (doc_id)
+""")
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
