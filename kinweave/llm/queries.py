@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.lineage import shared_folder
-from kinweave.llm import bpe, decontaminate, near_dup, token_store
+from kinweave.llm import bpe, decontaminate, near_dup, pii, token_store
 from kinweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +72,43 @@ FROM doc LEFT JOIN cover USING (doc_id) LEFT JOIN found USING (doc_id)
 """)
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _pii_sql() -> str:
+    """Gaps and matches of each kind, with the plain patterns; the checks spelled out in SQL."""
+    luhn = "list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse(d), i, 1)::INT " \
+           "WHEN substr(reverse(d), i, 1)::INT * 2 > 9 THEN substr(reverse(d), i, 1)::INT * 2 - 9 " \
+           "ELSE substr(reverse(d), i, 1)::INT * 2 END)) % 10 = 0"
+    moved = "(substr(replace(v, ' ', ''), 5) || substr(replace(v, ' ', ''), 1, 4))"
+    mod97 = f"list_reduce(list_prepend(0, list_transform(range(1, len({moved}) + 1), " \
+            f"lambda i: instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr({moved}, i, 1)) - 1)), " \
+            "lambda a, b: (a * CASE WHEN b > 9 THEN 100 ELSE 10 END + b) % 97) = 1"
+    octets = "len(list_filter(string_split(v, '.'), lambda p: try_cast(p AS HUGEINT) IS NULL OR try_cast(p AS HUGEINT) > 255)) = 0"
+    kinds = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+             ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", octets),
+             ("card", r"[0-9]([\x20-]?[0-9])+", f"len(d) BETWEEN 13 AND 19 AND {luhn}"),
+             ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "len(d) BETWEEN 9 AND 15"),
+             ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", mod97)]
+    parts = [f"""SELECT doc_id, {rank} AS rank, '{name}' AS kind, s, e FROM (
+        SELECT doc_id, v, regexp_replace(v, '[^0-9]', '', 'g') AS d,
+               before + sum(len(v)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) - len(v) AS s,
+               before + sum(len(v)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS e
+        FROM (SELECT doc_id, i, hits[i] AS v, sum(len(gaps[i])) OVER (PARTITION BY doc_id ORDER BY i) AS before
+              FROM (SELECT doc_id, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM (
+                SELECT doc_id, string_split_regex(text, '{pattern}') AS gaps,
+                       regexp_extract_all(text, '{pattern}') AS hits FROM docs)))) WHERE {check}"""
+             for rank, (name, pattern, check) in enumerate(kinds)]
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("email", "ip", "card", "phone", "iban"))
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), span AS ({" UNION ALL ".join(parts)}),
+per AS (SELECT doc_id, {counts},
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s) FILTER (rank < 4) AS base,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s) AS spans FROM span GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+  coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_iban, 0) AS n_iban FROM docs LEFT JOIN per USING (doc_id)"""
+
+
+@query(_pii_sql())
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(pii.find_pii(table(spark, sf_dir, "documents"))).drop("score")
