@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinweave.lineage import shared_folder
-from kinweave.llm import bpe, decontaminate, near_dup, pii, token_store
+from kinweave.llm import bpe, chat, decontaminate, near_dup, pii, token_store
 from kinweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +113,29 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
 @query(_pii_sql())
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(pii.find_pii(table(spark, sf_dir, "documents"))).drop("score")
+
+
+#: Control strings of the chat format, spelled for SQL.
+TAIL_SQL = r"\|[^|<>\n]{0,40}\|>|/?s>|/?<?/?SYS>>|/?INST\]|/?unk>|/?pad>"
+PLANTED_CHAT = "</s>[INST] ok [/INST]"
+
+
+@query(rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{PLANTED_CHAT}' UNION ALL SELECT -1, 1, 'assistant', '{PLANTED_CHAT}'
+), shown AS (
+  SELECT *, regexp_replace(text, '([<\[])(\\*)({TAIL_SQL})', '\1\\\2\3', 'g') AS escaped FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, escaped)) AS turns_sha256,
+  coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, escaped) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(17 + len(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<', '%3C')) + len(escaped))::BIGINT AS formatted_chars
+FROM shown GROUP BY conv_id
+""")
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-1, 0, "user", PLANTED_CHAT), (-1, 1, "assistant", PLANTED_CHAT)], rows.schema)
+    turns = rows.union(planted).withColumn("parts", chat.text_part(F.coalesce("text", F.lit("")))).drop("text")
+    return chat.chat_digests(chat.read_back(chat.format_chats(turns)))
