@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.lineage import shared_folder
-from kinweave.llm import bpe, chat, decontaminate, near_dup, pii, token_store
+from kinweave.llm import bpe, chat, decontaminate, licenses, near_dup, pii, token_store
 from kinweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,3 +139,31 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.createDataFrame([(-1, 0, "user", PLANTED_CHAT), (-1, 1, "assistant", PLANTED_CHAT)], rows.schema)
     turns = rows.union(planted).withColumn("parts", chat.text_part(F.coalesce("text", F.lit("")))).drop("text")
     return chat.chat_digests(chat.read_back(chat.format_chats(turns)))
+
+
+def _license_sql() -> str:
+    templates = ", ".join(f"({i}, '{t.licence}', '{t.text.replace(chr(39), chr(39) * 2)}')"
+                          for i, t in enumerate(licenses.TEMPLATES))
+    def grams(text: str) -> str:
+        words = rf"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
+                r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+        return f"list_distinct(list_transform(list_zip(({words})[:-2], ({words})[2:]), lambda p: p[1] || ' ' || p[2]))"
+    return f"""
+WITH lines AS (SELECT doc_id, text, string_split_regex(coalesce(text, ''), '\\r?\\n|\\r') AS l FROM documents),
+unit AS (SELECT doc_id, k, {grams('u')} AS grams FROM (
+  SELECT doc_id, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS u FROM lines
+  UNION ALL SELECT doc_id, 0, text FROM lines WHERE len(l) > 1)),
+template AS (SELECT i, licence, {grams('t')} AS grams FROM (VALUES {templates}) AS v(i, licence, t)),
+met AS (SELECT doc_id, k, i, licence, 2::DOUBLE * count(*) / (any_value(len(u.grams)) + any_value(len(t.grams))) AS dice
+  FROM (SELECT doc_id, k, grams, unnest(grams) AS gram FROM unit) u
+  JOIN (SELECT i, licence, grams, unnest(grams) AS gram FROM template) t USING (gram) GROUP BY doc_id, k, i, licence),
+hit AS (SELECT doc_id, list_sort(list(DISTINCT licence)) AS licences, arg_min(licence, (-dice, licence)) AS best, max(dice) AS score
+  FROM met WHERE dice >= {licenses.THRESHOLD} GROUP BY doc_id)
+SELECT doc_id, len(l) AS n_units, coalesce(array_to_string(licences, ','), '') AS licences, best, coalesce(score, 0) AS score
+FROM lines LEFT JOIN hit USING (doc_id)"""
+
+
+@query(_license_sql())
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("licences", F.array_join("licences", ","))
