@@ -30,14 +30,18 @@ SHORT = 256
 NEVER = 1 << 60
 #: White space as Unicode defines it, not as Python does (which adds U+001C to U+001F).
 SPACE = r"\t-\r \x85\xa0  -     　"
-#: A word with the one blank before it, and what is left of the white space.
-PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: A plain word with the one blank before it; stops after it; any other word; what is left of the
+#: white space. The pre-tokenizer never looks back, so each piece may hold any whole pre-tokens.
+PIECES = re.compile(f" ?[{LETTERS}]++(?![^\\x00-\\x7f])|[,.!?]++(?![^{SPACE}])"
+                    f"| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+PLAIN = re.compile(f" ?[{LETTERS}]+").fullmatch
 
 
 class PieceTable(dict):
     """Ids of pieces of text, each worked out once; emptied when it holds more than ``most``."""
 
-    def __init__(self, encode_pieces: Callable[[list], list], most: int = 300_000):
+    def __init__(self, encode_pieces: Callable[[list], list], most: int = 600_000):
         super().__init__()
         self.encode_pieces, self.most = encode_pieces, most
         self.reset()
@@ -82,46 +86,54 @@ def encode_texts(texts: list[str], pieces_of: Callable[[str], list], table: Piec
             place += len(pieces)
 
 
-def merge_short(ids: list[int], merges: dict) -> list[int]:
-    """Merge in place: ``near[i]`` is the rank of parts ``i`` and ``i + 1``."""
-    never = (NEVER, -1)
-    near = [merges.get(pair, never) for pair in zip(ids, ids[1:])]
-    while near:
-        best = min(near)
-        if best is never:
-            break
-        i = near.index(best)
-        ids[i:i + 2] = [best[1]]
-        del near[i]
-        if i:
-            near[i - 1] = merges.get((ids[i - 1], ids[i]), never)
-        if i < len(near):
-            near[i] = merges.get((ids[i], ids[i + 1]), never)
-    return ids
-
-
-def merge_long(ids: list[int], merges: dict) -> list[int]:
-    """The same merges in the same order, with a heap of (rank, place) over a linked list."""
-    after = list(range(1, len(ids) + 1))
-    before = list(range(-1, len(ids) - 1))
-    heap = [(*merges[pair], i, *pair) for i, pair in enumerate(zip(ids, ids[1:])) if pair in merges]
-    heap = [(rank, i, new, a, b) for rank, new, i, a, b in heap]
-    heapq.heapify(heap)
-    while heap:
-        rank, i, new, a, b = heapq.heappop(heap)
-        j = after[i]
-        if ids[i] != a or j >= len(ids) or ids[j] != b:
-            continue
-        ids[i], ids[j] = new, -1
-        after[i] = after[j]
-        if after[j] < len(ids):
-            before[after[j]] = i
-        for left in (before[i], i):
-            right = after[left] if left >= 0 else len(ids)
-            if left >= 0 and right < len(ids) and (ids[left], ids[right]) in merges:
-                rank, new = merges[ids[left], ids[right]]
-                heapq.heappush(heap, (rank, left, new, ids[left], ids[right]))
-    return [x for x in ids if x >= 0]
+class Merges:
+    """Ranks of pairs of ids, and the id that each rank makes."""
+
+    def __init__(self, pairs: list[tuple[int, int, int]]):
+        self.made = [new for _, _, new in pairs]
+        self.ranks = {a << 32 | b: rank for rank, (a, b, _) in enumerate(pairs)}
+
+    def short(self, ids: list[int]) -> list[int]:
+        """Merge in place: ``near[i]`` is the rank of parts ``i`` and ``i + 1``."""
+        rank_of = self.ranks.get
+        near = [rank_of(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:])]
+        while near:
+            best = min(near)
+            if best == NEVER:
+                break
+            i = near.index(best)
+            new = ids[i] = self.made[best]
+            del ids[i + 1], near[i]
+            if i:
+                near[i - 1] = rank_of(ids[i - 1] << 32 | new, NEVER)
+            if i < len(near):
+                near[i] = rank_of(new << 32 | ids[i + 1], NEVER)
+        return ids
+
+    def long(self, ids: list[int]) -> list[int]:
+        """The same merges in the same order, with a heap of (rank, place) over a linked list."""
+        end, after, before = len(ids), list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        heap: list[tuple[int, int]] = []
+
+        def offer(left: int) -> None:
+            right = after[left] if left >= 0 else end
+            if right < end and (rank := self.ranks.get(ids[left] << 32 | ids[right])) is not None:
+                heapq.heappush(heap, (rank, left))
+
+        for i in range(end):
+            offer(i)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= end or self.ranks.get(ids[i] << 32 | ids[j]) != rank:
+                continue  # one of the two has been merged meanwhile
+            ids[i], ids[j] = self.made[rank], -1
+            after[i] = after[j]
+            if after[j] < end:
+                before[after[j]] = i
+            offer(before[i])
+            offer(i)
+        return [x for x in ids if x >= 0]
 
 
 class Codec:
@@ -138,27 +150,30 @@ class Codec:
         # The file's own pre-tokenizer, so that its tables of letters and digits are the ones used.
         self.pre_tokenize = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         letters = byte_letters()
-        self.first = {letters[b]: vocabulary[letters[b]] for b in range(256)}
-        self.merges = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocabulary[left], vocabulary[right]] = (rank, vocabulary[left + right])
+        self.of_letter = {letter: vocabulary[letter] for letter in letters}
+        self.of_byte = [vocabulary[letter] for letter in letters]
+        pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in spec["model"]["merges"]]
+        self.merges = Merges([(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in pairs])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
-        of_letter = {letter: b for b, letter in enumerate(letters)}
-        self.bytes = {i: bytes(of_letter[c] for c in token) for token, i in vocabulary.items()}
+        byte_of = {letter: b for b, letter in enumerate(letters)}
+        self.bytes = {i: bytes(byte_of[c] for c in token) for token, i in vocabulary.items()}
         self.bytes |= {i: token.encode() for token, i in self.added.items()}
         self.table = PieceTable(lambda pieces: [self.encode_piece(p) for p in pieces])
 
     def encode_piece(self, piece: str | tuple) -> list[int]:
         if isinstance(piece, tuple):
             return [piece[0]]
+        if PLAIN(piece):  # one pre-token
+            return self.merge([self.of_byte[b] for b in piece.encode()])
         out: list[int] = []
         for letters, _ in self.pre_tokenize(piece):
-            ids = [self.first[c] for c in letters]
-            out += merge_short(ids, self.merges) if len(ids) <= SHORT else merge_long(ids, self.merges)
+            out += self.merge([self.of_letter[c] for c in letters])
         return out
 
+    def merge(self, ids: list[int]) -> list[int]:
+        return self.merges.short(ids) if len(ids) <= SHORT else self.merges.long(ids)
+
     def pieces_of(self, text: str) -> list:
         """Pieces of the text; an added token is a piece of its own, held as its id."""
         if not any(token in text for token in self.added):
