@@ -7,6 +7,7 @@ read in parallel, each on its own.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,34 +17,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.bpe import PieceTable, encode_texts
+from kinweave.llm.bpe import LETTERS, SPACE, PieceTable, encode_texts
 from kinweave.llm.common import batch, id_and_text, small_batches
 
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
 
 
-class WordCoder:
-    """A tokenizer of the tokenizers library that drops white space, fed with one word at a time.
+#: A plain word; stops after it; any other word. Unicode's white space ends all of them.
+WORDS = re.compile(f"[{LETTERS}]++(?![^\\x00-\\x7f])|[,.!?]++(?![^{SPACE}])|[^{SPACE}]+")
+
 
-    No token and no rule of such a tokenizer spans white space (its normalizer only turns runs of it
-    into one blank, and its pre-tokenizer leaves them out), so the ids of a text are those of its words.
+class WordCoder:
+    """A tokenizer of the tokenizers library that drops white space, fed with each different word once.
+
+    Its normalizer only turns white space into single blanks, composes characters and makes them lower
+    case, and its pre-tokenizer leaves blanks out and never looks back. So the ids of a text are those
+    of its words, and of a plain word and the stops after it. New words go to the library many in a
+    line. A word of letters, or of stops, gives one pre-token; where a line gives just as many as
+    expected, the word ends among its tokens tell whose they are, and else its words are encoded one
+    by one.
     """
 
+    LINE = 200
+
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        tool = Tokenizer.from_file(path)
-        tool.no_truncation()
-        tool.no_padding()
-        self.table = PieceTable(lambda words: [x.ids for x in tool.encode_batch_fast(
-            [w.decode() for w in words], add_special_tokens=False)])
+        self.tool = Tokenizer.from_file(path)
+        self.tool.no_truncation()
+        self.tool.no_padding()
+        vocabulary = self.tool.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.table = PieceTable(self.encode_words)
+
+    def batch(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words_of(self, text: str) -> list[str]:
+        """Words in lower case, unless that could matter: added tokens are found before lower case is
+        made, and two letters have more than one lower-case form."""
+        if not ("<|" in text or "\u0130" in text or "\u03a3" in text):
+            text = text.lower()
+        return WORDS.findall(text)
+
+    def encode_words(self, words: list[str]) -> list:
+        whole = np.array([w.isalpha() or not w.strip(",.!?") for w in words])
+        plain, single = np.flatnonzero(whole), list(np.flatnonzero(~whole))
+        found: list = [None] * len(words)
+        lines = [plain[i:i + self.LINE] for i in range(0, len(plain), self.LINE)]
+        for line, ids in zip(lines, self.batch([" ".join(words[i] for i in line) for line in lines])):
+            ids = np.array(ids, np.uint32)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(line):
+                single += list(line)
+                continue
+            for i, own in zip(line, np.split(ids, ends[:-1])):
+                found[i] = own
+        for i, ids in zip(single, self.batch([words[i] for i in single])):
+            found[i] = ids
+        return found
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        return encode_texts(texts, lambda text: text.encode().split(), self.table)
+        return encode_texts(texts, self.words_of, self.table)
 
 
 @lru_cache(maxsize=2)
