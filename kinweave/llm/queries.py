@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.lineage import shared_folder
-from kinweave.llm import bpe, chat, decontaminate, licenses, near_dup, pii, token_store
+from kinweave.llm import bpe, chat, decontaminate, licenses, near_dup, pii, quality, token_store, toxicity
 from kinweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,3 +167,21 @@ FROM lines LEFT JOIN hit USING (doc_id)"""
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     return found.withColumn("licences", F.array_join("licences", ","))
+
+
+@query()
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = quality.fold(F.col("doc_id"), 4) == 2
+    model = quality.learn_quality(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return (quality.score_quality(docs, model)
+            .select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")))
+
+
+@query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = quality.fold(F.col("doc_id"), 5) == 0
+    grammar = toxicity.learn_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return (toxicity.score_toxicity(docs, grammar)
+            .select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
