@@ -9,10 +9,11 @@ one error that is distance 15 of 32: texts with similarity 0.85 go beyond it wit
 2e-6, with 0.8 of 2e-4.
 
 The keys only propose; every link is confirmed on the full sets. Texts with the same set are one
-class from the start. Within a key, classes that are in one component already are not compared again:
-rounds compare each class with one other of its key (a different one each round) and join what is
-linked, until few pairs between components are left, which are then all compared. No pair of a key
-stays open at the end, and no round compares more pairs than there are key rows.
+class from the start, and keys held by the very same classes count once. First each class is compared
+with one other of each of its keys, which joins most of what belongs together. Then, within each key,
+all classes outside its largest component are compared with all others, block by block: a block of
+sets is one small matrix, and a product of two such matrices gives all their overlaps. No pair is
+written; a block gives back only the links that join components. No pair of a key is left out.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from kinweave.llm.shingles import factors, overlap, shingle_sets, signature
 CHUNKS, PLACES, BITS = 8, 4, 16
 #: Up to so many document ids (8 bytes each) are sent to all executors; beyond, texts are shuffled.
 SENT_IDS = 1_000_000
+#: Nodes and shingles of a block, and columns of its matrix at a time.
+BLOCK_NODES, BLOCK_SHINGLES, COLUMNS = 256, 500_000, 4096
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -110,10 +113,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, er
     # One document with several texts is in several classes: a link from the start.
     several = (found.join(classes.select("set_key", "node"), "set_key").select("doc_id", "node")
                .filter("doc_id <> node"))
-    keys = chunk_keys(classes, errors)
-    shared = keys.groupBy("key").agg(F.count("*").alias("nodes")).filter("nodes > 1").select("key")
-    open_keys = cut(keys.join(shared, "key").distinct())
-    linked = link_classes(open_keys, classes, texts, width, similarity)
+    linked = link_classes(chunk_keys(classes, errors).distinct(), classes, texts, width, similarity)
     ends = [several.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))]
     if linked is not None:
         ends.append(linked)
@@ -124,9 +124,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, er
             .withColumn("kept", F.col("doc_id") == F.col("component_id")))
 
 
-def link_classes(open_keys: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
-                 similarity: float) -> DataFrame | None:
+def distinct_keys(keys: DataFrame) -> DataFrame:
+    """Keys with two nodes or more, one of those that the very same nodes hold."""
+    first, second = (F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(20,0)")) for i in (1, 2))
+    held = keys.groupBy("key").agg(F.count("*").alias("n"), first.alias("one"), second.alias("two"), F.min("node").alias("least"))
+    kept = held.filter("n > 1").groupBy("n", "one", "two", "least").agg(F.min("key").alias("key"))
+    return keys.join(kept.select("key"), "key", "left_semi")
+
+
+def link_classes(keys: DataFrame, classes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame | None:
     """Links ``a, b`` between classes that share a key: enough to connect all that are linked."""
+    open_keys = cut(distinct_keys(keys))
     nodes = cut(open_keys.select("node").distinct())
     count = nodes.count()
     if not count:
@@ -136,48 +144,121 @@ def link_classes(open_keys: DataFrame, classes: DataFrame, texts: DataFrame, wid
     sets = cut(set_bytes(texts.join(chosen, texts["doc_id"] == nodes["node"], "left_semi"), width)
                .join(classes.select("set_key", "node"), ["set_key", "node"], "left_semi").select("node", "members")
                .dropDuplicates(["node"]))
-    facts = classes.select("node", "n", "sig")
-    labels = nodes.select("node", F.col("node").alias("component"))
-    tested = linked = None
-    rounds = 0
-    allowed = open_keys.count()
     per_mille = round(similarity * 1000)
-    while True:
-        named = open_keys.join(labels, "node")
-        mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        open_keys = cut(open_keys.join(mixed.filter("low <> high").select("key"), "key", "left_semi"))
-        named = open_keys.join(labels, "node")
-        in_part = named.groupBy("key", "component").agg(F.count("*").alias("m"))
-        left = (in_part.groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("pairs"))
-                .agg(F.sum("pairs")).first()[0])
-        if not left:
-            return linked
-        last = left / 2 <= allowed
-        if last:
-            other = named.select("key", F.col("node").alias("b"), F.col("component").alias("other"))
-            pairs = named.withColumnRenamed("node", "a").join(other, "key").filter("component <> other AND a < b")
-        else:
-            turn = F.xxhash64("node", F.lit(rounds))
-            hubs = named.groupBy("key").agg(F.min_by(F.struct("node", "component"), turn).alias("hub"))
-            pairs = (named.join(hubs, "key").filter("component <> hub.component")
-                     .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")))
-        pairs = pairs.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        one = facts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
-        two = facts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-        likely = (pairs.join(one, "a").join(two, "b")
-                  .filter(F.least("n_a", "n_b") * 1000 >= per_mille * F.greatest("n_a", "n_b"))
-                  .filter(distance(F.col("sig_a"), F.col("sig_b")) < CHUNKS * 2).select("a", "b"))
-        fresh = cut(confirm(likely, sets, similarity))
-        linked = fresh if linked is None else linked.unionByName(fresh)
-        if last:
-            return linked
-        groups = components(linked)
-        labels = cut(nodes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
-        rounds += 1
+    hubs = open_keys.groupBy("key").agg(F.min("node").alias("hub"))
+    pairs = (open_keys.join(hubs, "key").filter("node <> hub")
+             .select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    facts = classes.select("node", "n", "sig")
+    one = facts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
+    two = facts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
+    likely = (pairs.join(one, "a").join(two, "b")
+              .filter(F.least("n_a", "n_b") * 1000 >= per_mille * F.greatest("n_a", "n_b"))
+              .filter(distance(F.col("sig_a"), F.col("sig_b")) < CHUNKS * 2).select("a", "b"))
+    linked = cut(confirm(likely, sets, similarity))
+    labels = cut(nodes.join(components(linked), "node", "left")
+                 .select("node", F.coalesce("component", "node").alias("component")))
+    rest = cut(block_links(blocks(open_keys, labels, classes), sets, per_mille))
+    return linked.unionByName(rest)
+
+
+def blocks(open_keys: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """``key, one, two, node, component, side``: the rows of each pair of blocks to be compared.
+
+    The largest component of a key lies in the blocks from 0 up, all others in the blocks from -1
+    down, each block with about ``BLOCK_NODES`` nodes or ``BLOCK_SHINGLES`` shingles. Compared are the
+    latter with each other and with the former, which already are linked with each other.
+    """
+    named = open_keys.join(labels, "node").join(classes.select("node", "n"), "node")
+    parts = named.groupBy("key", "component").agg(F.count("*").alias("m"), F.sum("n").alias("weight"))
+    sizes = parts.groupBy("key").agg(
+        F.max(F.struct("m", "component", "weight")).alias("top"), F.sum("m").alias("m"), F.sum("weight").alias("weight"))
+
+    def many(m: F.Column, weight: F.Column) -> F.Column:
+        return F.greatest(F.ceil(m / BLOCK_NODES), F.ceil(weight / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+    sizes = (sizes.filter(F.col("m") > F.col("top.m"))
+             .select("key", F.col("top.component").alias("top"), many(F.col("top.m"), F.col("top.weight")).alias("inside"),
+                     many(F.col("m") - F.col("top.m"), F.col("weight") - F.col("top.weight")).alias("outside")))
+    at = F.xxhash64("node", F.lit(3))
+    placed = (named.join(sizes, "key").withColumn("block", F.when(
+        F.col("component") == F.col("top"), F.pmod(at, F.col("inside"))).otherwise(-1 - F.pmod(at, F.col("outside")))
+        .cast("int")))
+    outer = F.sequence(-F.col("outside"), F.lit(-1))
+    partners = F.when(F.col("block") >= 0, outer).otherwise(F.concat(outer, F.sequence(F.lit(0), F.col("inside") - 1)))
+    return (placed.withColumn("partner", F.explode(partners))
+            .select("key", F.least("block", "partner").alias("one"), F.greatest("block", "partner").alias("two"),
+                    "node", "component", (F.col("block") > F.col("partner")).alias("side")).distinct())
+
+
+def block_links(rows: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
+    """Links that join components within each pair of blocks; at most one fewer than it has nodes."""
+    together = (rows.join(sets, "node").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+                .select("key", "one", "two", "node", "component", "side", "members"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        name = None
+        found: list[tuple[int, int]] = []
+        for part in batches:
+            for row in zip(*(part.column(i).to_pylist() for i in range(7))):
+                if row[:3] != name:
+                    found += joining_links(held, per_mille)
+                    held, name = [], row[:3]
+                held.append(row[3:])
+            if found:
+                yield batch("a long, b long", a=[a for a, _ in found], b=[b for _, b in found])
+                found = []
+        found = joining_links(held, per_mille)
+        yield batch("a long, b long", a=[a for a, _ in found], b=[b for _, b in found])
+
+    return together.mapInArrow(work, "a long, b long")
+
+
+def joining_links(rows: list[tuple], per_mille: int) -> list[tuple[int, int]]:
+    """Of the linked pairs among ``(node, component, side, members)``, those that join components."""
+    if len(rows) < 2:
+        return []
+    sides = np.array([r[2] for r in rows])
+    one, two = (np.flatnonzero(~sides), np.flatnonzero(sides)) if sides.any() else (np.arange(len(rows)),) * 2
+    sets = [np.frombuffer(r[3], "<u8") for r in rows]
+    sizes = np.array(list(map(len, sets)))
+    shared = overlaps(sets, one, two)
+    linked = 1000 * shared >= per_mille * (sizes[one][:, None] + sizes[two][None, :] - shared)
+    above = {r[1]: r[1] for r in rows}
+
+    def root(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    found = []
+    for i, j in zip(*np.nonzero(linked)):
+        a, b = rows[one[i]], rows[two[j]]
+        x, y = root(a[1]), root(b[1])
+        if x != y:
+            above[max(x, y)] = min(x, y)
+            found.append((a[0], b[0]))
+    return found
+
+
+def overlaps(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of each of ``one`` with each of ``two``."""
+    if len(one) * len(two) <= 16:
+        return np.array([[overlap(sets[i], sets[j]) for j in two] for i in one])
+    values, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.cumsum(counts > 1) - 1  # what only one set holds overlaps with nothing
+    owner = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    keep = counts[place] > 1
+    owner, column = owner[keep], rank[place[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(one), len(two)))
+    for begin in range(0, int(rank[-1]) + 1, COLUMNS):
+        low, high = np.searchsorted(column, [begin, begin + COLUMNS])
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[owner[low:high], column[low:high] - begin] = 1
+        total += held[one] @ held[two].T
+    return np.where(one[:, None] == two[None, :], 0, total.astype(np.int64))
 
 
 def set_bytes(docs: DataFrame, width: int) -> DataFrame:
