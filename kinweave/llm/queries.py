@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.lineage import shared_folder
-from kinweave.llm import bpe, chat, decontaminate, licenses, near_dup, pii, quality, token_store, toxicity
+from kinweave.llm import ann, bpe, chat, decontaminate, licenses, near_dup, pii, quality, token_store, toxicity
 from kinweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,3 +185,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     grammar = toxicity.learn_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out)
     return (toxicity.score_toxicity(docs, grammar)
             .select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
+
+
+@query()
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
