@@ -240,19 +240,23 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(work, schema)
 
 
-def digest_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def digest_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text",
+                     with_ids: bool = False) -> DataFrame:
     """Encode each text, decode its ids again, and give digests of both:
-    ``doc_id, n_tokens, ids_sha256, decoded_sha256, same``; ``same`` says that decoding gave the text back."""
+    ``doc_id, n_tokens, ids_sha256, decoded_sha256, same``; ``same`` says that decoding gave the text back.
+    With ``with_ids``, the ids themselves come last."""
     small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean"
+    schema += ", ids array<int>" if with_ids else ""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
         for rows in batches:
             texts = rows["text"].to_pylist()
-            out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "same": []}
+            out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "same": [], "ids": []}
             for text, ids in zip(texts, tool.encode(texts)):
                 decoded = tool.decode(ids)
+                out["ids"].append(ids.astype(np.int32) if with_ids else None)
                 out["n_tokens"].append(len(ids))
                 out["ids_sha256"].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())

@@ -133,6 +133,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, rar
                     F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, rarest: int = RAREST,
+                      id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no item window occurs."""
+    hits = phrase_hits(keyed(docs, id_column, text_column), benchmark, size, rarest)
+    hit = sendable(cut(hits.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()))
+    own = F.xxhash64(F.coalesce(docs[text_column], F.lit("")))
+    return docs.join(hit, docs[id_column].eqNullSafe(hit["_id"]) & (own == hit["_row"]), "left_anti")
+
+
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 20, size: int = WINDOW,
                       rarest: int = RAREST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Item windows whose rarest terms lie together in a document, in any order, within ``slop``

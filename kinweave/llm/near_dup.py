@@ -24,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.lineage import cut
@@ -132,6 +132,27 @@ def distinct_keys(keys: DataFrame) -> DataFrame:
     return keys.join(kept.select("key"), "key", "left_semi")
 
 
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, errors: int = 1,
+                         id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, without the documents that are not kept.
+
+    Rows without an id stay. Of rows that share an id, the first by text stays.
+    """
+    groups = near_duplicates(docs, width, similarity, errors, id_column, text_column)
+    gone = cut(groups.filter("NOT kept").select(F.col("doc_id").alias(id_column)))
+    repeated = cut(docs.groupBy(id_column).agg(F.count("*").alias("rows"))
+                   .filter(F.col(id_column).isNotNull() & (F.col("rows") > 1)).select(id_column))
+    left = docs.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, id_column, "left_anti")
+    count = repeated.count()
+    if count:
+        chosen = F.broadcast(repeated) if count <= SENT_IDS else repeated
+        first = Window.partitionBy(id_column).orderBy(text_column)
+        once = (left.join(chosen, id_column, "left_semi").withColumn("_place", F.row_number().over(first))
+                .filter("_place = 1").drop("_place"))
+        left = left.join(chosen, id_column, "left_anti").unionByName(once.select(left.columns))
+    return left.select(docs.columns)
+
+
 def link_classes(keys: DataFrame, classes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame | None:
     """Links ``a, b`` between classes that share a key: enough to connect all that are linked."""
     open_keys = cut(distinct_keys(keys))

@@ -207,3 +207,17 @@ def score_quality(docs: DataFrame, model: Model, id_column: str = "doc_id", text
             yield batch(schema, doc_id=rows["doc_id"], score=model.score(x))
 
     return id_and_text(docs, id_column, text_column).mapInArrow(work, schema)
+
+
+def keep_good(docs: DataFrame, model: Model, least: float = 0.7, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores ``least`` or more."""
+    small_batches(docs.sparkSession)
+    place = docs.columns.index(text_column)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            texts = [t or "" for t in rows.column(place).to_pylist()]
+            x = np.array([features(t) for t in texts]).reshape(-1, len(FEATURES))
+            yield rows.filter(pa.array(model.score(x) >= least))
+
+    return docs.mapInArrow(work, docs.schema)
