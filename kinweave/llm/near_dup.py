@@ -36,7 +36,7 @@ CHUNKS, PLACES, BITS = 8, 4, 16
 #: Up to so many document ids (8 bytes each) are sent to all executors; beyond, texts are shuffled.
 SENT_IDS = 1_000_000
 #: Nodes and shingles of a block, and columns of its matrix at a time.
-BLOCK_NODES, BLOCK_SHINGLES, COLUMNS = 256, 500_000, 4096
+BLOCK_NODES, BLOCK_SHINGLES, COLUMNS = 1024, 500_000, 2048
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -147,8 +147,8 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     if count:
         chosen = F.broadcast(repeated) if count <= SENT_IDS else repeated
         first = Window.partitionBy(id_column).orderBy(text_column)
-        once = (left.join(chosen, id_column, "left_semi").withColumn("_place", F.row_number().over(first))
-                .filter("_place = 1").drop("_place"))
+        once = (left.join(chosen, id_column, "left_semi").withColumn("_kept_place", F.row_number().over(first))
+                .filter("_kept_place = 1").drop("_kept_place"))
         left = left.join(chosen, id_column, "left_anti").unionByName(once.select(left.columns))
     return left.select(docs.columns)
 
