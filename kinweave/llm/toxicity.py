@@ -156,7 +156,7 @@ def learn_states(sample: DataFrame, most: int = STATES) -> dict[str, float]:
     surprise = (F.when(F.col("toxic") > 0, F.col("toxic") * F.log(share / rate)).otherwise(0.0)
                 + F.when(F.col("other") > 0, F.col("other") * F.log((1 - share) / (1 - rate))).otherwise(0.0))
     bound = float(np.log(max(told.count(), 1)) + 2)
-    strong = (told.filter((surprise > bound) & (share > 3 * rate))
+    strong = (told.filter((surprise > bound) & (share * (1 - rate) > 4 * rate * (1 - share)))
               .orderBy(surprise.desc(), "state").limit(most))
     begins = F.broadcast(cut(strong.select(F.col("state").alias("begin"))))  # ``most`` short strings
     path = F.array_append(F.transform(F.sequence(F.lit(LEAST_LETTERS), F.greatest(F.lit(LEAST_LETTERS), F.least(
