@@ -6,7 +6,8 @@ are columnar, their size is known to the planner, and no filter constraints pile
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,18 +18,9 @@ _written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the session names.
-
-    Only a local-mode session without one gets a temporary folder; a cluster must name its own.
-    """
+    """The shared folder the session names; where it names none, one in the warehouse, which is shared too."""
     configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="kinweave-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_kinweave_steps"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,6 +28,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/kinweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _written:
+        atexit.register(_release_at_exit, spark)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,6 +42,12 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _release_at_exit(spark: SparkSession) -> None:
+    """Delete what is left, if the session still runs."""
+    with contextlib.suppress(Exception):
+        release(spark)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread rows read from too few files over all cores before CPU-heavy work.
 

@@ -42,9 +42,9 @@ def build_entities(raw: DataFrame, enriched: DataFrame, now: Column | None = Non
     number = F.regexp_extract("raw_id", r"(\d+)", 1)
     joined = (
         raw.withColumnsRenamed({"id": "raw_id", "class": "raw_class"})
-        .filter((number != "") & (number.cast("long") > 0) & (_text("name") != ""))
+        .filter((number != "") & (F.coalesce(number.try_cast("long"), F.lit(0)) > 0) & (_text("name") != ""))
         .join(known, "raw_id", "left")
-        .withColumns({"wiki_id": number.cast("int"), "raw_name": _text("name")})
+        .withColumns({"wiki_id": number.try_cast("long"), "raw_name": _text("name")})
     )
     region = F.coalesce("e_region", blank_to_null("region"), F.lit(""))
     inferred = infer_mythology(F.col("prototype"), F.col("raw_name"), region)
@@ -152,7 +152,8 @@ def match_entities(candidates: DataFrame, vertices: DataFrame, aliases: DataFram
                    folding: Mapping[str, str] | None = None, prefix: str = "wd:") -> DataFrame:
     """Entity of each candidate (seq, qid, label): same qid, else same normalised name, else a new one.
 
-    New candidates with one name share the id of the first. ``matched_by`` says qid, name or new.
+    New candidates with one name share the id of the first. ``matched_by`` says qid, name or new. A
+    candidate whose label has no letters matches no name and shares its id with nobody.
     """
     by_qid = first_per_key(
         vertices.filter(F.col("wikidata_qid").isNotNull()).select(F.col("wikidata_qid").alias("qid"), "wiki_id",
@@ -163,15 +164,16 @@ def match_entities(candidates: DataFrame, vertices: DataFrame, aliases: DataFram
         vertices.select("id", "wiki_id", normalize_name(F.col("name"), folding).alias("name")),
         aliases.select("id", normalize_name(F.col("alias"), folding).alias("alias")),
     ).select(F.col("name").alias("key"), F.col("id").alias("name_match"))
-    keyed = candidates.withColumn("key", normalize_name(F.col("label"), folding))
+    # Blank keys are null, so they join with nothing.
+    keyed = candidates.withColumn("key", F.nullif(normalize_name(F.col("label"), folding), F.lit("")))
     found = keyed.join(by_qid, "qid", "left").join(names, "key", "left")
     open_ = F.col("qid_match").isNull() & F.col("name_match").isNull()
     created = first_per_key(
-        found.filter(open_).select("key", "seq", F.concat(F.lit(prefix), "qid").alias("new_id")), ["key"], ["seq", "new_id"]
+        found.filter(open_ & F.col("key").isNotNull()).select("key", "seq", F.concat(F.lit(prefix), "qid").alias("new_id")), ["key"], ["seq", "new_id"]
     ).select("key", "new_id")
     return found.join(created, "key", "left").select(
         *candidates.columns,
-        F.coalesce("qid_match", "name_match", "new_id").alias("entity_id"),
+        F.coalesce("qid_match", "name_match", "new_id", F.concat(F.lit(prefix), "qid")).alias("entity_id"),
         F.when(F.col("qid_match").isNotNull(), "qid").when(F.col("name_match").isNotNull(), "name").otherwise("new")
         .alias("matched_by"),
     )
@@ -184,8 +186,9 @@ def resolve_mentions(mentions: DataFrame, vertices: DataFrame, aliases: DataFram
     come back with a NULL entity_id.
     """
     given = mentions.select("mention_id", F.trim("text").alias("text"))
-    as_id = given.filter(F.col("text").rlike("^[cC][0-9]+$")).select(
-        "mention_id", F.lit(0).alias("stage"), F.lit(0).alias("wiki_id"), F.col("text").alias("entity_id"))
+    ids = vertices.select("id", "wiki_id").distinct()
+    as_id = (given.filter(F.col("text").rlike("^[cC][0-9]+$")).join(ids, F.lower("text") == F.col("id"))
+             .select("mention_id", F.lit(0).alias("stage"), "wiki_id", F.col("id").alias("entity_id")))
     keyed = [
         (vertices.select(F.col("name").alias("k"), "wiki_id", "id"), F.col("text"), 1),
         (aliases.select("id", F.col("alias").alias("k")).join(vertices.select("id", "wiki_id"), "id")

@@ -136,9 +136,9 @@ def edges_export(edges: DataFrame, vertices: DataFrame) -> DataFrame:
                         F.col("type").alias("relationship"), type_label(F.col("type")).alias("label"))
 
 
-def nodes_export(vertices: DataFrame, edges: DataFrame, limit: int = 1000) -> DataFrame:
-    """Node rows of the CSV export in wiki_id order, with degree."""
-    listed = page(vertices, ["wiki_id", "id"], limit)
+def nodes_export(vertices: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """Node rows of the CSV export with degree; with ``limit``, the first in wiki_id order."""
+    listed = vertices if limit is None else page(vertices, ["wiki_id", "id"], limit)
     return with_degree(listed, edges).select(
         "id", "name", F.col("class_name").alias("class"), F.coalesce("mythology", F.lit("")).alias("mythology"),
         "gender", "degree", "wiki_id",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.operators.edges import is_directed, normalize_edges
@@ -69,10 +69,13 @@ def decision_outcomes(edges: DataFrame, decisions: DataFrame) -> DataFrame:
     """What became of each decision: approved, rejected or skipped."""
     state = edges.select("id", "status").join(_turning_points(decisions), "id")
     seq = _seq(decisions)
-    approves = (F.col("action") == "approve") & F.coalesce(_approval_counts(), F.lit(False)) & (seq == F.col("_approved_at"))
+    # Of approvals with the same place, one counts.
+    first = F.row_number().over(Window.partitionBy("id", "action").orderBy(seq, *sorted(decisions.columns))) == 1
+    decisions = decisions.withColumn("_first", first)
+    approves = (F.col("action") == "approve") & F.coalesce(_approval_counts(), F.lit(False)) & F.col("_first")
     rejects = (F.col("action") == "reject") & F.col("status").isNotNull()
     outcome = F.when(approves, "approved").when(rejects, "rejected").otherwise("skipped")
-    return decisions.join(state, "id", "left").select(*decisions.columns, outcome.alias("outcome"))
+    return decisions.join(state, "id", "left").select(*(c for c in decisions.columns if c != "_first"), outcome.alias("outcome"))
 
 
 def decision_counts(edges: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.names import guess_prototype
 from kinweave.functions.text import strip, visible_text
-from kinweave.operators.ranking import first_per_key
+from kinweave.operators.ranking import first_per_key, with_position
 
 RAW_ENTITY = ("id string, name string, class string, prototype string, detail_url string, region string, "
               "description string, image_url string")
@@ -51,10 +51,25 @@ def read_enriched(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_relationships(spark: SparkSession, path: str) -> DataFrame:
-    """Relations of a relationship file with their place in it (seq)."""
+    """Relations of relationship files, numbered (seq) over all files by name and place.
+
+    A file holds one object with an array of relations, or, as the sinks of this library write them,
+    a relation per line; the latter have no place and are ordered by their content.
+    """
     fields = ", ".join(f.replace(" ", ": ", 1) for f in RAW_EDGE.split(", "))
-    whole = read_json_records(spark, path, f"relationships array<struct<{fields}>>")
-    return whole.select(F.posexplode("relationships").alias("seq", "r")).select("seq", "r.*")
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], f"seq long, {RAW_EDGE}")
+    found = spark.read.schema(f"relationships array<struct<{fields}>>, {RAW_EDGE}").json(path, multiLine=True)
+    lines = spark.read.schema(RAW_EDGE).json(path)
+    names = lines.columns
+    file = F.col("_metadata.file_path").alias("_file")
+    listed = found.select(file, F.posexplode("relationships").alias("_place", "r")).select("_file", "_place", "r.*")
+    # A file of lines has no array, and its lines are records of their own.
+    by_line = (lines.select(file, *names).filter(F.coalesce("source_name", "target_name").isNotNull())
+               .join(listed.select("_file").distinct(), "_file", "left_anti")
+               .select("_file", F.lit(0).alias("_place"), *names))
+    order = ["_file", "_place", *names]
+    return with_position(listed.unionByName(by_line), order, name="seq").select("seq", *names)
 
 
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
@@ -240,13 +255,14 @@ def embedded_csv(pages: DataFrame, base_url: str = "") -> DataFrame:
     rows = lines.select("page_id", "line_no", fields.alias("f")).withColumn("id", F.trim(F.col("f")["id"])).filter(
         F.coalesce("id", F.lit("")) != "")
     # Overrides come as blocks of key=value lines, each opened by its id.
-    blocks = texts.select("page_id", F.explode(F.split("over", r"(?m)(?=^\s*id\s*=)")).alias("block"))
+    blocks = texts.select("page_id", F.posexplode(F.split("over", r"(?m)(?=^\s*id\s*=)")).alias("block_no", "block"))
     pairs = F.transform(F.filter(F.split("block", "\n"), lambda x: F.contains(x, F.lit("="))), lambda x: F.struct(
         F.trim(F.substring_index(x, "=", 1)).alias("key"), F.trim(F.regexp_replace(x, "^[^=]*=", "")).alias("value")))
-    over = blocks.select("page_id", F.explode(pairs).alias("p"), F.trim(F.regexp_extract("block", r"(?m)^\s*id\s*=(.*)$", 1)).alias("id"))
+    over = blocks.select("page_id", "block_no", F.posexplode(pairs).alias("p_no", "p"), F.trim(F.regexp_extract("block", r"(?m)^\s*id\s*=(.*)$", 1)).alias("id"))
 
     def override(key: str) -> Column:
-        return F.max(F.when(F.col("p.key") == key, F.nullif("p.value", F.lit("")))).alias(key)
+        given = (F.col("p.key") == key) & (F.col("p.value") != "")
+        return F.max_by(F.when(given, F.col("p.value")), F.when(given, F.struct("block_no", "p_no"))).alias(key)
 
     extra = over.filter(F.col("id") != "").groupBy("page_id", "id").agg(*[override(k) for k in ("name_cn", "name_en", "name_link")])
     named = rows.join(extra, ["page_id", "id"], "left")

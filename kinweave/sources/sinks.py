@@ -38,7 +38,7 @@ def write_edges_csv(edges: DataFrame, vertices: DataFrame, path: str) -> None:
     edges_export(edges, vertices).withColumnRenamed("label", "关系").write.mode("overwrite").csv(path, header=True)
 
 
-def write_nodes_csv(vertices: DataFrame, edges: DataFrame, path: str, limit: int = 1000) -> None:
+def write_nodes_csv(vertices: DataFrame, edges: DataFrame, path: str, limit: int | None = None) -> None:
     nodes_export(vertices, edges, limit).write.mode("overwrite").csv(path, header=True)
 
 

@@ -48,7 +48,7 @@ def test_name_index_order(spark):
 
 
 def test_mentions_by_bracket_form(spark):
-    v = spark.createDataFrame([("c1", 1, "美狄亚〔Lily〕"), ("c2", 2, "Bob")], "id string, wiki_id int, name string")
+    v = spark.createDataFrame([("c1", 1, "美狄亚〔Lily〕"), ("c2", 2, "Bob"), ("c77", 77, "Ann")], "id string, wiki_id int, name string")
     a = spark.createDataFrame([("c2", "Bobby")], "id string, alias string")
     m = spark.createDataFrame([(1, "美狄亚(lily)"), (2, "Bobby"), (3, " c77 "), (4, "(lily)"), (5, "nobody")], "mention_id int, text string")
     found = {r["mention_id"]: (r["entity_id"], r["stage"]) for r in entities.resolve_mentions(m, v, a).collect()}
@@ -124,3 +124,34 @@ def test_export_builds_the_same_graph(spark, tmp_path):
                           ("relationships", ["source_id", "target_id", "type", "status", "confidence", "evidence"])):
         first, second = (spark.read.parquet(str(tmp_path / v / name)).select(columns) for v in ("v1", "v2"))
         assert sorted(first.collect()) == sorted(second.collect()), name
+
+
+def test_labels_without_letters_match_nothing(spark):
+    from kinweave.operators.entities import match_entities
+
+    candidates = spark.createDataFrame([(0, "Q1", ""), (1, "Q2", ""), (2, "Q3", "·"), (3, "Q4", "Ann"), (4, "Q5", "Ann")],
+                                       "seq int, qid string, label string")
+    vertices = spark.createDataFrame([("c1", 1, "Bob", None)], "id string, wiki_id int, name string, wikidata_qid string")
+    aliases = spark.createDataFrame([("c1", "·")], "id string, alias string")
+    got = {r.qid: r.entity_id for r in match_entities(candidates, vertices, aliases).collect()}
+    assert got == {"Q1": "wd:Q1", "Q2": "wd:Q2", "Q3": "wd:Q3", "Q4": "wd:Q4", "Q5": "wd:Q4"}
+
+
+def test_ids_in_mentions_must_exist(spark):
+    from kinweave.operators.entities import resolve_mentions
+
+    mentions = spark.createDataFrame([(1, "c999"), (2, "C1"), (3, "c1")], "mention_id int, text string")
+    vertices = spark.createDataFrame([("c1", 1, "Bob")], "id string, wiki_id int, name string")
+    aliases = spark.createDataFrame([], "id string, alias string")
+    got = {r.mention_id: r.entity_id for r in resolve_mentions(mentions, vertices, aliases).collect()}
+    assert got == {1: None, 2: "c1", 3: "c1"}
+
+
+def test_a_repeated_approval_counts_once(spark):
+    from kinweave.operators.review import decision_counts
+
+    edges = spark.createDataFrame([(1, "pending")], "id int, status string")
+    for schema, rows in (("id int, action string", [(1, "approve"), (1, "approve")]),
+                         ("id int, action string, seq int", [(1, "approve", 5), (1, "approve", 5)])):
+        got = {r.outcome: r.n for r in decision_counts(edges, spark.createDataFrame(rows, schema)).collect()}
+        assert got == {"approved": 1, "skipped": 1}

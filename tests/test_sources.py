@@ -81,3 +81,26 @@ def test_embedded_csv_with_quotes_and_many_columns(spark):
     rows = readers.embedded_csv(spark.createDataFrame([(1, html)], "page_id int, html string"), "http://w").collect()
     found = {r["id"]: (r["name"], r["class"], r["detail_url"], r["image_url"]) for r in rows}
     assert found == {"7": ("Seven", 'Saber, of "red"', "http://w/w/Seven", "https://img/7.png"), "8": ("Eight", "", "", "http://y/8")}
+
+
+def test_relationship_files_are_numbered_over_all_of_them_and_lines_read_back(spark, tmp_path):
+    import json
+
+    def relation(a, b):
+        return {"source_name": a, "target_name": b, "relationship": "ALLY_OF", "confidence": "high", "evidence": "",
+                "origin": "x", "status": "pending"}
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps({"relationships": [relation("a", "b"), relation("c", "d")]}, indent=1))
+    (tmp_path / "in" / "b.json").write_text(json.dumps({"relationships": [relation("e", "f")]}))
+    read = readers.read_relationships(spark, str(tmp_path / "in"))
+    assert sorted((r.seq, r.source_name) for r in read.collect()) == [(0, "a"), (1, "c"), (2, "e")]
+    read.drop("seq").write.json(str(tmp_path / "out"))
+    back = readers.read_relationships(spark, str(tmp_path / "out"))
+    assert sorted((r.source_name, r.target_name) for r in back.collect()) == [("a", "b"), ("c", "d"), ("e", "f")]
+    assert back.select("seq").distinct().count() == 3
+
+
+def test_the_last_override_of_a_key_wins(spark):
+    html = 'raw_str = "id,avatar\\n1,x"; override_data = "id=1\\nname_cn=zz\\nname_cn=aa";'
+    assert readers.embedded_csv(spark.createDataFrame([(1, html)], "page_id long, html string")).first().name == "aa"

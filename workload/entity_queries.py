@@ -74,7 +74,7 @@ def _built(spark, sf):
 
 
 @query("""WITH j AS (SELECT r.*, e.region AS e_region, e.description AS e_description, e.gender,
-                            e.id IS NOT NULL AS is_enriched, CAST(replace(r.id, 'No.', '') AS INT) AS wiki_id, trim(r.name) AS full_name
+                            e.id IS NOT NULL AS is_enriched, CAST(replace(r.id, 'No.', '') AS BIGINT) AS wiki_id, trim(r.name) AS full_name
                      FROM fx_raw_entities r LEFT JOIN fx_enriched e ON r.id = e.id),
   k AS (SELECT *, CASE coalesce(nullif(e_region, ''), region) WHEN '希腊' THEN '希腊神话' WHEN '古代日本' THEN '日本神话'
                        WHEN '北欧' THEN '北欧神话' ELSE CASE WHEN contains(name, '阿周那') THEN '印度神话' END END AS inferred FROM j)
@@ -90,7 +90,7 @@ def build_entities(spark, sf):
                         "myth_source", F.col("enriched_at").isNotNull().alias("is_enriched"), "enrich_model")
 
 
-@query("""WITH n AS (SELECT r.*, trim(name) AS full_name, CAST(replace(id, 'No.', '') AS INT) AS wiki_id FROM fx_raw_entities r)
+@query("""WITH n AS (SELECT r.*, trim(name) AS full_name, CAST(replace(id, 'No.', '') AS BIGINT) AS wiki_id FROM fx_raw_entities r)
   SELECT concat('c', wiki_id) AS id, alias FROM (
     SELECT wiki_id, full_name AS alias FROM n UNION SELECT wiki_id, trim(split_part(full_name, '（', 1)) FROM n
     UNION SELECT wiki_id, prototype FROM n
