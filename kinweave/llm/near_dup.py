@@ -223,24 +223,29 @@ def block_links(rows: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
         for part in batches:
             for row in zip(*(part.column(i).to_pylist() for i in range(7))):
                 if row[:3] != name:
-                    found += joining_links(held, per_mille)
+                    found += joining_links(held, name, per_mille)
                     held, name = [], row[:3]
                 held.append(row[3:])
             if found:
                 yield batch("a long, b long", a=[a for a, _ in found], b=[b for _, b in found])
                 found = []
-        found = joining_links(held, per_mille)
+        found = joining_links(held, name, per_mille)
         yield batch("a long, b long", a=[a for a, _ in found], b=[b for _, b in found])
 
     return together.mapInArrow(work, "a long, b long")
 
 
-def joining_links(rows: list[tuple], per_mille: int) -> list[tuple[int, int]]:
-    """Of the linked pairs among ``(node, component, side, members)``, those that join components."""
+def joining_links(rows: list[tuple], name: tuple | None, per_mille: int) -> list[tuple[int, int]]:
+    """Of the linked pairs among ``(node, component, side, members)``, those that join components.
+
+    ``name`` is (key, one block, other block): the same block twice, or two, of which one may be empty.
+    """
     if len(rows) < 2:
         return []
     sides = np.array([r[2] for r in rows])
-    one, two = (np.flatnonzero(~sides), np.flatnonzero(sides)) if sides.any() else (np.arange(len(rows)),) * 2
+    one, two = (np.flatnonzero(~sides), np.flatnonzero(sides)) if name[1] != name[2] else (np.arange(len(rows)),) * 2
+    if not len(one) or not len(two):
+        return []
     sets = [np.frombuffer(r[3], "<u8") for r in rows]
     sizes = np.array(list(map(len, sets)))
     shared = overlaps(sets, one, two)
