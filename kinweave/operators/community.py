@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,14 +12,19 @@ from kinweave.lineage import cut
 from kinweave.operators.edges import both_ways
 from kinweave.operators.ranking import top_n
 
+#: A rise in modularity over two turns that is worth going on for.
+LEAST_RISE = 1e-3
+
 
-def communities(vertices: DataFrame, edges: DataFrame, levels: int = 3, rounds: int = 6,
-                settled: float = 0.01) -> DataFrame:
+def communities(vertices: DataFrame, edges: DataFrame, levels: int | None = None,
+                rounds: int | None = None, least_rise: float = LEAST_RISE) -> DataFrame:
     """A community for every vertex: id, community (its smallest member).
 
-    Parallel edges weigh more. In each round about half the nodes, drawn by hash, may move to the
-    neighbouring community that gains most; then communities become the nodes of the next level.
-    Ties go to the present community, then to the smallest name, so a run can be repeated.
+    Parallel edges weigh more. Nodes move to the neighbouring community that gains most, half of them
+    (drawn by hash) in one turn and the others in the next, until no node moves or two turns no longer
+    raise modularity by ``least_rise``; then communities become the nodes of the next level, until none is joined to
+    another. ``levels`` and ``rounds`` (turns in a level) end that earlier. Ties go to the present
+    community, then to the smallest name, so a run can be repeated.
     """
     pairs = both_ways(edges.filter(F.col("type") != "BELONGS_TO").select("source_id", "target_id"))
     links = cut(pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w")))
@@ -25,8 +32,8 @@ def communities(vertices: DataFrame, edges: DataFrame, levels: int = 3, rounds:
     of_vertex = None
     if total:
         nodes = cut(links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")))
-        for level in range(levels):
-            state = _local_moves(nodes, links, total, rounds, settled, level)
+        for level in count() if levels is None else range(levels):
+            state = _local_moves(nodes, links, total, rounds, least_rise, level)
             step = state.select("node", "comm")
             if of_vertex is None:
                 of_vertex = step.select(F.col("node").alias("id"), "comm")
@@ -49,15 +56,15 @@ def communities(vertices: DataFrame, edges: DataFrame, levels: int = 3, rounds:
     return ids.join(named, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
-def _local_moves(nodes: DataFrame, links: DataFrame, total: float, rounds: int, settled: float,
+def _local_moves(nodes: DataFrame, links: DataFrame, total: float, rounds: int | None, least_rise: float,
                  level: int) -> DataFrame:
-    """Node, its weight k and its community after the rounds of one level."""
-    state = nodes.withColumn("comm", F.col("node"))
-    size = nodes.count()
-    for turn in range(rounds):
+    """Node, its weight k and its community after the turns of one level: the best state met."""
+    state = best = nodes.withColumn("comm", F.col("node"))
+    highest = _share_inside(state, links, total)
+    for turn in count() if rounds is None else range(rounds):
         weights = state.groupBy("comm").agg(F.sum("k").alias("weight"))
         def lively(node: str, turn: int = turn) -> Column:
-            return F.pmod(F.xxhash64(node, F.lit(level * rounds + turn)), F.lit(2)) == 0
+            return F.pmod(F.xxhash64(node, F.lit(level), F.lit(turn // 2)), F.lit(2)) == turn % 2
 
         movers = state.filter(lively("node"))
         toward = (
@@ -76,15 +83,28 @@ def _local_moves(nodes: DataFrame, links: DataFrame, total: float, rounds: int,
             .groupBy("src").agg(F.min_by("comm", F.struct((-gain).alias("g"), (~own).alias("o"), "comm")).alias("to"))
         )
         moved = state.join(choice, F.col("node") == F.col("src"), "left").select(
-            "node", "k", F.coalesce("to", "comm").alias("comm"),
-            F.coalesce(F.col("to") != F.col("comm"), F.lit(False)).alias("moved"),
-        )
+            "node", "k", F.coalesce("to", "comm").alias("comm"))
         moved = cut(moved)
-        changes = moved.filter("moved").count()
-        state = moved.drop("moved")
-        if changes <= settled * size and turn > 0:
-            break
-    return state
+        state = moved
+        if turn % 2:  # each node has had its turn
+            reached = _share_inside(state, links, total)
+            if reached > highest:
+                best = state
+            if reached <= highest + least_rise:
+                return best
+            highest = reached
+    return state if rounds is not None else best
+
+
+def _share_inside(state: DataFrame, links: DataFrame, total: float) -> float:
+    """Modularity of a state, but for what the nodes of this level hold inside themselves."""
+    ends = state.select("node", "comm")
+    inside = (links.join(ends.select(F.col("node").alias("src"), F.col("comm").alias("a")), "src")
+              .join(ends.select(F.col("node").alias("dst"), F.col("comm").alias("b")), "dst")
+              .agg((F.sum(F.when(F.col("a") == F.col("b"), F.col("w"))) / total).alias("part")))
+    expected = (state.groupBy("comm").agg((F.sum("k") / total).alias("share"))
+                .agg((-F.sum(F.col("share") * F.col("share"))).alias("part")))
+    return inside.unionByName(expected).agg(F.sum("part")).first()[0] or 0.0
 
 
 def modularity(edges: DataFrame, assignment: DataFrame) -> float:

@@ -206,3 +206,29 @@ def test_a_hot_group_is_cut_before_the_shuffle(spark):
     capped = ranking.cap_per_group(df, ["g"], ["id"], 4)
     assert capped._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
     assert sorted(r["id"] for r in capped.collect()) == [0, 1, 2, 3, 4, 5, 6, 9]
+
+
+def test_no_single_move_raises_modularity_much(spark):
+    import random
+
+    draw = random.Random(5)
+    ends = [(f"n{draw.randrange(40) + 40 * b}", f"n{draw.randrange(40) + 40 * b}") for b in range(3) for _ in range(160)]
+    ends += [(f"n{draw.randrange(120)}", f"n{draw.randrange(120)}") for _ in range(60)]
+    rows = [(i, a, b, "ALLY_OF") for i, (a, b) in enumerate(ends) if a != b]
+    e = spark.createDataFrame(rows, "id int, source_id string, target_id string, type string")
+    v = spark.createDataFrame([(f"n{i}",) for i in range(120)], "id string")
+    found = {r["id"]: r["community"] for r in community.communities(v, e).collect()}
+    degree, total = {}, 0
+    for _, a, b, _ in rows:
+        degree[a], degree[b], total = degree.get(a, 0) + 1, degree.get(b, 0) + 1, total + 2
+
+    def quality(of):
+        weight = {}
+        for node, k in degree.items():
+            weight[of[node]] = weight.get(of[node], 0) + k
+        return sum(2 for _, a, b, _ in rows if of[a] == of[b]) / total - sum((w / total) ** 2 for w in weight.values())
+
+    reached = quality(found)
+    planted = quality({f"n{i}": i // 40 for i in range(120)})
+    assert len(found) == 120 and reached > 0.9 * planted > 0
+    assert all(found[c] == c for c in found.values()) and len(set(found.values())) <= 12
