@@ -116,6 +116,7 @@ def test_components(spark):
 
 
 def vectors(spark, rows):
+    rows = [(i, v and [x if x is None else float(x) for x in v]) for i, v in rows]
     return spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
 
 
