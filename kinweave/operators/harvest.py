@@ -186,18 +186,19 @@ def harvest_incarnations(rows: DataFrame, texts: DataFrame, vertices: DataFrame,
     """Characters and works found behind prototypes, with the ids they get.
 
     ``rows`` is (seq, proto, qid, label, description), ``texts`` the class text per qid. Rows that are
-    neither character nor work do not count toward the cap. Output adds record_kind, medium,
+    neither character nor work do not count toward the cap; ``limit`` counts new characters and works
+    only, and rows of known ones stay. Output adds record_kind, medium,
     work_kind, entity_id and matched_by.
     """
     judged = rows.join(texts, "qid", "left").withColumn("class_text", F.coalesce("class_text", F.lit("")))
     judged = judged.withColumn("record_kind", character_or_work(F.col("class_text"))).filter("record_kind IS NOT NULL")
     kept = cap_per_group(judged, ["proto"], ["seq", "qid"], per_prototype)
-    if limit is not None:
-        kept = top_n(kept, ["seq", "qid"], limit)
     found = match_entities(kept.filter(F.col("record_kind") == "character"), vertices, aliases)
     made = kept.filter(F.col("record_kind") == "work").withColumns({
         "entity_id": F.concat(F.lit("ww:"), "qid"), "matched_by": F.lit("new")})
     described = found.unionByName(made)
+    if limit is not None:
+        described = _first_new(described, ["seq", "qid"], limit)
     is_work = F.col("record_kind") == "work"
     return described.withColumns({
         "medium": F.when(~is_work, medium_of(F.col("class_text"), F.col("label"))),
@@ -205,6 +206,14 @@ def harvest_incarnations(rows: DataFrame, texts: DataFrame, vertices: DataFrame,
     }).drop("class_text")
 
 
+def _first_new(found: DataFrame, order: list[str], limit: int) -> DataFrame:
+    """Rows of known entities, and of the first ``limit`` new ones."""
+    fresh = F.col("matched_by") == "new"
+    firsts = first_per_key(found.filter(fresh).select("entity_id", *order), ["entity_id"], order)
+    chosen = top_n(firsts, order, limit).select("entity_id")
+    return found.filter(~fresh).unionByName(found.filter(fresh).join(chosen, "entity_id", "left_semi").select(found.columns))
+
+
 def incarnation_edges(found: DataFrame, existing: DataFrame) -> DataFrame:
     """DERIVED_FROM edges of harvested characters that are not known yet."""
     edges = found.filter(F.col("record_kind") == "character").select(

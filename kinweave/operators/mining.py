@@ -23,19 +23,17 @@ EVIDENCE_CHARS = 180
 
 # --- fixed values: templates around the marks of two names, type, and whether A is the source ----
 A, B = "⟦A⟧", "⟦B⟧"
-PARENT_WORDS = "(?:father|mother|父亲|母亲)"
-MENTOR_WORDS = "(?:mentor|teacher|师父|师傅|老师)"
-CHILD_WORDS = "(?:son|daughter|儿子|女儿)"
-TEMPLATES: tuple[tuple[str, str, bool], ...] = tuple(
-    (pattern, rel_type, a_is_source)
-    for words, rel_type in ((PARENT_WORDS, "PARENT_OF"), (MENTOR_WORDS, "MENTOR_OF"))
-    for pattern, a_is_source in (
-        (rf"(?i){A}(?:'s|的)[^.!?]{{0,14}}{words}[^.!?]{{0,30}}{B}", False),
-        (rf"(?i){A}[^.!?]{{0,60}}(?:is|was)\s+the\s+(?:[^,.!?]{{1,40}}and\s+)?{words}\s+of\s+{B}", True),
-        (rf"(?i){A}(?:是|作为)[^。！？]{{0,6}}{B}[^。！？]{{0,8}}的?[^。！？]{{0,4}}{words}", True),
-        (rf"(?i){A}[^。！？]{{0,12}}(?:是|作为)[^。！？]{{0,10}}{words}[^。！？]{{0,4}}的?[^。！？]{{0,12}}{B}", True),
-    )
-) + ((rf"(?i){A}(?:'s|的)[^.!?]{{0,14}}{CHILD_WORDS}[^.!?]{{0,30}}{B}", "PARENT_OF", True),)
+TEMPLATES: tuple[tuple[str, str, bool], ...] = (
+    (r"(?i)⟦A⟧(?:'s|的)[^.!?]{0,14}(?:father|mother|父亲|母亲)[^.!?]{0,30}⟦B⟧", "PARENT_OF", False),
+    (r"(?i)⟦A⟧[^.!?]{0,60}(?:is|was)\s+the\s+(?:[^,.!?]{1,40}and\s+)?(?:father|mother|父亲|母亲)\s+of\s+⟦B⟧", "PARENT_OF", True),
+    (r"(?i)⟦A⟧(?:是|作为)[^。！？]{0,6}⟦B⟧[^。！？]{0,8}的?[^。！？]{0,4}(?:father|mother|父亲|母亲)", "PARENT_OF", True),
+    (r"(?i)⟦A⟧[^。！？]{0,12}(?:是|作为)[^。！？]{0,10}(?:father|mother|父亲|母亲)[^。！？]{0,4}的?[^。！？]{0,12}⟦B⟧", "PARENT_OF", True),
+    (r"(?i)⟦A⟧(?:'s|的)[^.!?]{0,14}(?:mentor|teacher|师父|师傅|老师)[^.!?]{0,30}⟦B⟧", "MENTOR_OF", False),
+    (r"(?i)⟦A⟧[^.!?]{0,60}(?:is|was)\s+the\s+(?:[^,.!?]{1,40}and\s+)?(?:mentor|teacher|师父|师傅|老师)\s+of\s+⟦B⟧", "MENTOR_OF", True),
+    (r"(?i)⟦A⟧(?:是|作为)[^。！？]{0,6}⟦B⟧[^。！？]{0,8}的?[^。！？]{0,4}(?:mentor|teacher|师父|师傅|老师)", "MENTOR_OF", True),
+    (r"(?i)⟦A⟧[^。！？]{0,12}(?:是|作为)[^。！？]{0,10}(?:mentor|teacher|师父|师傅|老师)[^。！？]{0,4}的?[^。！？]{0,12}⟦B⟧", "MENTOR_OF", True),
+    (r"(?i)⟦A⟧(?:'s|的)[^.!?]{0,14}(?:son|daughter|儿子|女儿)[^.!?]{0,30}⟦B⟧", "PARENT_OF", True),
+)
 
 
 def page_sections(pages: DataFrame) -> DataFrame:
@@ -52,13 +50,13 @@ def page_sections(pages: DataFrame) -> DataFrame:
                        text_functions.strip_wiki_markup(F.col("body")).alias("text"))
 
 
-def page_sentences(sections: DataFrame) -> DataFrame:
-    """Sentences of 12 to 400 characters of the sections, with their place."""
+def page_sentences(sections: DataFrame, lengths: tuple[int, int] = text_functions.SENTENCE_LENGTHS) -> DataFrame:
+    """Sentences of the sections with a length in ``lengths``, with their place."""
     pieces = sections.select("page_id", "title", "section_no", "heading", F.posexplode(
         F.split("text", text_functions.SENTENCE_END)).alias("sentence_no", "piece"))
     text = text_functions.strip(F.col("piece"))
     return pieces.select("page_id", "title", "section_no", "heading", "sentence_no", text.alias("text")).filter(
-        F.length("text").between(*text_functions.SENTENCE_LENGTHS))
+        F.length("text").between(*lengths))
 
 
 def build_dictionary(vertices: DataFrame, aliases: DataFrame, folding: Mapping[str, str] | None = None) -> DataFrame:
@@ -76,17 +74,18 @@ def build_dictionary(vertices: DataFrame, aliases: DataFrame, folding: Mapping[s
     return keyed.groupBy("key").agg(F.min_by("id", order).alias("id"))
 
 
-def tag_entities(sentences: DataFrame, dictionary: DataFrame) -> DataFrame:
+def tag_entities(sentences: DataFrame, dictionary: DataFrame, folding: Mapping[str, str] | None = None) -> DataFrame:
     """Dictionary names in sentences (sentence_id, text): sentence_id, pos, entity_id, match.
 
     Of each run of name characters the longest beginning that is a key counts; each entity counts
-    once per sentence, at its first run. ``pos`` numbers the runs. The dictionary is written first:
+    once per sentence, at its first run. ``pos`` numbers the runs. ``folding`` must be the one that the
+    dictionary was built with. The dictionary is written first:
     then Spark knows its size, and sends it to all tasks if it is small, instead of shuffling the text.
     """
     dictionary = cut(dictionary.select("key", F.col("id").alias("entity_id")))
     runs = sentences.select("sentence_id", F.posexplode(
         F.regexp_extract_all("text", F.lit(NAME_RUN))).alias("pos", "run")).filter(F.length("run") >= 2)
-    folds = SPELLING_VARIANTS
+    folds = {**SPELLING_VARIANTS, **(folding or {})}
     plain = runs.withColumn("form", compatibility_form(F.col("run")))
     beginnings = plain.select(
         "sentence_id", "pos", "run", "form", F.explode(F.sequence(F.lit(2), F.length("form"))).alias("size")
@@ -101,7 +100,8 @@ def tag_entities(sentences: DataFrame, dictionary: DataFrame) -> DataFrame:
     return first_per_key(longest.select("sentence_id", "entity_id", "pos", "match"), ["sentence_id", "entity_id"], ["pos"])
 
 
-def comention_sentences(sentences: DataFrame, tags: DataFrame) -> DataFrame:
+def comention_sentences(sentences: DataFrame, tags: DataFrame,
+                        folding: Mapping[str, str] | None = None) -> DataFrame:
     """Sentences with two entities or more, equal ones once: sentence_id, title, text, entities.
 
     A sentence has at most a few hundred characters, so its list of entities is short.
@@ -111,7 +111,7 @@ def comention_sentences(sentences: DataFrame, tags: DataFrame) -> DataFrame:
     ).filter(F.size("entities") >= 2)
     joined = sentences.select("sentence_id", "title", "text").join(lists, "sentence_id")
     keyed = joined.withColumns({
-        "_key": F.sha2(normalize_name(F.col("text")), 256),
+        "_key": F.sha2(normalize_name(F.col("text"), folding), 256),
         "_ids": F.array_sort(F.transform("entities", lambda e: e["id"])),
     })
     return first_per_key(keyed, ["_key", "_ids"], ["sentence_id"]).drop("_key", "_ids")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +28,12 @@ def numbered_sentences(pages: DataFrame) -> DataFrame:
     return found.withColumn("sentence_id", F.struct("page_id", "section_no", "sentence_no"))
 
 
-def mined_pairs(sentences: DataFrame, vertices: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Pairs of entities named in one sentence, as a written table."""
+def mined_pairs(sentences: DataFrame, vertices: DataFrame, aliases: DataFrame,
+                folding: Mapping[str, str] | None = None) -> DataFrame:
+    """Pairs of entities named in one sentence, as a written table; ``folding`` holds for every key."""
     kept = cut(sentences)
-    tags = tag_entities(kept, build_dictionary(vertices, aliases))
-    return cut(mention_pairs(comention_sentences(kept, tags)))
+    tags = tag_entities(kept, build_dictionary(vertices, aliases, folding), folding)
+    return cut(mention_pairs(comention_sentences(kept, tags, folding)))
 
 
 def mine_relations(pairs: DataFrame, vertices: DataFrame, aliases: DataFrame, edges: DataFrame) -> DataFrame:

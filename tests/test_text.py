@@ -158,3 +158,14 @@ def test_cosine_in_blocks_equals_brute_force(spark, monkeypatch):
     scores = np.round((queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ (vectors / norms[:, None]).T, 9)
     want = {(q, int(i)) for q in range(7) for i in sorted(range(300), key=lambda i: (-scores[q][i], i))[:9]}
     assert {(r["query_id"], r["id"]) for r in got} == want
+
+
+def test_folding_reaches_the_tags(spark):
+    from kinweave.operators.mining import build_dictionary, tag_entities
+
+    vertices = spark.createDataFrame([("c1", 1, "亚瑟王", "Saber")], "id string, wiki_id int, name string, class_name string")
+    aliases = spark.createDataFrame([], "id string, alias string")
+    sentences = spark.createDataFrame([(1, "亞瑟王 won the battle.")], "sentence_id int, text string")
+    folding = {"亞": "亚"}
+    tags = tag_entities(sentences, build_dictionary(vertices, aliases, folding), folding).collect()
+    assert [(t.entity_id, t.match) for t in tags] == [("c1", "亞瑟王")]

@@ -173,7 +173,7 @@ def strip_sql(expression: str) -> str:
 SENTENCES = rf"""plain AS (SELECT doc_id, {wiki_sql('text')} AS text FROM documents),
   pieces AS (SELECT doc_id, regexp_split_to_array(text, '{text_functions.SENTENCE_END}') AS p FROM plain),
   listed AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS sentence_no, {strip_sql('unnest(p)')} AS text FROM pieces),
-  sentences AS (SELECT doc_id * 1000000 + sentence_no AS sentence_id, doc_id, sentence_no, text FROM listed
+  sentences AS (SELECT doc_id * 1000000000000 + sentence_no AS sentence_id, doc_id, sentence_no, text FROM listed
                 WHERE length(text) BETWEEN 12 AND 400)"""
 
 
@@ -181,7 +181,7 @@ def _sentences(spark, sf):
     pages = view(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("title"), "text")
     pages = spread(pages, "page_id")
     found = mining.page_sentences(mining.page_sections(pages))
-    return found.withColumn("sentence_id", F.col("page_id") * 1_000_000 + F.col("section_no") * 100_000 + F.col("sentence_no"))
+    return found.withColumn("sentence_id", F.col("page_id") * 10**12 + F.col("section_no") * 10**6 + F.col("sentence_no"))
 
 
 @query(f"WITH {SENTENCES} SELECT sentence_id, doc_id, text FROM sentences")
