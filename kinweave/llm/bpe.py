@@ -41,7 +41,7 @@ PLAIN = re.compile(f" ?[{LETTERS}]+").fullmatch
 class PieceTable(dict):
     """Ids of pieces of text, each worked out once; emptied when it holds more than ``most``."""
 
-    def __init__(self, encode_pieces: Callable[[list], list], most: int = 600_000):
+    def __init__(self, encode_pieces: Callable[[list], list], most: int = 400_000):
         super().__init__()
         self.encode_pieces, self.most = encode_pieces, most
         self.reset()
