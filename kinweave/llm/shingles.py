@@ -74,9 +74,10 @@ def shingle_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
     as one; without words, none."""
     for first, last in slices(texts, CHUNK):
         words, counts = word_hashes(texts[first:last])
-        chained = np.zeros(max(0, len(words) - width + 1), np.uint64)
-        for k in range(width):
-            chained = mix(chained * _STEP + words[k:len(words) - width + 1 + k])
+        size = max(0, len(words) - width + 1)
+        chained = np.zeros(size, np.uint64)
+        for k in range(width if size else 0):
+            chained = mix(chained * _STEP + words[k:k + size])
         place = 0
         for n in counts:
             if n >= width:

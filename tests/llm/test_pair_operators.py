@@ -100,6 +100,16 @@ def test_every_pair_within_the_distance_shares_a_key(spark):
     assert keys.join(first, "key").select("node").distinct().count() == len(sigs)
 
 
+def test_shingles_of_a_batch_with_few_words():
+    for width in range(1, 8):
+        for n in range(width + 2):
+            words = [f"w{i}" for i in range(n)]
+            alone = [len(v) for v in shingles.shingle_sets([" ".join(words)], width)]
+            parted = [v.tolist() for v in shingles.shingle_sets(["", *words], width)]
+            assert alone == [n - width + 1 if n >= width else min(n, 1)]
+            assert parted == [v.tolist() for w in ["", *words] for v in shingles.shingle_sets([w + " "], width)]
+
+
 def test_word_hashes_do_not_depend_on_the_batch(monkeypatch):
     texts = ["Ab  cd\nef é", "", "x", "q " * 500, "ab cd"]
     whole = [v.tolist() for v in shingles.shingle_sets(texts, 2)]
