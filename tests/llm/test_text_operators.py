@@ -1,6 +1,8 @@
 """Small cases and brute force for the operators on single texts."""
 
 import hashlib
+import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -116,6 +118,46 @@ def test_licences(spark):
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+def brute_licences(text, templates, threshold=0.8):
+    """Licences and best coefficient by Python over the whole text, its lines and all runs of each template's words."""
+    def grams(words):
+        return list(zip(words, words[1:]))
+
+    def words(t):
+        return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in t))
+
+    found = {}
+    for template in templates:
+        own, size = set(grams(words(template.text))), len(words(template.text))
+        all_words = words(text)
+        parts = [set(grams(words(t))) for t in [text, *re.split("\r?\n|\r", text)]]
+        parts += [set(grams(all_words[s:s + size])) for s in range(len(all_words) - 1) if tuple(all_words[s:s + 2]) in own]
+        best = max(2 * len(p & own) / (len(p) + len(own)) for p in parts)
+        if best >= threshold:
+            found[template.licence] = max(best, found.get(template.licence, 0))
+    return sorted(found), min(found, key=lambda n: (-found[n], n), default=None), max(found.values(), default=0.0)
+
+
+def test_licences_across_lines_and_within_them(spark):
+    known = (*licenses.TEMPLATES, *licenses.IN_FULL)
+    prose = " ".join(f"word{i} of the" for i in range(900))
+    apache, gpl, mpl = (next(t.text for t in known if t.licence == n and len(t.text) > 150) for n in ("Apache-2.0", "GPL-3.0", "MPL-2.0"))
+    texts = ["\n".join(f"# {line}" for line in textwrap.wrap(t, 70)) + "\n\n" + prose for t in (apache, gpl, mpl)]
+    texts += [prose + "\n" + textwrap.fill(t.text, 60) + "\n" + prose for t in licenses.IN_FULL]
+    texts += ["Copyright 2021 Jane Doe. Released under the MIT License. See LICENSE.", "The end. Released under the MIT",
+              prose + " " + known[3].text.replace("without limitation", "").replace("OR OTHERWISE", "or\r\notherwise now"),
+              "Licensed under the Apache License, version 2.0. " * 50, prose, "", "a", "released under the", known[3].text[:400]]
+    got = rows(licenses.scan_licenses(docs(spark, texts)))
+    for i, text in enumerate(texts):
+        licences, best, score = brute_licences(text, known)
+        assert (got[i].licences, got[i].best, round(got[i].score, 12)) == (licences, best, round(score, 12)), text[:60]
+    assert [got[i].best for i in range(6)] == ["Apache-2.0", "GPL-3.0", "MPL-2.0", "ISC", "BSD-2-Clause", "MIT"]
+    assert all(got[i].score == 1.0 for i in range(6)) and got[9].best is None
+    # The full texts are found as such, not only by how they begin.
+    full = rows(licenses.scan_licenses(docs(spark, texts), licenses.IN_FULL))
+    assert full[3].licences == ["ISC"] and full[4].licences == ["BSD-2-Clause"] and full[3].score == full[4].score == 1.0
+
+
 CHAT = "conv_id long, turn long, role string, text string, key string"
 
 
