@@ -48,10 +48,11 @@ def cjk_grams(text: Column) -> Column:
         F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2))))))
 
 
-def query_tokens(text: Column, limit: int = 12) -> Column:
-    """Tokens of a query: Latin and digit runs in lower case, then CJK pairs, at most ``limit``."""
+def query_tokens(text: Column, limit: int | None = 12) -> Column:
+    """Tokens of a query: Latin and digit runs in lower case, then CJK pairs, at most ``limit``; ``None`` is all."""
     latin = F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z0-9]+)")), lambda t: F.lower(t))
-    return F.slice(F.concat(latin, cjk_grams(text)), 1, limit)
+    tokens = F.concat(latin, cjk_grams(text))
+    return tokens if limit is None else F.slice(tokens, 1, limit)
 
 
 def index_tokens(text: Column) -> Column:

@@ -128,12 +128,13 @@ def name_base(name: Column) -> Column:
     return F.trim(F.substring_index(F.substring_index(name, "〔", 1), "(", 1))
 
 
-def link_entities(questions: DataFrame, vertices: DataFrame, postings: DataFrame, top: int = 3) -> DataFrame:
+def link_entities(questions: DataFrame, vertices: DataFrame, postings: DataFrame, top: int = 3,
+                  tokens: int | None = None) -> DataFrame:
     """Entities that questions (question_id, text) are about: question_id, entity_id, score, rank.
 
     A name or prototype in the text scores ten per character. The parts of the text are searched as
-    well, two points for a good hit and one for a fair one. Variants of one name count as the one with
-    the smallest wiki_id.
+    well, two points for a good hit and one for a fair one; with ``tokens``, by so many tokens of each.
+    Variants of one name count as the one with the smallest wiki_id.
     """
     names = vertices.select(F.col("name").alias("needle"), F.lit(0).alias("o"), "wiki_id", "id").union(
         vertices.select("prototype", F.lit(1), "wiki_id", "id")).filter(F.length("needle") >= 2)
@@ -147,7 +148,7 @@ def link_entities(questions: DataFrame, vertices: DataFrame, postings: DataFrame
     searched = parts.filter(F.col("pieces") > 1).unionByName(
         parts.filter(F.col("pieces") <= 1).join(named.select("question_id"), "question_id", "left_anti"))
     asked = searched.select(F.col("part").alias("query_id"), F.col("part").alias("text")).distinct()
-    lexical = cut(bm25_search(asked, postings, limit=6))
+    lexical = cut(bm25_search(asked, postings, limit=6, tokens=tokens))
     nothing = lexical.select("query_id", F.col("doc_id").alias("id"), "score").filter(F.lit(False))
     found = hybrid_search(lexical, nothing, 3).select(F.col("query_id").alias("part"), F.col("doc_id").alias("id"), "score")
     recalled = searched.join(found, "part").groupBy("question_id", "id").agg(

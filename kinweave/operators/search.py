@@ -79,16 +79,18 @@ def term_statistics(postings: DataFrame) -> DataFrame:
 
 
 def bm25_search(queries: DataFrame, postings: DataFrame, limit: int = 20,
-                weights: Mapping[str, float] | None = None, common_from: int = 100_000) -> DataFrame:
+                weights: Mapping[str, float] | None = None, common_from: int = 100_000,
+                tokens: int | None = None) -> DataFrame:
     """Best documents per query: query_id, doc_id, score; higher is better.
 
     Query tokens are prefixes, joined by OR; the score is BM25 over the weighted sum of the fields.
     Prefixes meet terms through the prefixes of the distinct terms, an equi-join, and equal texts are
     searched once. Tokens found in ``common_from`` documents or more are not paired with all of those
-    for each query; see ``_rank_with_common``. The result does not depend on ``common_from``.
+    for each query; see ``_rank_with_common``. The result does not depend on ``common_from``. With
+    ``tokens``, only so many tokens of each text are searched; the reference takes 12.
     """
     texts = queries.select("text").distinct()
-    asked = texts.select("text", F.explode(query_tokens(F.col("text"))).alias("token"))
+    asked = texts.select("text", F.explode(query_tokens(F.col("text"), tokens)).alias("token"))
     asked = cut(asked.groupBy("text", "token").agg(F.count(F.lit(1)).alias("times")))
     parts = cut(_token_parts(asked.select("token").distinct(), postings, dict(weights or FIELD_WEIGHTS)))
     spread_of = cut(parts.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("most")))

@@ -124,6 +124,15 @@ def test_search_finds_prefixes_and_falls_back(spark):
     assert {(r["query_id"], r["doc_id"]) for r in more} == {("f", "c3")}
 
 
+def test_whole_texts_are_searched(spark):
+    words = " ".join(f"w{i}" for i in range(12))
+    rows = [("early", "description", words), ("late", "description", "needle"), ("cjk", "description", "阿喀琉斯"), ("other", "description", "x")]
+    postings = search.build_postings(spark.createDataFrame(rows, "doc_id string, field string, text string"))
+    asked = spark.createDataFrame([(1, words + " needle 阿喀琉斯")], "query_id int, text string")
+    assert {r["doc_id"] for r in search.bm25_search(asked, postings).collect()} == {"early", "late", "cjk"}
+    assert {r["doc_id"] for r in search.bm25_search(asked, postings, tokens=12).collect()} == {"early"}
+
+
 @pytest.mark.parametrize("common_from", [1, 5, 60, 150])
 def test_common_tokens_do_not_change_the_ranking(spark, common_from):
     rng = np.random.default_rng(4)

@@ -85,8 +85,23 @@ BM25 = f"""w AS (SELECT doc_id, unnest({INDEX_TOKENS.format('text')}) AS term FR
           WHERE nth <= 20)"""
 
 
-@query(f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score FROM lex")
+RANKED = f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score FROM lex"
+#: The reference searches by so many tokens; queries named ``..._whole`` by all of them.
+FIRST_TOKENS = 12
+
+
+def whole_texts(sql):
+    return sql.replace(QUERY_TOKENS.format("text"), QUERY_TOKENS.format("text").removesuffix("[1:12]"))
+
+
+@query(RANKED)
 def bm25_search(spark, sf):
+    found = search.bm25_search(_searches(spark, sf), _postings(spark, sf), tokens=FIRST_TOKENS)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(whole_texts(RANKED))
+def bm25_search_whole(spark, sf):
     found = search.bm25_search(_searches(spark, sf), _postings(spark, sf))
     return found.withColumn("score", F.round("score", 6))
 
@@ -137,13 +152,22 @@ def cosine_topk(spark, sf):
     return _semantic(spark, sf).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {BM25}, {CENTROIDS},
+FUSED = f"""WITH {BM25}, {CENTROIDS},
   l AS (SELECT query_id, doc_id, score / max(score) OVER (PARTITION BY query_id) AS lex FROM lex),
   fused AS (SELECT query_id, doc_id, round(0.6 * coalesce(lex, 0) + 0.4 * coalesce(greatest(score, 0), 0), 9) AS score
             FROM l FULL JOIN (SELECT query_id, id AS doc_id, score FROM sem) s USING (query_id, doc_id))
   SELECT query_id, doc_id, round(score, 6) AS score FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS nth FROM fused) x WHERE nth <= 10""")
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS nth FROM fused) x WHERE nth <= 10"""
+
+
+@query(FUSED)
 def hybrid_search(spark, sf):
+    lexical = search.bm25_search(_searches(spark, sf), _postings(spark, sf), tokens=FIRST_TOKENS)
+    return search.hybrid_search(lexical, _semantic(spark, sf), 10).withColumn("score", F.round("score", 6))
+
+
+@query(whole_texts(FUSED))
+def hybrid_search_whole(spark, sf):
     lexical = search.bm25_search(_searches(spark, sf), _postings(spark, sf))
     return search.hybrid_search(lexical, _semantic(spark, sf), 10).withColumn("score", F.round("score", 6))
 
