@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -12,8 +13,8 @@ from kinweave.lineage import cut
 from kinweave.operators.edges import both_ways
 from kinweave.operators.ranking import top_n
 
-#: A rise in modularity over two turns that is worth going on for.
-LEAST_RISE = 1e-3
+#: A rise in modularity over two turns that is above rounding errors.
+LEAST_RISE = 1e-12
 
 
 def communities(vertices: DataFrame, edges: DataFrame, levels: int | None = None,
@@ -21,10 +22,12 @@ def communities(vertices: DataFrame, edges: DataFrame, levels: int | None = None
     """A community for every vertex: id, community (its smallest member).
 
     Parallel edges weigh more. Nodes move to the neighbouring community that gains most, half of them
-    (drawn by hash) in one turn and the others in the next, until no node moves or two turns no longer
-    raise modularity by ``least_rise``; then communities become the nodes of the next level, until none is joined to
-    another. ``levels`` and ``rounds`` (turns in a level) end that earlier. Ties go to the present
-    community, then to the smallest name, so a run can be repeated.
+    (drawn by hash) in one turn and the others in the next. Where two turns do not raise modularity by
+    more than ``least_rise``, because moves spoil each other, only moves between communities of their
+    own are made, until no node gains by moving; then communities become the nodes of the next level,
+    until none is joined to another. Then the vertices move again, from where they are, until no move
+    of one vertex raises modularity. ``levels`` and ``rounds`` (turns in a level) end that earlier.
+    Ties go to the present community, then to the smallest name, so a run can be repeated.
     """
     pairs = both_ways(edges.filter(F.col("type") != "BELONGS_TO").select("source_id", "target_id"))
     links = cut(pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w")))
@@ -32,16 +35,26 @@ def communities(vertices: DataFrame, edges: DataFrame, levels: int | None = None
     of_vertex = None
     if total:
         nodes = cut(links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")))
+        vertex_nodes, vertex_links, first = nodes.withColumn("comm", F.col("node")), links, True
+        start = vertex_nodes
         for level in count() if levels is None else range(levels):
-            state = _local_moves(nodes, links, total, rounds, least_rise, level)
+            state = _local_moves(start, links, total, rounds, least_rise, level)
             step = state.select("node", "comm")
-            if of_vertex is None:
+            moves = start.select("node", F.col("comm").alias("before")).join(step, "node").filter(F.col("before") != F.col("comm"))
+            unmoved = moves.isEmpty()
+            if first:
                 of_vertex = step.select(F.col("node").alias("id"), "comm")
             else:
                 of_vertex = cut(of_vertex.withColumnRenamed("comm", "node").join(step, "node").select("id", "comm"))
-            if state.filter(F.col("comm") != F.col("node")).isEmpty():
-                break
-            nodes = cut(state.groupBy(F.col("comm").alias("node")).agg(F.sum("k").alias("k")))
+            if unmoved:
+                if first or rounds is not None:
+                    break
+                # Communities are settled: the vertices take their turns in them.
+                links, first = vertex_links, True
+                start = vertex_nodes.select("node", "k").join(of_vertex.withColumnRenamed("id", "node"), "node")
+                continue
+            first = False
+            start = cut(state.groupBy(F.col("comm").alias("node")).agg(F.sum("k").alias("k"))).withColumn("comm", F.col("node"))
             ends = step.select(F.col("node").alias("src"), F.col("comm").alias("a"))
             others = step.select(F.col("node").alias("dst"), F.col("comm").alias("b"))
             links = cut(
@@ -56,44 +69,69 @@ def communities(vertices: DataFrame, edges: DataFrame, levels: int | None = None
     return ids.join(named, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
-def _local_moves(nodes: DataFrame, links: DataFrame, total: float, rounds: int | None, least_rise: float,
+def _local_moves(start: DataFrame, links: DataFrame, total: float, rounds: int | None, least_rise: float,
                  level: int) -> DataFrame:
     """Node, its weight k and its community after the turns of one level: the best state met."""
-    state = best = nodes.withColumn("comm", F.col("node"))
+    state = best = start
     highest = _share_inside(state, links, total)
     for turn in count() if rounds is None else range(rounds):
-        weights = state.groupBy("comm").agg(F.sum("k").alias("weight"))
         def lively(node: str, turn: int = turn) -> Column:
             return F.pmod(F.xxhash64(node, F.lit(level), F.lit(turn // 2)), F.lit(2)) == turn % 2
 
-        movers = state.filter(lively("node"))
-        toward = (
-            links.filter(lively("src"))
-            .join(state.select(F.col("node").alias("dst"), "comm"), "dst")
-            .select("src", "comm", "w")
-            .unionByName(movers.select(F.col("node").alias("src"), "comm", F.lit(0.0).alias("w")))
-            .groupBy("src", "comm").agg(F.sum("w").alias("w"))
-        )
-        own = F.col("comm") == F.col("own")
-        rest = F.col("weight") - F.when(own, F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("w") - F.col("k") * rest / F.lit(total), 9)
-        choice = (
-            toward.join(movers.select(F.col("node").alias("src"), "k", F.col("comm").alias("own")), "src")
-            .join(weights, "comm")
-            .groupBy("src").agg(F.min_by("comm", F.struct((-gain).alias("g"), (~own).alias("o"), "comm")).alias("to"))
-        )
-        moved = state.join(choice, F.col("node") == F.col("src"), "left").select(
-            "node", "k", F.coalesce("to", "comm").alias("comm"))
-        moved = cut(moved)
-        state = moved
+        state = _moved(state, _choices(state, links, total, lively))
         if turn % 2:  # each node has had its turn
             reached = _share_inside(state, links, total)
-            if reached > highest:
-                best = state
-            if reached <= highest + least_rise:
+            if reached > highest + least_rise:
+                best, highest = state, reached
+            elif rounds is not None:
                 return best
-            highest = reached
-    return state if rounds is not None else best
+            else:
+                apart = cut(_moves_apart(_choices(best, links, total)))
+                if apart.isEmpty():
+                    return best
+                state = best = _moved(best, apart)
+                highest = _share_inside(state, links, total)
+    return state
+
+
+def _choices(state: DataFrame, links: DataFrame, total: float, lively: Callable[[str], Column] | None = None) -> DataFrame:
+    """Where the lively nodes (or all) gain most: src, own, to, rise."""
+    movers = state.filter(lively("node")) if lively else state
+    weights = state.groupBy("comm").agg(F.sum("k").alias("weight"))
+    toward = (
+        (links.filter(lively("src")) if lively else links)
+        .join(state.select(F.col("node").alias("dst"), "comm"), "dst")
+        .select("src", "comm", "w")
+        .unionByName(movers.select(F.col("node").alias("src"), "comm", F.lit(0.0).alias("w")))
+        .groupBy("src", "comm").agg(F.sum("w").alias("w"))
+    )
+    own = F.col("comm") == F.col("own")
+    rest = F.col("weight") - F.when(own, F.col("k")).otherwise(0.0)
+    gain = F.round(F.col("w") - F.col("k") * rest / F.lit(total), 9)
+    return (
+        toward.join(movers.select(F.col("node").alias("src"), "k", F.col("comm").alias("own")), "src")
+        .join(weights, "comm")
+        .groupBy("src", "own").agg(F.min(F.struct((-gain).alias("g"), (~own).alias("o"), "comm")).alias("best"),
+                                   F.max(F.when(own, gain)).alias("stay"))
+        .select("src", "own", F.col("best.comm").alias("to"), (-F.col("best.g") - F.col("stay")).alias("rise"))
+    )
+
+
+def _moves_apart(choices: DataFrame) -> DataFrame:
+    """Moves that are the best of both communities they touch, so what they gain adds up: src, to.
+
+    The best move of all is always among them.
+    """
+    moves = cut(choices.filter(F.col("to") != F.col("own")))
+    touched = moves.select("src", "rise", F.explode(F.array("own", "to")).alias("comm"))
+    first = touched.groupBy("comm").agg(F.min(F.struct((-F.col("rise")).alias("r"), "src")).alias("first"))
+    return (first.groupBy(F.col("first.src").alias("src")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 2)
+            .join(moves, "src").select("src", "to"))
+
+
+def _moved(state: DataFrame, choices: DataFrame) -> DataFrame:
+    return cut(state.join(choices.select("src", "to"), F.col("node") == F.col("src"), "left").select(
+        "node", "k", F.coalesce("to", "comm").alias("comm")))
 
 
 def _share_inside(state: DataFrame, links: DataFrame, total: float) -> float:

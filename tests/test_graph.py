@@ -232,3 +232,24 @@ def test_no_single_move_raises_modularity_much(spark):
     planted = quality({f"n{i}": i // 40 for i in range(120)})
     assert len(found) == 120 and reached > 0.9 * planted > 0
     assert all(found[c] == c for c in found.values()) and len(set(found.values())) <= 12
+
+
+def test_no_single_move_raises_modularity_at_all(spark):
+    """Many small communities beside each other: each is a small share of all weight."""
+    draw = random.Random(11)
+    ends = {(6 * b + i, 6 * b + j) for b in range(250) for i, j in itertools.combinations(range(6), 2) if draw.random() < 0.6}
+    ends |= {tuple(sorted(draw.sample(range(1500), 2))) for _ in range(900)}
+    rows = [(i, f"n{a}", f"n{b}", "ALLY_OF") for i, (a, b) in enumerate(sorted(ends))]
+    e = spark.createDataFrame(rows, "id int, source_id string, target_id string, type string")
+    v = spark.createDataFrame([(f"n{i}",) for i in range(1500)], "id string")
+    found = dict(community.communities(v, e).collect())
+    around, weight, total = {}, {}, 2 * len(rows)
+    for _, a, b, _ in rows:
+        around.setdefault(a, []).append(b)
+        around.setdefault(b, []).append(a)
+    for node, near in around.items():
+        weight[found[node]] = weight.get(found[node], 0) + len(near)
+    for node, near in around.items():
+        k, own = len(near), found[node]
+        gains = {c: sum(found[x] == c for x in near) - k * (weight[c] - k * (c == own)) / total for c in {own, *(found[x] for x in near)}}
+        assert max(gains.values()) <= gains[own] + 1e-8
