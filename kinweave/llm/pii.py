@@ -143,11 +143,34 @@ def span_digests(found: DataFrame) -> DataFrame:
 
 def mask_pii(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, with every confirmed match in the text replaced by its kind,
-    such as ``<EMAIL>``. A null text stays null."""
+    such as ``<EMAIL>``. Matches that overlap are replaced as one, by the kind of the longest, or the
+    first in ``MASK_ORDER``. A null text stays null."""
     text = F.col(text_column)
-    for name in MASK_ORDER:
-        kind = next(k for k in KINDS if k.name == name)
-        parts = F.transform(pieces(text, kind), lambda p: F.concat(
-            p["gap"], F.when(p["hit"].isNull(), "").when(valid(name, p["hit"]), f"<{name.upper()}>").otherwise(p["hit"])))
-        docs = docs.withColumn(text_column, F.when(searched(text, kind), F.array_join(parts, "")).otherwise(text))
-    return docs
+    order = F.array(*(F.lit(name) for name in MASK_ORDER))
+    spans = F.array_sort(F.transform(F.concat(*(spans_of(text, r) for r in range(len(KINDS)))), lambda s: F.struct(
+        s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"),
+        (s["start"] - s["end"]).cast("int").alias("minus"), F.array_position(order, s["kind"]).cast("int").alias("nth"),
+        s["kind"].alias("kind"))))
+    shape = "array<struct<start: int, end: int, minus: int, nth: int, kind: string>>"
+
+    def merge(ranges: Column, s: Column) -> Column:
+        last = F.get(ranges, F.size(ranges) - 1)
+        longer = (s["minus"] < last["minus"]) | ((s["minus"] == last["minus"]) & (s["nth"] < last["nth"]))
+        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), *(
+            F.when(longer, s[name]).otherwise(last[name]).alias(name) for name in ("minus", "nth", "kind")))
+        return F.when(F.coalesce(s["start"] < last["end"], F.lit(False)),
+                      F.concat(F.slice(ranges, 1, F.size(ranges) - 1), F.array(both))).otherwise(
+            F.concat(ranges, F.array(s))).cast(shape)
+
+    ranges = F.aggregate(spans, F.array().cast(shape), merge)
+
+    def rebuild(ranges: Column) -> Column:
+        def piece(r: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(ranges, i - 1)["end"], F.lit(0))
+            return F.concat(F.substr(text, before + 1, r["start"] - before), F.lit("<"), F.upper(r["kind"]), F.lit(">"))
+
+        end = F.get(ranges, F.size(ranges) - 1)["end"]
+        return F.when(F.size(ranges) == 0, text).otherwise(
+            F.concat(F.array_join(F.transform(ranges, piece), ""), F.substr(text, end + 1, F.length(text))))
+
+    return docs.withColumn(text_column, F.get(F.transform(F.array(ranges), rebuild), F.lit(0)))

@@ -106,6 +106,17 @@ def test_pii_spans(spark):
     assert pii.find_pii(docs(spark, [])).count() == 0
 
 
+def test_masks_cover_every_span_of_the_original(spark):
+    texts = ["call +33.1.42.68.53.00 now", "é 10.0.0.1 and a@b.org, +44 20 7946 0958.", "4111 1111 1111 1111 1.2.3.4", None, "", "plain 12"]
+    masked = rows(pii.mask_pii(docs(spark, texts)))
+    for r in pii.find_pii(docs(spark, texts)).collect():
+        if r.text is not None:
+            covered = {i for s in r.found for i in range(s.start, s.end)}
+            kept = "".join(c if i not in covered else "" for i, c in enumerate(r.text))
+            assert re.sub("<[A-Z]+>", "", masked[r.doc_id].text or "") == kept
+    assert masked[0].text == "call <PHONE> now" and masked[1].text == "é <IP> and <EMAIL>, <PHONE>." and masked[5].text == "plain 12"
+
+
 def test_licences(spark):
     mit = licenses.TEMPLATES[3].text
     texts = ["prose\nReleased under the MIT License.\nmore", mit, mit.replace("free of charge", "free"), "nothing", None, "",
