@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.lineage import shared_folder
-from kinweave.llm import ann, bpe, chat, decontaminate, licenses, near_dup, pii, quality, token_store, toxicity
+from kinweave.llm import (ann, bpe, chat, decontaminate, licenses, merkle, near_dup, packing, pii, quality, repair,
+                          token_store, toxicity)
 from kinweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,3 +191,148 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned crc32 of ASCII text: each byte is taken in, then eight shifts by one bit (marked -1)."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: " \
+            f"[ascii(substr({text}, i, 1)), -1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[]))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) " \
+           "WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END), 4294967295::BIGINT)"
+
+
+def leaf_sql(text: str) -> str:
+    fields = [f"{c}::VARCHAR" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+@query(f"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS tree, {leaf_sql('text')} AS leaf, {leaf_sql('changed')} AS tampered
+  FROM (SELECT *, CASE WHEN {crc32_sql('doc_id::VARCHAR')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed
+        FROM documents)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+         count(*) OVER (PARTITION BY tree) AS n FROM doc
+), lower_tree AS (
+  SELECT tree, 0 AS level, place, leaf AS digest, n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)), (any_value(n) + 2) // 3
+  FROM lower_tree WHERE n > 1 GROUP BY tree, level, place // 3
+), subroot AS (
+  SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM lower_tree WHERE n = 1
+), upper_tree AS (
+  SELECT 0 AS level, place, digest, n FROM subroot
+  UNION ALL
+  SELECT level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)), (any_value(n) + 2) // 3
+  FROM upper_tree WHERE n > 1 GROUP BY level, place // 3
+), node AS (
+  SELECT tree, level, place, digest FROM lower_tree WHERE n > 1
+  UNION ALL
+  SELECT s.tree, l.levels + u.level, u.place, u.digest
+  FROM subroot s, (SELECT tree, max(level) AS levels FROM lower_tree GROUP BY tree) l, upper_tree u
+  WHERE s.tree = l.tree AND u.n > 1
+), start AS (
+  SELECT p.tree, p.place AS row, d.digest, s.place AS place_of_tree, (SELECT max(level) FROM lower_tree l WHERE l.tree = p.tree) AS levels,
+         p.tampered FROM placed p JOIN lower_tree d ON d.tree = p.tree AND d.level = 0 AND d.place = p.place JOIN subroot s ON s.tree = p.tree
+), fold AS (
+  SELECT tree, row, 0 AS level, CASE WHEN levels = 0 THEN place_of_tree ELSE row END AS place, place_of_tree, levels,
+         tampered AS digest, [] ::VARCHAR[] AS proof FROM start
+  UNION ALL
+  SELECT f.tree, f.row, f.level + 1,
+         CASE WHEN f.level + 1 = any_value(f.levels) THEN any_value(f.place_of_tree) ELSE any_value(f.place) // 3 END,
+         any_value(f.place_of_tree), any_value(f.levels),
+         sha256(string_agg(CASE WHEN n.place = f.place THEN f.digest ELSE n.digest END, '' ORDER BY n.place)),
+         any_value(f.proof) || coalesce(list(n.digest ORDER BY n.place) FILTER (n.place <> f.place), [])
+  FROM fold f JOIN node n ON n.tree = f.tree AND n.level = f.level AND n.place // 3 = f.place // 3
+  GROUP BY f.tree, f.row, f.level
+), folded AS (
+  SELECT tree, row, arg_max(digest, level) AS folded_root, arg_max(proof, level) AS proof FROM fold GROUP BY tree, row
+)
+SELECT doc_id, leaf, s.digest AS subroot, r.digest AS root, sha256(array_to_string(proof, '')) AS proof_sha256,
+       folded_root, folded_root = r.digest AS verified
+FROM placed p JOIN folded f ON f.tree = p.tree AND f.row = p.place JOIN subroot s ON s.tree = p.tree,
+     (SELECT digest FROM upper_tree WHERE n = 1) r
+""")
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0,
+                      F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    manifest = merkle.build_manifest(merkle.document_leaves(docs, tampered), "source", ["doc_id"], "leaf")
+    folded = merkle.fold_replaced(manifest, "leaf", "changed", ["doc_id"])
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query()
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.piece_digests(packed)
+
+
+#: The state that follows a turn of the user or the assistant, and its role, by state (from 1 here).
+NEXT_SQL, ROLE_SQL = "[2, 2, 3, 2][s + 1]", "['user', 'user', 'assistant', 'user'][s + 1]"
+
+
+def _best_sql(state: int, after: int, kept: str) -> str:
+    """The cheapest edit of a row but for inserts before it; ``kept`` is the cost after keeping it, if it may be."""
+    return f"least({repair.DELETE} + a[{state + 1}], CASE WHEN fault NOT IN ('b', 'd') THEN {repair.REROLE} + a[{after + 1}] + extra END, " \
+           f"CASE WHEN fault NOT IN ('b', 'd') THEN ({kept}) + extra END)"
+
+
+@query(f"""
+WITH RECURSIVE damaged AS (
+  SELECT coalesce('=' || conv_id, '-') AS conv, turn, CASE k WHEN 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+         unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM (SELECT *, {crc32_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS k FROM conversations)
+  WHERE k <> 0
+), placed AS (
+  SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown, left(role, 1) AS initial,
+         row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text)) - 1 AS i,
+         count(*) OVER (PARTITION BY conv) AS n FROM damaged
+), flagged AS (
+  SELECT *, CASE WHEN shown = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'd'
+                 WHEN right(shown, 1) IN ('.', '!', '?') THEN '.' ELSE 't' END AS fault,
+         lag(initial) OVER (PARTITION BY conv ORDER BY i) || initial AS pair FROM placed
+), back AS (
+  SELECT conv, n AS i, {list(repair.END)}::BIGINT[] AS b, NULL::BIGINT[] AS a, '' AS initial, '' AS fault, '' AS role, '' AS text
+  FROM (SELECT DISTINCT conv, n FROM placed)
+  UNION ALL
+  SELECT conv, i, [least(e[1], {repair.INSERT} + e[3], {2 * repair.INSERT} + e[4]), least(e[2], {repair.INSERT} + e[3], {2 * repair.INSERT} + e[4]),
+                   least(e[3], {repair.INSERT} + e[4]), least(e[4], {repair.INSERT} + e[3])], a, initial, fault, role, text
+  FROM (SELECT *, [{_best_sql(0, 2, "CASE initial WHEN 's' THEN a[2] WHEN 'u' THEN a[3] END")},
+                   {_best_sql(1, 2, "CASE initial WHEN 'u' THEN a[3] END")},
+                   {_best_sql(2, 3, "CASE initial WHEN 'a' THEN a[4] END")},
+                   {_best_sql(3, 2, "CASE initial WHEN 'u' THEN a[3] END")}] AS e
+        FROM (SELECT f.conv, f.i, f.initial, f.fault, f.role, f.text, back.b AS a,
+                     CASE f.fault WHEN 't' THEN {repair.TRUNCATED} ELSE 0 END AS extra
+              FROM back JOIN flagged f ON f.conv = back.conv AND f.i = back.i - 1))
+), trace AS (
+  SELECT conv, 0::BIGINT AS i, 0::BIGINT AS s, '' AS audit, []::VARCHAR[] AS lines FROM (SELECT DISTINCT conv FROM placed)
+  UNION ALL
+  SELECT conv, CASE edit WHEN 'I' THEN i ELSE i + 1 END, CASE edit WHEN 'D' THEN s WHEN 'K' THEN kept ELSE {NEXT_SQL} END, audit || edit,
+         CASE edit WHEN 'D' THEN lines WHEN 'I' THEN lines || [{ROLE_SQL} || ':'] WHEN 'K' THEN lines || [role || ':' || text]
+                   ELSE lines || [{ROLE_SQL} || ':' || text] END
+  FROM (SELECT *, CASE WHEN a IS NULL THEN 'I' WHEN {repair.DELETE} + a[s + 1] = b[s + 1] THEN 'D'
+                       WHEN {repair.INSERT} + b[{NEXT_SQL} + 1] = b[s + 1] THEN 'I'
+                       WHEN fault NOT IN ('b', 'd') AND kept IS NOT NULL
+                            AND a[kept + 1] + CASE fault WHEN 't' THEN {repair.TRUNCATED} ELSE 0 END = b[s + 1] THEN 'K' ELSE 'R' END AS edit
+        FROM (SELECT t.*, k.a, k.b, k.fault, k.role, k.text,
+                     CASE WHEN t.s = 0 AND k.initial = 's' THEN 1 WHEN t.s IN (0, 1, 3) AND k.initial = 'u' THEN 2
+                          WHEN t.s = 2 AND k.initial = 'a' THEN 3 END AS kept
+              FROM trace t JOIN back k ON k.conv = t.conv AND k.i = t.i WHERE k.a IS NOT NULL OR t.s IN (1, 2)))
+), done AS (
+  SELECT conv, arg_max(audit, length(audit)) AS audit, arg_max(lines, length(audit)) AS lines FROM trace GROUP BY conv
+), counted AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM flagged GROUP BY conv
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b[1], 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('=' || conv_id, '-') AS conv FROM conversations)
+     LEFT JOIN counted USING (conv) LEFT JOIN done USING (conv) LEFT JOIN (SELECT conv, b FROM back WHERE i = 0) USING (conv)
+""")
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digests(table(spark, sf_dir, "conversations"))

@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.bpe import LETTERS, SPACE, PieceTable, encode_texts
+from kinweave.llm.bpe import LETTERS, SPACE
 from kinweave.llm.common import batch, id_and_text, small_batches
+from kinweave.llm.word_table import LineCoder
 
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
@@ -28,67 +29,28 @@ INDEX_ROWS = 1000
 WORDS = re.compile(f"[{LETTERS}]++(?![^\\x00-\\x7f])|[,.!?]++(?![^{SPACE}])|[^{SPACE}]+")
 
 
-class WordCoder:
-    """A tokenizer of the tokenizers library that drops white space, fed with each different word once.
+def simple_word(word: str) -> bool:
+    """A word of letters, or of stops, is one pre-token, and so ends with the only word end among its tokens."""
+    return word.isalpha() or not word.strip(",.!?")
 
-    Its normalizer only turns white space into single blanks, composes characters and makes them lower
-    case, and its pre-tokenizer leaves blanks out and never looks back. So the ids of a text are those
-    of its words, and of a plain word and the stops after it. New words go to the library many in a
-    line. A word of letters, or of stops, gives one pre-token; where a line gives just as many as
-    expected, the word ends among its tokens tell whose they are, and else its words are encoded one
-    by one.
-    """
 
-    LINE = 200
-
-    def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tool = Tokenizer.from_file(path)
-        self.tool.no_truncation()
-        self.tool.no_padding()
-        vocabulary = self.tool.get_vocab()
-        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.table = PieceTable(self.encode_words)
-
-    def batch(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def words_of(self, text: str) -> list[str]:
-        """Words in lower case, unless that could matter: added tokens are found before lower case is
-        made, and two letters have more than one lower-case form."""
-        if not ("<|" in text or "\u0130" in text or "\u03a3" in text):
-            text = text.lower()
-        return WORDS.findall(text)
-
-    def encode_words(self, words: list[str]) -> list:
-        whole = np.array([w.isalpha() or not w.strip(",.!?") for w in words])
-        plain, single = np.flatnonzero(whole), list(np.flatnonzero(~whole))
-        found: list = [None] * len(words)
-        lines = [plain[i:i + self.LINE] for i in range(0, len(plain), self.LINE)]
-        for line, ids in zip(lines, self.batch([" ".join(words[i] for i in line) for line in lines])):
-            ids = np.array(ids, np.uint32)
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) != len(line):
-                single += list(line)
-                continue
-            for i, own in zip(line, np.split(ids, ends[:-1])):
-                found[i] = own
-        for i, ids in zip(single, self.batch([words[i] for i in single])):
-            found[i] = ids
-        return found
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        return encode_texts(texts, self.words_of, self.table)
+def words_of(text: str) -> list[str]:
+    """Words in lower case, unless that could matter: added tokens are found before lower case is made,
+    and two letters have more than one lower-case form."""
+    if not ("<|" in text or "\u0130" in text or "\u03a3" in text):
+        text = text.lower()
+    return WORDS.findall(text)
 
 
 @lru_cache(maxsize=2)
-def coder(path: str) -> WordCoder:
-    return WordCoder(path)
+def coder(path: str) -> LineCoder:
+    """A tokenizer file of the tokenizers library that drops white space, fed with each different word once.
+
+    Its normalizer only turns white space into single blanks, composes characters and makes them lower
+    case, and its pre-tokenizer leaves blanks out and never looks back. So the ids of a text are those
+    of its words, and of a plain word and the stops after it.
+    """
+    return LineCoder(path, simple_word, " ", lambda token: token.endswith("</w>"), True)
 
 
 def write_token_ids(docs: DataFrame, tokenizer: str, to: str, end_id: int | None = 2,
@@ -106,7 +68,7 @@ def write_token_ids(docs: DataFrame, tokenizer: str, to: str, end_id: int | None
         tool = coder(tokenizer)
         end = np.array([] if end_id is None else [end_id], np.uint32)
         for rows in batches:
-            ids = [np.concatenate([x, end]) for x in tool.encode(rows["text"].to_pylist())]
+            ids = [np.concatenate([x, end]) for x in tool.table.texts(rows["text"].to_pylist(), words_of)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = np.concatenate([np.empty(0, np.uint32), *ids]).astype(np.int32)
             yield batch(schema, doc_id=rows["doc_id"], ids=pa.ListArray.from_arrays(ends, flat))
@@ -132,8 +94,8 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` from the files alone; ``start`` counts the ids of all
     documents before this one in the order of the files.
 
-    Each file's ids are summed, the sums (a row per file) are added up, and the running sum within a
-    file starts from there.
+    The sums of the files come from the lengths of the lists alone and are a row per file; the running
+    sum within a file starts from there.
     """
     small_batches(spark)
     schema = "doc_id long, part int, n_tokens long, ids_crc32 long"
@@ -143,15 +105,15 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             lists = rows["ids"]
             ends = lists.offsets.to_numpy()
             flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-            sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends, ends[1:])]
+            sums = [zlib.crc32(flat[a:b]) for a, b in zip(ends, ends[1:])]
             yield batch(schema, doc_id=rows["doc_id"], part=rows["part"], n_tokens=np.diff(ends), ids_crc32=sums)
 
-    found = spark.read.schema("doc_id long, ids array<int>, part int").orc(path).mapInArrow(work, schema)
+    stored = spark.read.schema("doc_id long, ids array<int>, part int").orc(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = (found.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    parts = (stored.groupBy("part").agg(F.sum(F.size("ids")).alias("n"))
              .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
     within = (Window.partitionBy("part").orderBy("doc_id", "n_tokens", "ids_crc32")
               .rowsBetween(Window.unboundedPreceding, -1))
-    return (found.join(parts, "part")
+    return (stored.mapInArrow(work, schema).join(parts, "part")
             .select("doc_id", (F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("start"),
                     "n_tokens", "ids_crc32"))
