@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kinweave.functions.rules import look_up
 from kinweave.functions.text import index_tokens, query_tokens
@@ -23,7 +24,10 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 LEXICAL_SHARE, SEMANTIC_SHARE = 0.6, 0.4
 FALLBACK_SCORE = 10.0
 
-QUERY_BLOCK = 1024
+#: Queries and vectors of a block, and rows of a matrix product at a time.
+QUERY_BLOCK, SHARD, PRODUCT_ROWS = 2048, 16_384, 128
+#: Blocks of parts of a score for each halving.
+BLOCKS = 4
 # Scores are rounded so that the order in which parts are summed up never settles a tie.
 DIGITS = 9
 
@@ -79,37 +83,33 @@ def term_statistics(postings: DataFrame) -> DataFrame:
 
 
 def bm25_search(queries: DataFrame, postings: DataFrame, limit: int = 20,
-                weights: Mapping[str, float] | None = None, common_from: int = 100_000,
-                tokens: int | None = None) -> DataFrame:
+                weights: Mapping[str, float] | None = None, tokens: int | None = None) -> DataFrame:
     """Best documents per query: query_id, doc_id, score; higher is better.
 
     Query tokens are prefixes, joined by OR; the score is BM25 over the weighted sum of the fields.
-    Prefixes meet terms through the prefixes of the distinct terms, an equi-join, and equal texts are
-    searched once. Tokens found in ``common_from`` documents or more are not paired with all of those
-    for each query; see ``_rank_with_common``. The result does not depend on ``common_from``. With
-    ``tokens``, only so many tokens of each text are searched; the reference takes 12.
+    Prefixes meet terms through the beginnings of the distinct terms, an equi-join, and equal texts are
+    searched once. What a token adds to each document is laid out in blocks by size; of a token that is
+    found almost everywhere, a text reads only the blocks that can matter to it, see ``_best_by_blocks``.
+    With ``tokens``, only so many tokens of each text are searched; the reference takes 12.
     """
     texts = queries.select("text").distinct()
     asked = texts.select("text", F.explode(query_tokens(F.col("text"), tokens)).alias("token"))
     asked = cut(asked.groupBy("text", "token").agg(F.count(F.lit(1)).alias("times")))
     parts = cut(_token_parts(asked.select("token").distinct(), postings, dict(weights or FIELD_WEIGHTS)))
-    spread_of = cut(parts.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("most")))
-    common = spread_of.filter(F.col("n") >= common_from).select("token", "most")
-    if common.isEmpty():
-        ranked = _best_documents(_scores(asked, parts), limit)
-    else:
-        ranked = _rank_with_common(asked, parts, common, limit)
+    ranked = _best_by_blocks(asked, parts, limit)
     return queries.select("query_id", "text").join(ranked, "text").select("query_id", "doc_id", "score")
 
 
 def _token_parts(tokens: DataFrame, postings: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """What each token adds to the score of each document it is found in: token, doc_id, part.
+    """What each token adds to the score of each document it is found in: token, block, doc_id, part.
 
-    The matching terms are written first, so that Spark knows their size and, where they are few,
-    reads the postings without shuffling them.
+    Only beginnings as long as some token are taken from the terms. The matching terms are written
+    first, so that Spark knows their size and, where they are few, reads the postings without shuffling
+    them. Parts within a factor of ``2 ** (1 / BLOCKS)`` are one block, the largest in the lowest.
     """
+    lengths_asked = tokens.agg(F.array_sort(F.collect_set(F.length("token"))).alias("l")).scalar()
     terms = postings.select("term").distinct()
-    starts = terms.select("term", F.explode(F.sequence(F.lit(1), F.length("term"))).alias("n"))
+    starts = terms.select("term", F.explode(lengths_asked).alias("n")).filter(F.col("n") <= F.length("term"))
     matches = cut(starts.select("term", F.substring("term", F.lit(1), F.col("n")).alias("token")).join(tokens, "token"))
     weight = F.coalesce(look_up(weights, F.col("field")), F.lit(1.0))
     hits = cut(postings.join(matches, "term").groupBy("token", "doc_id").agg(F.sum(weight * F.col("tf")).alias("f")))
@@ -121,12 +121,12 @@ def _token_parts(tokens: DataFrame, postings: DataFrame, weights: dict[str, floa
     idf = F.when(odds > 0, odds).otherwise(LEAST_IDF)
     damp = F.col("f") + K1 * (1 - B + B * F.col("length") / corpus["mean"])
     return hits.join(found, "token").join(lengths, "doc_id").select(
-        "token", "doc_id", (idf * F.col("f") * (K1 + 1) / damp).alias("part"))
+        "token", "doc_id", (idf * F.col("f") * (K1 + 1) / damp).alias("part")).withColumn(
+        "block", F.floor(-F.log2("part") * BLOCKS).cast("int"))
 
 
-def _scores(asked: DataFrame, parts: DataFrame) -> DataFrame:
-    return asked.join(parts, "token").groupBy("text", "doc_id").agg(
-        F.sum(F.col("part") * F.col("times")).alias("score"))
+def _summed(asked: DataFrame, parts: DataFrame, on: list[str]) -> DataFrame:
+    return asked.join(parts, on).groupBy("text", "doc_id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
 
 
 def _best_documents(scores: DataFrame, limit: int) -> DataFrame:
@@ -134,30 +134,42 @@ def _best_documents(scores: DataFrame, limit: int) -> DataFrame:
     return cap_per_group(rounded, ["text"], [F.desc("score"), "doc_id"], limit)
 
 
-def _rank_with_common(asked: DataFrame, parts: DataFrame, common: DataFrame, limit: int) -> DataFrame:
-    """Best documents where some tokens are found almost everywhere.
+def _best_by_blocks(asked: DataFrame, parts: DataFrame, limit: int) -> DataFrame:
+    """Best documents per text, from no more blocks of its tokens than can matter.
 
-    The other tokens choose candidates, and common tokens only add to those. What a document without
-    any rarer token could reach is known: the sum of the most each common token gives. Where the last
-    of a text's best candidates lies above that, the list is final. The remaining texts, such as those
-    of common tokens only, are scored over all their documents.
+    A block has a bound, the largest part in it, and a least part. The leading blocks of a token that
+    hold ``limit`` documents give a threshold that the result reaches anyhow; a text takes the highest
+    one of its tokens. Tokens whose largest parts together stay below it choose no documents of their
+    own. Of the other tokens, a block is skipped if its bound and the most that all other tokens give
+    stay below the threshold: none of its documents can be among the best. Documents that can still
+    reach it are completed with the small tokens. Where no token has ``limit`` documents, nothing is
+    skipped. The tables of blocks and of tokens are small; the parts are read twice.
     """
-    rare = asked.join(common, "token", "left_anti")
-    usual = cut(asked.join(common, "token"))
-    base = cut(_scores(rare, parts))
-    added = (
-        base.select("text", "doc_id").join(usual.select("text", "token", "times"), "text")
-        .join(parts, ["token", "doc_id"])
-        .select("text", "doc_id", (F.col("part") * F.col("times")).alias("score"))
-    )
-    total = base.unionByName(added).groupBy("text", "doc_id").agg(F.sum("score").alias("score"))
-    best = cut(_best_documents(total, limit))
-    reach = usual.groupBy("text").agg(F.sum(F.col("most") * F.col("times")).alias("reach"))
-    last = best.groupBy("text").agg(F.min("score").alias("last"), F.count(F.lit(1)).alias("n"))
-    safe = (F.col("n") >= limit) & (F.col("last") > F.col("reach") + 10.0**-DIGITS)
-    open_texts = cut(reach.join(last, "text", "left").filter(~F.coalesce(safe, F.lit(False))).select("text"))
-    whole = _best_documents(_scores(asked.join(open_texts, "text", "left_semi"), parts), limit)
-    return best.join(open_texts, "text", "left_anti").unionByName(whole)
+    blocks = cut(parts.groupBy("token", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.max("part").alias("bound"), F.min("part").alias("least")))
+    so_far = F.sum("n").over(Window.partitionBy("token").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    of_token = blocks.select("token", "bound", F.when(so_far >= limit, F.col("least")).alias("sure")).groupBy("token").agg(
+        F.max("bound").alias("most"), F.coalesce(F.max("sure"), F.lit(0.0)).alias("sure"))
+    of_text = Window.partitionBy("text")
+    by_most = of_text.orderBy("most", "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = cut(
+        asked.join(of_token, "token").withColumn("most", F.col("most") * F.col("times"))
+        .withColumns({"others": F.sum("most").over(of_text) - F.col("most"), "small": F.sum("most").over(by_most),
+                      "threshold": F.max(F.col("sure") * F.col("times")).over(of_text) - 2 * 10.0**-DIGITS})
+        .withColumn("chooses", F.col("small") >= F.col("threshold")))
+    chosen = known.filter("chooses").join(blocks.select("token", "block", "bound"), "token").filter(
+        F.col("bound") * F.col("times") + F.col("others") >= F.col("threshold"))
+    small = known.filter("NOT chooses").select("text", "token", "times", "small")
+    base = cut(_summed(chosen.select("text", "token", "block", "times"), parts, ["token", "block"]))
+    # The last of the best sums so far is a better threshold for what the small tokens can still lift.
+    reached = cap_per_group(base, ["text"], [F.desc("score"), "doc_id"], limit).groupBy("text").agg(
+        F.when(F.count(F.lit(1)) >= limit, F.min("score") - 2 * 10.0**-DIGITS).otherwise(0.0).alias("reached"))
+    needed = small.groupBy("text").agg(F.max("small").alias("to_come")).join(reached, "text", "right").select(
+        "text", (F.col("reached") - F.coalesce("to_come", F.lit(0.0))).alias("needed"))
+    open_ones = base.join(needed, "text").filter(F.col("score") >= F.col("needed")).select("text", "doc_id", "score")
+    added = (open_ones.select("text", "doc_id").join(small, "text").join(parts, ["token", "doc_id"])
+             .select("text", "doc_id", (F.col("part") * F.col("times")).alias("score")))
+    return _best_documents(open_ones.unionByName(added).groupBy("text", "doc_id").agg(F.sum("score").alias("score")), limit)
 
 
 def contained_needles(texts: DataFrame, needles: DataFrame) -> DataFrame:
@@ -190,45 +202,55 @@ def fallback_search(queries: DataFrame, found: DataFrame, texts: DataFrame, limi
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
     """The ``k`` nearest vectors of each query (query_id, vector): query_id, id, score.
 
-    Queries go out in blocks of bounded size, and each batch of vectors answers a whole block with
-    one matrix product and keeps its own best ``k`` per query. So what is shuffled is ``k`` rows per
-    query and batch, not every pair, and the vectors are read once per block. A zero vector scores 0.
+    Queries lie in blocks and vectors in shards of bounded size. Each block meets each shard in a task of
+    its own, as one matrix product, and only the best ``k`` of a query there go on. So neither side
+    passes through the driver, and the plan is the same for any number of queries. A zero vector scores
+    0; null vectors take no part. Equal scores go to the smaller id.
     """
-    blocks = -(-queries.count() // QUERY_BLOCK) or 1
-    keyed = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block"))
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(vectors.dtypes)['id']}, score double"
-    result = None
-    for block in range(blocks):
-        part = keyed.filter(F.col("_block") == block).select("query_id", "vector").collect()
-        if not part:
-            continue
-        near = vectors.select("id", "vector").mapInPandas(_nearest_in_batches(part, k), schema)
-        result = near if result is None else result.unionByName(near)
-    if result is None:
-        return queries.sparkSession.createDataFrame([], schema)
-    rounded = result.withColumn("score", F.round("score", DIGITS))
-    return cap_per_group(rounded, ["query_id"], [F.desc("score"), "id"], k)
+    asked, stored = (df.filter(F.col("vector").isNotNull()) for df in (queries, vectors))
+    blocks, shards = (max(1, -(-df.count() // size)) for df, size in ((asked, QUERY_BLOCK), (stored, SHARD)))
+
+    def number(name: str, parts: int) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(parts)).cast("int")
+
+    def every(parts: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
 
+    left = asked.select("query_id", "vector", number("query_id", blocks).alias("block"), every(shards).alias("shard"))
+    right = stored.select("id", "vector", number("id", shards).alias("shard"), every(blocks).alias("block"))
+    types = {"query_id": queries.schema["query_id"].dataType, "id": vectors.schema["id"].dataType}
+    schema = StructType([*(StructField(n, t) for n, t in types.items()), StructField("score", DoubleType())])
+    near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_nearest(k), schema)
+    rounded = near.withColumn("score", F.round("score", DIGITS))
+    return cap_per_group(rounded, ["query_id"], [F.desc("score"), "id"], k)
 
-def _nearest_in_batches(queries: list, k: int):
-    names = [row["query_id"] for row in queries]
-    matrix = _unit_rows(np.array([row["vector"] for row in queries], dtype=np.float64))
 
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            ids = batch["id"].to_numpy()
-            scores = matrix @ _unit_rows(np.array(batch["vector"].tolist(), dtype=np.float64)).T
-            for name, row in zip(names, scores):
-                # Everything as good as the k-th stays, so ties are settled by id over all batches.
-                least = np.partition(row, -k)[-k] - 10.0**-DIGITS if len(row) > k else -np.inf
-                chosen = np.flatnonzero(row >= least)
-                yield pd.DataFrame({"query_id": name, "id": ids[chosen], "score": row[chosen]})
+def _nearest(k: int):
+    """Best vectors of one shard for one block of queries, some queries at a time."""
+    def nearest(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        names, ids = asked["query_id"].combine_chunks(), stored["id"].combine_chunks()
+        queries, scores = [np.empty(0, np.int64)], [np.empty(0)]
+        hits = [np.empty(0, np.int64)]
+        if len(names) and len(ids):
+            matrix, others = _unit_rows(_matrix(asked["vector"])), _unit_rows(_matrix(stored["vector"])).T
+            for start in range(0, len(names), PRODUCT_ROWS):
+                found = matrix[start:start + PRODUCT_ROWS] @ others
+                # Everything as good as the k-th stays, so ties are settled by id over all shards.
+                least = np.partition(found, -k, 1)[:, -k, None] - 10.0**-DIGITS if found.shape[1] > k else -np.inf
+                row, column = np.nonzero(found >= least)
+                queries.append(row + start)
+                hits.append(column)
+                scores.append(found[row, column])
+        return pa.table({"query_id": names.take(pa.array(np.concatenate(queries))), "id": ids.take(pa.array(np.concatenate(hits))),
+                         "score": np.concatenate(scores)})
 
     return nearest
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     norms[norms == 0] = 1.0

@@ -133,17 +133,37 @@ def test_whole_texts_are_searched(spark):
     assert {r["doc_id"] for r in search.bm25_search(asked, postings, tokens=12).collect()} == {"early"}
 
 
-@pytest.mark.parametrize("common_from", [1, 5, 60, 150])
-def test_common_tokens_do_not_change_the_ranking(spark, common_from):
+def brute_bm25(rows, text, limit):
+    """All documents scored, token by token."""
+    docs = {d: t.split() for d, _, t in rows}
+    mean = sum(map(len, docs.values())) / len(docs)
+    total = {}
+    for token in text.split():
+        found = {d: 0.5 * sum(w.startswith(token) for w in words) for d, words in docs.items()}
+        found = {d: f for d, f in found.items() if f}
+        odds = np.log((len(docs) - len(found) + 0.5) / (len(found) + 0.5))
+        for d, f in found.items():
+            damp = f + search.K1 * (1 - search.B + search.B * len(docs[d]) / mean)
+            total[d] = total.get(d, 0) + max(odds, search.LEAST_IDF if odds <= 0 else odds) * f * (search.K1 + 1) / damp
+    return sorted(((round(s, search.DIGITS), -d) for d, s in total.items()), reverse=True)[:limit]
+
+
+@pytest.mark.parametrize("limit", [1, 7, 150, 1000])
+def test_blocks_do_not_change_the_ranking(spark, limit):
     rng = np.random.default_rng(4)
     rows = [(d, "description", " ".join(["the"] * int(rng.integers(1, 4)) + [f"w{w}" for w in rng.integers(0, 12, 3)]
                                         + (["of"] if d % 2 else []))) for d in range(200)]
     postings = search.build_postings(spark.createDataFrame(rows, "doc_id int, field string, text string"))
-    asked = ["the", "the w1", "of the the w11 w2", "of", "w3 w4", "w1", "nothing"]
-    asked = spark.createDataFrame([(i, t) for i, t in enumerate(asked + asked[:2])], "query_id int, text string")
-    plain = search.bm25_search(asked, postings, 7, common_from=10**9).collect()
-    assert len(plain) == 8 * 7
-    assert sorted(plain) == sorted(search.bm25_search(asked, postings, 7, common_from=common_from).collect())
+    texts = ["the", "the w1", "of the the w11 w2", "of", "w3 w4", "w1", "nothing", "t o w", "the of"]
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:2])], "query_id int, text string")
+    found = {}
+    for r in search.bm25_search(asked, postings, limit).collect():
+        found.setdefault(r.query_id, []).append((r.score, -r.doc_id))
+    for i, text in enumerate(texts + texts[:2]):
+        expected = brute_bm25(rows, text, limit)
+        got = sorted(found.get(i, []), reverse=True)
+        assert [d for _, d in got] == [d for _, d in expected]
+        assert np.allclose([s for s, _ in got], [s for s, _ in expected], atol=2e-9)
 
 
 def test_better_lexical_hits_rank_higher(spark):
@@ -160,7 +180,8 @@ def test_cosine_in_blocks_equals_brute_force(spark, monkeypatch):
     vectors[6:40] = vectors[6]
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id int, vector array<double>").repartition(5)
     asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id int, vector array<double>")
-    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    for name, value in (("QUERY_BLOCK", 3), ("SHARD", 50), ("PRODUCT_ROWS", 2)):
+        monkeypatch.setattr(search, name, value)
     got = search.cosine_topk(asked, table, 9).collect()
     norms = np.linalg.norm(vectors, axis=1)
     norms[norms == 0] = 1
@@ -169,6 +190,14 @@ def test_cosine_in_blocks_equals_brute_force(spark, monkeypatch):
     assert {(r["query_id"], r["id"]) for r in got} == want
 
 
+def test_many_vector_queries_are_one_plan(spark):
+    vectors = spark.range(1000).select("id", F.array(*(F.rand(i) for i in range(4))).alias("vector"))
+    asked = spark.range(100_000).select(F.col("id").alias("query_id"), F.array(*(F.rand(9 + i) for i in range(4))).alias("vector"))
+    plan = search.cosine_topk(asked, vectors, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and plan.count("Range (") == 2
+    assert "LocalRelation" not in plan and "Union" not in plan
+
+
 def test_folding_reaches_the_tags(spark):
     from kinweave.operators.mining import build_dictionary, tag_entities
 
