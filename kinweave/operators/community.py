@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from itertools import count
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave import vocab
@@ -13,136 +10,132 @@ from kinweave.lineage import cut
 from kinweave.operators.edges import both_ways
 from kinweave.operators.ranking import top_n
 
-#: A rise in modularity over two turns that is above rounding errors.
-LEAST_RISE = 1e-12
+#: A rise of the inner weight, in edges, that is above rounding errors.
+LEAST_RISE = 1e-9
 
 
 def communities(vertices: DataFrame, edges: DataFrame, levels: int | None = None,
                 rounds: int | None = None, least_rise: float = LEAST_RISE) -> DataFrame:
     """A community for every vertex: id, community (its smallest member).
 
-    Parallel edges weigh more. Nodes move to the neighbouring community that gains most, half of them
-    (drawn by hash) in one turn and the others in the next. Where two turns do not raise modularity by
-    more than ``least_rise``, because moves spoil each other, only moves between communities of their
-    own are made, until no node gains by moving; then communities become the nodes of the next level,
-    until none is joined to another. Then the vertices move again, from where they are, until no move
-    of one vertex raises modularity. ``levels`` and ``rounds`` (turns in a level) end that earlier.
-    Ties go to the present community, then to the smallest name, so a run can be repeated.
+    Parallel edges weigh more. In a turn, all nodes that gain by moving to a neighbouring community do so
+    at once, but for those that would spoil each other's gain, see ``_moves``; so each turn raises
+    modularity. When no node gains by more than ``least_rise`` edges, communities become the nodes of
+    the next level, until none is joined to another. Then the vertices move again, from where they are,
+    until no move of one vertex raises modularity. ``levels`` and ``rounds`` (turns in a level) end that
+    earlier. Ties go to the present community, then to the smallest name, so a run can be repeated.
     """
-    pairs = both_ways(edges.filter(F.col("type") != "BELONGS_TO").select("source_id", "target_id"))
-    links = cut(pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    links = cut(_links(edges))
     total = links.agg(F.sum("w")).first()[0]
-    of_vertex = None
-    if total:
-        nodes = cut(links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")))
-        vertex_nodes, vertex_links, first = nodes.withColumn("comm", F.col("node")), links, True
-        start = vertex_nodes
-        for level in count() if levels is None else range(levels):
-            state = _local_moves(start, links, total, rounds, least_rise, level)
-            step = state.select("node", "comm")
-            moves = start.select("node", F.col("comm").alias("before")).join(step, "node").filter(F.col("before") != F.col("comm"))
-            unmoved = moves.isEmpty()
-            if first:
-                of_vertex = step.select(F.col("node").alias("id"), "comm")
-            else:
-                of_vertex = cut(of_vertex.withColumnRenamed("comm", "node").join(step, "node").select("id", "comm"))
-            if unmoved:
-                if first or rounds is not None:
-                    break
-                # Communities are settled: the vertices take their turns in them.
-                links, first = vertex_links, True
-                start = vertex_nodes.select("node", "k").join(of_vertex.withColumnRenamed("id", "node"), "node")
-                continue
-            first = False
-            start = cut(state.groupBy(F.col("comm").alias("node")).agg(F.sum("k").alias("k"))).withColumn("comm", F.col("node"))
-            ends = step.select(F.col("node").alias("src"), F.col("comm").alias("a"))
-            others = step.select(F.col("node").alias("dst"), F.col("comm").alias("b"))
-            links = cut(
-                links.join(ends, "src").join(others, "dst").filter(F.col("a") != F.col("b"))
-                .groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
-            )
     ids = vertices.select("id")
-    if of_vertex is None:
+    if not total:
         return ids.select("id", F.col("id").alias("community"))
+    nodes = cut(links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))).withColumn("comm", F.col("node"))
+    of_vertex = nodes.select(F.col("node").alias("id"), "comm")
+    vertex_nodes, vertex_links, state = nodes, links, nodes
+    at_vertices, level = True, 0
+    while levels is None or level < levels:
+        state, moved = _settled(state, links, total, rounds, least_rise)
+        step = state.select("node", "comm")
+        if at_vertices:
+            of_vertex = step.withColumnRenamed("node", "id")
+        elif moved:
+            of_vertex = cut(of_vertex.withColumnRenamed("comm", "node").join(step, "node").select("id", "comm"))
+        level += 1
+        if not moved:
+            if at_vertices:
+                break
+            # Communities are settled: the vertices take their turns in them.
+            links, at_vertices = vertex_links, True
+            state = cut(vertex_nodes.select("node", "k").join(of_vertex.withColumnRenamed("id", "node"), "node"))
+            continue
+        at_vertices = False
+        state = cut(state.groupBy(F.col("comm").alias("node")).agg(F.sum("k").alias("k"))).withColumn("comm", F.col("node"))
+        ends = step.select(F.col("node").alias("src"), F.col("comm").alias("a"))
+        others = step.select(F.col("node").alias("dst"), F.col("comm").alias("b"))
+        links = cut(
+            links.join(ends, "src").join(others, "dst").filter(F.col("a") != F.col("b"))
+            .groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
+        )
     names = of_vertex.groupBy("comm").agg(F.min("id").alias("community"))
     named = of_vertex.join(names, "comm").select("id", "community")
     return ids.join(named, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
-def _local_moves(start: DataFrame, links: DataFrame, total: float, rounds: int | None, least_rise: float,
-                 level: int) -> DataFrame:
-    """Node, its weight k and its community after the turns of one level: the best state met."""
-    state = best = start
-    highest = _share_inside(state, links, total)
-    for turn in count() if rounds is None else range(rounds):
-        def lively(node: str, turn: int = turn) -> Column:
-            return F.pmod(F.xxhash64(node, F.lit(level), F.lit(turn // 2)), F.lit(2)) == turn % 2
-
-        state = _moved(state, _choices(state, links, total, lively))
-        if turn % 2:  # each node has had its turn
-            reached = _share_inside(state, links, total)
-            if reached > highest + least_rise:
-                best, highest = state, reached
-            elif rounds is not None:
-                return best
-            else:
-                apart = cut(_moves_apart(_choices(best, links, total)))
-                if apart.isEmpty():
-                    return best
-                state = best = _moved(best, apart)
-                highest = _share_inside(state, links, total)
-    return state
-
-
-def _choices(state: DataFrame, links: DataFrame, total: float, lively: Callable[[str], Column] | None = None) -> DataFrame:
-    """Where the lively nodes (or all) gain most: src, own, to, rise."""
-    movers = state.filter(lively("node")) if lively else state
+def _links(edges: DataFrame) -> DataFrame:
+    """Both directions of the edges with their weights: src, dst, w."""
+    pairs = both_ways(edges.filter(F.col("type") != "BELONGS_TO").select("source_id", "target_id"))
+    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
+
+
+def _settled(state: DataFrame, links: DataFrame, total: float, rounds: int | None, least_rise: float) -> tuple[DataFrame, bool]:
+    """Node, its weight k and its community after the turns of one level, and whether any node moved."""
+    turn = 0
+    while rounds is None or turn < rounds:
+        wishes = cut(_choices(state, links, total).filter(F.col("rise") > least_rise))
+        if wishes.isEmpty():
+            break
+        moves = _moves(wishes, links, total).select(F.col("src").alias("node"), "to")
+        state = cut(state.join(moves, "node", "left").select("node", "k", F.coalesce("to", "comm").alias("comm")))
+        turn += 1
+    return state, turn > 0
+
+
+def _choices(state: DataFrame, links: DataFrame, total: float) -> DataFrame:
+    """Where each node gains most: src, k, own, to, rise (in edges)."""
     weights = state.groupBy("comm").agg(F.sum("k").alias("weight"))
     toward = (
-        (links.filter(lively("src")) if lively else links)
-        .join(state.select(F.col("node").alias("dst"), "comm"), "dst")
+        links.join(state.select(F.col("node").alias("dst"), "comm"), "dst")
         .select("src", "comm", "w")
-        .unionByName(movers.select(F.col("node").alias("src"), "comm", F.lit(0.0).alias("w")))
+        .unionByName(state.select(F.col("node").alias("src"), "comm", F.lit(0.0).alias("w")))
         .groupBy("src", "comm").agg(F.sum("w").alias("w"))
     )
     own = F.col("comm") == F.col("own")
     rest = F.col("weight") - F.when(own, F.col("k")).otherwise(0.0)
     gain = F.round(F.col("w") - F.col("k") * rest / F.lit(total), 9)
     return (
-        toward.join(movers.select(F.col("node").alias("src"), "k", F.col("comm").alias("own")), "src")
+        toward.join(state.select(F.col("node").alias("src"), "k", F.col("comm").alias("own")), "src")
         .join(weights, "comm")
-        .groupBy("src", "own").agg(F.min(F.struct((-gain).alias("g"), (~own).alias("o"), "comm")).alias("best"),
-                                   F.max(F.when(own, gain)).alias("stay"))
-        .select("src", "own", F.col("best.comm").alias("to"), (-F.col("best.g") - F.col("stay")).alias("rise"))
+        .groupBy("src", "own", "k").agg(F.min(F.struct((-gain).alias("g"), (~own).alias("o"), "comm")).alias("best"),
+                                        F.max(F.when(own, gain)).alias("stay"))
+        .select("src", "k", "own", F.col("best.comm").alias("to"), (-F.col("best.g") - F.col("stay")).alias("rise"))
     )
 
 
-def _moves_apart(choices: DataFrame) -> DataFrame:
-    """Moves that are the best of both communities they touch, so what they gain adds up: src, to.
+def _moves(wishes: DataFrame, links: DataFrame, total: float) -> DataFrame:
+    """Moves that can be made at once so that what is gained is more than what they spoil.
 
-    The best move of all is always among them.
+    A node loses what it counted on if a neighbour leaves the community that it moves to; of two such
+    nodes the one with the smaller rise stays. Nodes that leave one community together, or enter one,
+    weigh on each other by the product of their weights; a node moves if its rise is more than all that,
+    or if it gains most of those that leave its community and of those that enter the other one. What
+    other moves share is never less than nothing, so the rises kept add up to a rise. The node that
+    gains most of all always moves.
     """
-    moves = cut(choices.filter(F.col("to") != F.col("own")))
-    touched = moves.select("src", "rise", F.explode(F.array("own", "to")).alias("comm"))
-    first = touched.groupBy("comm").agg(F.min(F.struct((-F.col("rise")).alias("r"), "src")).alias("first"))
-    return (first.groupBy(F.col("first.src").alias("src")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 2)
-            .join(moves, "src").select("src", "to"))
-
-
-def _moved(state: DataFrame, choices: DataFrame) -> DataFrame:
-    return cut(state.join(choices.select("src", "to"), F.col("node") == F.col("src"), "left").select(
-        "node", "k", F.coalesce("to", "comm").alias("comm")))
-
-
-def _share_inside(state: DataFrame, links: DataFrame, total: float) -> float:
-    """Modularity of a state, but for what the nodes of this level hold inside themselves."""
-    ends = state.select("node", "comm")
-    inside = (links.join(ends.select(F.col("node").alias("src"), F.col("comm").alias("a")), "src")
-              .join(ends.select(F.col("node").alias("dst"), F.col("comm").alias("b")), "dst")
-              .agg((F.sum(F.when(F.col("a") == F.col("b"), F.col("w"))) / total).alias("part")))
-    expected = (state.groupBy("comm").agg((F.sum("k") / total).alias("share"))
-                .agg((-F.sum(F.col("share") * F.col("share"))).alias("part")))
-    return inside.unionByName(expected).agg(F.sum("part")).first()[0] or 0.0
+    rank = F.struct((-F.col("rise")).alias("r"), F.col("src").alias("node"))
+    ranked = wishes.select("src", "own", "to", rank.alias("rank"))
+    spoiled = (
+        links.select("src", "dst").join(ranked.select("src", "to", "rank"), "src")
+        .join(ranked.select(F.col("src").alias("dst"), "own", F.col("rank").alias("other")), "dst")
+        .filter(F.col("to") == F.col("own"))
+        .select(F.greatest("rank", "other")["node"].alias("src")).distinct()
+    )
+    kept = cut(wishes.withColumn("rank", rank).join(spoiled, "src", "left_anti"))
+    leaving = kept.groupBy("own").agg(F.sum("k").alias("out"), F.min("rank").alias("first_out"))
+    coming = kept.groupBy("to").agg(F.sum("k").alias("in"), F.min("rank").alias("first_in"))
+    weighs = F.col("k") * (F.col("in") + F.col("out") - 2 * F.col("k")) / F.lit(total)
+    first = (F.col("rank") == F.col("first_out")) & (F.col("rank") == F.col("first_in"))
+    return kept.join(leaving, "own").join(coming, "to").filter(first | (F.col("rise") > weighs)).select("src", "to")
+
+
+def rising_moves(edges: DataFrame, assignment: DataFrame, least_rise: float = LEAST_RISE) -> DataFrame:
+    """Vertices that another community would suit better: id, community, better, rise (in edges)."""
+    links = cut(_links(edges))
+    total = links.agg(F.sum("w")).first()[0] or 1.0
+    nodes = links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
+    state = cut(nodes.join(assignment.select(F.col("id").alias("node"), F.col("community").alias("comm")), "node"))
+    return _choices(state, links, total).filter(F.col("rise") > least_rise).select(
+        F.col("src").alias("id"), F.col("own").alias("community"), F.col("to").alias("better"), "rise")
 
 
 def modularity(edges: DataFrame, assignment: DataFrame) -> float:

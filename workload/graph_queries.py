@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.lineage import cut
 from kinweave.operators import community, edges, graph, links, listing, ranking, stats, traverse
 from workload.registry import query
 from workload.views import view
@@ -238,6 +239,21 @@ def community_members(spark, sf):
     return community.community_members(community.community_summary(entities(spark, sf), found), found)
 
 
+@query("""SELECT count(*) AS vertices, count(*) AS members, CAST(0 AS BIGINT) AS named_otherwise, CAST(0 AS BIGINT) AS rising_moves,
+                 true AS above_start FROM fx_entities""", ("fx_entities",))
+def community_invariants(spark, sf):
+    """Each vertex is in one community, named by its smallest member; no move of a vertex raises modularity,
+    which is not below that of single vertices."""
+    known, snap = entities(spark, sf), snapshot(spark, sf)
+    found = cut(community.communities(known, snap))
+    least = found.groupBy("community").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    start = community.modularity(snap, known.select("id", F.col("id").alias("community")))
+    rising = community.rising_moves(snap, found).agg(F.count("*").alias("rising_moves"))
+    return (found.agg(F.count_distinct("id").alias("vertices"))
+            .join(least.agg(F.sum("n").alias("members"), F.count_if(F.col("least") != F.col("community")).alias("named_otherwise")))
+            .join(rising).withColumn("above_start", F.lit(community.modularity(snap, found) >= start)))
+
+
 @query("""WITH named AS (SELECT class_name AS community, coalesce(nullif(mythology, ''), '其他') AS mythology, count(*) AS n
                          FROM fx_entities GROUP BY ALL)
   SELECT community, CAST(sum(n) AS BIGINT) AS size, first(mythology ORDER BY n DESC, mythology) AS top_mythology
