@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinweave import vocab
@@ -15,15 +15,16 @@ LEAST_RISE = 1e-9
 
 
 def communities(vertices: DataFrame, edges: DataFrame, levels: int | None = None,
-                rounds: int | None = None, least_rise: float = LEAST_RISE) -> DataFrame:
+                rounds: int = 4, least_rise: float = LEAST_RISE) -> DataFrame:
     """A community for every vertex: id, community (its smallest member).
 
     Parallel edges weigh more. In a turn, all nodes that gain by moving to a neighbouring community do so
     at once, but for those that would spoil each other's gain, see ``_moves``; so each turn raises
-    modularity. When no node gains by more than ``least_rise`` edges, communities become the nodes of
-    the next level, until none is joined to another. Then the vertices move again, from where they are,
-    until no move of one vertex raises modularity. ``levels`` and ``rounds`` (turns in a level) end that
-    earlier. Ties go to the present community, then to the smallest name, so a run can be repeated.
+    modularity. After ``rounds`` turns communities become the nodes of the next level, until none gains
+    more than ``least_rise`` edges by joining another. Then the vertices move again, from where they are,
+    for as many turns as it takes until no move of one vertex raises modularity, and their communities
+    are tried once more as nodes. ``levels`` ends all this earlier. Ties go to the present community,
+    then to the smallest name, so a run can be repeated.
     """
     links = cut(_links(edges))
     total = links.agg(F.sum("w")).first()[0]
@@ -33,9 +34,9 @@ def communities(vertices: DataFrame, edges: DataFrame, levels: int | None = None
     nodes = cut(links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))).withColumn("comm", F.col("node"))
     of_vertex = nodes.select(F.col("node").alias("id"), "comm")
     vertex_nodes, vertex_links, state = nodes, links, nodes
-    at_vertices, level = True, 0
+    at_vertices, closing, level = True, False, 0
     while levels is None or level < levels:
-        state, moved = _settled(state, links, total, rounds, least_rise)
+        state, moved = _settled(state, links, total, None if closing and at_vertices else rounds, least_rise)
         step = state.select("node", "comm")
         if at_vertices:
             of_vertex = step.withColumnRenamed("node", "id")
@@ -46,7 +47,7 @@ def communities(vertices: DataFrame, edges: DataFrame, levels: int | None = None
             if at_vertices:
                 break
             # Communities are settled: the vertices take their turns in them.
-            links, at_vertices = vertex_links, True
+            links, at_vertices, closing = vertex_links, True, True
             state = cut(vertex_nodes.select("node", "k").join(of_vertex.withColumnRenamed("id", "node"), "node"))
             continue
         at_vertices = False
@@ -72,8 +73,9 @@ def _settled(state: DataFrame, links: DataFrame, total: float, rounds: int | Non
     """Node, its weight k and its community after the turns of one level, and whether any node moved."""
     turn = 0
     while rounds is None or turn < rounds:
-        wishes = cut(_choices(state, links, total).filter(F.col("rise") > least_rise))
-        if wishes.isEmpty():
+        seen = Observation()
+        wishes = cut(_choices(state, links, total).filter(F.col("rise") > least_rise).observe(seen, F.count(F.lit(1)).alias("n")))
+        if not seen.get["n"]:
             break
         moves = _moves(wishes, links, total).select(F.col("src").alias("node"), "to")
         state = cut(state.join(moves, "node", "left").select("node", "k", F.coalesce("to", "comm").alias("comm")))
@@ -120,12 +122,13 @@ def _moves(wishes: DataFrame, links: DataFrame, total: float) -> DataFrame:
         .filter(F.col("to") == F.col("own"))
         .select(F.greatest("rank", "other")["node"].alias("src")).distinct()
     )
-    kept = cut(wishes.withColumn("rank", rank).join(spoiled, "src", "left_anti"))
-    leaving = kept.groupBy("own").agg(F.sum("k").alias("out"), F.min("rank").alias("first_out"))
-    coming = kept.groupBy("to").agg(F.sum("k").alias("in"), F.min("rank").alias("first_in"))
+    wished = wishes.withColumn("rank", rank)
+    leaving = wished.groupBy("own").agg(F.sum("k").alias("out"), F.min("rank").alias("first_out"))
+    coming = wished.groupBy("to").agg(F.sum("k").alias("in"), F.min("rank").alias("first_in"))
     weighs = F.col("k") * (F.col("in") + F.col("out") - 2 * F.col("k")) / F.lit(total)
     first = (F.col("rank") == F.col("first_out")) & (F.col("rank") == F.col("first_in"))
-    return kept.join(leaving, "own").join(coming, "to").filter(first | (F.col("rise") > weighs)).select("src", "to")
+    return (wished.join(spoiled, "src", "left_anti").join(leaving, "own").join(coming, "to")
+            .filter(first | (F.col("rise") > weighs)).select("src", "to"))
 
 
 def rising_moves(edges: DataFrame, assignment: DataFrame, least_rise: float = LEAST_RISE) -> DataFrame:
