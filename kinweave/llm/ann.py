@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from kinweave.lineage import cut
 from kinweave.llm.common import batch, small_batches
+from kinweave.llm.places import with_places
 
 PIVOTS, POSTS, PROBES, RANKS = 128, 8, 24, 32
 SAMPLE, SAMPLE_QUERIES, COVER = 4096, 400, 0.98
@@ -100,7 +101,8 @@ def search(table: DataFrame, is_query: F.Column, k: int = 20, id_column: str = "
     whose id or vector is null, or whose vector is empty, all zero or holds a null or non-finite
     component take no part; nor do vectors with another number of components than most. Equal vectors
     are searched once; of a group, the ``k + 1`` smallest ids are all that any query can need. Repeated
-    ids count as rows of their own. An empty table gives an empty result.
+    ids count as rows of their own: a query id with several vectors has a list for each of them, and no
+    row under its own id is in it. An empty table gives an empty result.
     """
     spark = table.sparkSession
     small_batches(spark)
@@ -112,9 +114,12 @@ def search(table: DataFrame, is_query: F.Column, k: int = 20, id_column: str = "
     rows = rows.filter(F.size("vec") == size).withColumns(
         {"one": F.xxhash64("vec"), "two": F.xxhash64(F.lit(1), "vec")})
     first = F.row_number().over(Window.partitionBy("one", "two").orderBy("vec_id"))
-    groups = cut(rows.withColumn("place", first).filter(F.col("place") <= k + 1).groupBy("one", "two").agg(
-        F.min("vec_id").alias("key"), F.first("vec").alias("vec"), F.sort_array(F.collect_list("vec_id")).alias("members")))
-    asked = rows.filter(is_query).select("vec_id", "one", "two")
+    groups = rows.withColumn("place", first).filter(F.col("place") <= k + 1).groupBy("one", "two").agg(
+        F.min("vec_id").alias("least"), F.first("vec").alias("vec"), F.sort_array(F.collect_list("vec_id")).alias("members"))
+    # Keys are in the order of the smallest ids, which settles ties, and unlike those never repeat.
+    groups = cut(with_places(groups.withColumn("all", F.lit("")), "all", ["least", "one", "two"])
+                 .withColumnRenamed("place", "key").drop("all", "least"))
+    asked = rows.filter(is_query).select("vec_id", "one", "two").distinct()
     asked = cut(asked.join(groups.select("one", "two", "key"), ["one", "two"])
                 .select(F.col("vec_id").alias("query_id"), "key"))
     sample = groups.orderBy("one", "two").limit(SAMPLE).select("vec").collect()
@@ -133,7 +138,7 @@ def search(table: DataFrame, is_query: F.Column, k: int = 20, id_column: str = "
     members = found.join(groups.select(F.col("key").alias("hit"), F.explode("members").alias("vec_id")), "hit")
     of_key = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     best = members.withColumn("place", F.row_number().over(of_key)).filter(F.col("place") <= k + 1)
-    of_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    of_query = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return (asked.join(best.select("key", "vec_id", "score"), "key").filter("query_id <> vec_id")
             .withColumn("rank", F.row_number().over(of_query)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

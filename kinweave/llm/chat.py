@@ -63,28 +63,31 @@ def is_attachment(part: Column) -> Column:
 def visit(parts: Column) -> Column:
     """Flatten a turn's parts: ``text`` with placeholders numbered from 0, and the ``attachments``.
 
-    A part of another or no type is text; a null text is empty; null parts are left out.
+    A part of another or no type is text; a null text is empty; null parts are left out. Text parts that
+    follow one another are escaped as one text, so no control string can lie across two of them.
     """
     def step(state: Column, part: Column) -> Column:
         number = F.size(state["attachments"])
         mark = F.concat(F.lit("<|"), part["type"], F.lit(":"), number.cast("string"), F.lit("|>"))
+        before = F.concat(state["text"], escape(state["open"]))
         seen = F.array(F.struct(part["type"].alias("type"), part["ref"].alias("ref"),
-                                F.length(state["text"]).cast("long").alias("at"), tokens_of(part).alias("tokens")))
+                                F.length(before).cast("long").alias("at"), tokens_of(part).alias("tokens")))
         return F.struct(
-            F.concat(state["text"], F.when(is_attachment(part), mark)
-                     .otherwise(escape(F.coalesce(part["text"], F.lit(""))))).alias("text"),
+            F.when(is_attachment(part), F.concat(before, mark)).otherwise(state["text"]).alias("text"),
+            F.when(is_attachment(part), "").otherwise(F.concat(state["open"], F.coalesce(part["text"], F.lit("")))).alias("open"),
             F.when(is_attachment(part), F.concat(state["attachments"], seen)).otherwise(state["attachments"]).alias("attachments"))
 
-    begin = F.struct(F.lit("").alias("text"),
+    begin = F.struct(F.lit("").alias("text"), F.lit("").alias("open"),
                      F.array().cast("array<struct<type:string,ref:string,at:bigint,tokens:bigint>>").alias("attachments"))
-    return F.aggregate(F.filter(F.coalesce(parts, F.array().cast(PART)), lambda p: p.isNotNull()), begin, step)
+    return F.aggregate(F.filter(F.coalesce(parts, F.array().cast(PART)), lambda p: p.isNotNull()), begin, step, lambda state: F.struct(
+        F.concat(state["text"], escape(state["open"])).alias("text"), state["attachments"].alias("attachments")))
 
 
-def text_part(text: Column) -> Column:
-    """Plain text as a list of one part."""
+def text_part(*texts: Column) -> Column:
+    """Plain texts as a list of parts."""
     none = {"ref": "string", "width": "int", "height": "int", "seconds": "double", "chars": "bigint"}
-    return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"),
-                            *(F.lit(None).cast(t).alias(n) for n, t in none.items()))).cast(PART)
+    return F.array(*(F.struct(F.lit("text").alias("type"), text.alias("text"),
+                              *(F.lit(None).cast(t).alias(n) for n, t in none.items())) for text in texts)).cast(PART)
 
 
 def format_chats(turns: DataFrame) -> DataFrame:

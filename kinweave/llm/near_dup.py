@@ -90,7 +90,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(work, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(work, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, errors: int = 1,
@@ -100,27 +100,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, er
 
     A text with fewer words than ``width`` has one shingle, its words; a null text or one without
     words has none and is linked with nothing. The component is the smallest id that links reach,
-    and only that document is kept. Repeated rows count as one document, an id with several texts
-    joins their groups, rows without an id are left out, an empty table gives an empty result. Other
-    columns are not read.
+    and only that document is kept. Ids are integers. Repeated rows count as one document, an id with
+    several texts joins their groups, rows without an id are left out, very long texts are read whole,
+    an empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
     texts = id_and_text(docs, id_column, text_column).filter("doc_id IS NOT NULL")
     found = cut(sketches(texts, width))
-    classes = cut(found.filter("n_shingles > 0").groupBy("set_key")
-                  .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
+    # A class of texts is named by the key of their set; document ids come back at the end.
+    shown = found.filter("n_shingles > 0").withColumnRenamed("set_key", "node")
+    classes = cut(shown.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
     # One document with several texts is in several classes: a link from the start.
-    several = (found.join(classes.select("set_key", "node"), "set_key").select("doc_id", "node")
-               .filter("doc_id <> node"))
+    first = shown.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a <> last").select("doc_id", "a")
+    several = shown.join(first, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
     linked = link_classes(chunk_keys(classes, errors).distinct(), classes, texts, width, similarity)
-    ends = [several.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))]
-    if linked is not None:
-        ends.append(linked)
-    groups = components(ends[0] if len(ends) == 1 else ends[0].unionByName(ends[1]))
-    return (found.select("doc_id", "n_shingles").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-            .join(groups, F.col("doc_id") == F.col("node"), "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    groups = components(several if linked is None else several.unionByName(linked))
+    named = classes.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    # The texts of one document are in one component.
+    of_document = (shown.groupBy("doc_id").agg(F.min("node").alias("node")).join(named.select("node", "component"), "node")
+                   .join(names, "component").select("doc_id", "component_id"))
+    return (found.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(of_document, "doc_id", "left")
+            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
             .withColumn("kept", F.col("doc_id") == F.col("component_id")))
 
 
@@ -147,8 +149,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     if count:
         chosen = F.broadcast(repeated) if count <= SENT_IDS else repeated
         first = Window.partitionBy(id_column).orderBy(text_column)
-        once = (left.join(chosen, id_column, "left_semi").withColumn("_kept_place", F.row_number().over(first))
-                .filter("_kept_place = 1").drop("_kept_place"))
+        place = "place" + "_" * max(map(len, docs.columns))  # no column of docs has this name
+        once = (left.join(chosen, id_column, "left_semi").withColumn(place, F.row_number().over(first))
+                .filter(F.col(place) == 1).drop(place))
         left = left.join(chosen, id_column, "left_anti").unionByName(once.select(left.columns))
     return left.select(docs.columns)
 
@@ -160,11 +163,10 @@ def link_classes(keys: DataFrame, classes: DataFrame, texts: DataFrame, width: i
     count = nodes.count()
     if not count:
         return None
-    chosen = F.broadcast(nodes) if count <= SENT_IDS else nodes
-    # A class is named by its smallest document id, whose text gives its set.
-    sets = cut(set_bytes(texts.join(chosen, texts["doc_id"] == nodes["node"], "left_semi"), width)
-               .join(classes.select("set_key", "node"), ["set_key", "node"], "left_semi").select("node", "members")
-               .dropDuplicates(["node"]))
+    # The text of a class's smallest document id gives its set.
+    readers = cut(classes.join(nodes, "node", "left_semi").select(F.col("least").alias("doc_id")).distinct())
+    chosen = F.broadcast(readers) if count <= SENT_IDS else readers
+    sets = cut(set_bytes(texts.join(chosen, "doc_id", "left_semi"), width).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
     per_mille = round(similarity * 1000)
     hubs = open_keys.groupBy("key").agg(F.min("node").alias("hub"))
     pairs = (open_keys.join(hubs, "key").filter("node <> hub")
@@ -219,7 +221,7 @@ def block_links(rows: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         name = None
-        found: list[tuple[int, int]] = []
+        found: list[tuple[bytes, bytes]] = []
         for part in batches:
             for row in zip(*(part.column(i).to_pylist() for i in range(7))):
                 if row[:3] != name:
@@ -227,15 +229,15 @@ def block_links(rows: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
                     held, name = [], row[:3]
                 held.append(row[3:])
             if found:
-                yield batch("a long, b long", a=[a for a, _ in found], b=[b for _, b in found])
+                yield batch("a binary, b binary", a=[a for a, _ in found], b=[b for _, b in found])
                 found = []
         found = joining_links(held, name, per_mille)
-        yield batch("a long, b long", a=[a for a, _ in found], b=[b for _, b in found])
+        yield batch("a binary, b binary", a=[a for a, _ in found], b=[b for _, b in found])
 
-    return together.mapInArrow(work, "a long, b long")
+    return together.mapInArrow(work, "a binary, b binary")
 
 
-def joining_links(rows: list[tuple], name: tuple | None, per_mille: int) -> list[tuple[int, int]]:
+def joining_links(rows: list[tuple], name: tuple | None, per_mille: int) -> list[tuple[bytes, bytes]]:
     """Of the linked pairs among ``(node, component, side, members)``, those that join components.
 
     ``name`` is (key, one block, other block): the same block twice, or two, of which one may be empty.
@@ -288,13 +290,13 @@ def overlaps(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> np.nda
 
 
 def set_bytes(docs: DataFrame, width: int) -> DataFrame:
-    """``node, set_key, members``: the full set of each text as sorted 64-bit numbers."""
-    schema = "node long, set_key binary, members binary"
+    """``node, members``: the full set of each text as sorted 64-bit numbers, under its key."""
+    schema = "node binary, members binary"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             members = [v.astype("<u8").tobytes() for v in shingle_sets(rows["text"].to_pylist(), width)]
             keys = [hashlib.blake2b(m, digest_size=16).digest() for m in members]
-            yield batch(schema, node=rows["doc_id"], set_key=keys, members=members)
+            yield batch(schema, node=keys, members=members)
 
     return docs.select("doc_id", "text").mapInArrow(work, schema)

@@ -138,7 +138,10 @@ FROM shown GROUP BY conv_id
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-1, 0, "user", PLANTED_CHAT), (-1, 1, "assistant", PLANTED_CHAT)], rows.schema)
-    turns = rows.union(planted).withColumn("parts", chat.text_part(F.coalesce("text", F.lit("")))).drop("text")
+    # Each text comes in two parts, so a control string can begin in one and end in the other.
+    text, middle = F.coalesce("text", F.lit("")), F.floor(F.length("text") / 2)
+    parts = chat.text_part(F.left(text, F.coalesce(middle, F.lit(0)).cast("int")), F.substr(text, F.coalesce(middle + 1, F.lit(1)).cast("int")))
+    turns = rows.union(planted).withColumn("parts", parts).drop("text")
     return chat.chat_digests(chat.read_back(chat.format_chats(turns)))
 
 

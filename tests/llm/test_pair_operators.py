@@ -85,6 +85,25 @@ def test_near_duplicates_without_ids_repeated_and_empty(spark):
     assert near_dup.near_duplicates(docs(spark, [])).count() == 0 == near_dup.drop_near_duplicates(docs(spark, [])).count()
 
 
+def test_one_id_with_several_texts_in_any_order(spark):
+    draw = random.Random(2)
+    one, two = ([f"{c}{draw.randrange(900)}" for _ in range(60)] for c in "ab")
+    near = " ".join([*two[:59], "other"])
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (7, near), (3, "x y z u v w")]
+    for order in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs(spark, order).coalesce(1)).collect()}
+        assert got == {5: 5, 7: 5, 3: 3}
+    pairs = [(draw.randrange(60), t) for _, t in corpus(4)]
+    got = near_dup.near_duplicates(docs(spark, pairs), 3, 0.85).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(pairs, 3, 0.85)
+
+
+def test_dropping_keeps_columns_of_any_name(spark):
+    table = spark.createDataFrame([(1, "a b c", 4, 5), (1, "d e f", 6, 7)], "doc_id long, text string, _kept_place int, place int")
+    left = near_dup.drop_near_duplicates(table)
+    assert left.columns == table.columns and [tuple(r) for r in left.collect()] == [(1, "a b c", 4, 5)]
+
+
 def test_every_pair_within_the_distance_shares_a_key(spark):
     random_ = np.random.default_rng(4)
     base = random_.integers(0, 1 << 16, 32)
@@ -161,6 +180,17 @@ def test_nearest_finds_ties_copies_and_leaves_out_what_is_no_vector(spark):
     assert found >= 0.9 * 20 * len(expected)
 
 
+def test_nearest_with_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (20, [2.0, 1.0]), (20, [1.0, 3.0]), (40, [0.5, 0.5])]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5).collect()
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found)
+    lists = {}
+    for q, rank, v, score in got:
+        lists.setdefault(q, []).append((rank, v, score))
+    assert sorted(lists[40]) == [(1, 20, 2.0), (2, 20, 1.5), (3, 1, 0.5)]
+    assert sorted(lists[20]) == [(1, 1, 2.0), (1, 40, 2.0), (2, 1, 1.0), (2, 40, 1.5)]
+
+
 def test_nearest_of_few_vectors_gives_all(spark):
     rows = [(0, [1.0, 0]), (20, [0.0, -1]), (5, [1.0, 1]), (7, [1.0, 1])]
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(vectors(spark, rows), F.col("vec_id") % 20 == 0).collect()]
