@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+import unicodedata
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from kinweave import vocab
 from kinweave.functions import text as text_functions
@@ -100,6 +104,107 @@ def tag_entities(sentences: DataFrame, dictionary: DataFrame, folding: Mapping[s
     return first_per_key(longest.select("sentence_id", "entity_id", "pos", "match"), ["sentence_id", "entity_id"], ["pos"])
 
 
+def tag_names(sentences: DataFrame, dictionary: DataFrame, folding: Mapping[str, str] | None = None,
+              names_per_shard: int = 100_000, sentences_per_block: int = 20_000) -> DataFrame:
+    """Dictionary names in sentences, also of several words: sentence_id, pos, entity_id, match.
+
+    As in ``tag_entities`` a name begins where a run of name characters does, and may end within it. A
+    name may also go on over following runs with a single blank between, and then ends where one of
+    them does. Of the names at one run the longest counts; from left to right, runs within a name are
+    left out. Each entity counts once per sentence, at its first run; ``pos`` numbers the runs.
+
+    Each shard of the dictionary is one automaton (Aho-Corasick), which finds all its names in a pass
+    over a sentence, however many there are. Blocks of sentences meet shards in tasks of bounded size.
+    """
+    sentences = cut(sentences.select("sentence_id", "text").filter(F.col("text").isNotNull()))
+    names = cut(dictionary.select("key", F.col("id").cast("string").alias("entity_id")).filter(F.length("key") > 0))
+    blocks, shards = (max(1, -(-df.count() // size)) for df, size in ((sentences, sentences_per_block), (names, names_per_shard)))
+
+    def number(name: str, parts: int) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(parts)).cast("int")
+
+    def every(parts: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+    left = sentences.withColumns({"block": number("sentence_id", blocks)}).withColumn("shard", every(shards))
+    right = names.withColumns({"shard": number("key", shards)}).withColumn("block", every(blocks))
+    folds = str.maketrans({**SPELLING_VARIANTS, **(folding or {})} | dict.fromkeys(SEPARATORS, ""))
+    schema = StructType([sentences.schema["sentence_id"], *(StructField(n, t) for n, t in (
+        ("pos", IntegerType()), ("last", IntegerType()), ("size", IntegerType()), ("entity_id", StringType()), ("match", StringType())))])
+
+    def find(texts: pa.Table, shard: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        out: dict[str, list] = {"row": [], "pos": [], "last": [], "size": [], "entity_id": [], "match": []}
+        if len(shard):
+            automaton = ahocorasick.Automaton()
+            for key, entity in zip(shard["key"].to_pylist(), shard["entity_id"].to_pylist()):
+                automaton.add_word(key, (len(key), entity))
+            automaton.make_automaton()
+            for row, text in enumerate(texts["text"].to_pylist()):
+                for hit in _names_at_runs(text, automaton, folds):
+                    for column, value in zip(out.values(), (row, *hit)):
+                        column.append(value)
+        rows = pa.array(out.pop("row"), pa.int64())
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+        return pa.table({"sentence_id": texts["sentence_id"].combine_chunks().take(rows),
+                         **{n: pa.array(v, t) for (n, v), t in zip(out.items(), types)}})
+
+    hits = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(find, schema)
+    longest = first_per_key(hits.withColumn("shorter", -F.col("size")), ["sentence_id", "pos"], ["shorter"])
+    # The hits of one sentence, at most one per run.
+    listed = longest.groupBy("sentence_id").agg(F.array_sort(F.collect_list(F.struct("pos", "last", "entity_id", "match"))).alias("hits"))
+    begin = F.filter("hits", lambda h: F.lit(False))
+    free = F.aggregate("hits", begin, lambda kept, h: F.when(
+        F.coalesce(F.try_element_at(kept, F.lit(-1))["last"] < h["pos"], F.lit(True)), F.concat(kept, F.array(h))).otherwise(kept))
+    tags = listed.select("sentence_id", F.explode(free).alias("h")).select("sentence_id", "h.pos", "h.entity_id", "h.match")
+    return first_per_key(tags, ["sentence_id", "entity_id"], ["pos"]).select("sentence_id", "pos", "entity_id", "match")
+
+
+def _names_at_runs(text: str, automaton, folds: dict) -> Iterator[tuple[int, int, int, str, str]]:
+    """The longest name at each run: run, last run, length of the key, entity, the text matched."""
+    folded: list[str] = []
+    ends: list[int] = []  # where the text of each folded character ends, separators after it included
+    run_of: list[int] = []
+    starts: dict[int, int] = {}
+    stops: set[int] = set()
+    begins, before = [], None
+    for number, run in enumerate(re.finditer(NAME_RUN, text)):
+        raw = run.group()
+        form = unicodedata.normalize("NFKC", raw)
+        begins.append((run.start(), len(raw)))
+        if before is not None and text[before:run.start()] != " ":
+            folded.append("\0")
+            ends.append(-1)
+            run_of.append(-1)
+        before = run.end()
+        first = len(folded)
+        for at, char in enumerate(form):
+            kept = char.translate(folds).lower().translate(folds)
+            stop = run.start() + at + 1 if len(form) == len(raw) else run.end()
+            if not kept:
+                if len(folded) > first:
+                    ends[-1] = stop
+                continue
+            for letter in kept:
+                folded.append(letter)
+                ends.append(stop)
+                run_of.append(number)
+        if len(folded) > first:
+            starts[first] = number
+            stops.add(len(folded) - 1)
+    best: dict[int, tuple[int, int, str]] = {}
+    for end, (size, entity) in automaton.iter("".join(folded)):
+        begin = end - size + 1
+        number = starts.get(begin)
+        if number is None or (run_of[end] != number and end not in stops) or (run_of[end] == number and begins[number][1] < 2):
+            continue
+        if number not in best or size > best[number][0]:
+            best[number] = size, end, entity
+    for number, (size, end, entity) in best.items():
+        yield number, run_of[end], size, entity, text[begins[number][0]:ends[end]]
+
+
 def comention_sentences(sentences: DataFrame, tags: DataFrame,
                         folding: Mapping[str, str] | None = None) -> DataFrame:
     """Sentences with two entities or more, equal ones once: sentence_id, title, text, entities.

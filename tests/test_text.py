@@ -207,3 +207,22 @@ def test_folding_reaches_the_tags(spark):
     folding = {"亞": "亚"}
     tags = tag_entities(sentences, build_dictionary(vertices, aliases, folding), folding).collect()
     assert [(t.entity_id, t.match) for t in tags] == [("c1", "亞瑟王")]
+
+
+def test_names_of_several_words(spark):
+    from kinweave.operators.mining import build_dictionary, tag_names
+
+    names = [("k", "King Arthur"), ("a", "Arthur"), ("t", "Round Table Knights"), ("b", "Béla-Bartok"), ("c", "阿喀琉斯"), ("r", "Round")]
+    vertices = spark.createDataFrame([(i, n, name, "x") for n, (i, name) in enumerate(names)],
+                                     "id string, wiki_id int, name string, class_name string")
+    texts = ["King Arthur met Arthur.", "The king  Arthur, King-Arthur and speaking Arthur", "Arthurian King, Arthur",
+             "the Round Table Knights of King Arthurian", "bela bartok and 阿喀琉斯的 Round Table", "Round Table Knight", "", None]
+    sentences = spark.createDataFrame(list(enumerate(texts)), "sentence_id int, text string")
+    dictionary = build_dictionary(vertices, spark.createDataFrame([], "id string, alias string"), {"é": "e"})
+    expected = {
+        (0, 0, "k", "King Arthur"), (0, 3, "a", "Arthur"), (1, 2, "a", "Arthur"), (1, 3, "k", "King-Arthur"), (2, 0, "a", "Arthur"),
+        (3, 1, "t", "Round Table Knights"), (3, 6, "a", "Arthur"), (4, 0, "b", "bela bartok"), (4, 3, "c", "阿喀琉斯"), (4, 4, "r", "Round"),
+        (5, 0, "r", "Round")}
+    for shard, block in ((100_000, 20_000), (1, 2)):
+        tags = tag_names(sentences, dictionary, {"é": "e"}, shard, block).collect()
+        assert {(t.sentence_id, t.pos, t.entity_id, t.match) for t in tags} == expected

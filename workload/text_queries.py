@@ -274,6 +274,41 @@ def tag_entities(spark, sf):
     return _tags(spark, sf)
 
 
+# Names of two words, as they stand next to each other in the benchmark texts.
+TWO_WORDS = f"""two AS (SELECT concat('t:', name) AS id, name FROM (
+    SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+ [a-z]+')) AS name FROM benchmark) t
+    WHERE replace(name, ' ', '') NOT IN (SELECT name FROM names)),
+  keyed AS (SELECT min(id) AS id, replace(name, ' ', '') AS key FROM two GROUP BY ALL),
+  every_name AS (SELECT id, name AS key FROM names UNION ALL SELECT id, key FROM keyed),
+  split AS (SELECT sentence_id, regexp_extract_all(text, '{quoted(mining.NAME_RUN)}') AS r,
+                   regexp_split_to_array(text, '{quoted(mining.NAME_RUN)}') AS g FROM sentences),
+  spans AS (SELECT sentence_id, pos, n, array_to_string(r[pos:pos + n - 1], ' ') AS match, r[pos] AS one, r[pos + n - 1] AS other
+    FROM (SELECT *, unnest(range(2, least(9, len(r) - pos + 2))) AS n FROM (SELECT *, generate_subscripts(r, 1) AS pos FROM split))
+    WHERE len(list_filter(g[pos + 1:pos + n - 1], lambda x: x <> ' ')) = 0),
+  every AS (SELECT sentence_id, pos, pos AS last, id AS entity_id, run[1:size] AS match, length(key) AS size
+      FROM begins JOIN every_name ON key = {name_key('run[1:size]')}
+    UNION ALL SELECT sentence_id, pos - 1, pos + n - 2, id, match, length(key)
+      FROM spans JOIN every_name ON key = {name_key('match')} WHERE {name_key('one')} <> '' AND {name_key('other')} <> ''),
+  widest AS (SELECT *, row_number() OVER (PARTITION BY sentence_id ORDER BY pos) AS k FROM (
+    SELECT *, row_number() OVER (PARTITION BY sentence_id, pos ORDER BY size DESC, last DESC, length(match) DESC) AS nth FROM every) x WHERE nth = 1),
+  walk AS (SELECT sentence_id, k, pos, last AS until, entity_id, match, true AS kept FROM widest WHERE k = 1
+    UNION ALL SELECT n.sentence_id, n.k, n.pos, CASE WHEN n.pos > w.until THEN n.last ELSE w.until END, n.entity_id, n.match, n.pos > w.until
+      FROM walk w JOIN widest n ON n.sentence_id = w.sentence_id AND n.k = w.k + 1)"""
+
+
+@query(f"""WITH RECURSIVE {SENTENCES}, {WORDS}, {TAGS}, {TWO_WORDS}
+  SELECT sentence_id, entity_id, CAST(pos AS INT) AS pos, match FROM (
+    SELECT *, row_number() OVER (PARTITION BY sentence_id, entity_id ORDER BY pos) AS first FROM walk WHERE kept) x WHERE first = 1""")
+def tag_names(spark, sf):
+    """Names of one word and of two in the sentences of the documents."""
+    single = mining.build_dictionary(_named(spark, sf), _no_aliases(spark, sf))
+    pairs = view(spark, sf, "benchmark").select(F.explode(
+        F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+ [a-z]+)"))).alias("name")).distinct()
+    double = (pairs.select(F.replace("name", F.lit(" "), F.lit("")).alias("key"), F.concat(F.lit("t:"), "name").alias("id"))
+              .groupBy("key").agg(F.min("id").alias("id")).join(single, "key", "left_anti"))
+    return mining.tag_names(_sentences(spark, sf), single.select("key", "id").unionByName(double))
+
+
 COMENTIONS = f"""lists AS (SELECT sentence_id, count(*) AS n, array_to_string(list_sort(list(entity_id)), '|') AS ids FROM tags
                           GROUP BY sentence_id HAVING count(*) >= 2),
   com AS (SELECT sentence_id, text, n, ids, doc_id FROM (SELECT l.*, s.text, s.doc_id, row_number() OVER (
