@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.lineage import cut
@@ -13,37 +13,71 @@ POINTS_PER_SHARED = 2.1
 LISTED_SHARED = 6
 
 
-def suggest_links(vertices: DataFrame, edges: DataFrame, n: int = 20, hub_size: int = 1000) -> DataFrame:
+def suggest_links(vertices: DataFrame, edges: DataFrame, n: int = 20, seed: int = 16) -> DataFrame:
     """The ``n`` best suggestions: source_id, target_id, shared, score, shared_ids (first six).
 
-    Pairs come from joining the neighbours of a vertex with each other, which is quadratic in their
-    number. So that join only runs where a vertex has at most ``hub_size`` neighbours of one
-    mythology. Larger neighbourhoods ("hubs") are never paired off: members that hang on the same
-    hubs are interchangeable, so a few of each kind decide the top, and the result is checked against
-    the best pair that could have been left out. The result is exact for any ``hub_size``.
+    Pairs come from vertices of one mythology with a common neighbour, its group. Pairing off large
+    groups would be quadratic, so first only ``seed`` members of each group are paired; the last of the
+    ``n`` best pairs is then a mark that the result reaches anyhow. A member of a group can only be in a
+    better pair if it is in enough other groups that are as large or larger, as the rarest neighbour of
+    such a pair shows; few members of a large group are. The mark is raised with ``seed`` of those until
+    that no longer helps, and then they are all paired, so that no pair is missed, whatever ``seed`` is.
     """
     nb = cut(neighbors(edges.filter(F.col("type") != "BELONGS_TO")))
+    degrees = nb.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
     grouped = vertices.filter(F.nullif("mythology", F.lit("")).isNotNull()).select("id", "mythology")
-    member = cut(
-        nb.join(grouped, F.col("src") == F.col("id"))
-        .select(F.col("dst").alias("center"), F.col("id").alias("member"), "mythology")
-    )
-    hubs = cut(
-        member.groupBy("center", "mythology").agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > hub_size).select("center", "mythology")
-    )
-    has_hubs = not hubs.isEmpty()
-    small = member.join(hubs, ["center", "mythology"], "left_anti") if has_hubs else member
-    pairs = (
-        small.select("center", "mythology", F.col("member").alias("a"))
-        .join(small.select("center", "mythology", F.col("member").alias("b")), ["center", "mythology"])
-        .filter(F.col("a") < F.col("b"))
-        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    )
-    direct = nb.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    pairs = pairs.join(direct, ["a", "b"], "left_anti")
-    best = _with_hubs(pairs, direct, member.join(hubs, ["center", "mythology"]), n) if has_hubs else _best(pairs, n)
-    return _listed(cut(best), nb)
+    entries = cut(_with_after(nb.join(grouped, F.col("src") == F.col("id")).select(
+        F.col("dst").alias("center"), F.col("id").alias("member"), "mythology")))
+    best, mark, size = None, None, seed
+    while True:
+        able = entries if mark is None else entries.filter(F.col("after") >= mark["shared"])
+        some = cap_per_group(able, ["center", "mythology"], ["member"], size)
+        found = _shared(_pairs(some, some), nb, degrees)
+        best = cut(_best(found if best is None else best.unionByName(found).distinct(), n))
+        last = best.agg(F.max(F.struct((-F.col("shared")).alias("rank"), "a", "b", "shared")).alias("at"),
+                        F.count(F.lit(1)).alias("n")).first()
+        now = last["at"] if last["n"] == n else None
+        if now is None and not entries.groupBy("center", "mythology").count().filter(F.col("count") > size).isEmpty():
+            size *= 4
+        elif now is None or now == mark:
+            break
+        mark = now
+    if mark is not None:
+        more = entries.filter(F.col("after") >= mark["shared"])
+        as_many = entries.filter(F.col("after") >= mark["shared"] - 1)
+        pairs = _pairs(more, more).unionByName(_pairs(as_many.filter(F.col("member") <= mark["a"]), as_many)).distinct()
+        best = cut(_best(best.unionByName(_shared(pairs, nb, degrees)).distinct(), n))
+    return _listed(best, nb)
+
+
+def _with_after(member: DataFrame) -> DataFrame:
+    """Members of the groups with two or more, and ``after``: how many other groups that are as large or
+    larger, to a power of two, each member is in."""
+    groups = member.groupBy("center", "mythology").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    sized = member.join(groups.withColumn("power", F.floor(F.log2("n")).cast("int")), ["center", "mythology"])
+    of_member = Window.partitionBy("member").orderBy(F.desc("power")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = sized.groupBy("member", "power").agg(F.count(F.lit(1)).alias("groups"))
+    after = counts.select("member", "power", (F.sum("groups").over(of_member) - 1).alias("after"))
+    return sized.join(after, ["member", "power"]).select("center", "mythology", "member", "after")
+
+
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs a < b of one group, once each."""
+    return (left.select("center", "mythology", F.col("member").alias("a"))
+            .join(right.select("center", "mythology", F.col("member").alias("b")), ["center", "mythology"])
+            .filter(F.col("a") < F.col("b")).select("a", "b").distinct())
+
+
+def _shared(pairs: DataFrame, nb: DataFrame, degrees: DataFrame) -> DataFrame:
+    """Pairs that are not linked, with the number of their common neighbours, looked up from the end that has fewer."""
+    open_pairs = pairs.join(nb.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
+    ends = (open_pairs.join(degrees.select(F.col("id").alias("a"), F.col("degree").alias("degree_a")), "a")
+            .join(degrees.select(F.col("id").alias("b"), F.col("degree").alias("degree_b")), "b"))
+    fewer = F.col("degree_a") <= F.col("degree_b")
+    asked = ends.select("a", "b", F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("src"),
+                        F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("other"))
+    return (asked.join(nb, "src").join(nb.select(F.col("src").alias("other"), "dst"), ["other", "dst"], "left_semi")
+            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")))
 
 
 def _best(pairs: DataFrame, n: int) -> DataFrame:
@@ -62,69 +96,3 @@ def _listed(best: DataFrame, nb: DataFrame) -> DataFrame:
         F.col("a").alias("source_id"), F.col("b").alias("target_id"), "shared",
         F.round(F.col("shared") * POINTS_PER_SHARED, 2).alias("score"), "shared_ids",
     )
-
-
-def _with_hubs(pairs: DataFrame, direct: DataFrame, on_hubs: DataFrame, n: int) -> DataFrame:
-    """Top pairs when some neighbourhoods were too large to pair off."""
-    pairs = cut(pairs)
-    kinds = cut(on_hubs.groupBy("member", "mythology").agg(F.array_sort(F.collect_list("center")).alias("hubs")))
-    hubs_of = kinds.select("member", "hubs")
-    none = F.array().cast("array<string>")
-    paired = (
-        pairs.join(hubs_of.select(F.col("member").alias("a"), F.col("hubs").alias("hubs_a")), "a", "left")
-        .join(hubs_of.select(F.col("member").alias("b"), F.col("hubs").alias("hubs_b")), "b", "left")
-        .select("a", "b", (F.col("shared") + F.size(F.array_intersect(
-            F.coalesce("hubs_a", none), F.coalesce("hubs_b", none)))).alias("shared"))
-    )
-    sizes = cut(kinds.groupBy("mythology", "hubs").agg(F.count(F.lit(1)).alias("size"),
-                                                       F.min("member").alias("first")))
-    meeting = _meeting_kinds(sizes)
-    keep = max(2 * n, 64)
-    while True:
-        few = cut(cap_per_group(kinds, ["mythology", "hubs"], ["member"], keep))
-        left = few.select("mythology", F.col("hubs").alias("hubs_a"), F.col("member").alias("x"))
-        right = few.select("mythology", F.col("hubs").alias("hubs_b"), F.col("member").alias("y"))
-        by_hub = (
-            meeting.join(left, ["mythology", "hubs_a"]).join(right, ["mythology", "hubs_b"])
-            .filter((F.col("hubs_a") != F.col("hubs_b")) | (F.col("x") < F.col("y")))
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
-            .join(direct, ["a", "b"], "left_anti").join(pairs, ["a", "b"], "left_anti")
-        )
-        best = cut(_best(paired.unionByName(by_hub), n))
-        if not _may_miss(best, meeting, few, sizes, n, keep):
-            return best
-        keep *= 2
-
-
-def _meeting_kinds(sizes: DataFrame) -> DataFrame:
-    """Kinds of members that share a hub, each pair once, with the number of hubs shared."""
-    kinds = sizes.select("mythology", "hubs", F.explode("hubs").alias("hub"))
-    met = (
-        kinds.select("mythology", "hub", F.col("hubs").alias("hubs_a"))
-        .join(kinds.select("mythology", "hub", F.col("hubs").alias("hubs_b")), ["mythology", "hub"])
-        .filter(F.col("hubs_a") <= F.col("hubs_b"))
-    )
-    return cut(met.groupBy("mythology", "hubs_a", "hubs_b").agg(F.count(F.lit(1)).alias("shared")))
-
-
-def _may_miss(best: DataFrame, meeting: DataFrame, few: DataFrame, sizes: DataFrame, n: int, keep: int) -> bool:
-    """Whether a pair of left-out members could rank before the last chosen pair."""
-    limits = sizes.filter(F.col("size") > keep).select("mythology", "hubs")
-    limits = few.join(limits, ["mythology", "hubs"]).groupBy("mythology", "hubs").agg(F.max("member").alias("last"))
-    facts = sizes.select("mythology", "hubs", "first").join(limits, ["mythology", "hubs"], "left")
-    side_a = facts.select("mythology", F.col("hubs").alias("hubs_a"), F.col("first").alias("first_a"),
-                          F.col("last").alias("last_a"))
-    side_b = facts.select("mythology", F.col("hubs").alias("hubs_b"), F.col("first").alias("first_b"),
-                          F.col("last").alias("last_b"))
-    # A left-out pair starts at one of the firsts or later and ends after the last member kept.
-    open_kinds = (
-        meeting.join(side_a, ["mythology", "hubs_a"]).join(side_b, ["mythology", "hubs_b"])
-        .filter(F.col("last_a").isNotNull() | F.col("last_b").isNotNull())
-        .select((-F.col("shared")).alias("shared"), F.least("first_a", "first_b").alias("a"),
-                F.least("last_a", "last_b").alias("b"))
-    )
-    if best.count() < n:
-        return not open_kinds.isEmpty()
-    last = best.agg(F.max(F.struct((-F.col("shared")).alias("shared"), "a", "b")).alias("at")).first()["at"]
-    bound = F.struct(F.lit(last["shared"]).alias("shared"), F.lit(last["a"]).alias("a"), F.lit(last["b"]).alias("b"))
-    return not open_kinds.filter(F.struct("shared", "a", "b") < bound).isEmpty()

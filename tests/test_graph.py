@@ -165,29 +165,40 @@ def brute_suggestions(v, pairs, n):
     return [(a, b, -s, round(-s * 2.1, 2), ids) for s, a, b, ids in sorted(rows)[:n]]
 
 
-@pytest.mark.parametrize("seed,hub_size,n", [(1, 1000, 15), (1, 2, 15), (2, 3, 5), (3, 1, 40), (4, 4, 200), (5, 2, 3)])
-def test_suggestions_are_exact_with_hubs(spark, seed, hub_size, n):
+@pytest.mark.parametrize("draw,seed,n", [(1, 1000, 15), (1, 2, 15), (2, 3, 5), (3, 1, 40), (4, 4, 200), (5, 2, 3)])
+def test_suggestions_are_exact_with_hubs(spark, draw, seed, n):
     """A third of all edges sit on one vertex, and many vertices have the same neighbours."""
-    rng = random.Random(seed)
+    rng = random.Random(draw)
     ids = [f"v{i:02}" for i in range(40)]
     pairs = {tuple(sorted(rng.sample(ids, 2))) for _ in range(40)}
     pairs |= {("hub", i) for i in ids if rng.random() < 0.8} | {("hub2", i) for i in ids[:20]}
     pairs |= {(ids[0], i) for i in ids[1:25]}
     v = vertices(spark, [*ids, "hub", "hub2"], myths={i: "MN"[n % 2] for n, i in enumerate(ids)} | {"hub": None, "hub2": ""})
-    got = links.suggest_links(v, edge_table(spark, sorted(pairs)), n, hub_size=hub_size).collect()
+    got = links.suggest_links(v, edge_table(spark, sorted(pairs)), n, seed=seed).collect()
     rows = [tuple(r) for r in sorted(got, key=lambda r: (-r["shared"], r["source_id"], r["target_id"]))]
     assert rows == brute_suggestions(v, pairs, n)
 
 
+def test_suggestions_on_a_large_hub(spark):
+    """Most pairs share the hub alone; the best ones are far down its members, and in small groups."""
+    ids = [f"v{i:04}" for i in range(1500)]
+    pairs = {("hub", i) for i in ids} | {("hub2", i) for i in ids[1490:]} | {("small", ids[3]), ("small", ids[1400])}
+    pairs |= {("hub3", i) for i in ids[700:1495:5]}
+    v = vertices(spark, [*ids, "hub", "hub2", "hub3", "small"], myths={i: None for i in ("hub", "hub2", "hub3", "small")})
+    for n in (5, 60):
+        got = links.suggest_links(v, edge_table(spark, sorted(pairs)), n).collect()
+        assert [tuple(r) for r in sorted(got, key=lambda r: (-r["shared"], r["source_id"], r["target_id"]))] == brute_suggestions(v, pairs, n)
+
+
 def test_suggestions_look_past_the_kept_members(spark):
     """The first members of a hub all know each other, so the first kept members are not enough."""
     ids = [f"v{i:03}" for i in range(90)]
     pairs = {("hub", i) for i in ids} | set(itertools.combinations(ids[:70], 2)) | {(a, b) for a in ids[:70] for b in ids[70:88]}
     v = vertices(spark, [*ids, "hub"], myths={"hub": None})
-    got = links.suggest_links(v, edge_table(spark, sorted(pairs)), 3, hub_size=100).collect()
+    got = links.suggest_links(v, edge_table(spark, sorted(pairs)), 3, seed=100).collect()
     want = brute_suggestions(v, pairs, 3)
     assert [tuple(r) for r in sorted(got, key=lambda r: (-r["shared"], r["source_id"], r["target_id"]))] == want
-    got = links.suggest_links(v, edge_table(spark, sorted(pairs)), 3, hub_size=5).collect()
+    got = links.suggest_links(v, edge_table(spark, sorted(pairs)), 3, seed=5).collect()
     assert [tuple(r) for r in sorted(got, key=lambda r: (-r["shared"], r["source_id"], r["target_id"]))] == want
 
 
