@@ -26,12 +26,18 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/kinweave-{uuid.uuid4().hex}"
+    path = step_path(spark, "kinweave")
     df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def step_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, which ``release`` or the end of the process deletes."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_release_at_exit, spark)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def release(spark: SparkSession) -> None:
