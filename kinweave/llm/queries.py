@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.lineage import shared_folder
+from kinweave.lineage import step_path
 from kinweave.llm import (ann, bpe, chat, decontaminate, licenses, merkle, near_dup, packing, pii, quality, repair,
                           token_store, toxicity)
 from kinweave.llm.common import table
@@ -30,7 +29,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 @query()
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    path = step_path(spark, "tokens")
     token_store.write_token_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
     return token_store.token_index(spark, path)
 
