@@ -7,14 +7,13 @@ again, so a stage never runs twice and a lost executor costs the tasks it had.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.lineage import shared_folder
+from kinweave.lineage import step_path
 from kinweave.llm import bpe, decontaminate, near_dup, pii, quality
 from kinweave.llm.common import table
 
@@ -64,7 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents at ``sf_dir``: the rows of the last one."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        path = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+        path = step_path(spark, "pipeline")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
