@@ -23,7 +23,7 @@ from kinweave.operators.edges import (
 )
 from kinweave.operators.graph import context_subgraph
 from kinweave.operators.ranking import cap_per_group, first_per_key
-from kinweave.operators.search import bm25_search, contained_needles, hybrid_search
+from kinweave.operators.search import bm25_search, contained_needles, hybrid_search, lexical_search
 
 PART_BREAK = "[，。？！,.\\s、]+|(?:和|与|跟|对|对阵|VS|vs)"
 
@@ -128,12 +128,14 @@ def name_base(name: Column) -> Column:
     return F.trim(F.substring_index(F.substring_index(name, "〔", 1), "(", 1))
 
 
-def link_entities(questions: DataFrame, vertices: DataFrame, postings: DataFrame, top: int = 3,
-                  tokens: int | None = None) -> DataFrame:
+def link_entities(questions: DataFrame, vertices: DataFrame, postings: DataFrame, top: int = 3, tokens: int | None = None,
+                  texts: DataFrame | None = None, semantic: DataFrame | None = None) -> DataFrame:
     """Entities that questions (question_id, text) are about: question_id, entity_id, score, rank.
 
     A name or prototype in the text scores ten per character. The parts of the text are searched as
     well, two points for a good hit and one for a fair one; with ``tokens``, by so many tokens of each.
+    With ``texts`` (doc_id, field, text), a part that finds nothing takes names that contain it; with
+    ``semantic`` (query_id, id, score), the query being a part, nearest vectors count as well.
     Variants of one name count as the one with the smallest wiki_id.
     """
     names = vertices.select(F.col("name").alias("needle"), F.lit(0).alias("o"), "wiki_id", "id").union(
@@ -148,9 +150,11 @@ def link_entities(questions: DataFrame, vertices: DataFrame, postings: DataFrame
     searched = parts.filter(F.col("pieces") > 1).unionByName(
         parts.filter(F.col("pieces") <= 1).join(named.select("question_id"), "question_id", "left_anti"))
     asked = searched.select(F.col("part").alias("query_id"), F.col("part").alias("text")).distinct()
-    lexical = cut(bm25_search(asked, postings, limit=6, tokens=tokens))
-    nothing = lexical.select("query_id", F.col("doc_id").alias("id"), "score").filter(F.lit(False))
-    found = hybrid_search(lexical, nothing, 3).select(F.col("query_id").alias("part"), F.col("doc_id").alias("id"), "score")
+    lexical = cut(bm25_search(asked, postings, limit=6, tokens=tokens) if texts is None
+                  else lexical_search(asked, postings, texts, limit=6, tokens=tokens))
+    if semantic is None:
+        semantic = lexical.select("query_id", F.col("doc_id").alias("id"), "score").filter(F.lit(False))
+    found = hybrid_search(lexical, semantic, 3).select(F.col("query_id").alias("part"), F.col("doc_id").alias("id"), "score")
     recalled = searched.join(found, "part").groupBy("question_id", "id").agg(
         F.sum(F.when(F.col("score") > 0.3, 2).otherwise(1)).alias("points"))
     scored = named.select("question_id", "id", F.col("points").cast("long")).unionByName(

@@ -199,6 +199,13 @@ def fallback_search(queries: DataFrame, found: DataFrame, texts: DataFrame, limi
     return cap_per_group(hits, ["query_id"], ["doc_id"], limit)
 
 
+def lexical_search(queries: DataFrame, postings: DataFrame, texts: DataFrame, limit: int = 20,
+                   weights: Mapping[str, float] | None = None, tokens: int | None = None) -> DataFrame:
+    """``bm25_search``; a query that finds nothing takes the names and aliases that contain its text."""
+    found = cut(bm25_search(queries, postings, limit, weights, tokens))
+    return found.unionByName(fallback_search(queries, found, texts, limit))
+
+
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
     """The ``k`` nearest vectors of each query (query_id, vector): query_id, id, score.
 

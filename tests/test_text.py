@@ -124,6 +124,22 @@ def test_search_finds_prefixes_and_falls_back(spark):
     assert {(r["query_id"], r["doc_id"]) for r in more} == {("f", "c3")}
 
 
+def test_linking_falls_back_to_parts_of_names(spark):
+    from kinweave.operators.questions import link_entities
+
+    v = spark.createDataFrame([("h", 1, "Hektor", "", "", ""), ("p", 2, "Priamos", "", "", "")],
+                              "id string, wiki_id int, name string, prototype string, mythology string, description string")
+    texts = search.field_texts(v, spark.createDataFrame([], "id string, alias string"))
+    postings = search.build_postings(texts)
+    asked = spark.createDataFrame([(1, "ektor"), (2, "nobody"), (3, "Priamos")], "question_id int, text string")
+    assert {r.question_id for r in link_entities(asked, v, postings).collect()} == {3}
+    found = {(r.question_id, r.entity_id) for r in link_entities(asked, v, postings, texts=texts).collect()}
+    assert found == {(1, "h"), (3, "p")}
+    near = spark.createDataFrame([("nobody", "h", 0.9)], "query_id string, id string, score double")
+    found = {(r.question_id, r.entity_id) for r in link_entities(asked, v, postings, semantic=near).collect()}
+    assert found == {(2, "h"), (3, "p")}
+
+
 def test_whole_texts_are_searched(spark):
     words = " ".join(f"w{i}" for i in range(12))
     rows = [("early", "description", words), ("late", "description", "needle"), ("cjk", "description", "阿喀琉斯"), ("other", "description", "x")]

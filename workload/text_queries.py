@@ -521,8 +521,8 @@ def contained_names(spark, sf):
 @query()
 def link_entities(spark, sf):
     named = _named(spark, sf)
-    postings = cut(search.build_postings(search.field_texts(named, _no_aliases(spark, sf))))
-    return questions.link_entities(_questions(spark, sf), named, postings)
+    texts = cut(search.field_texts(named, _no_aliases(spark, sf)))
+    return questions.link_entities(_questions(spark, sf), named, cut(search.build_postings(texts)), texts=texts)
 
 
 def _linked(spark, sf):
