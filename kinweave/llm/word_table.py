@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -41,11 +42,11 @@ class WordTable(dict):
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.seen = np.ones(len(keep), np.int64)
 
-    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the pieces in order, and how many each piece has."""
+    def encode(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces of some texts in order, and how many each piece has."""
         if len(self) > self.most:
             self.forget()
-        places = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+        places = np.fromiter(map(self.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
         if self.new:
             flat, lengths = self.encode_new(self.new)
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
@@ -62,7 +63,7 @@ class WordTable(dict):
         """The ids of each text, a bounded run of texts at a time."""
         for first, last in slices(texts):
             cut = [pieces_of(t) for t in texts[first:last]]
-            ids, lengths = self.encode([p for pieces in cut for p in pieces])
+            ids, lengths = self.encode(cut)
             ends = np.concatenate([[0], np.cumsum(lengths)])
             place = 0
             for pieces in cut:
