@@ -63,10 +63,10 @@ def relation_vocabulary(spark, sf):
 SUB_FILTER = "mythology IN ('ECONOMY', 'PROMO', 'SMALL') AND gender = 'F' AND wiki_id <= 1000000000"
 
 
-def _subgraph(spark, sf):
+def _subgraph(spark, sf, **more):
     return graph.subgraph(
         entities(spark, sf), snapshot(spark, sf), mythologies=["ECONOMY", "PROMO", "SMALL"], gender="F",
-        max_wiki_id=1_000_000_000, types=["ALLY_OF", "PARENT_OF"], only_related=True, group_nodes=True)
+        max_wiki_id=1_000_000_000, types=["ALLY_OF", "PARENT_OF"], only_related=True, group_nodes=True, **more)
 
 
 SUB_SQL = f"""WITH allowed AS (SELECT * FROM fx_entities WHERE {SUB_FILTER}),
@@ -95,6 +95,12 @@ def subgraph_links(spark, sf):
     return _subgraph(spark, sf)[1]
 
 
+@query(SUB_SQL + " SELECT * FROM l", ("fx_entities", "sq_edges", "sq_degree"))
+def subgraph_links_strict(spark, sf):
+    """The type filter takes the membership links of group nodes away too."""
+    return _subgraph(spark, sf, strict_types=True)[1]
+
+
 @query("""WITH hits AS (SELECT id FROM fx_entities WHERE contains(name, 'gear') OR contains(prototype, 'gear'))
           SELECT id FROM hits UNION SELECT dst FROM sq_neighbors WHERE src IN (SELECT id FROM hits)""",
        ("fx_entities", "sq_neighbors"))
