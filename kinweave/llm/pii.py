@@ -23,7 +23,7 @@ SPAN = "array<struct<kind:string,rank:int,start:bigint,end:bigint,score:double>>
 @dataclass(frozen=True)
 class Kind:
     """A kind of personal data: its pattern, what a text must hold to be searched at all, the score
-    of a confirmed match, and words before it that raise the score."""
+    of a confirmed match, and words on either side of it that raise the score."""
 
     name: str
     pattern: str
@@ -31,12 +31,17 @@ class Kind:
     score: float
     context: str
 
+    @property
+    def raised(self) -> float:
+        """The score with such a word within ``CONTEXT_CHARS`` characters before or after."""
+        return round(min(1.0, self.score + 0.2), 2)
+
 
 #: In the order in which spans are listed. The first four are the base kinds.
 KINDS = (
     Kind("email", rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.8,
          r"(?i)e-?mail|contact|write|reach|address"),
-    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", ".", 0.5, r"(?i)\bip\b|host|server|address|client|login"),
+    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", ".", 0.5, r"(?i)(?:^|[^a-z0-9_])ip(?:[^a-z0-9_]|$)|host|server|address|client|login"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", 0.7, r"(?i)card|visa|master|credit|debit|pay|amex"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, r"(?i)phone|tel|call|mobile|fax|cell"),
     Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", "", 0.9, r"(?i)iban|bank|account|konto|transfer"),
@@ -104,10 +109,11 @@ def spans_of(text: Column, rank: int) -> Column:
     def step(state: Column, piece: Column) -> Column:
         start = state["at"] + F.length(piece["gap"])
         end = start + F.length(piece["hit"])
-        near = F.right(piece["gap"], F.lit(CONTEXT_CHARS)).rlike(kind.context)
+        before = F.substr(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS)))
+        near = before.rlike(kind.context) | F.substr(text, end + 1, F.lit(CONTEXT_CHARS)).rlike(kind.context)
         span = F.array(F.struct(
             F.lit(kind.name).alias("kind"), F.lit(rank).alias("rank"), start.alias("start"), end.alias("end"),
-            F.when(near, F.least(F.lit(1.0), F.lit(kind.score + 0.2))).otherwise(F.lit(kind.score)).alias("score"))).cast(SPAN)
+            F.when(near, F.lit(kind.raised)).otherwise(F.lit(kind.score)).alias("score"))).cast(SPAN)
         return F.struct(end.alias("at"), F.when(valid(kind.name, piece["hit"]), F.concat(state["found"], span))
                         .otherwise(state["found"]).alias("found"))
 
@@ -127,8 +133,8 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 
 def span_digests(found: DataFrame) -> DataFrame:
-    """Counts and digests of ``found``: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_iban, score``;
-    ``score`` is the highest of the document, 0 without spans."""
+    """Counts and digests of ``found``: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_iban, scores,
+    score``; ``scores`` are those of the spans in percent, ``score`` is the highest of the document, 0 without spans."""
     def of(kind: str) -> Column:
         return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
@@ -138,7 +144,8 @@ def span_digests(found: DataFrame) -> DataFrame:
     base = F.filter("found", lambda s: s["rank"] < len(BASE))
     return found.select(
         "doc_id", *map(of, BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"),
-        of("iban"), F.coalesce(F.array_max(F.transform("found", lambda s: s["score"])), F.lit(0.0)).alias("score"))
+        of("iban"), F.array_join(F.transform("found", lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",").alias("scores"),
+        F.coalesce(F.array_max(F.transform("found", lambda s: s["score"])), F.lit(0.0)).alias("score"))
 
 
 def mask_pii(docs: DataFrame, text_column: str = "text") -> DataFrame:

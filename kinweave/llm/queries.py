@@ -90,13 +90,18 @@ def _pii_sql() -> str:
              ("card", r"[0-9]([\x20-]?[0-9])+", f"len(d) BETWEEN 13 AND 19 AND {luhn}"),
              ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "len(d) BETWEEN 9 AND 15"),
              ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", mod97)]
-    parts = [f"""SELECT doc_id, {rank} AS rank, '{name}' AS kind, s, e FROM (
-        SELECT doc_id, v, regexp_replace(v, '[^0-9]', '', 'g') AS d,
+    def score(kind: pii.Kind) -> str:
+        word, width = kind.context.replace("'", "''"), pii.CONTEXT_CHARS
+        return f"CASE WHEN regexp_matches(substr(text, greatest(s - {width}, 0)::BIGINT + 1, least(s, {width})::BIGINT), '{word}') " \
+               f"OR regexp_matches(substr(text, e::BIGINT + 1, {width}), '{word}') THEN {kind.raised} ELSE {kind.score} END::DOUBLE"
+
+    parts = [f"""SELECT doc_id, {rank} AS rank, '{name}' AS kind, s, e, {score(pii.KINDS[rank])} AS score FROM (
+        SELECT doc_id, text, v, regexp_replace(v, '[^0-9]', '', 'g') AS d,
                before + sum(len(v)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) - len(v) AS s,
                before + sum(len(v)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS e
-        FROM (SELECT doc_id, i, hits[i] AS v, sum(len(gaps[i])) OVER (PARTITION BY doc_id ORDER BY i) AS before
-              FROM (SELECT doc_id, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM (
-                SELECT doc_id, string_split_regex(text, '{pattern}') AS gaps,
+        FROM (SELECT doc_id, text, i, hits[i] AS v, sum(len(gaps[i])) OVER (PARTITION BY doc_id ORDER BY i) AS before
+              FROM (SELECT doc_id, text, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM (
+                SELECT doc_id, text, string_split_regex(text, '{pattern}') AS gaps,
                        regexp_extract_all(text, '{pattern}') AS hits FROM docs)))) WHERE {check}"""
              for rank, (name, pattern, check) in enumerate(kinds)]
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("email", "ip", "card", "phone", "iban"))
@@ -104,15 +109,16 @@ def _pii_sql() -> str:
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), span AS ({" UNION ALL ".join(parts)}),
 per AS (SELECT doc_id, {counts},
   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s) FILTER (rank < 4) AS base,
-  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s) AS spans FROM span GROUP BY doc_id)
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s) AS spans,
+  string_agg(round(score * 100)::INT::VARCHAR, ',' ORDER BY rank, s) AS scores, max(score) AS score FROM span GROUP BY doc_id)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
   coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-  coalesce(n_iban, 0) AS n_iban FROM docs LEFT JOIN per USING (doc_id)"""
+  coalesce(n_iban, 0) AS n_iban, coalesce(scores, '') AS scores, coalesce(score, 0)::DOUBLE AS score FROM docs LEFT JOIN per USING (doc_id)"""
 
 
 @query(_pii_sql())
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.span_digests(pii.find_pii(table(spark, sf_dir, "documents"))).drop("score")
+    return pii.span_digests(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
 #: Control strings of the chat format, spelled for SQL.

@@ -106,6 +106,14 @@ def test_pii_spans(spark):
     assert pii.find_pii(docs(spark, [])).count() == 0
 
 
+def test_context_words_on_either_side_raise_the_score(spark):
+    number, far = "4111 1111 1111 1111", " x" * 30
+    texts = [number, f"card {number}", f"{number} is my card", f"card{far} {number}", f"{number}{far} card", f"{number} {number} visa"]
+    got = rows(pii.span_digests(pii.find_pii(docs(spark, texts))))
+    assert [got[i].scores for i in range(6)] == ["70", "90", "90", "70", "70", "90,90"]
+    assert got[0].score == 0.7 and got[1].score == 0.9
+
+
 def test_masks_cover_every_span_of_the_original(spark):
     texts = ["call +33.1.42.68.53.00 now", "é 10.0.0.1 and a@b.org, +44 20 7946 0958.", "4111 1111 1111 1111 1.2.3.4", None, "", "plain 12"]
     masked = rows(pii.mask_pii(docs(spark, texts)))
