@@ -108,7 +108,7 @@ def test_pii_spans(spark):
 
 def test_context_words_on_either_side_raise_the_score(spark):
     number, far = "4111 1111 1111 1111", " x" * 30
-    texts = [number, f"card {number}", f"{number} is my card", f"card{far} {number}", f"{number}{far} card", f"{number} {number} visa"]
+    texts = [number, f"card {number}", f"{number} is my card", f"card{far} {number}", f"{number}{far} card", f"{number}; {number} visa"]
     got = rows(pii.span_digests(pii.find_pii(docs(spark, texts))))
     assert [got[i].scores for i in range(6)] == ["70", "90", "90", "70", "70", "90,90"]
     assert got[0].score == 0.7 and got[1].score == 0.9
