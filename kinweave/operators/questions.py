@@ -112,6 +112,11 @@ def candidates_to_edges(candidates: DataFrame, index: DataFrame, existing: DataF
         F.lit("pending").alias("status"))
 
 
+CITATIONS = "array<struct<id: string, name: string, relation: string>>"
+#: Fixed value: the answer to a question without a known entity.
+NO_ENTITY = "没有在问题中识别到已知角色。可以试试：'阿尔托莉雅和莫德雷德是什么关系？'"
+
+
 def question_parts(questions: DataFrame) -> DataFrame:
     """Parts of questions between punctuation and conjunctions, question words taken out: question_id, pieces, part."""
     parts = F.split("text", PART_BREAK)
@@ -175,14 +180,12 @@ def _shown_neighbors(edges: DataFrame, ids: DataFrame, vertices: DataFrame, k: i
         type_label(F.col("type")).alias("label"), "confidence")
 
 
-def question_contexts(linked: DataFrame, vertices: DataFrame, edges: DataFrame, shown: int = 8) -> DataFrame:
-    """What the graph says about the entities of each question: question_id, context, citations.
-
-    Per entity a head line, its description and up to ``shown`` relations; at most 30 cited ids.
-    """
+def _question_facts(linked: DataFrame, vertices: DataFrame, edges: DataFrame, shown: int) -> DataFrame:
+    """question_id, context, and all that is cited, as structs of id, name and relation."""
     near = _shown_neighbors(edges, linked.select(F.col("entity_id").alias("id")), vertices, shown)
     line = F.concat(F.lit("  —"), "label", F.lit("→ "), "other_name", F.lit("（置信度 "), "confidence", F.lit("）"))
-    lists = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("nth", line.alias("line"), "other_id"))).alias("n"))
+    lists = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("nth", line.alias("line"),
+        F.struct(F.col("other_id").alias("id"), F.col("other_name").alias("name"), F.col("type").alias("relation")).alias("other")))).alias("n"))
     facts = linked.select("question_id", "rank", F.col("entity_id").alias("id")).join(
         vertices.select("id", "name", "mythology", "class_name", "description"), "id").join(lists, "id", "left")
     blank = F.lit("")
@@ -194,12 +197,34 @@ def question_contexts(linked: DataFrame, vertices: DataFrame, edges: DataFrame,
         F.when(F.size("n") >= shown, F.lit("\n  …（更多关系见图谱）")).otherwise(blank),
     )).otherwise(F.lit("\n  （暂无已审核的角色间关系）"))
     texts = facts.select("question_id", "rank", F.concat(head, F.coalesce(about, blank), relations).alias("text"),
-                         F.coalesce("n.other_id", F.array().cast("array<string>")).alias("cited"))
+                         F.coalesce("n.other", F.array().cast(CITATIONS)).alias("cited"))
     # At most a few entities per question, so these lists are short.
     return texts.groupBy("question_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "text", "cited"))).alias("t")
     ).select("question_id", F.array_join("t.text", "\n").alias("context"),
-             F.slice(F.flatten("t.cited"), 1, 30).alias("citations"))
+             F.flatten("t.cited").alias("citations"))
+
+
+def question_contexts(linked: DataFrame, vertices: DataFrame, edges: DataFrame, shown: int = 8) -> DataFrame:
+    """What the graph says about the entities of each question: question_id, context, citations.
+
+    Per entity a head line, its description and up to ``shown`` relations; at most 30 cited ids.
+    """
+    return _question_facts(linked, vertices, edges, shown).withColumn("citations", F.slice("citations.id", 1, 30))
+
+
+def question_answers(questions: DataFrame, linked: DataFrame, vertices: DataFrame, edges: DataFrame, shown: int = 8,
+                     cited: int | None = None) -> DataFrame:
+    """A row for each question: question_id, context, citations (structs of id, name and relation).
+
+    A question in which no entity was found, or whose entities are not among ``vertices``, gets the text
+    that says so and cites nothing. With ``cited``, at most so many citations are listed.
+    """
+    facts = _question_facts(linked, vertices, edges, shown)
+    listed = F.coalesce("citations", F.array().cast(CITATIONS))
+    return questions.select("question_id").distinct().join(facts, "question_id", "left").select(
+        "question_id", F.coalesce("context", F.lit(NO_ENTITY)).alias("context"),
+        (listed if cited is None else F.slice(listed, 1, cited)).alias("citations"))
 
 
 def question_subgraphs(linked: DataFrame, vertices: DataFrame, edges: DataFrame, cap: int = 60) -> DataFrame:

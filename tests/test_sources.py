@@ -104,3 +104,28 @@ def test_relationship_files_are_numbered_over_all_of_them_and_lines_read_back(sp
 def test_the_last_override_of_a_key_wins(spark):
     html = 'raw_str = "id,avatar\\n1,x"; override_data = "id=1\\nname_cn=zz\\nname_cn=aa";'
     assert readers.embedded_csv(spark.createDataFrame([(1, html)], "page_id long, html string")).first().name == "aa"
+
+
+def test_graphml_files_in_a_row_are_one_document(spark, tmp_path):
+    import xml.etree.ElementTree as ElementTree
+
+    vertices = spark.createDataFrame(
+        [("a", 'A <&> "q"', None, "x"), ("b\n", "two\nlines\x01", "m", None), ("c", None, "", "y")],
+        "id string, name string, mythology string, class_name string")
+    edges = spark.createDataFrame([(1, "a", "b\n", "ALLY_OF"), (2, "c", "a", "X<Y")], "id long, source_id string, target_id string, type string")
+    space = "{http://graphml.graphdrawing.org/xmlns}"
+    for one_file in (False, True):
+        out = tmp_path / f"graph-{one_file}"
+        sinks.write_graphml_document(vertices, edges, str(out), one_file)
+        files = sorted(out.glob("part-*"))
+        assert len(files) == 1 or not one_file
+        root = ElementTree.fromstring(b"".join(f.read_bytes() for f in files))
+        graph = root.find(f"{space}graph")
+        assert {k.get("id") for k in root.findall(f"{space}key")} == {"d_name", "d_myth", "d_class", "e_type"}
+        assert {n.get("id"): n[0].text for n in graph.findall(f"{space}node")} == {"a": 'A <&> "q"', "b\n": "two\nlines", "c": None}
+        assert {(e.get("id"), e.get("source"), e.get("target"), e[0].text) for e in graph.findall(f"{space}edge")} == {
+            ("e1", "a", "b\n", "ALLY_OF"), ("e2", "c", "a", "X<Y")}
+        assert [c.tag for c in graph] == [f"{space}node"] * 3 + [f"{space}edge"] * 2
+    empty = tmp_path / "empty"
+    sinks.write_graphml_document(vertices.limit(0), edges.limit(0), str(empty))
+    assert len(ElementTree.fromstring(b"".join(f.read_bytes() for f in sorted(empty.glob("part-*")))).find(f"{space}graph")) == 0

@@ -242,3 +242,22 @@ def test_names_of_several_words(spark):
     for shard, block in ((100_000, 20_000), (1, 2)):
         tags = tag_names(sentences, dictionary, {"é": "e"}, shard, block).collect()
         assert {(t.sentence_id, t.pos, t.entity_id, t.match) for t in tags} == expected
+
+
+def test_every_question_has_an_answer_with_all_citations(spark):
+    from kinweave.operators import questions
+
+    names = [f"n{i:02}" for i in range(50)]
+    vertices = spark.createDataFrame([(n, n.upper(), "m", "x", "") for n in names],
+                                     "id string, name string, mythology string, class_name string, description string")
+    edges = spark.createDataFrame([(i, "n00", names[i], "ALLY_OF", "high") for i in range(1, 50)],
+                                  "id long, source_id string, target_id string, type string, confidence string")
+    asked = spark.createDataFrame([("q1",), ("q1",), ("q2",), ("q3",)], "question_id string")
+    linked = spark.createDataFrame([("q1", "n00", 1), ("q3", "gone", 1)], "question_id string, entity_id string, rank int")
+    found = {r.question_id: r for r in questions.question_answers(asked, linked, vertices, edges, shown=40).collect()}
+    assert sorted(found) == ["q1", "q2", "q3"] and found["q2"].context == found["q3"].context == questions.NO_ENTITY
+    assert found["q2"].citations == [] and len(found["q1"].citations) == 40
+    assert tuple(found["q1"].citations[0]) == ("n01", "N01", "ALLY_OF")
+    few = questions.question_answers(asked, linked, vertices, edges, shown=40, cited=30)
+    assert max(len(r.citations) for r in few.collect()) == 30
+    assert questions.question_answers(asked.limit(0), linked, vertices, edges).count() == 0

@@ -155,6 +155,23 @@ def graphml_edges(spark, sf):
         F.col("_id").alias("id"), F.col("_source").alias("source_id"), F.col("_target").alias("target_id"), F.col("data._VALUE").alias("type"))
 
 
+@query("""SELECT 'node' AS element, id, '' AS source_id, '' AS target_id, name AS label FROM fx_entities
+          UNION ALL SELECT 'edge', concat('e', id), source_id, target_id, type FROM sq_edges""", ("fx_entities", "sq_edges"))
+def graphml_document(spark, sf):
+    path = new_folder(spark, "graphml-document")
+    sinks.write_graphml_document(entities(spark, sf), snapshot(spark, sf), path)
+    data = "array<struct<_VALUE: string, _key: string>>"
+
+    def read(tag, attributes):
+        schema = ", ".join([*(f"{a} string" for a in attributes), f"data {data}"])
+        return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+
+    blank, label = F.lit(""), F.get("data", F.lit(0))["_VALUE"].alias("label")
+    nodes = read("node", ["_id"]).select(F.lit("node").alias("element"), F.col("_id").alias("id"), blank.alias("source_id"),
+                                         blank.alias("target_id"), label)
+    return nodes.union(read("edge", ["_id", "_source", "_target"]).select(F.lit("edge"), "_id", "_source", "_target", label))
+
+
 # --- build and stream ----------------------------------------------------------------------------
 
 @query("""WITH made AS (SELECT * FROM fx_raw_entities WHERE id <> 'No.0')

@@ -556,6 +556,30 @@ def question_contexts(spark, sf):
     return found.withColumn("citations", F.array_join("citations", "|"))
 
 
+@query("WITH l AS (SELECT source AS question_id, source AS id, 1 AS rank FROM fx_pairs UNION ALL SELECT source, target, 2 FROM fx_pairs),"
+       + NEAR.format(where="", k=8) + """,
+  lines AS (SELECT src, string_agg('  —' || label || '→ ' || name || '（置信度 ' || confidence || '）', chr(10) ORDER BY nth) AS body,
+                   string_agg(dst || ':' || name || ':' || type, '|' ORDER BY nth) AS cited, count(*) AS n FROM near GROUP BY src),
+  t AS (SELECT question_id, rank, '◆ ' || name || '（' || coalesce(nullif(mythology, ''), '体系未知') || '｜' || class_name || '）'
+          || CASE WHEN description <> '' THEN chr(10) || '  ' || description[1:120] ELSE '' END
+          || CASE WHEN body IS NULL THEN chr(10) || '  （暂无已审核的角色间关系）'
+                  ELSE chr(10) || body || CASE WHEN n >= 8 THEN chr(10) || '  …（更多关系见图谱）' ELSE '' END END AS text, cited
+        FROM l JOIN fx_entities e ON e.id = l.id LEFT JOIN lines ON src = l.id),
+  known AS (SELECT question_id, string_agg(text, chr(10) ORDER BY rank) AS context, string_agg(cited, '|' ORDER BY rank) AS citations
+            FROM t GROUP BY question_id)
+  SELECT question_id, coalesce(context, '""" + questions.NO_ENTITY.replace("'", "''") + """') AS context, coalesce(citations, '') AS citations
+  FROM (SELECT DISTINCT source AS question_id FROM fx_pairs UNION SELECT 'b' || item_id FROM benchmark
+        UNION SELECT 'v' || conv_id FROM conversations) q LEFT JOIN known USING (question_id)""",
+       ("fx_pairs", "sq_edges", "fx_entities"))
+def question_answers(spark, sf):
+    asked = view(spark, sf, "fx_pairs").select(F.col("source").alias("question_id"))
+    for name, mark, key in (("benchmark", "b", "item_id"), ("conversations", "v", "conv_id")):
+        asked = asked.union(view(spark, sf, name).select(F.concat(F.lit(mark), key)))
+    found = questions.question_answers(asked, _linked(spark, sf), entities(spark, sf), snapshot(spark, sf))
+    return found.withColumn("citations", F.array_join(
+        F.transform("citations", lambda c: F.concat_ws(":", c["id"], c["name"], c["relation"])), "|"))
+
+
 @query("""WITH l AS (SELECT source AS question_id, source AS id FROM fx_pairs UNION SELECT source, target FROM fx_pairs),
   r AS (SELECT * FROM l UNION SELECT question_id, dst FROM l JOIN sq_neighbors ON id = src)
   SELECT question_id, id FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY id) AS nth FROM r) x WHERE nth <= 60""",
