@@ -1,18 +1,21 @@
 """Nearest vectors by inner product with a permutation index.
 
-A vector is represented by its pivots in the order of nearness, cut after ``RANKS``. It is posted, with
-that list, in the inverted files of its first ``POSTS`` pivots. A query reads the files of its first
-``PROBES`` pivots, ranks what it finds there by footrule distance between the two lists, and compares
-what lies within a radius exactly. A pair that shares several files is looked at in the first of the
-query's only. Files are cut into blocks, for vectors and for queries, so that neither a popular pivot
-nor the number of queries makes a task large.
+A vector is represented by its pivots in the order of nearness, cut after ``RANKS``. It is posted, as
+that list alone, in the inverted files of its first ``POSTS`` pivots. A query reads the files of its
+first ``PROBES`` pivots and ranks what it finds there by footrule distance between the two lists; a pair
+that shares several files is ranked in the first of the query's only. The best part of the ranking goes
+on to be reranked: only then vectors are fetched, shard by shard, and multiplied pair by pair.
 
 Nearness: for the index, vectors get one more component that brings all to the same length, and
 queries a zero, so that the nearest by distance are those with the largest inner product.
 
-Pivots and radius come from a sample of ``SAMPLE`` vectors: the radius holds ``COVER`` of the sample's
-own nearest neighbours, which are farther off than those among all vectors. There is no cap on
-candidates. A query for which the files hold too few is searched again in all files, without a radius.
+Pivots come from a sample of ``SAMPLE`` vectors, and so does the part of the ranking that goes on: the
+one that holds ``COVER`` of the sample's own nearest neighbours, which lie farther down than those among
+all vectors. Each query turns it into a distance by its own ranking of the sample. There is no cap on
+candidates. A query for which the files hold too few is searched again in all files, to the end.
+
+Keys are dense, so files and shards are cut into stretches of keys, for vectors and for queries: neither
+a popular pivot nor the number of queries makes a task large.
 """
 
 from __future__ import annotations
@@ -29,19 +32,26 @@ from kinweave.lineage import cut
 from kinweave.llm.common import batch, small_batches
 from kinweave.llm.places import with_places
 
-PIVOTS, POSTS, PROBES, RANKS = 128, 8, 24, 32
-SAMPLE, SAMPLE_QUERIES, COVER = 4096, 400, 0.98
-#: Vectors and queries in a block.
-BLOCK, QUERY_BLOCK = 4096, 1024
+PIVOTS, POSTS, PROBES, RANKS = 256, 8, 32, 120
+SAMPLE, SAMPLE_QUERIES, COVER = 4096, 400, 0.95
+#: Keys of vectors and of queries in one block of a file.
+BLOCK, ASK_BLOCK = 1 << 18, 1 << 19
+#: Keys of vectors and of queries in one block of the reranking; a pair of places in them is 32 bits.
+SHARD_BITS, ASK_SHARD_BITS = 14, 18
+#: Pairs in a row of candidates, and those that are reranked at once.
+ROW_PAIRS, PAIRS_AT_ONCE = 1 << 14, 1 << 19
+FARTHEST = 2 ** 31 - 1
 
 
 @dataclass
 class Index:
-    """Pivots (of unit length in the longer space), the length all vectors are brought to, the radius."""
+    """Pivots (of unit length in the longer space), the length all vectors are brought to, where the
+    sample has its pivots, and the part of a ranking that is reranked."""
 
     pivots: np.ndarray
     length: float
-    radius: float
+    sample: np.ndarray
+    part: float
 
     def order(self, vectors: np.ndarray, queries: bool) -> np.ndarray:
         """The nearest pivots of each vector, at most ``RANKS``, as pivot numbers."""
@@ -51,21 +61,27 @@ class Index:
         near = vectors @ self.pivots[:, :-1].T + extra[:, None] * self.pivots[None, :, -1]
         return np.argsort(-near, axis=1, kind="stable")[:, :RANKS].astype(np.uint8)
 
+    def reach(self, order: np.ndarray) -> int:
+        """The footrule distance within which a query finds its part of the sample."""
+        if self.part >= 1:
+            return FARTHEST
+        apart = footrules(order, self.sample)
+        last = int(self.part * len(apart))
+        return int(np.partition(apart, last)[last])
+
 
 def places(orders: np.ndarray, pivots: int) -> np.ndarray:
-    """For each vector and pivot, the pivot's place in the vector's list; its length if not there."""
+    """For each pivot and vector, the pivot's place in the vector's list; its length if not there."""
     ranks = orders.shape[1]
-    out = np.full((len(orders), pivots), ranks, np.uint8)
-    np.put_along_axis(out, orders.astype(np.int64), np.arange(ranks, dtype=np.uint8)[None, :].repeat(len(orders), 0), 1)
-    return out
+    out = np.full((len(orders), pivots), ranks, np.int8)
+    np.put_along_axis(out, orders.astype(np.int64), np.arange(ranks, dtype=np.int8)[None, :].repeat(len(orders), 0), 1)
+    return np.ascontiguousarray(out.T)
 
 
-def footrules(query_orders: np.ndarray, where: np.ndarray) -> np.ndarray:
-    """Footrule distance over the query's pivots, for each query and vector."""
-    ranks = query_orders.shape[1]
-    apart = np.abs(np.arange(ranks, dtype=np.int16)[:, None, None] - where.T[None, :, :]).astype(np.uint8)
-    steps = np.arange(ranks)
-    return np.stack([apart[steps, order].sum(0, dtype=np.uint16) for order in query_orders])
+def footrules(order: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Footrule distance over a query's pivots to each vector."""
+    apart = where[order] - np.arange(len(order), dtype=np.int8)[:, None]
+    return np.abs(apart, out=apart).sum(0, dtype=np.int16)
 
 
 def fit_index(vectors: np.ndarray, length: float, k: int) -> Index:
@@ -73,14 +89,18 @@ def fit_index(vectors: np.ndarray, length: float, k: int) -> Index:
     extra = np.sqrt(np.maximum(length ** 2 - (vectors * vectors).sum(1), 0))
     longer = np.column_stack([vectors, extra])
     pivots = longer[:max(1, min(PIVOTS, len(longer) // 16))] / length
-    index = Index(pivots, length, float("inf"))
-    some = vectors[-SAMPLE_QUERIES:]
+    index = Index(pivots, length, np.zeros((0, 0), np.int8), 1.0)
+    index.sample = places(index.order(vectors, False), len(pivots))
+    first = max(0, len(vectors) - SAMPLE_QUERIES)
     if len(vectors) > 2 * k:
-        products = some @ vectors.T
-        products[np.arange(len(some)), np.arange(len(vectors) - len(some), len(vectors))] = -np.inf
-        near = np.argsort(-products, axis=1)[:, :k]
-        apart = footrules(index.order(some, True), places(index.order(vectors, False), len(pivots)))
-        index.radius = float(np.quantile(np.take_along_axis(apart, near, 1), COVER))
+        down = []
+        for own, order in enumerate(index.order(vectors[first:], True), first):
+            products = vectors @ vectors[own]
+            products[own] = -np.inf
+            apart = footrules(order, index.sample)
+            near = np.argsort(-products)[:k]
+            down.append(np.searchsorted(np.sort(apart), apart[near], "right") / len(vectors))
+        index.part = float(np.quantile(np.concatenate(down), COVER))
     return index
 
 
@@ -127,14 +147,14 @@ def search(table: DataFrame, is_query: F.Column, k: int = 20, id_column: str = "
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = fit_index(np.array([r["vec"] for r in sample]), length, k)
     wanted = groups.join(asked.select("key").distinct(), "key", "left_semi").select("key", "vec")
-    found = cut(nearest(groups, wanted, index, k, PROBES))
+    n_keys = groups.count()
+    found = cut(nearest(groups, wanted, index, k, n_keys))
     sizes = groups.select(F.col("key").alias("hit"), F.size("members").alias("m"))
     held = found.join(sizes, "hit").groupBy("key").agg(F.sum("m").alias("m")).filter(F.col("m") > k)
     short = cut(wanted.join(held, "key", "left_anti"))
     if not short.isEmpty():
-        whole = Index(index.pivots, index.length, float("inf"))
         found = (found.join(short.select("key"), "key", "left_anti")
-                 .unionByName(nearest(groups, short, whole, k, len(index.pivots))))
+                 .unionByName(nearest(groups, short, index, k, n_keys, whole=True)))
     members = found.join(groups.select(F.col("key").alias("hit"), F.explode("members").alias("vec_id")), "hit")
     of_key = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     best = members.withColumn("place", F.row_number().over(of_key)).filter(F.col("place") <= k + 1)
@@ -144,19 +164,21 @@ def search(table: DataFrame, is_query: F.Column, k: int = 20, id_column: str = "
             .select("query_id", "rank", "vec_id", "score"))
 
 
-def posted(vectors: DataFrame, index: Index, queries: bool, lists: int) -> DataFrame:
-    """``key, vec, list, file``: a row for each of the first ``lists`` pivots; ``list`` are the nearest pivots."""
-    schema = "key long, vec array<double>, list binary"
+def posted(vectors: DataFrame, index: Index, queries: bool, lists: int, whole: bool = False) -> DataFrame:
+    """``key, reach, list, file``: a row for each of the first ``lists`` pivots; ``list`` are the nearest
+    pivots. Vectors themselves stay behind. With ``whole``, a query reads all files to the end."""
+    schema = "key long, reach int, list binary"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             if rows.num_rows:
                 found = index.order(matrix(rows["vec"]), queries)
-                yield batch(schema, key=rows["key"], vec=rows["vec"], list=[x.tobytes() for x in found])
+                reach = [index.reach(o) if queries and not whole else FARTHEST for o in found]
+                yield batch(schema, key=rows["key"], reach=reach, list=[x.tobytes() for x in found])
 
     files = F.array(*(F.conv(F.hex(F.substring("list", i + 1, 1)), 16, 10).cast("int")
                       for i in range(min(lists, len(index.pivots), RANKS))))
-    if lists >= len(index.pivots):
+    if whole:
         files = F.sequence(F.lit(0), F.lit(len(index.pivots) - 1))
     return vectors.select("key", "vec").mapInArrow(work, schema).withColumn("file", F.explode(files))
 
@@ -165,71 +187,170 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def nearest(groups: DataFrame, wanted: DataFrame, index: Index, k: int, probes: int) -> DataFrame:
+def blocks_of(batches: Iterator[pa.RecordBatch], names: int) -> Iterator[tuple[tuple, Iterator[pa.RecordBatch]]]:
+    """Runs of rows with the same first ``names`` columns, each as batches, without holding a run."""
+    def parts() -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        for rows in batches:
+            if rows.num_rows:
+                values = np.stack([rows.column(i).to_numpy() for i in range(names)], axis=1)
+                bounds = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1), len(values)]
+                for a, b in zip(bounds, bounds[1:]):
+                    yield tuple(values[a].tolist()), rows.slice(a, b - a)
+
+    found = parts()
+    following = next(found, None)
+
+    def run(name: tuple) -> Iterator[pa.RecordBatch]:
+        nonlocal following
+        while following is not None and following[0] == name:
+            yield following[1]
+            following = next(found, None)
+
+    while following is not None:
+        name = following[0]
+        rows = run(name)
+        yield name, rows
+        for _ in rows:  # what the caller has left unread
+            pass
+
+
+def nearest(groups: DataFrame, wanted: DataFrame, index: Index, k: int, n_keys: int, whole: bool = False) -> DataFrame:
     """``key, hit, score``: for each wanted key, its ``k + 1`` best among the groups that it meets."""
-    files, asks = posted(groups, index, False, POSTS), posted(wanted, index, True, probes)
-    # A row per pivot, at most ``PIVOTS`` of them.
-    cuts = F.broadcast(cut(files.groupBy("file").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-                           .join(asks.groupBy("file").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("ask_blocks")), "file")))
-    at = F.xxhash64("key")
-    left = (files.join(cuts, "file").withColumn("block", F.pmod(at, "blocks").cast("int"))
-            .withColumn("ask_block", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1))).withColumn("asks", F.lit(False)))
-    right = (asks.join(cuts, "file").withColumn("ask_block", F.pmod(at, "ask_blocks").cast("int"))
-             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True)))
-    names = ["file", "block", "ask_block", "asks", "key", "list", "vec"]
+    return rerank(groups, wanted, rank(groups, wanted, index, n_keys, whole), k, n_keys)
+
+
+def stretches(n_keys: int, size: int) -> F.Column:
+    return F.sequence(F.lit(0), F.lit(max(0, (n_keys - 1) // size)))
+
+
+def rank(groups: DataFrame, wanted: DataFrame, index: Index, n_keys: int, whole: bool) -> DataFrame:
+    """``ask_shard, shard, pairs``: what lies in each query's part of its ranking, as pairs of places."""
+    files = (posted(groups, index, False, 1 if whole else POSTS).withColumn("block", F.floor(F.col("key") / BLOCK).cast("int"))
+             .withColumn("ask_block", F.explode(stretches(n_keys, ASK_BLOCK))).withColumn("asks", F.lit(False)))
+    asks = (posted(wanted, index, True, PROBES, whole).withColumn("ask_block", F.floor(F.col("key") / ASK_BLOCK).cast("int"))
+            .withColumn("block", F.explode(stretches(n_keys, BLOCK))).withColumn("asks", F.lit(True)))
+    names = ["file", "block", "ask_block", "asks", "key", "reach", "list"]
     # Asks come first in each block.
-    together = (left.select(names).unionByName(right.select(names)).repartition("file", "block", "ask_block")
-                .sortWithinPartitions("file", "block", "ask_block", F.desc("asks")))
-    schema = "key long, hit long, score double"
+    together = (files.select(names).unionByName(asks.select(names)).repartition("file", "block", "ask_block")
+                .sortWithinPartitions("file", "block", "ask_block", F.desc("asks"), "key"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[int, float] = {}  # the score that a hit of a query must reach to be of use in this task
-        held: list[pa.RecordBatch] = []
-        name = None
-        for part in batches:
-            names = np.stack([part.column(i).to_numpy() for i in range(3)], axis=1)
-            bounds = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1), len(names)]
-            for a, b in zip(bounds, bounds[1:]):
-                if b > a and tuple(names[a]) != name:
-                    yield from compare(held, name, index, probes, k, least, schema)
-                    held, name = [], tuple(names[a])
-                held.append(part.slice(a, b - a))
-        yield from compare(held, name, index, probes, k, least, schema)
-
-    hits = together.mapInArrow(work, schema)
-    best = Window.partitionBy("key").orderBy(F.desc("score"), "hit")
-    return hits.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).drop("place")
+        for name, rows in blocks_of(batches, 3):
+            yield from rank_block(pa.Table.from_batches(list(rows)), name[0], len(index.pivots), whole)
+
+    return together.mapInArrow(work, PAIRS)
+
+
+PAIRS = "ask_shard int, shard int, pairs binary"
 
 
-def compare(held: list, name: tuple | None, index: Index, probes: int, k: int, least: dict, schema: str) -> Iterator[pa.RecordBatch]:
+def rank_block(block: pa.Table, file: int, pivots: int, whole: bool) -> Iterator[pa.RecordBatch]:
     """Rank one block of a file for one block of queries."""
-    if not held:
+    n = int(np.count_nonzero(block["asks"].to_numpy()))
+    if n == 0 or n == len(block):
         return
-    block = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-    asks = block["asks"].to_numpy(zero_copy_only=False)
-    n = int(asks.sum())
-    if n == 0 or n == len(asks):
-        return
-    keys, vectors = block["key"].to_numpy(), matrix(block["vec"])
-    lists = np.array([np.frombuffer(x, np.uint8) for x in block["list"].to_pylist()])
-    where = places(lists[n:], len(index.pivots))
-    is_posted = (where < POSTS).T
-    scores = vectors[:n] @ vectors[n:].T
-    width = 512
-    apart = np.concatenate([footrules(lists[:n], where[i:i + width]) for i in range(0, len(where), width)], axis=1)
-    out_key, out_hit, out_score = [], [], []
+    keys, reach = block["key"].to_numpy(), block["reach"].to_numpy()
+    lists = np.frombuffer(b"".join(block["list"].to_pylist()), np.uint8).reshape(len(block), -1)
+    where = places(lists[n:], pivots)
+    in_file = where < POSTS
+    hits = keys[n:]
+    held: list[np.ndarray] = []
+    size = 0
     for i in range(n):
-        order = lists[i][:probes]
-        if probes >= len(index.pivots):  # all files: a vector is taken from that of its first pivot
-            before = np.zeros(len(where), bool) | (where[:, name[0]] != 0)
-        else:
-            before = is_posted[order[:int(np.flatnonzero(order == name[0])[0])]].any(0)
-        take = np.flatnonzero(~before & (apart[i] <= index.radius) & (scores[i] >= least.get(int(keys[i]), -np.inf)))
-        if len(take) > k + 1:
-            bound = np.partition(scores[i][take], len(take) - k - 1)[len(take) - k - 1]
-            least[int(keys[i])] = max(bound, least.get(int(keys[i]), -np.inf))
-            take = take[scores[i][take] >= bound]
-        out_key.append(np.full(len(take), keys[i]))
-        out_hit.append(keys[n:][take])
-        out_score.append(scores[i][take])
-    yield batch(schema, key=np.concatenate(out_key), hit=np.concatenate(out_hit), score=np.concatenate(out_score))
+        order = lists[i]
+        take = footrules(order, where) <= reach[i] if reach[i] < FARTHEST else np.ones(len(hits), bool)
+        if not whole:  # what shares an earlier file has been ranked there
+            take &= ~in_file[order[:int(np.flatnonzero(order == file)[0])]].any(0)
+        taken = hits[take]
+        held.append(np.stack([np.full(len(taken), keys[i]), taken]))
+        size += len(taken)
+        if size >= PAIRS_AT_ONCE:
+            yield from packed(np.concatenate(held, axis=1))
+            held, size = [], 0
+    yield from packed(np.concatenate(held, axis=1)) if held else ()
+
+
+def packed(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of a query and a hit by shards of both, a pair in 32 bits."""
+    ask_shard, shard = pairs[0] >> ASK_SHARD_BITS, pairs[1] >> SHARD_BITS
+    codes = (((pairs[0] & ((1 << ASK_SHARD_BITS) - 1)) << SHARD_BITS) | (pairs[1] & ((1 << SHARD_BITS) - 1))).astype("<u4")
+    order = np.lexsort([shard, ask_shard])
+    ask_shard, shard, codes = ask_shard[order], shard[order], codes[order]
+    new = np.flatnonzero((np.diff(ask_shard) != 0) | (np.diff(shard) != 0)) + 1
+    bounds = [0, *new, len(codes)]
+    starts = [(a, min(a + ROW_PAIRS, end)) for begin, end in zip(bounds, bounds[1:]) for a in range(begin, end, ROW_PAIRS)]
+    if starts:
+        yield batch(PAIRS, ask_shard=[ask_shard[a] for a, _ in starts], shard=[shard[a] for a, _ in starts],
+                    pairs=[codes[a:b].tobytes() for a, b in starts])
+
+
+def rerank(groups: DataFrame, wanted: DataFrame, candidates: DataFrame, k: int, n_keys: int) -> DataFrame:
+    """``key, hit, score``: the ``k + 1`` candidates of each query with the largest products."""
+    none = F.lit(None)
+    shard, ask_shard = F.shiftright("key", SHARD_BITS).cast("int"), F.shiftright("key", ASK_SHARD_BITS).cast("int")
+    vectors = groups.select("key", "vec", shard.alias("shard"), F.lit(0).alias("kind"), none.cast("binary").alias("pairs"),
+                            F.explode(stretches(n_keys, 1 << ASK_SHARD_BITS)).alias("ask_shard"))
+    asks = wanted.select("key", "vec", ask_shard.alias("ask_shard"), F.lit(1).alias("kind"), none.cast("binary").alias("pairs"),
+                         F.explode(stretches(n_keys, 1 << SHARD_BITS)).alias("shard"))
+    pairs = candidates.select(none.cast("long").alias("key"), none.cast("array<double>").alias("vec"), "shard",
+                              F.lit(2).alias("kind"), "pairs", "ask_shard")
+    names = ["ask_shard", "shard", "kind", "key", "vec", "pairs"]
+    together = (vectors.select(names).unionByName(asks.select(names)).unionByName(pairs.select(names))
+                .repartition("ask_shard", "shard").sortWithinPartitions("ask_shard", "shard", "kind"))
+    schema = "key long, hit long, score double"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, rows in blocks_of(batches, 2):
+            keys, hits, scores = rerank_block(rows, k)
+            if len(keys):
+                yield batch(schema, key=keys + (name[0] << ASK_SHARD_BITS), hit=hits + (name[1] << SHARD_BITS), score=scores)
+
+    best = Window.partitionBy("key").orderBy(F.desc("score"), "hit")
+    return (together.mapInArrow(work, schema)
+            .withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).drop("place"))
+
+
+def rerank_block(rows: Iterator[pa.RecordBatch], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and hits with their products. Vectors come first, then queries, then pairs."""
+    vectors: dict[int, list] = {0: [], 1: []}
+    at: dict[int, list] = {0: [], 1: []}
+    tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    waiting: list[bytes] = []
+
+    def products(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        for kind, bits in ((0, SHARD_BITS), (1, ASK_SHARD_BITS)):
+            if kind not in tables:
+                row_of = np.zeros(1 << bits, np.int64)
+                places_ = np.concatenate(at[kind]) & ((1 << bits) - 1)
+                row_of[places_] = np.arange(len(places_))
+                tables[kind] = row_of, np.concatenate(vectors[kind])
+        ask, hit = (codes >> SHARD_BITS).astype(np.int64), (codes & ((1 << SHARD_BITS) - 1)).astype(np.int64)
+        (hit_row, hit_vec), (ask_row, ask_vec) = tables[0], tables[1]
+        some = 1 << 14
+        score = np.concatenate([np.einsum("ij,ij->i", ask_vec[ask_row[ask[i:i + some]]], hit_vec[hit_row[hit[i:i + some]]])
+                                for i in range(0, len(codes), some)])
+        ask, hit, score = (np.concatenate(both) for both in zip(best, (ask, hit, score)))
+        order = np.lexsort([hit, -score, ask])
+        ask, hit, score = ask[order], hit[order], score[order]
+        begins = np.concatenate([[True], ask[1:] != ask[:-1]])
+        index = np.arange(len(ask))
+        keep = index - np.maximum.accumulate(np.where(begins, index, 0)) <= k
+        return ask[keep], hit[keep], score[keep]
+
+    size = 0
+    for part in rows:
+        kinds = part["kind"].to_numpy()
+        for kind in (0, 1):
+            own = np.flatnonzero(kinds == kind)
+            if len(own):
+                own = part.slice(int(own[0]), len(own))
+                at[kind].append(own["key"].to_numpy())
+                vectors[kind].append(matrix(own["vec"]))
+        for codes in part["pairs"].drop_null().to_pylist():
+            waiting.append(codes)
+            size += len(codes) // 4
+            if size >= PAIRS_AT_ONCE:
+                best = products(np.frombuffer(b"".join(waiting), "<u4"))
+                waiting, size = [], 0
+    return products(np.frombuffer(b"".join(waiting), "<u4")) if waiting else best

@@ -191,6 +191,38 @@ def test_nearest_with_repeated_ids(spark):
     assert sorted(lists[20]) == [(1, 1, 2.0), (1, 40, 2.0), (2, 1, 1.0), (2, 40, 1.5)]
 
 
+def test_footrule_ranking_decides_what_is_reranked(spark):
+    random_ = np.random.default_rng(9)
+    vecs = random_.normal(size=(400, 8))
+    length = float(np.sqrt((vecs * vecs).sum(1).max()))
+    index = ann.fit_index(vecs[:320], length, 3)
+    lists = index.order(vecs, False).tolist()
+    asked = [0, 20, 399]
+    own = dict(zip(asked, index.order(vecs[asked], True).tolist()))
+
+    def apart(q, v):
+        return sum(abs(i - (lists[v].index(p) if p in lists[v] else len(lists[v]))) for i, p in enumerate(own[q]))
+
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "key long, vec array<double>")
+    wanted = rows.filter(F.col("key").isin(asked))
+    pairs = []
+    for r in ann.rank(rows, wanted, index, 400, False).collect():
+        for code in np.frombuffer(r.pairs, "<u4").tolist():
+            pairs.append(((r.ask_shard << ann.ASK_SHARD_BITS) + (code >> ann.SHARD_BITS),
+                          (r.shard << ann.SHARD_BITS) + (code & ((1 << ann.SHARD_BITS) - 1))))
+    expected = set()
+    for q in asked:
+        sample = sorted(apart(q, v) for v in range(320))
+        reach = sample[int(index.part * 320)] if index.part < 1 else 10 ** 9
+        expected |= {(q, v) for v in range(400) if apart(q, v) <= reach and set(own[q][:ann.PROBES]) & set(lists[v][:ann.POSTS])}
+    assert 0 < index.part < 1 and len(pairs) == len(set(pairs)) and set(pairs) == expected
+    best = {}
+    for r in ann.rerank(rows, wanted, ann.rank(rows, wanted, index, 400, False), 3, 400).collect():
+        best.setdefault(r.key, []).append((-r.score, r.hit))
+    for q in asked:
+        assert [h for _, h in sorted(best[q])] == sorted((v for p, v in expected if p == q), key=lambda v: -(vecs[q] @ vecs[v]))[:4]
+
+
 def test_nearest_of_few_vectors_gives_all(spark):
     rows = [(0, [1.0, 0]), (20, [0.0, -1]), (5, [1.0, 1]), (7, [1.0, 1])]
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(vectors(spark, rows), F.col("vec_id") % 20 == 0).collect()]
