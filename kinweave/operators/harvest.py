@@ -174,13 +174,21 @@ def link_prototypes(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce(F.nullif("prototype_label", F.lit("")), "prototype_qid").alias("name"),
         F.lit(vocab.PROTOTYPE_CLASS).alias("class_name"), F.nullif("mythology", F.lit("")).alias("mythology"),
         F.lit("wikidata").alias("source"), F.col("prototype_qid").alias("wikidata_qid"))
-    edges = resolved.select("char_id", "prototype_qid").distinct().select(
+    named = resolved.select("char_id", "prototype_qid").distinct().join(
+        nodes.select(F.col("wikidata_qid").alias("prototype_qid"), "name"), "prototype_qid")
+    edges = derived(named.select(
         F.col("char_id").alias("source_id"), F.concat(F.lit("wp:"), "prototype_qid").alias("target_id"),
-        F.lit("DERIVED_FROM").alias("type"), F.lit("verified").alias("confidence"),
-        F.lit("seed").alias("origin"), F.lit("approved").alias("status"))
+        F.format_string(vocab.SEED_EVIDENCE, "name", "prototype_qid").alias("evidence")), "seed")
     return nodes, edges
 
 
+def derived(ends: DataFrame, origin: str) -> DataFrame:
+    """DERIVED_FROM edges, as they are stored, from ``source_id, target_id, evidence``."""
+    return ends.select("source_id", "target_id", F.lit("DERIVED_FROM").alias("type"), F.lit(True).alias("directed"),
+                       F.lit("verified").alias("confidence"), "evidence", F.lit(origin).alias("origin"),
+                       F.lit("approved").alias("status"))
+
+
 def harvest_incarnations(rows: DataFrame, texts: DataFrame, vertices: DataFrame, aliases: DataFrame,
                          per_prototype: int = 40, limit: int | None = None) -> DataFrame:
     """Characters and works found behind prototypes, with the ids they get.
@@ -218,9 +226,38 @@ def incarnation_edges(found: DataFrame, existing: DataFrame) -> DataFrame:
     """DERIVED_FROM edges of harvested characters that are not known yet."""
     edges = found.filter(F.col("record_kind") == "character").select(
         F.col("entity_id").alias("source_id"), F.concat(F.lit("wp:"), "proto").alias("target_id"),
-        F.lit("DERIVED_FROM").alias("type")).distinct()
-    return edges.join(existing, ["source_id", "target_id", "type"], "left_anti").withColumns({
-        "confidence": F.lit("verified"), "origin": F.lit("wikidata"), "status": F.lit("approved")})
+        F.format_string(vocab.INCARNATION_EVIDENCE, "proto").alias("evidence")).distinct()
+    return derived(edges, "wikidata").join(existing, ["source_id", "target_id", "type"], "left_anti")
+
+
+def incarnation_rows(found: DataFrame, prototypes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the new characters and works of ``harvest_incarnations``; the first row of an id makes it.
+
+    ``prototypes`` is (qid, mythology), with one row per qid. A character takes the mythology of its
+    prototype, a work keeps the prototype itself.
+    """
+    fresh = found.filter(F.col("matched_by") == "new")
+    firsts = first_per_key(
+        fresh.select("entity_id", "seq", "qid", "proto", "record_kind", "label", "description", "medium", "work_kind"),
+        ["entity_id"], ["seq", "qid", "proto"])
+    of_prototype = prototypes.select(F.col("qid").alias("proto"), "mythology")
+    characters = firsts.filter(F.col("record_kind") == "character").join(of_prototype, "proto", "left").select(
+        F.col("entity_id").alias("id"), F.lit(0).alias("wiki_id"), F.col("label").alias("name"), "mythology",
+        F.coalesce("description", F.lit("")).alias("description"), F.lit("wikidata").alias("source"),
+        F.col("qid").alias("wikidata_qid"), "medium")
+    works = firsts.filter(F.col("record_kind") == "work").select(
+        F.col("entity_id").alias("id"), F.col("label").alias("name"), F.col("work_kind").alias("kind"),
+        F.col("qid").alias("wikidata_qid"), F.col("proto").alias("prototype_qid"), F.lit("wikidata").alias("source"),
+        F.coalesce("description", F.lit("")).alias("description"))
+    return characters, works
+
+
+def learned_qids(found: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Stored entities without a qid and the first one that the harvest found for them: id, wikidata_qid."""
+    known = found.filter((F.col("record_kind") == "character") & (F.col("matched_by") != "new"))
+    firsts = first_per_key(known.select(F.col("entity_id").alias("id"), "seq", "qid"), ["id"], ["seq", "qid"])
+    open_ = vertices.filter(F.col("wikidata_qid").isNull()).select("id")
+    return firsts.join(open_, "id", "left_semi").select("id", F.col("qid").alias("wikidata_qid"))
 
 
 def search_names(prototypes: DataFrame, aliases: DataFrame, n: int = 8) -> DataFrame:
@@ -233,7 +270,7 @@ def search_names(prototypes: DataFrame, aliases: DataFrame, n: int = 8) -> DataF
 
 def link_by_exact_name(prototypes: DataFrame, aliases: DataFrame, candidates: DataFrame, vertices: DataFrame,
                        vertex_aliases: DataFrame, per_prototype: int = 6, limit: int | None = None) -> DataFrame:
-    """Outside characters that carry a name of a prototype: prototype_id, cand_id, entity_id, matched_by.
+    """Outside characters that carry a name of a prototype: prototype_id, cand_id, label, entity_id, matched_by, term_no.
 
     ``candidates`` is (cand_id, name). An equi-join on the normalised name; per prototype the first
     ones by name, then id. So of the candidates of one name, no prototype takes more than the first
@@ -253,7 +290,38 @@ def link_by_exact_name(prototypes: DataFrame, aliases: DataFrame, candidates: Da
                               F.concat(F.lit("bg:"), "cand_id").alias("qid"))
     by_name_only = vertices.select("id", "wiki_id", "name", F.lit(None).cast("string").alias("wikidata_qid"))
     matched = match_entities(named_new, by_name_only, vertex_aliases, prefix="")
-    return matched.select("prototype_id", "cand_id", "label", "entity_id", "matched_by")
+    return matched.select("prototype_id", "cand_id", "label", "entity_id", "matched_by", F.col("seq.term_no").alias("term_no"))
+
+
+def exact_name_edges(linked: DataFrame, existing: DataFrame) -> DataFrame:
+    """DERIVED_FROM edges of ``link_by_exact_name`` that are not known yet; the first candidate is the evidence."""
+    firsts = first_per_key(linked.select("entity_id", "prototype_id", "term_no", "cand_id", "label"),
+                           ["entity_id", "prototype_id"], ["term_no", "cand_id"])
+    edges = firsts.select(
+        F.col("entity_id").alias("source_id"), F.col("prototype_id").alias("target_id"),
+        F.format_string(vocab.EXACT_NAME_EVIDENCE, "label", F.col("cand_id").cast("string")).alias("evidence"))
+    return derived(edges, "bangumi").join(existing, ["source_id", "target_id", "type"], "left_anti")
+
+
+def exact_name_rows(linked: DataFrame, prototypes: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of new characters, and (id, bangumi_id) of known ones; of several candidates the first counts.
+
+    ``candidates`` may have a ``summary``, which becomes the description. A new character takes the
+    mythology of the first prototype that names it.
+    """
+    firsts = first_per_key(linked.select("entity_id", "prototype_id", "term_no", "cand_id", "label", "matched_by"),
+                           ["entity_id"], ["prototype_id", "term_no", "cand_id"])
+    summary = F.col("summary") if "summary" in candidates.columns else F.lit(None).cast("string")
+    told = candidates.select("cand_id", F.coalesce(summary, F.lit("")).alias("description")).dropDuplicates(["cand_id"])
+    characters = firsts.filter(F.col("matched_by") == "new").join(
+        prototypes.select(F.col("id").alias("prototype_id"), "mythology"), "prototype_id", "left").join(
+        told, "cand_id", "left").select(
+        F.col("entity_id").alias("id"), F.lit(0).alias("wiki_id"), F.col("label").alias("name"), "mythology",
+        F.coalesce("description", F.lit("")).alias("description"), F.lit("bangumi").alias("source"),
+        F.col("cand_id").alias("bangumi_id"))
+    known = firsts.filter(F.col("matched_by") != "new").select(
+        F.col("entity_id").alias("id"), F.col("cand_id").alias("bangumi_id"))
+    return characters, known
 
 
 def link_appearances(linked: DataFrame, subjects: DataFrame, each: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -316,8 +384,8 @@ def family_edges(vertices: DataFrame, props: DataFrame, meta: DataFrame, claims:
         look_up(types, F.col("rel")).alias("type"), "seq", "anchor_qid", "rel")
     edges = first_per_key(with_pair_key(edges), [LOW, HIGH, "type"], ["seq", "anchor_qid", "rel"]).drop(LOW, HIGH)
     edges = exclude_existing(edges, existing).select(
-        "source_id", "target_id", "type", is_directed(F.col("type")).alias("directed"),
-        F.lit("verified").alias("confidence"), F.lit("wikidata").alias("origin"), F.lit("approved").alias("status"))
+        "source_id", "target_id", "type", is_directed(F.col("type")).alias("directed"), F.lit("verified").alias("confidence"),
+        F.format_string(vocab.FAMILY_EVIDENCE, "rel").alias("evidence"), F.lit("wikidata").alias("origin"), F.lit("approved").alias("status"))
     return members, edges
 
 

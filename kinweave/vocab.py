@@ -271,3 +271,9 @@ def relation_types(spark: SparkSession) -> DataFrame:
     """The relation types as a table: type, label, category, directed."""
     rows = [(t, label, category, directed) for t, (label, category, directed) in RELATION_TYPES.items()]
     return spark.createDataFrame(rows, "type string, label string, category string, directed boolean")
+
+# The evidence that harvested edges carry, with gaps for names and ids.
+SEED_EVIDENCE = "FGO 角色 Wikidata 实体 P144/P1074 → %s (%s)"
+INCARNATION_EVIDENCE = "wikidata P144/P1074 → %s"
+EXACT_NAME_EVIDENCE = "bangumi 精确同名 %s (bg:%s)"
+FAMILY_EVIDENCE = "wikidata:%s 结构化家族属性"

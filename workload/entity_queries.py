@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinweave import vocab
 from kinweave.functions import names
 from kinweave.operators import edges, entities, harvest, review
+from kinweave.plans.harvest import land_incarnations
 from workload.registry import query
 from workload.views import view
 
@@ -432,16 +433,22 @@ def link_prototypes(spark, sf):
     return harvest.link_prototypes(_resolved_seeds(spark, sf))[0].select("id", "name", "mythology")
 
 
-@query("SELECT DISTINCT 'c' || p_partkey AS source_id, 'wp:' || p_name AS target_id, 'DERIVED_FROM' AS type FROM part")
+#: What all harvested DERIVED_FROM edges have in common.
+DERIVED = "'DERIVED_FROM' AS type, true AS directed, 'verified' AS confidence, 'approved' AS status"
+
+
+@query(f"""SELECT DISTINCT 'c' || p_partkey AS source_id, 'wp:' || p_name AS target_id, {DERIVED}, 'seed' AS origin,
+  'FGO 角色 Wikidata 实体 P144/P1074 → ' || first_value(p_name || ' of ' || p_brand) OVER (PARTITION BY p_name ORDER BY p_partkey)
+    || ' (' || p_name || ')' AS evidence FROM part""")
 def prototype_edges(spark, sf):
-    return harvest.link_prototypes(_resolved_seeds(spark, sf))[1].select("source_id", "target_id", "type")
+    return harvest.link_prototypes(_resolved_seeds(spark, sf))[1]
 
 
-def _incarnations(spark, sf):
+def _incarnations(spark, sf, stored="fx_qid_entities"):
     rows = view(spark, sf, "fx_meta").join(view(spark, sf, "part"), F.col("qid") == F.concat(F.lit("Q"), "p_partkey"))
     rows = rows.select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("proto"), "qid", "label", "description")
     texts = harvest.class_texts(_claims(spark, sf), view(spark, sf, "fx_labels"))
-    return harvest.harvest_incarnations(rows, texts, view(spark, sf, "fx_qid_entities"), view(spark, sf, "fx_aliases"))
+    return harvest.harvest_incarnations(rows, texts, view(spark, sf, stored), view(spark, sf, "fx_aliases"))
 
 
 INCARNATED = f"""WITH tx AS (SELECT qid, string_agg(label || ' ', ' ' ORDER BY place) AS text FROM (
@@ -469,14 +476,66 @@ def harvest_incarnations(spark, sf):
     return _incarnations(spark, sf).select("seq", "proto", "qid", "record_kind", "entity_id", "matched_by", "medium", "work_kind")
 
 
-@query(INCARNATED + """ SELECT DISTINCT entity_id AS source_id, 'wp:' || proto AS target_id FROM inc
+@query(INCARNATED + f""" SELECT DISTINCT entity_id AS source_id, 'wp:' || proto AS target_id, {DERIVED}, 'wikidata' AS origin,
+           'wikidata P144/P1074 → ' || proto AS evidence FROM inc
          WHERE record_kind = 'character' AND (entity_id, 'wp:' || proto) NOT IN (
            SELECT (source_id, target_id) FROM fx_derived JOIN part ON 'c' || p_partkey = source_id WHERE p_size < 5)""",
        FACT_VIEWS + ("fx_qid_entities", "fx_derived"))
 def incarnation_edges(spark, sf):
     small = view(spark, sf, "part").filter(F.col("p_size") < 5).select(F.concat(F.lit("c"), "p_partkey").alias("source_id"))
     known = view(spark, sf, "fx_derived").join(small, "source_id", "left_semi")
-    return harvest.incarnation_edges(_incarnations(spark, sf), known).select("source_id", "target_id")
+    return harvest.incarnation_edges(_incarnations(spark, sf), known)
+
+
+NEW_ROWS = """, pr AS (SELECT p_name AS proto, first(nullif(p_type, 'STANDARD') ORDER BY p_partkey) AS mythology FROM part GROUP BY p_name),
+  fst AS (SELECT i.*, m.label, m.description, mythology FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY seq, qid, proto) AS nth
+            FROM inc WHERE matched_by = 'new') i JOIN fx_meta m ON m.qid = i.qid JOIN pr ON pr.proto = i.proto WHERE nth = 1),
+  ch AS (SELECT entity_id AS id, CAST(0 AS INT) AS wiki_id, label AS name, mythology, description, 'wikidata' AS source,
+                qid AS wikidata_qid, medium FROM fst WHERE record_kind = 'character'),
+  lq AS (SELECT id, wikidata_qid FROM (SELECT entity_id AS id, qid AS wikidata_qid, row_number() OVER (PARTITION BY entity_id
+           ORDER BY seq, qid) AS nth FROM inc WHERE record_kind = 'character' AND matched_by <> 'new') x
+         WHERE nth = 1 AND id IN (SELECT id FROM fx_stored_entities WHERE wikidata_qid IS NULL))"""
+
+LANDED = INCARNATED.replace("fx_qid_entities", "fx_stored_entities") + NEW_ROWS
+LANDED_VIEWS = FACT_VIEWS + ("fx_stored_entities",)
+
+
+def _incarnation_rows(spark, sf):
+    prototypes = harvest.link_prototypes(_resolved_seeds(spark, sf))[0].select(F.col("wikidata_qid").alias("qid"), "mythology")
+    return harvest.incarnation_rows(_incarnations(spark, sf, "fx_stored_entities"), prototypes)
+
+
+@query(LANDED + " SELECT * FROM ch", LANDED_VIEWS)
+def incarnation_characters(spark, sf):
+    return _incarnation_rows(spark, sf)[0]
+
+
+@query(LANDED + """ SELECT entity_id AS id, label AS name, work_kind AS kind, qid AS wikidata_qid, proto AS prototype_qid,
+         'wikidata' AS source, description FROM fst WHERE record_kind = 'work'""", LANDED_VIEWS)
+def incarnation_works(spark, sf):
+    return _incarnation_rows(spark, sf)[1]
+
+
+@query(LANDED + " SELECT * FROM lq", LANDED_VIEWS)
+def learned_qids(spark, sf):
+    return harvest.learned_qids(_incarnations(spark, sf, "fx_stored_entities"), view(spark, sf, "fx_stored_entities"))
+
+
+@query(LANDED + """ SELECT e.id, e.name, e.mythology, e.source, coalesce(e.wikidata_qid, lq.wikidata_qid) AS wikidata_qid
+         FROM fx_stored_entities e LEFT JOIN lq ON lq.id = e.id
+       UNION ALL SELECT 'wp:' || p_name, first(p_name || ' of ' || p_brand ORDER BY p_partkey),
+         first(nullif(p_type, 'STANDARD') ORDER BY p_partkey), 'wikidata', p_name FROM part GROUP BY p_name
+       UNION ALL SELECT id, name, mythology, source, wikidata_qid FROM ch
+         WHERE id NOT IN (SELECT id FROM fx_stored_entities)""", LANDED_VIEWS)
+def landed_characters(spark, sf):
+    """The table of characters after a harvest has been landed twice, which is as good as once."""
+    found, prototypes = _incarnations(spark, sf, "fx_stored_entities"), harvest.link_prototypes(_resolved_seeds(spark, sf))[0]
+    tables = {"characters": view(spark, sf, "fx_stored_entities"),
+              "works": spark.createDataFrame([], "id string, name string, kind string"),
+              "relationships": spark.createDataFrame([], "source_id string, target_id string, type string")}
+    for _ in range(2):
+        tables = land_incarnations(found, prototypes, tables)
+    return tables["characters"].select("id", "name", "mythology", "source", "wikidata_qid")
 
 
 def _prototypes(spark, sf):
@@ -502,7 +561,7 @@ LINKED = f"""WITH t AS (SELECT * FROM (SELECT id, name, row_number() OVER (PARTI
            SELECT alias, 2, wiki_id, e.id FROM fx_aliases a JOIN fx_entities e ON a.id = e.id) z GROUP BY 1),
   nw AS (SELECT h.key, first('bg:' || cand_id ORDER BY prototype_id, term_no, cand_id) AS id FROM h
          WHERE h.key NOT IN (SELECT key FROM nm) GROUP BY h.key),
-  linked AS (SELECT prototype_id, cand_id, label, coalesce(nm.id, nw.id) AS entity_id,
+  linked AS (SELECT prototype_id, cand_id, label, term_no, coalesce(nm.id, nw.id) AS entity_id,
                     CASE WHEN nm.id IS NOT NULL THEN 'name' ELSE 'new' END AS matched_by
              FROM h LEFT JOIN nm ON nm.key = h.key LEFT JOIN nw ON nw.key = h.key)"""
 LINK_VIEWS = ("fx_all_entities", "fx_proto_aliases", "fx_candidates", "fx_entities", "fx_aliases")
@@ -513,9 +572,27 @@ def search_names(spark, sf):
     return harvest.search_names(_prototypes(spark, sf), view(spark, sf, "fx_proto_aliases"))
 
 
-@query(LINKED + " SELECT * FROM linked", LINK_VIEWS)
+@query(LINKED + " SELECT * EXCLUDE (term_no) FROM linked", LINK_VIEWS)
 def link_by_exact_name(spark, sf):
-    return _linked(spark, sf)
+    return _linked(spark, sf).drop("term_no")
+
+
+@query(LINKED + f""" SELECT entity_id AS source_id, prototype_id AS target_id, {DERIVED}, 'bangumi' AS origin,
+         'bangumi 精确同名 ' || first(label ORDER BY term_no, cand_id) || ' (bg:' || first(cand_id ORDER BY term_no, cand_id) || ')'
+           AS evidence FROM linked GROUP BY entity_id, prototype_id""", LINK_VIEWS)
+def exact_name_edges(spark, sf):
+    none = spark.createDataFrame([], "source_id string, target_id string, type string")
+    return harvest.exact_name_edges(_linked(spark, sf), none)
+
+
+@query(LINKED + """, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY prototype_id, term_no, cand_id) AS nth
+           FROM linked) x WHERE nth = 1)
+       SELECT entity_id AS id, CASE WHEN matched_by = 'new' THEN label END AS name, cand_id AS bangumi_id,
+              CASE WHEN matched_by = 'new' THEN e.mythology END AS mythology, CASE WHEN matched_by = 'new' THEN 'bangumi' END AS source
+       FROM f JOIN fx_all_entities e ON e.id = prototype_id""", LINK_VIEWS)
+def exact_name_rows(spark, sf):
+    made, known = harvest.exact_name_rows(_linked(spark, sf), _prototypes(spark, sf), view(spark, sf, "fx_candidates"))
+    return made.unionByName(known, allowMissingColumns=True).select("id", "name", "bangumi_id", "mythology", "source")
 
 
 @query(LINKED + """ SELECT DISTINCT entity_id AS character_id, 'bgw:' || subject_id AS work_id FROM linked JOIN (
@@ -535,11 +612,11 @@ FAMILY = f"""WITH {FACTS},
   mi AS (SELECT rw.*, coalesce(an.id, st.id) AS m_id FROM rw LEFT JOIN an ON an.qid = member_qid LEFT JOIN (
            SELECT id, substr(id, 4) AS qid FROM fx_qid_entities WHERE starts_with(id, 'wd:') UNION SELECT id, qid FROM members) st
          ON st.qid = member_qid),
-  e AS (SELECT seq, CASE WHEN rel IN ('P22', 'P25') THEN m_id ELSE a_id END AS source_id,
+  e AS (SELECT seq, rel, CASE WHEN rel IN ('P22', 'P25') THEN m_id ELSE a_id END AS source_id,
                CASE WHEN rel IN ('P22', 'P25') THEN a_id ELSE m_id END AS target_id,
                CASE rel WHEN 'P26' THEN 'SPOUSE_OF' WHEN 'P3373' THEN 'SIBLING_OF' ELSE 'PARENT_OF' END AS type
         FROM mi WHERE m_id IS NOT NULL AND m_id <> a_id),
-  fam AS (SELECT source_id, target_id, type FROM (SELECT *, row_number() OVER (PARTITION BY least(source_id, target_id),
+  fam AS (SELECT source_id, target_id, type, rel FROM (SELECT *, row_number() OVER (PARTITION BY least(source_id, target_id),
             greatest(source_id, target_id), type ORDER BY seq) AS nth FROM e) x WHERE nth = 1)"""
 FAMILY_VIEWS = FACT_VIEWS + ("fx_qid_entities", "fx_family_props")
 
@@ -550,11 +627,12 @@ def _family(spark, sf):
                                 _claims(spark, sf), view(spark, sf, "fx_labels"), known, "primary")
 
 
-@query(FAMILY + """ SELECT source_id, target_id, type FROM fam f WHERE NOT EXISTS (SELECT 1 FROM sq_edges q WHERE q.type = f.type
+@query(FAMILY + """ SELECT source_id, target_id, type, type = 'PARENT_OF' AS directed, 'verified' AS confidence,
+         'wikidata:' || rel || ' 结构化家族属性' AS evidence, 'wikidata' AS origin, 'approved' AS status FROM fam f WHERE NOT EXISTS (SELECT 1 FROM sq_edges q WHERE q.type = f.type
          AND least(q.source_id, q.target_id) = least(f.source_id, f.target_id)
          AND greatest(q.source_id, q.target_id) = greatest(f.source_id, f.target_id))""", FAMILY_VIEWS + ("sq_edges",))
 def family_edges(spark, sf):
-    return _family(spark, sf)[1].select("source_id", "target_id", "type")
+    return _family(spark, sf)[1]
 
 
 @query(FAMILY + " SELECT id, name, mythology FROM members", FAMILY_VIEWS)

@@ -142,6 +142,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(p_partkey AS INT) AS wiki_id, concat(p_name, ' ', p_partkey) AS name, p_brand AS class_name,
                p_type AS mythology, CASE WHEN p_size <= 20 THEN 'primary' ELSE 'outside' END AS source,
                CASE WHEN p_size <= 21 THEN concat('Q', p_partkey) END AS wikidata_qid FROM part"""),
+    "fx_stored_entities": (("fx_qid_entities",), """
+        SELECT * FROM fx_qid_entities WHERE source = 'primary' OR mythology <> 'STANDARD'"""),
     "fx_family_props": (("fx_items",), """
         SELECT l_orderkey * 1000000 + pos AS seq, concat('Q', l_partkey) AS anchor_qid,
                CASE l_linenumber % 5 WHEN 0 THEN 'P22' WHEN 1 THEN 'P25' WHEN 2 THEN 'P26' WHEN 3 THEN 'P3373'
