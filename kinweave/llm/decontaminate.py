@@ -114,7 +114,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, rar
 
     A document word is hit if an occurrence of an item window covers it. A null or empty text has no
     words and no hits; an empty benchmark hits nothing; items without an id or without words are left
-    out. Repeated documents get equal results. Other columns are not read.
+    out. Repeated documents get equal results. Ids are of any type. Other columns are not read.
     """
     texts = keyed(docs, id_column, text_column)
     hits = phrase_hits(texts, benchmark, size, rarest)
@@ -122,11 +122,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, rar
     per_doc = (hits.select("doc_id", "row", "item_id", F.array_distinct(covered).alias("covered"))
                .groupBy("doc_id", "row")
                .agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).cast("long").alias("n_hit"),
-                    F.collect_set("item_id").alias("items")))
+                    F.collect_set(F.col("item_id").cast("string")).alias("items")))
     per_doc = cut(per_doc)
     counted = texts.select("doc_id", "row", F.regexp_count("text", F.lit(WORD_IN_ANY_CASE)).cast("long").alias("n_words"))
     per_doc = sendable(per_doc)
-    names = F.array_sort(F.transform(F.coalesce("items", F.array().cast("array<long>")), lambda i: i.cast("string")))
+    names = F.array_sort(F.coalesce("items", F.array().cast("array<string>")))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return (counted.join(per_doc, same(counted, per_doc), "left")
             .select(counted["doc_id"], "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"),

@@ -330,3 +330,13 @@ def test_held_out_accuracy(spark, name):
     known = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", label)
     got = QUERIES[name](spark, folder).filter("held_out").join(known, "doc_id").collect()
     assert sum(r.predicted == r[label] for r in got) >= 0.93 * len(got) > 0
+
+
+def test_contamination_with_ids_of_text(spark):
+    passage = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([("x", f"a {passage} b"), ("y", "nothing here"), (None, None)], "doc_id string, text string")
+    items = spark.createDataFrame([("q-10", passage), ("q-9", "two three"), ("q-8", "eleven")], "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, items).collect()}
+    digest = hashlib.sha256(b"q-10,q-9").hexdigest()
+    assert (got["x"].n_words, got["x"].n_hit, got["x"].n_items, got["x"].items_sha256) == (12, 10, 2, digest)
+    assert not got["y"].contaminated and (got[None].n_words, got[None].n_hit) == (0, 0)
