@@ -50,6 +50,26 @@ def read_enriched(spark: SparkSession, path: str) -> DataFrame:
     return read_json_records(spark, path, ENRICHED_ENTITY)
 
 
+def read_graphml_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, name) and edges (id, source_id, target_id, type) of a document that ``write_graphml_document`` wrote.
+
+    Each element is a line of its own. The files are only a document together, one after the other, so
+    an XML reader, which takes each for a whole one, would stop after the first element of most of them.
+    """
+    lines = spark.read.text(path)
+    data = "array<struct<_VALUE: string, _key: string>>"
+    exact = {"ignoreSurroundingSpaces": "false", "mode": "FAILFAST"}
+
+    def elements(tag: str, fields: dict[str, str], key: str, name: str) -> DataFrame:
+        schema = ", ".join([*(f"{a} string" for a in fields), f"data {data}"])
+        read = lines.filter(F.startswith("value", F.lit(f"<{tag} "))).select(F.from_xml("value", schema, exact).alias("x"))
+        kept = F.get(F.filter("x.data", lambda d: d["_key"] == key), F.lit(0))["_VALUE"]
+        return read.select(*(F.col(f"x.{a}").alias(column) for a, column in fields.items()), F.coalesce(kept, F.lit("")).alias(name))
+
+    return (elements("node", {"_id": "id"}, "d_name", "name"),
+            elements("edge", {"_id": "id", "_source": "source_id", "_target": "target_id"}, "e_type", "type"))
+
+
 def read_relationships(spark: SparkSession, path: str) -> DataFrame:
     """Relations of relationship files, numbered (seq) over all files by name and place.
 

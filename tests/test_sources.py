@@ -129,3 +129,20 @@ def test_graphml_files_in_a_row_are_one_document(spark, tmp_path):
     empty = tmp_path / "empty"
     sinks.write_graphml_document(vertices.limit(0), edges.limit(0), str(empty))
     assert len(ElementTree.fromstring(b"".join(f.read_bytes() for f in sorted(empty.glob("part-*")))).find(f"{space}graph")) == 0
+
+
+def test_graphml_document_of_several_files_is_read_whole(spark, tmp_path):
+    vertices = spark.createDataFrame([(f"c{i}", f" <{i}> & \n\"x\" ", "m", "k") for i in range(40)],
+                                     "id string, name string, mythology string, class_name string")
+    edges = spark.createDataFrame([(i, f"c{i}", f"c{i + 1}", "ALLY_OF") for i in range(30)],
+                                  "id long, source_id string, target_id string, type string")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        sinks.write_graphml_document(vertices, edges, str(tmp_path / "g"))
+    finally:
+        spark.conf.unset(coalesce)
+    assert len(list((tmp_path / "g").glob("part-*"))) > 2
+    nodes, links = readers.read_graphml_document(spark, str(tmp_path / "g"))
+    assert sorted(map(tuple, nodes.collect())) == sorted((r["id"], r["name"]) for r in vertices.collect())
+    assert sorted(map(tuple, links.collect())) == sorted((f"e{r['id']}", *r[1:]) for r in edges.collect())

@@ -160,16 +160,10 @@ def graphml_edges(spark, sf):
 def graphml_document(spark, sf):
     path = new_folder(spark, "graphml-document")
     sinks.write_graphml_document(entities(spark, sf), snapshot(spark, sf), path)
-    data = "array<struct<_VALUE: string, _key: string>>"
-
-    def read(tag, attributes):
-        schema = ", ".join([*(f"{a} string" for a in attributes), f"data {data}"])
-        return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
-
-    blank, label = F.lit(""), F.get("data", F.lit(0))["_VALUE"].alias("label")
-    nodes = read("node", ["_id"]).select(F.lit("node").alias("element"), F.col("_id").alias("id"), blank.alias("source_id"),
-                                         blank.alias("target_id"), label)
-    return nodes.union(read("edge", ["_id", "_source", "_target"]).select(F.lit("edge"), "_id", "_source", "_target", label))
+    nodes, links = readers.read_graphml_document(spark, path)
+    blank = F.lit("")
+    listed = nodes.select(F.lit("node").alias("element"), "id", blank.alias("source_id"), blank.alias("target_id"), F.col("name").alias("label"))
+    return listed.union(links.select(F.lit("edge"), "id", "source_id", "target_id", "type"))
 
 
 # --- build and stream ----------------------------------------------------------------------------
