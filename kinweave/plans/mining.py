@@ -31,7 +31,7 @@ def numbered_sentences(pages: DataFrame) -> DataFrame:
 def mined_pairs(sentences: DataFrame, vertices: DataFrame, aliases: DataFrame,
                 folding: Mapping[str, str] | None = None) -> DataFrame:
     """Pairs of entities named in one sentence, as a written table; ``folding`` holds for every key."""
-    kept = cut(sentences)
+    kept = cut(sentences.select("sentence_id", "title", "text"))
     tags = tag_entities(kept, build_dictionary(vertices, aliases, folding), folding)
     return cut(mention_pairs(comention_sentences(kept, tags, folding)))
 

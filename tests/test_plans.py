@@ -2,7 +2,7 @@
 
 import pytest
 
-from kinweave.operators import edges, listing
+from kinweave.operators import edges, listing, mining
 from workload import entity_queries, graph_queries, text_queries
 from workload.check import DATA
 
@@ -37,3 +37,20 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
 def test_first_per_key_combines_before_the_shuffle(spark):
     text = plan(edges.canonical_edges(graph_queries.relationships(spark, SF)))
     assert text.count("partial_min_by") >= 1
+
+
+def test_each_different_run_is_looked_up_once(spark, monkeypatch):
+    written, cut = [], mining.cut
+    monkeypatch.setattr(mining, "cut", lambda df: written.append(cut(df)) or written[-1])
+    sentences = spark.createDataFrame([(i, f"Saber met Lancer {i}") for i in range(50)], "sentence_id int, text string")
+    names = spark.createDataFrame([("saber", "s"), ("lancer", "l")], "key string, id string")
+    assert mining.tag_entities(sentences, names).count() == 100
+    assert sorted(map(tuple, written[-1].collect())) == [("Lancer", "l", "Lancer"), ("Saber", "s", "Saber")]
+
+
+def test_templates_share_the_marked_texts(spark):
+    pairs = spark.createDataFrame([], "sentence_id int, title string, text string, a_id string, b_id string, a_match string, b_match string")
+    known = spark.createDataFrame([], "source_id string, target_id string, type string")
+    text = mining.template_candidates(pairs, known)._jdf.queryExecution().optimizedPlan().toString()
+    # Two replacements for either order of the lengths, on both sides.
+    assert text.count("regexp_replace(text") <= 4
