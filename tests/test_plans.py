@@ -2,7 +2,7 @@
 
 import pytest
 
-from kinweave.operators import edges, listing, mining
+from kinweave.operators import edges, listing, mining, search
 from workload import entity_queries, graph_queries, text_queries
 from workload.check import DATA
 
@@ -54,3 +54,9 @@ def test_templates_share_the_marked_texts(spark):
     text = mining.template_candidates(pairs, known)._jdf.queryExecution().optimizedPlan().toString()
     # Two replacements for either order of the lengths, on both sides.
     assert text.count("regexp_replace(text") <= 4
+
+
+def test_postings_shuffle_texts_not_terms(spark):
+    texts = spark.createDataFrame([], "doc_id string, field string, text string")
+    text = plan(search.build_postings(texts))
+    assert text.count("Exchange") == 1 and text.index("Generate") < text.index("Exchange")
