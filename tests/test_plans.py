@@ -3,7 +3,7 @@
 import pytest
 
 from kinweave.operators import edges, listing, mining, search
-from workload import entity_queries, graph_queries, text_queries
+from workload import entity_queries, graph_queries, source_queries, text_queries
 from workload.check import DATA
 
 SF = f"{DATA}/sf0.001"
@@ -60,3 +60,8 @@ def test_postings_shuffle_texts_not_terms(spark):
     texts = spark.createDataFrame([], "doc_id string, field string, text string")
     text = plan(search.build_postings(texts))
     assert text.count("Exchange") == 1 and text.index("Generate") < text.index("Exchange")
+
+
+def test_index_pages_of_one_file_are_spread_before_they_are_parsed(spark):
+    text = plan(source_queries.extract_index_rows(spark, SF))
+    assert text.index("Generate") < text.index("Exchange hashpartitioning(p_partkey")

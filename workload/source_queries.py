@@ -102,7 +102,7 @@ def extract_index_rows(spark, sf):
         F.lit("<html><body><table class='wikitable'><tr><th>No.</th><th>从者</th><th>职 阶</th><th>出典</th></tr><tr><td>No."), "p_size",
         F.lit('</td><td><a href="/w/'), "p_partkey", F.lit('"><b>'), "p_name", F.lit("</b></a>"), image, F.lit("</td><td> "), "p_brand",
         F.lit("</td><td>"), "p_type", F.lit("</td></tr><tr><td>only one</td></tr></table></body></html>"))
-    pages = view(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    pages = spread(view(spark, sf, "part"), "p_partkey").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
     return readers.extract_index_rows(pages).select("id", "name", "class", "region", "detail_url", "image_url")
 
 
