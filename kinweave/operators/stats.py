@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave import vocab
+from kinweave.lineage import cut
 from kinweave.operators.edges import end_ids
 from kinweave.operators.ranking import cap_per_group
 
+#: Rows of selections that a task holds, whatever the number of partitions is set to.
+TASK_ROWS = 500_000
+
 
 def _missing(column: str):
     return F.nullif(column, F.lit("")).isNull()
@@ -133,10 +137,17 @@ def evolution_matrix(vertices: DataFrame, edges: DataFrame, appearances: DataFra
         F.coalesce("works", F.array().cast("array<string>")).alias("works"))
 
 
-def _selected(selections: DataFrame, vertices: DataFrame) -> DataFrame:
-    return selections.select("user_id", "id").distinct().join(
-        vertices.select("id", "name", "class_name", F.coalesce(F.nullif("mythology", F.lit("")),
-                                                               F.lit(vocab.UNGROUPED)).alias("mythology")), "id")
+def _by_size(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` as a written table, and how many tasks its rows are dealt out to: more rows, more tasks."""
+    rows = cut(df)
+    return rows, max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+
+
+def _selected(selections: DataFrame, vertices: DataFrame) -> tuple[DataFrame, int]:
+    """Each entity of a selection once, with what is known of it, and the number of tasks for so many."""
+    rows, parts = _by_size(selections.select("user_id", "id"))
+    mythology = F.coalesce(F.nullif("mythology", F.lit("")), F.lit(vocab.UNGROUPED)).alias("mythology")
+    return rows.repartition(parts, "id").distinct().join(vertices.select("id", "class_name", mythology), "id"), parts
 
 
 def selection_prototypes(selections: DataFrame, vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -144,11 +155,16 @@ def selection_prototypes(selections: DataFrame, vertices: DataFrame, edges: Data
 
     An entity counts for one prototype, the one of its last DERIVED_FROM edge.
     """
+    chosen, parts = _selected(selections, vertices)
+    return _members(chosen, parts, vertices, edges)
+
+
+def _members(chosen: DataFrame, parts: int, vertices: DataFrame, edges: DataFrame) -> DataFrame:
     prototypes = vertices.filter(F.col("class_name") == vocab.PROTOTYPE_CLASS).select(F.col("id").alias("target_id"))
     derived = edges.filter(F.col("type") == "DERIVED_FROM").join(prototypes, "target_id", "left_semi")
     of_entity = derived.groupBy(F.col("source_id").alias("id")).agg(F.max_by("target_id", "id").alias("prototype_id"))
-    chosen = _selected(selections, vertices).select("user_id", "id")
-    return chosen.join(of_entity, "id").groupBy("user_id", "prototype_id").agg(F.count(F.lit(1)).alias("members"))
+    members = chosen.select("user_id", "id").join(of_entity, "id").select("user_id", "prototype_id")
+    return members.repartition(parts, "user_id").groupBy("user_id", "prototype_id").agg(F.count(F.lit(1)).alias("members"))
 
 
 def selection_profile(selections: DataFrame, vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -158,16 +174,17 @@ def selection_profile(selections: DataFrame, vertices: DataFrame, edges: DataFra
     commonest), shared_prototypes (prototypes with two members or more), guardian (the prototype
     with most members; ties go to the smaller id) and its number of members.
     """
-    chosen = _selected(selections, vertices)
-    by_group = chosen.groupBy("user_id", "mythology").agg(F.count(F.lit(1)).alias("n"))
+    chosen, parts = _selected(selections, vertices)
+    chosen = cut(chosen)
+    by_group = chosen.select("user_id", "mythology").repartition(parts, "user_id").groupBy("user_id", "mythology").agg(F.count(F.lit(1)).alias("n"))
     totals = by_group.groupBy("user_id").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("mythologies"))
-    by_class = chosen.filter(F.nullif("class_name", F.lit("")).isNotNull()).groupBy("user_id", "class_name").agg(
-        F.count(F.lit(1)).alias("n"))
+    classes = chosen.filter(F.nullif("class_name", F.lit("")).isNotNull()).select("user_id", "class_name")
+    by_class = classes.repartition(parts, "user_id").groupBy("user_id", "class_name").agg(F.count(F.lit(1)).alias("n"))
     top = cap_per_group(by_class, ["user_id"], [F.desc("n"), "class_name"], 3)
     top = top.groupBy("user_id").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "class_name"))).alias("t")
     ).select("user_id", F.col("t.class_name").alias("top_classes"))
-    shared = selection_prototypes(selections, vertices, edges).groupBy("user_id").agg(
+    shared = _members(chosen.repartition(parts, "id"), parts, vertices, edges).groupBy("user_id").agg(
         F.count_if(F.col("members") >= 2).alias("shared_prototypes"),
         F.min_by("prototype_id", F.struct((-F.col("members")).alias("m"), "prototype_id")).alias("guardian"),
         F.max("members").alias("guardian_members"),
@@ -183,4 +200,5 @@ def selection_profile(selections: DataFrame, vertices: DataFrame, edges: DataFra
 
 def selection_distribution(selections: DataFrame, vertices: DataFrame) -> DataFrame:
     """Selected entities per user and mythology."""
-    return _selected(selections, vertices).groupBy("user_id", "mythology").agg(F.count(F.lit(1)).alias("n"))
+    chosen, parts = _selected(selections, vertices)
+    return chosen.select("user_id", "mythology").repartition(parts, "user_id").groupBy("user_id", "mythology").agg(F.count(F.lit(1)).alias("n"))

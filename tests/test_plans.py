@@ -1,8 +1,10 @@
 """Plans: no pairing of everything with everything, filters and columns pushed into the scan."""
 
+import re
+
 import pytest
 
-from kinweave.operators import edges, listing, mining, search
+from kinweave.operators import edges, listing, mining, search, stats
 from workload import entity_queries, graph_queries, source_queries, text_queries
 from workload.check import DATA
 
@@ -65,3 +67,13 @@ def test_postings_shuffle_texts_not_terms(spark):
 def test_index_pages_of_one_file_are_spread_before_they_are_parsed(spark):
     text = plan(source_queries.extract_index_rows(spark, SF))
     assert text.index("Generate") < text.index("Exchange hashpartitioning(p_partkey")
+
+
+def test_selections_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch):
+    chosen = spark.range(2000).selectExpr("id % 100 AS user_id", "concat('e', id) AS id")
+    known = spark.range(2000).selectExpr("concat('e', id) AS id", "concat('e', id) AS name", "'K' AS class_name", "'M' AS mythology")
+    edges_of = spark.createDataFrame([], "id long, source_id string, target_id string, type string")
+    monkeypatch.setattr(stats, "TASK_ROWS", 100, raising=False)
+    for query in (stats.selection_prototypes, stats.selection_profile):
+        text = plan(query(chosen, known, edges_of))
+        assert re.search(r"hashpartitioning\(user_id#\d+L?, 20\)", text), query.__name__
