@@ -1,10 +1,12 @@
 """Plans: no pairing of everything with everything, filters and columns pushed into the scan."""
 
+import os
 import re
 
 import pytest
 
-from kinweave.operators import edges, listing, mining, search, stats
+from kinweave import vocab
+from kinweave.operators import edges, harvest, listing, mining, search, stats
 from workload import entity_queries, graph_queries, source_queries, text_queries
 from workload.check import DATA
 
@@ -71,9 +73,26 @@ def test_index_pages_of_one_file_are_spread_before_they_are_parsed(spark):
 
 def test_selections_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch):
     chosen = spark.range(2000).selectExpr("id % 100 AS user_id", "concat('e', id) AS id")
-    known = spark.range(2000).selectExpr("concat('e', id) AS id", "concat('e', id) AS name", "'K' AS class_name", "'M' AS mythology")
-    edges_of = spark.createDataFrame([], "id long, source_id string, target_id string, type string")
+    known = spark.range(2000).selectExpr("concat('e', id) AS id", "concat('e', id) AS name", f"if(id = 0, '{vocab.PROTOTYPE_CLASS}', 'K') AS class_name", "'M' AS mythology")
+    edges_of = spark.createDataFrame([(1, "e9", "e0", "DERIVED_FROM")], "id long, source_id string, target_id string, type string")
     monkeypatch.setattr(stats, "TASK_ROWS", 100, raising=False)
     for query in (stats.selection_prototypes, stats.selection_profile):
         text = plan(query(chosen, known, edges_of))
         assert re.search(r"hashpartitioning\(user_id#\d+L?, 20\)", text), query.__name__
+
+
+def test_hits_are_rated_once(spark, monkeypatch):
+    written, cut = [], harvest.cut
+    monkeypatch.setattr(harvest, "cut", lambda df: written.append(cut(df)) or written[-1])
+    text = plan(entity_queries.resolve_prototypes(spark, SF))
+    assert any("exact" in df.columns for df in written) and "lineitem" not in text
+
+
+def test_landed_files_grow_with_the_submissions(spark, monkeypatch):
+    monkeypatch.setattr(source_queries, "FILE_ROWS", 100, raising=False)
+    asked, read = [], source_queries.read_submissions
+    monkeypatch.setattr(source_queries, "read_submissions", lambda s, path, **more: asked.append((path, more)) or read(s, path, **more))
+    source_queries.intake_stream(spark, SF)
+    (path, more), = asked
+    files = [f for f in os.listdir(path) if f.endswith(".json")]
+    assert len(files) > 4 and more["max_files"] == len(files) // 2
