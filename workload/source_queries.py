@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from kinweave.functions import text as text_functions
-from kinweave.lineage import shared_folder, spread
+from kinweave.lineage import cut, shared_folder, spread
 from kinweave.plans.build import build_all
 from kinweave.sources import readers, sinks
 from kinweave.streaming.intake import read_submissions, start_intake
@@ -16,6 +16,9 @@ from workload.graph_queries import entities, relationships, snapshot
 from workload.registry import query
 from workload.views import view
 
+#: Submissions of a landed file; four files at least, of which half are a batch.
+FILE_ROWS = 500_000
+
 
 def new_folder(spark, name: str) -> str:
     """A folder of its own under the shared one."""
@@ -189,8 +192,10 @@ def build_all_figures(spark, sf):
        ("fx_submissions", "sq_edges"))
 def intake_stream(spark, sf):
     path = new_folder(spark, "intake")
-    view(spark, sf, "fx_submissions").repartition(4).write.json(f"{path}/in")
-    stream = read_submissions(spark, f"{path}/in", max_files=2)
+    made = cut(view(spark, sf, "fx_submissions"))
+    files = max(4, -(-made.count() // FILE_ROWS))
+    made.repartition(files).write.json(f"{path}/in")
+    stream = read_submissions(spark, f"{path}/in", max_files=files // 2)
     start_intake(stream, snapshot(spark, sf), f"{path}/out", f"{path}/state", once=True).awaitTermination()
     taken = spark.read.parquet(f"{path}/out")
     mutual = F.col("type") == "ALLY_OF"
