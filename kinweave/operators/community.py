@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from kinweave import vocab
 from kinweave.lineage import cut
@@ -12,15 +17,18 @@ from kinweave.operators.ranking import top_n
 
 #: A rise of the inner weight, in edges, that is above rounding errors.
 LEAST_RISE = 1e-9
+#: Nodes that a task moves one after the other.
+BLOCK = 50_000
 
 
 def communities(vertices: DataFrame, edges: DataFrame, levels: int | None = None,
-                rounds: int = 4, least_rise: float = LEAST_RISE) -> DataFrame:
+                rounds: int = 4, least_rise: float = LEAST_RISE, block: int = BLOCK) -> DataFrame:
     """A community for every vertex: id, community (its smallest member).
 
-    Parallel edges weigh more. In a turn, all nodes that gain by moving to a neighbouring community do so
-    at once, but for those that would spoil each other's gain, see ``_moves``; so each turn raises
-    modularity. After ``rounds`` turns communities become the nodes of the next level, until none gains
+    Parallel edges weigh more. A turn begins with moves between communities dealt to the same block, one
+    after the other in a task, see ``_within_blocks``. Then all nodes that gain by moving to a neighbouring
+    community do so at once, but for those that would spoil each other's gain, see ``_moves``; so each
+    turn raises modularity. After ``rounds`` turns communities become the nodes of the next level, until none gains
     more than ``least_rise`` edges by joining another. Then the vertices move again, from where they are,
     for as many turns as it takes until no move of one vertex raises modularity, and their communities
     are tried once more as nodes. ``levels`` ends all this earlier. Ties go to the present community,
@@ -36,7 +44,7 @@ def communities(vertices: DataFrame, edges: DataFrame, levels: int | None = None
     vertex_nodes, vertex_links, state = nodes, links, nodes
     at_vertices, closing, level = True, False, 0
     while levels is None or level < levels:
-        state, moved = _settled(state, links, total, None if closing and at_vertices else rounds, least_rise)
+        state, moved = _settled(state, links, total, None if closing and at_vertices else rounds, least_rise, block)
         step = state.select("node", "comm")
         if at_vertices:
             of_vertex = step.withColumnRenamed("node", "id")
@@ -69,18 +77,83 @@ def _links(edges: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def _settled(state: DataFrame, links: DataFrame, total: float, rounds: int | None, least_rise: float) -> tuple[DataFrame, bool]:
+def _settled(state: DataFrame, links: DataFrame, total: float, rounds: int | None, least_rise: float,
+             block: int) -> tuple[DataFrame, bool]:
     """Node, its weight k and its community after the turns of one level, and whether any node moved."""
-    turn = 0
+    turn, moved = 0, False
+    blocks = -(-state.count() // block)
     while rounds is None or turn < rounds:
+        inner = Observation()
+        state = cut(_within_blocks(state, links, total, blocks, turn, least_rise, block).observe(
+            inner, F.count_if("moved").alias("n"))).drop("moved")
+        moved = moved or inner.get["n"] > 0
+        if blocks == 1:  # all nodes have taken their turns, until none gained
+            break
         seen = Observation()
         wishes = cut(_choices(state, links, total).filter(F.col("rise") > least_rise).observe(seen, F.count(F.lit(1)).alias("n")))
         if not seen.get["n"]:
             break
+        moved = True
         moves = _moves(wishes, links, total).select(F.col("src").alias("node"), "to")
         state = cut(state.join(moves, "node", "left").select("node", "k", F.coalesce("to", "comm").alias("comm")))
         turn += 1
-    return state, turn > 0
+    return state, moved
+
+
+def _within_blocks(state: DataFrame, links: DataFrame, total: float, blocks: int, turn: int, least_rise: float,
+                   block: int) -> DataFrame:
+    """State after moves within blocks of whole communities: node, k, comm, moved.
+
+    A task holds all nodes of its communities and the links between them, so it knows what a move gains
+    there, and no other block changes that; each move raises modularity. Blocks have some ``block``
+    nodes and differ from turn to turn. Larger communities stay out; their nodes move in ``_moves``.
+    """
+    sizes = state.groupBy("comm").agg(F.count(F.lit(1)).alias("n"))
+    number = F.pmod(F.xxhash64("comm", F.lit(turn)), F.lit(blocks)).cast("int")
+    dealt = cut(state.join(sizes, "comm").select("node", "k", "comm", F.when(F.col("n") <= block, number).alias("block")))
+    known = dealt.filter(F.col("block").isNotNull())
+    left, right = (known.select(F.col("node").alias(end), F.col("block").alias("part")) for end in ("src", "dst"))
+    inner = links.join(left, "src").join(right, ["dst", "part"]).select("part", "src", "dst", "w")
+    schema = StructType([*(state.schema[name] for name in ("node", "k", "comm")), StructField("moved", BooleanType())])
+    settled = known.groupBy("block").cogroup(inner.groupBy("part")).applyInArrow(_one_by_one(total, least_rise), schema)
+    return settled.unionByName(dealt.filter(F.col("block").isNull()).select("node", "k", "comm", F.lit(False).alias("moved")))
+
+
+def _one_by_one(total: float, least_rise: float):
+    """Moves of the nodes of one block, first in the order of their names, until none gains."""
+    def settle(nodes: pa.Table, links: pa.Table) -> pa.Table:
+        nodes = nodes.sort_by("node")
+        row = {name: at for at, name in enumerate(nodes["node"].to_pylist())}
+        names, places = np.unique(np.array(nodes["comm"].to_pylist(), dtype=object), return_inverse=True)
+        weights, before = nodes["k"].to_pylist(), places.tolist()
+        of, around = list(before), [[] for _ in row]
+        for src, dst, w in zip(*(links[name].to_pylist() for name in ("src", "dst", "w"))):
+            around[row[src]].append((row[dst], w))
+        weight = np.bincount(places, weights, len(names)).tolist()
+        busy = True
+        while busy:
+            # Neighbours of what moved are tried again at once, all others when none of those gains.
+            busy, queue, queued = False, deque(range(len(of))), [True] * len(of)
+            while queue:
+                node = queue.popleft()
+                queued[node], k, own = False, weights[node], of[node]
+                toward = {own: 0.0}
+                for other, w in around[node]:
+                    toward[of[other]] = toward.get(of[other], 0.0) + w
+                stay = round(toward.pop(own) - k * (weight[own] - k) / total, 9)
+                gain, best = min(((-round(w - k * weight[c] / total, 9), c) for c, w in toward.items()), default=(-stay, own))
+                if -gain - stay > least_rise:
+                    weight[own] -= k
+                    weight[best] += k
+                    of[node], busy = best, True
+                    for other, _ in around[node]:
+                        if of[other] != best and not queued[other]:
+                            queued[other] = True
+                            queue.append(other)
+        return pa.table({"node": nodes["node"], "k": nodes["k"], "comm": pa.array(names[of].tolist(), nodes["comm"].type),
+                         "moved": pa.array([x != y for x, y in zip(of, before)], pa.bool_())})
+
+    return settle
 
 
 def _choices(state: DataFrame, links: DataFrame, total: float) -> DataFrame:

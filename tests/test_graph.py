@@ -264,3 +264,39 @@ def test_no_single_move_raises_modularity_at_all(spark):
         k, own = len(near), found[node]
         gains = {c: sum(found[x] == c for x in near) - k * (weight[c] - k * (c == own)) / total for c in {own, *(found[x] for x in near)}}
         assert max(gains.values()) <= gains[own] + 1e-8
+
+
+def clusters(spark, parts, draw):
+    """Groups of six vertices, with some edges across."""
+    ends = {(6 * b + i, 6 * b + j) for b in range(parts) for i, j in itertools.combinations(range(6), 2) if draw.random() < 0.6}
+    ends |= {tuple(sorted(draw.sample(range(6 * parts), 2))) for _ in range(3 * parts)}
+    rows = [(i, f"n{a}", f"n{b}", "ALLY_OF") for i, (a, b) in enumerate(sorted(ends))]
+    return (spark.createDataFrame([(f"n{i}",) for i in range(6 * parts)], "id string"),
+            spark.createDataFrame(rows, "id int, source_id string, target_id string, type string"))
+
+
+def test_communities_settle_in_few_turns(spark, monkeypatch):
+    v, e = clusters(spark, 60, random.Random(7))
+    written = []
+    cut = community.cut
+    monkeypatch.setattr(community, "cut", lambda df: written.append(1) or cut(df))
+    found = cut(community.communities(v, e))
+    assert len(written) < 60
+    assert community.rising_moves(e, found).count() == 0
+
+
+def test_moves_within_several_blocks_raise_modularity(spark):
+    v, e = clusters(spark, 60, random.Random(8))
+    links = community.cut(community._links(e))
+    total = links.agg(F.sum("w")).first()[0]
+    nodes = links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).withColumn("comm", F.col("node"))
+    reached = [community.modularity(e, v.withColumn("community", F.col("id")))]
+    state = nodes
+    for turn in range(3):
+        state = community.cut(community._within_blocks(state, links, total, 4, turn, community.LEAST_RISE, 100)).drop("moved")
+        assert state.count() == nodes.count()
+        reached.append(community.modularity(e, state.select(F.col("node").alias("id"), F.col("comm").alias("community"))))
+    assert reached[0] < reached[1] < reached[2] <= reached[3]
+    # A community of more nodes than a block holds stays as it is.
+    whole = nodes.withColumn("comm", F.lit("n0"))
+    assert not community._within_blocks(whole, links, total, 4, 0, community.LEAST_RISE, 100).filter("moved").count()
