@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinweave import vocab
 from kinweave.functions.names import character_or_work, medium_of, name_variants, normalize_name, work_kind
 from kinweave.functions.rules import look_up
-from kinweave.lineage import cut
+from kinweave.lineage import cut, spread
 from kinweave.operators.edges import HIGH, LOW, exclude_existing, is_directed, with_pair_key
 from kinweave.operators.entities import match_entities
 from kinweave.operators.ranking import cap_per_group, first_per_key, top_n
@@ -78,18 +78,27 @@ def _targets(hits: DataFrame, claims: DataFrame, meta: DataFrame, labels: DataFr
         valid, ["target_qid", "_said"], "left_semi").drop("_said")
 
 
+def rate_hits(chars: DataFrame, hits: DataFrame) -> DataFrame:
+    """The hits with ``exact``, whether the label is a name of the character, as a written table.
+
+    Characters are spread before their names are spelled out, which takes long for each of them, and
+    their table may be one small file.
+    """
+    named = spread(chars.select("char_id", "char_native", "char_name", "char_alt"), "char_id")
+    variants = named.select("char_id", F.explode(name_variants(
+        F.col("char_native"), F.col("char_name"), F.col("char_alt"))).alias("v"))
+    return cut(_exact_hits(hits, variants.select("char_id", normalize_name(F.col("v.name")).alias("key"))))
+
+
 def prototype_match(chars: DataFrame, hits: DataFrame, claims: DataFrame, meta: DataFrame,
-                    labels: DataFrame) -> DataFrame:
+                    labels: DataFrame, rated: DataFrame | None = None) -> DataFrame:
     """Prototype of each character: char_id, method, char_qid, prototype_qids, confidence, matched_name.
 
     Tier A: the first hit (by position) that carries the character's own name and is based on valid
     prototypes. Tier B: a hit that is a prototype itself, one with the exact name first. Every
-    character gets a row.
+    character gets a row. ``rated`` is what ``rate_hits`` makes of the hits, if it is at hand.
     """
-    variants = chars.select("char_id", F.explode(name_variants(
-        F.col("char_native"), F.col("char_name"), F.col("char_alt"))).alias("v"))
-    keys = variants.select("char_id", normalize_name(F.col("v.name")).alias("key"))
-    rated = cut(_exact_hits(hits, keys))
+    rated = rate_hits(chars, hits) if rated is None else rated
     targets = cut(_targets(rated.filter("exact").select("char_id", "position", "qid"), claims, meta, labels))
     chosen = first_per_key(targets.select("char_id", "position", "qid"), ["char_id"], ["position", "qid"])
     listed = targets.join(chosen, ["char_id", "position", "qid"], "left_semi").groupBy("char_id", "qid").agg(
@@ -117,7 +126,10 @@ def prototype_match(chars: DataFrame, hits: DataFrame, claims: DataFrame, meta:
 
 
 def match_report(matches: DataFrame, hits: DataFrame) -> DataFrame:
-    """Characters per method with their share in percent, and those with any candidate: method, n, pct."""
+    """Characters per method with their share in percent, and those with any candidate: method, n, pct.
+
+    Of the hits only char_id is read, so a written table of them, such as that of ``rate_hits``, will do.
+    """
     reached = hits.select("char_id").distinct().withColumn("_hit", F.lit(True))
     counted = F.array_compact(F.array(
         F.lit("_total"), F.col("method"),

@@ -362,9 +362,9 @@ def _chars(spark, sf):
         F.lit(None).cast("string").alias("char_native"), F.array("p_brand").alias("char_alt"))
 
 
-def _match(spark, sf):
+def _match(spark, sf, rated=None):
     return harvest.prototype_match(_chars(spark, sf), view(spark, sf, "fx_hits"), _claims(spark, sf),
-                                   view(spark, sf, "fx_meta"), view(spark, sf, "fx_labels"))
+                                   view(spark, sf, "fx_meta"), view(spark, sf, "fx_labels"), rated)
 
 
 MATCHED = f"""WITH {FACTS},
@@ -398,7 +398,8 @@ def prototype_match(spark, sf):
     UNION ALL SELECT 'any_candidate', count(*) FROM m WHERE char_id IN (SELECT char_id FROM fx_hits))
   SELECT method, n, round(n / (SELECT count(*) FROM m) * 100, 1) AS pct FROM r""", MATCH_VIEWS)
 def match_report(spark, sf):
-    return harvest.match_report(_match(spark, sf), view(spark, sf, "fx_hits"))
+    rated = harvest.rate_hits(_chars(spark, sf), view(spark, sf, "fx_hits"))
+    return harvest.match_report(_match(spark, sf, rated), rated)
 
 
 @query(MATCHED + """ SELECT char_id, method, matched_name FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY char_id) AS nth
