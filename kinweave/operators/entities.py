@@ -82,7 +82,7 @@ def build_name_index(vertices: DataFrame, aliases: DataFrame, prototypes: bool =
     return first_per_key(listed, ["name"], ["priority", "wiki_id", "id"]).select("name", "id")
 
 
-def _with_ends(raw: DataFrame, index: DataFrame) -> DataFrame:
+def name_ends(raw: DataFrame, index: DataFrame) -> DataFrame:
     """Add source_id and target_id by name; NULL where a name is unknown."""
     found = raw
     for end in ("source", "target"):
@@ -96,7 +96,12 @@ def resolve_edges(raw: DataFrame, index: DataFrame) -> DataFrame:
 
     ``raw`` has source_name, target_name, relationship and seq, the place of the record in its file.
     """
-    found = _with_ends(raw, index).filter(F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
+    return resolve_ends(name_ends(raw, index))
+
+
+def resolve_ends(named: DataFrame) -> DataFrame:
+    """``resolve_edges`` from what ``name_ends`` makes of the records."""
+    found = named.filter(F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
     typed = normalize_edges(found.withColumn("type", F.col("relationship")))
     typed = typed.filter(F.col("source_id") != F.col("target_id")).drop("relationship", "source_name", "target_name")
     return first_per_key(with_pair_key(typed), [LOW, HIGH, "type"], ["seq"]).drop(LOW, HIGH)
@@ -104,14 +109,20 @@ def resolve_edges(raw: DataFrame, index: DataFrame) -> DataFrame:
 
 def resolution_stats(raw: DataFrame, index: DataFrame) -> DataFrame:
     """Records read, skipped (unknown name or type, self-loop), repeated and added."""
-    found = _with_ends(raw, index).withColumn("type", F.trim("relationship"))
+    named = name_ends(raw, index)
+    return resolution_figures(named, resolve_ends(named))
+
+
+def resolution_figures(named: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``resolution_stats`` from what ``name_ends`` makes of the records, and the edges they came to."""
+    found = named.withColumn("type", F.trim("relationship"))
     usable = (
         F.col("source_id").isNotNull() & F.col("target_id").isNotNull()
         & F.coalesce(is_known_type(F.col("type")), F.lit(False)) & (F.col("source_id") != F.col("target_id"))
     )
     flagged = found.withColumn("usable", F.coalesce(usable, F.lit(False)))
     counted = flagged.agg(F.count(F.lit(1)).alias("records"), F.count_if(~F.col("usable")).alias("skipped"))
-    added = resolve_edges(raw, index).agg(F.count(F.lit(1)).alias("added"))
+    added = resolved.agg(F.count(F.lit(1)).alias("added"))
     rows = counted.unpivot([], counted.columns, "metric", "value").unionByName(
         added.unpivot([], ["added"], "metric", "value"))
     return rows

@@ -93,3 +93,15 @@ def test_names_of_one_shard_are_settled_where_they_are_found(spark):
     tags = mining.tag_names(sentences, names)
     assert plan(tags).count("Exchange") == 2
     assert sorted((t.sentence_id, t.pos, t.entity_id, t.match) for t in tags.collect()) == [(1, 0, "k", "King Arthur"), (1, 3, "a", "Arthur")]
+
+
+def test_report_reads_the_rated_hits(spark, monkeypatch):
+    dealt, spread = [], harvest.spread
+    monkeypatch.setattr(harvest, "spread", lambda df, key: dealt.append(spread(df, key)) or dealt[-1])
+    assert "lineitem" not in plan(entity_queries.match_report(spark, SF))
+    assert dealt[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_figures_of_a_build_read_what_it_wrote(spark):
+    text = plan(source_queries.build_all_figures(spark, SF))
+    assert "lineitem" not in text and "orders" not in text
