@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 
 import numpy as np
@@ -13,16 +14,24 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from kinweave import vocab
 from kinweave.lineage import cut
 from kinweave.operators.edges import both_ways
-from kinweave.operators.ranking import top_n
+from kinweave.operators.ranking import top_n, with_position
 
 #: A rise of the inner weight, in edges, that is above rounding errors.
 LEAST_RISE = 1e-9
+#: Above what rounding to nine digits does to a difference.
+NEAR = 2e-9
 #: Nodes that a task moves one after the other.
 BLOCK = 50_000
+#: The same for the closing turns of vertices, which end when none gains: blocks that cannot see each other's moves
+#: would take many turns over everything for the last few.
+CLOSING_BLOCK = 2_000_000
+#: Links that a task holds at most, on average.
+BLOCK_LINKS = 8_000_000
 
 
 def communities(vertices: DataFrame, edges: DataFrame, levels: int | None = None,
-                rounds: int = 4, least_rise: float = LEAST_RISE, block: int = BLOCK) -> DataFrame:
+                rounds: int = 4, least_rise: float = LEAST_RISE, block: int = BLOCK,
+                closing_block: int = CLOSING_BLOCK) -> DataFrame:
     """A community for every vertex: id, community (its smallest member).
 
     Parallel edges weigh more. A turn begins with moves between communities dealt to the same block, one
@@ -30,21 +39,27 @@ def communities(vertices: DataFrame, edges: DataFrame, levels: int | None = None
     community do so at once, but for those that would spoil each other's gain, see ``_moves``; so each
     turn raises modularity. After ``rounds`` turns communities become the nodes of the next level, until none gains
     more than ``least_rise`` edges by joining another. Then the vertices move again, from where they are,
-    for as many turns as it takes until no move of one vertex raises modularity, and their communities
-    are tried once more as nodes. ``levels`` ends all this earlier. Ties go to the present community,
-    then to the smallest name, so a run can be repeated.
+    for as many turns as it takes until no move of one vertex raises modularity, in blocks of ``closing_block``
+    nodes, and their communities are tried once more as nodes. ``levels`` ends all this earlier. Ties go to
+    the present community, then to the smallest name, so a run can be repeated. Nodes go by their places
+    in the order of names until the end.
     """
-    links = cut(_links(edges))
-    total = links.agg(F.sum("w")).first()[0]
+    named_links = cut(_links(edges))
+    total = named_links.agg(F.sum("w")).first()[0]
     ids = vertices.select("id")
     if not total:
         return ids.select("id", F.col("id").alias("community"))
-    nodes = cut(links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))).withColumn("comm", F.col("node"))
+    weights = named_links.filter(F.col("src").isNotNull()).groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))
+    placed = cut(with_position(weights, ["id"], name="node"))
+    src, dst = (placed.select(F.col("id").alias(end), F.col("node").alias(f"{end}_node")) for end in ("src", "dst"))
+    links = cut(named_links.join(src, "src").join(dst, "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"), "w"))
+    nodes = placed.select("node", "k", F.col("node").alias("comm"))
     of_vertex = nodes.select(F.col("node").alias("id"), "comm")
     vertex_nodes, vertex_links, state = nodes, links, nodes
     at_vertices, closing, level = True, False, 0
     while levels is None or level < levels:
-        state, moved = _settled(state, links, total, None if closing and at_vertices else rounds, least_rise, block)
+        last = closing and at_vertices
+        state, moved = _settled(state, links, total, None if last else rounds, least_rise, max(block, closing_block) if last else block)
         step = state.select("node", "comm")
         if at_vertices:
             of_vertex = step.withColumnRenamed("node", "id")
@@ -66,8 +81,9 @@ def communities(vertices: DataFrame, edges: DataFrame, levels: int | None = None
             links.join(ends, "src").join(others, "dst").filter(F.col("a") != F.col("b"))
             .groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
         )
-    names = of_vertex.groupBy("comm").agg(F.min("id").alias("community"))
-    named = of_vertex.join(names, "comm").select("id", "community")
+    members = of_vertex.withColumnRenamed("id", "node").join(placed.select("node", "id"), "node")
+    names = members.groupBy("comm").agg(F.min("id").alias("community"))
+    named = members.join(names, "comm").select("id", "community")
     return ids.join(named, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
@@ -81,7 +97,7 @@ def _settled(state: DataFrame, links: DataFrame, total: float, rounds: int | Non
              block: int) -> tuple[DataFrame, bool]:
     """Node, its weight k and its community after the turns of one level, and whether any node moved."""
     turn, moved = 0, False
-    blocks = -(-state.count() // block)
+    blocks = max(-(-state.count() // block), -(-links.count() // BLOCK_LINKS))
     while rounds is None or turn < rounds:
         inner = Observation()
         state = cut(_within_blocks(state, links, total, blocks, turn, least_rise, block).observe(
@@ -108,14 +124,18 @@ def _within_blocks(state: DataFrame, links: DataFrame, total: float, blocks: int
     there, and no other block changes that; each move raises modularity. Blocks have some ``block``
     nodes and differ from turn to turn. Larger communities stay out; their nodes move in ``_moves``.
     """
+    schema = StructType([*(state.schema[name] for name in ("node", "k", "comm")), StructField("moved", BooleanType())])
+    settle = _one_by_one(total, least_rise)
+    if blocks == 1:
+        return (state.select("node", "k", "comm").groupBy(F.lit(0).alias("block"))
+                .cogroup(links.select("src", "dst", "w").groupBy(F.lit(0).alias("block"))).applyInArrow(settle, schema))
     sizes = state.groupBy("comm").agg(F.count(F.lit(1)).alias("n"))
     number = F.pmod(F.xxhash64("comm", F.lit(turn)), F.lit(blocks)).cast("int")
     dealt = cut(state.join(sizes, "comm").select("node", "k", "comm", F.when(F.col("n") <= block, number).alias("block")))
     known = dealt.filter(F.col("block").isNotNull())
     left, right = (known.select(F.col("node").alias(end), F.col("block").alias("part")) for end in ("src", "dst"))
     inner = links.join(left, "src").join(right, ["dst", "part"]).select("part", "src", "dst", "w")
-    schema = StructType([*(state.schema[name] for name in ("node", "k", "comm")), StructField("moved", BooleanType())])
-    settled = known.groupBy("block").cogroup(inner.groupBy("part")).applyInArrow(_one_by_one(total, least_rise), schema)
+    settled = known.groupBy("block").cogroup(inner.groupBy("part")).applyInArrow(settle, schema)
     return settled.unionByName(dealt.filter(F.col("block").isNull()).select("node", "k", "comm", F.lit(False).alias("moved")))
 
 
@@ -123,39 +143,77 @@ def _one_by_one(total: float, least_rise: float):
     """Moves of the nodes of one block, first in the order of their names, until none gains."""
     def settle(nodes: pa.Table, links: pa.Table) -> pa.Table:
         nodes = nodes.sort_by("node")
-        row = {name: at for at, name in enumerate(nodes["node"].to_pylist())}
-        names, places = np.unique(np.array(nodes["comm"].to_pylist(), dtype=object), return_inverse=True)
-        weights, before = nodes["k"].to_pylist(), places.tolist()
-        of, around = list(before), [[] for _ in row]
-        for src, dst, w in zip(*(links[name].to_pylist() for name in ("src", "dst", "w"))):
-            around[row[src]].append((row[dst], w))
-        weight = np.bincount(places, weights, len(names)).tolist()
-        busy = True
-        while busy:
-            # Neighbours of what moved are tried again at once, all others when none of those gains.
-            busy, queue, queued = False, deque(range(len(of))), [True] * len(of)
-            while queue:
-                node = queue.popleft()
-                queued[node], k, own = False, weights[node], of[node]
-                toward = {own: 0.0}
-                for other, w in around[node]:
-                    toward[of[other]] = toward.get(of[other], 0.0) + w
-                stay = round(toward.pop(own) - k * (weight[own] - k) / total, 9)
-                gain, best = min(((-round(w - k * weight[c] / total, 9), c) for c, w in toward.items()), default=(-stay, own))
-                if -gain - stay > least_rise:
-                    weight[own] -= k
-                    weight[best] += k
-                    of[node], busy = best, True
-                    for other, _ in around[node]:
-                        if of[other] != best and not queued[other]:
-                            queued[other] = True
-                            queue.append(other)
-        return pa.table({"node": nodes["node"], "k": nodes["k"], "comm": pa.array(names[of].tolist(), nodes["comm"].type),
-                         "moved": pa.array([x != y for x, y in zip(of, before)], pa.bool_())})
+        row, src, dst, k = (column.to_numpy() for column in (nodes["node"], links["src"], links["dst"], nodes["k"]))
+        names, before = np.unique(nodes["comm"].to_numpy(), return_inverse=True)
+        src, dst = np.searchsorted(row, src), np.searchsorted(row, dst)
+        order = np.argsort(src, kind="stable")
+        starts = np.searchsorted(src[order], np.arange(len(row) + 1))
+        of = _moved_one_by_one(k, before, len(names), starts, dst[order], links["w"].to_numpy()[order], total, least_rise)
+        return pa.table({"node": nodes["node"], "k": nodes["k"], "comm": pa.array(names[of], nodes["comm"].type),
+                         "moved": pa.array(of != before, pa.bool_())})
 
     return settle
 
 
+def _moved_one_by_one(k: np.ndarray, comm: np.ndarray, n_comms: int, starts: np.ndarray, dst: np.ndarray, w: np.ndarray,
+                      total: float, least_rise: float) -> np.ndarray:
+    """Communities of nodes of weight ``k`` after their moves; node n has the links from ``starts[n]`` to ``starts[n + 1]``."""
+    weights, of, starts, near = k.tolist(), comm.tolist(), starts.tolist(), dst.tolist()
+    weight = np.bincount(comm, k, n_comms).tolist()
+    kinds, kind = np.unique(w, return_inverse=True)
+    by = list(map(kinds.tolist().__getitem__, kind.tolist()))  # equal numbers are kept once
+    community = of.__getitem__
+    # How much less a node got from the best other community when it was last tried, less all that weights of
+    # communities can have done to it in the passes since then. What its neighbours' moves do has it tried again.
+    reserve = [-1.0] * len(of)
+    busy = True
+    while busy:
+        # Neighbours of what moved are tried again at once, all others when none of those gains.
+        busy, queue, queued = False, deque(range(len(of))), bytearray(b"\1") * len(of)
+        low, high, drift = weight[:], weight[:], 0.0  # of each community in this pass
+        while queue:
+            node = queue.popleft()
+            queued[node], k_node = 0, weights[node]
+            if reserve[node] > k_node * drift:
+                continue
+            own, first, last = of[node], starts[node], starts[node + 1]
+            toward = {own: 0.0}
+            for c, x in zip(map(community, near[first:last]), by[first:last]):
+                toward[c] = toward[c] + x if c in toward else x
+            stay = toward.pop(own) - k_node * (weight[own] - k_node) / total
+            if not toward:
+                reserve[node] = math.inf
+                continue
+            most = second = -math.inf
+            for c, x in toward.items():
+                gain = x - k_node * weight[c] / total
+                if gain > most:
+                    second, most, best = most, gain, c
+                elif gain > second:
+                    second = gain
+            if stay - most > NEAR:
+                reserve[node] = stay - most - NEAR
+                continue
+            reserve[node] = -1.0
+            top = round(most, 9)
+            if top - round(stay, 9) > least_rise:
+                if most - second < NEAR:  # a tie, when rounded
+                    best = min(c for c, x in toward.items() if round(x - k_node * weight[c] / total, 9) == top)
+                weight[own] -= k_node
+                weight[best] += k_node
+                low[own], high[best] = min(low[own], weight[own]), max(high[best], weight[best])
+                drift = max(drift, 2 * (high[own] - low[own]) / total, 2 * (high[best] - low[best]) / total)
+                of[node], busy = best, True
+                for other in near[first:last]:
+                    if of[other] != best:
+                        reserve[other] = -1.0
+                        if not queued[other]:
+                            queued[other] = 1
+                            queue.append(other)
+        reserve = (np.array(reserve) - k * drift).tolist()
+    return np.array(of, dtype=np.int64)
+
+
 def _choices(state: DataFrame, links: DataFrame, total: float) -> DataFrame:
     """Where each node gains most: src, k, own, to, rise (in edges)."""
     weights = state.groupBy("comm").agg(F.sum("k").alias("weight"))

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -300,3 +301,56 @@ def test_moves_within_several_blocks_raise_modularity(spark):
     # A community of more nodes than a block holds stays as it is.
     whole = nodes.withColumn("comm", F.lit("n0"))
     assert not community._within_blocks(whole, links, total, 4, 0, community.LEAST_RISE, 100).filter("moved").count()
+
+
+def test_closing_turns_need_no_turns_over_all_nodes(spark, monkeypatch):
+    """Blocks of a level cannot see each other's moves; the vertices settle in larger ones at the end."""
+    v, e = clusters(spark, 60, random.Random(9))
+    asked, settled, choices = [], [], community._choices
+    monkeypatch.setattr(community, "_choices", lambda *given: asked.append(len(settled)) or choices(*given))
+    settle = community._settled
+    monkeypatch.setattr(community, "_settled", lambda *given: settled.append(given[3]) or settle(*given))
+    found = community.cut(community.communities(v, e, block=100))
+    assert None in settled and asked  # closing turns have no limit
+    assert all(settled[turn - 1] is not None for turn in asked)
+    assert community.rising_moves(e, found).count() == 0
+
+
+def plain_moves(k, comm, around, total):
+    """Each node tried until none gains, without leaving any out."""
+    of, weight, busy = list(comm), {}, True
+    for c, x in zip(comm, k):
+        weight[c] = weight.get(c, 0) + x
+    while busy:
+        busy, queue = False, list(range(len(of)))
+        waiting = set(queue)
+        while queue:
+            node = queue.pop(0)
+            waiting.discard(node)
+            own, toward = of[node], {of[node]: 0.0}
+            for other, w in around[node]:
+                toward[of[other]] = toward.get(of[other], 0.0) + w
+            stay = round(toward.pop(own) - k[node] * (weight[own] - k[node]) / total, 9)
+            gain, best = min(((-round(w - k[node] * weight[c] / total, 9), c) for c, w in toward.items()), default=(-stay, own))
+            if -gain - stay > community.LEAST_RISE:
+                weight[own] -= k[node]
+                weight[best] += k[node]
+                of[node], busy = best, True
+                for other, _ in around[node]:
+                    if of[other] != best and other not in waiting:
+                        waiting.add(other)
+                        queue.append(other)
+    return of
+
+
+@pytest.mark.parametrize("draw,n,m,kinds", [(1, 60, 150, 1), (2, 200, 350, 1), (3, 80, 600, 3), (4, 300, 380, 2), (5, 3, 2, 1)])
+def test_nodes_left_out_of_a_pass_would_have_stayed(draw, n, m, kinds):
+    draw = random.Random(draw)
+    ends = {tuple(sorted((draw.randrange(n), draw.randrange(n)))) for _ in range(m)}
+    links = sorted((x, y, float(w)) for a, b in ends for w in [draw.randrange(kinds) + 1] for x, y in ((a, b), (b, a)))
+    around = [[(y, w) for x, y, w in links if x == node] for node in range(n)]
+    k = [sum(w for _, w in near) for near in around]
+    comm = [draw.randrange(n) for _ in range(n)]
+    src, dst, w = (np.array(column) for column in zip(*links))
+    got = community._moved_one_by_one(np.array(k), np.array(comm), n, np.searchsorted(src, np.arange(n + 1)), dst, w, sum(k), community.LEAST_RISE)
+    assert got.tolist() == plain_moves(k, comm, around, sum(k))
