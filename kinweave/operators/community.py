@@ -279,14 +279,10 @@ def modularity(edges: DataFrame, assignment: DataFrame) -> float:
     seen = pairs.join(comm.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(
         comm.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst"
     )
-    total = seen.count()
-    if not total:
-        return 0.0
-    inside = seen.filter(F.col("a") == F.col("b")).count()
-    expected = seen.groupBy("a").agg((F.count(F.lit(1)) / total).alias("share")).agg(
-        F.sum(F.col("share") * F.col("share"))
-    ).first()[0]
-    return inside / total - expected
+    ends = seen.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") == F.col("b")).alias("inside"))
+    share = F.col("n").cast("double")
+    total, inside, squares = ends.agg(F.sum("n"), F.sum("inside"), F.sum(share * share)).first()
+    return inside / total - squares / total**2 if total else 0.0
 
 
 def top_mythology(vertices: DataFrame, assignment: DataFrame) -> DataFrame:

@@ -354,3 +354,25 @@ def test_nodes_left_out_of_a_pass_would_have_stayed(draw, n, m, kinds):
     src, dst, w = (np.array(column) for column in zip(*links))
     got = community._moved_one_by_one(np.array(k), np.array(comm), n, np.searchsorted(src, np.arange(n + 1)), dst, w, sum(k), community.LEAST_RISE)
     assert got.tolist() == plain_moves(k, comm, around, sum(k))
+
+
+def test_modularity_reads_the_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    _, e = clusters(spark, 20, random.Random(10))
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    v = spark.createDataFrame([(f"n{i}", f"n{i // 6}") for i in range(120)], "id string, community string")
+    rows = e.collect()
+    got = community.modularity(e.coalesce(1).mapInArrow(count, e.schema), v)
+    of, total = dict(v.collect()), 2 * len(rows)
+    share = {}
+    for r in rows:
+        for end in (r["source_id"], r["target_id"]):
+            share[of[end]] = share.get(of[end], 0) + 1
+    inside = sum(2 for r in rows if of[r["source_id"]] == of[r["target_id"]])
+    assert got == pytest.approx(inside / total - sum((n / total) ** 2 for n in share.values()))
+    assert seen.value == len(rows)

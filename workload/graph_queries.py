@@ -250,7 +250,7 @@ def community_members(spark, sf):
 def community_invariants(spark, sf):
     """Each vertex is in one community, named by its smallest member; no move of a vertex raises modularity,
     which is not below that of single vertices."""
-    known, snap = entities(spark, sf), snapshot(spark, sf)
+    known, snap = entities(spark, sf), cut(snapshot(spark, sf))
     found = cut(community.communities(known, snap))
     least = found.groupBy("community").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     start = community.modularity(snap, known.select("id", F.col("id").alias("community")))
