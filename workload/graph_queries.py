@@ -241,7 +241,7 @@ def communities(spark, sf):
 
 @query()
 def community_members(spark, sf):
-    found = community.communities(entities(spark, sf), snapshot(spark, sf))
+    found = cut(community.communities(entities(spark, sf), snapshot(spark, sf)))
     return community.community_members(community.community_summary(entities(spark, sf), found), found)
 
 
