@@ -99,12 +99,13 @@ def resolve_edges(raw: DataFrame, index: DataFrame) -> DataFrame:
     return resolve_ends(name_ends(raw, index))
 
 
-def resolve_ends(named: DataFrame) -> DataFrame:
-    """``resolve_edges`` from what ``name_ends`` makes of the records."""
+def resolve_ends(named: DataFrame, keyed: bool = False) -> DataFrame:
+    """``resolve_edges`` from what ``name_ends`` makes of the records; ``keyed`` keeps the pair key, for ``assign_status``."""
     found = named.filter(F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
     typed = normalize_edges(found.withColumn("type", F.col("relationship")))
     typed = typed.filter(F.col("source_id") != F.col("target_id")).drop("relationship", "source_name", "target_name")
-    return first_per_key(with_pair_key(typed), [LOW, HIGH, "type"], ["seq"]).drop(LOW, HIGH)
+    firsts = first_per_key(with_pair_key(typed), [LOW, HIGH, "type"], ["seq"])
+    return firsts if keyed else firsts.drop(LOW, HIGH)
 
 
 def resolution_stats(raw: DataFrame, index: DataFrame) -> DataFrame:
@@ -132,11 +133,18 @@ def assign_status(edges: DataFrame, previous: DataFrame) -> DataFrame:
     """Status, origin, confidence and direction of freshly resolved edges.
 
     A valid status of the record wins; else a record with a confidence takes the status its triple
-    had in ``previous``, or waits for review; a record without one is approved.
+    had in ``previous``, or waits for review; a record without one is approved. Both directions of a pair
+    are looked up together, so edges that stand by pair key already stay where they are.
     """
-    remembered = previous.groupBy("source_id", "target_id", "type").agg(F.max("status").alias("_previous"))
+    ends = F.col("source_id").isNotNull() & F.col("target_id").isNotNull()
+    along, against = (F.when((F.col("source_id") == F.col(LOW)) == F.lit(way), F.col("status")) for way in (True, False))
+    remembered = with_pair_key(previous.select("source_id", "target_id", "type", "status").filter(ends)).groupBy(LOW, HIGH, "type").agg(
+        F.max(along).alias("_along"), F.max(against).alias("_against"))
+    keyed = edges if {LOW, HIGH} <= set(edges.columns) else with_pair_key(edges)
+    had = F.when(ends, F.when(F.col("source_id") == F.col(LOW), F.col("_along")).otherwise(F.col("_against")))
     rated = F.col("confidence").isNotNull()
-    joined = edges.join(remembered, ["source_id", "target_id", "type"], "left")
+    rest = [c for c in edges.columns if c not in ("source_id", "target_id", "type", LOW, HIGH)]
+    joined = keyed.join(remembered, [LOW, HIGH, "type"], "left").select("source_id", "target_id", "type", *rest, had.alias("_previous"))
     return joined.withColumns({
         "status": F.when(F.col("status").isin(*vocab.STATUSES), F.col("status"))
         .when(rated, F.coalesce("_previous", F.lit("pending"))).otherwise("approved"),

@@ -38,7 +38,7 @@ def build_all(spark: SparkSession, raw: DataFrame, enriched: DataFrame, raw_edge
     index = save(build_name_index(entities, aliases), "name_index")
     remembered = previous if previous is not None else spark.createDataFrame([], PREVIOUS)
     named = cut(name_ends(raw_edges, index).drop("source_name", "target_name"))
-    resolved = assign_status(resolve_ends(named), remembered)
+    resolved = assign_status(resolve_ends(named, keyed=True), remembered)
     relationships = save(resolved.withColumnRenamed("seq", "id"), "relationships")
     save(graph_snapshot(entities, relationships), "snapshot")
     save(build_postings(field_texts(entities, aliases)), "postings")

@@ -2,13 +2,14 @@
 
 import itertools
 import random
+import re
 import unicodedata
 
 from pyspark.sql import functions as F
 
 from kinweave.functions import names
 from kinweave.operators import entities, review
-from kinweave.plans.build import build_all
+from kinweave.plans.build import PREVIOUS, build_all
 from kinweave.sources import readers, sinks
 
 
@@ -155,3 +156,21 @@ def test_a_repeated_approval_counts_once(spark):
                          ("id int, action string, seq int", [(1, "approve", 5), (1, "approve", 5)])):
         got = {r.outcome: r.n for r in decision_counts(edges, spark.createDataFrame(rows, schema)).collect()}
         assert got == {"approved": 1, "skipped": 1}
+
+
+def test_status_is_looked_up_where_the_edges_stand(spark):
+    """Either direction of a pair has a status of its own, and records without an end none."""
+    named = spark.createDataFrame([(1, "b", "a", "PARENT_OF", "high", None, None, ""), (2, "a", "c", "MENTOR_OF", "high", None, None, "")],
+                                  "seq long, source_id string, target_id string, relationship string, confidence string, status string, origin string, evidence string")
+    previous = spark.createDataFrame([("a", "b", "PARENT_OF", "rejected"), ("b", "a", "PARENT_OF", "approved"), (None, "a", "PARENT_OF", "rejected"),
+                                      ("c", "a", "MENTOR_OF", "rejected"), ("a", None, "MENTOR_OF", "rejected")], PREVIOUS)
+    keyed = entities.assign_status(entities.resolve_ends(named, keyed=True), previous)
+    assert not re.search(r"hashpartitioning\(source_id", keyed._jdf.queryExecution().executedPlan().toString())
+    plain = entities.assign_status(entities.resolve_ends(named), previous)
+    assert keyed.columns == plain.columns and sorted(keyed.collect()) == sorted(plain.collect())
+    assert {r["seq"]: r["status"] for r in keyed.collect()} == {1: "approved", 2: "pending"}
+    loose = spark.createDataFrame([("a", "a", "ALLY_OF"), (None, "a", "ALLY_OF"), ("b", "a", None), ("b", "a", "ALLY_OF")], "source_id string, target_id string, type string")
+    given = loose.selectExpr("*", "'high' AS confidence", "CAST(NULL AS STRING) AS status", "'' AS origin", "'' AS evidence")
+    before = spark.createDataFrame([("a", "a", "ALLY_OF", "approved"), ("b", "a", "ALLY_OF", "rejected"), ("a", "b", "ALLY_OF", "approved"), (None, "a", "ALLY_OF", "x")], PREVIOUS)
+    got = {(r["source_id"], r["target_id"], r["type"]): r["status"] for r in entities.assign_status(given, before).collect()}
+    assert got == {("a", "a", "ALLY_OF"): "approved", (None, "a", "ALLY_OF"): "pending", ("b", "a", None): "pending", ("b", "a", "ALLY_OF"): "rejected"}
