@@ -146,7 +146,7 @@ def _one_by_one(total: float, least_rise: float):
         row, src, dst, k = (column.to_numpy() for column in (nodes["node"], links["src"], links["dst"], nodes["k"]))
         names, before = np.unique(nodes["comm"].to_numpy(), return_inverse=True)
         src, dst = np.searchsorted(row, src), np.searchsorted(row, dst)
-        order = np.argsort(src, kind="stable")
+        order = np.lexsort((dst, src))  # neighbours are tried again in the order of their names too, not of the rows
         starts = np.searchsorted(src[order], np.arange(len(row) + 1))
         of = _moved_one_by_one(k, before, len(names), starts, dst[order], links["w"].to_numpy()[order], total, least_rise)
         return pa.table({"node": nodes["node"], "k": nodes["k"], "comm": pa.array(names[of], nodes["comm"].type),

@@ -376,3 +376,16 @@ def test_modularity_reads_the_edges_once(spark):
     inside = sum(2 for r in rows if of[r["source_id"]] == of[r["target_id"]])
     assert got == pytest.approx(inside / total - sum((n / total) ** 2 for n in share.values()))
     assert seen.value == len(rows)
+
+
+def test_communities_do_not_depend_on_the_order_of_rows(spark):
+    v, e = clusters(spark, 80, random.Random(12))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        found = []
+        for n in ("3", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(community.communities(v, e.orderBy(F.rand(int(n)))).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert found[0] == found[1]
